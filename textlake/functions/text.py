@@ -50,6 +50,11 @@ CAP_HEAD_RE = r"^[A-Z]"
 KEEP_TOKEN_RE = r"^." + W + r"+$"          # process_text keep rule
 
 
+def sql_lit(s: str) -> str:
+    """A SQL string literal (quotes doubled) for the oracle side."""
+    return "'" + s.replace("'", "''") + "'"
+
+
 def lit_array(values):
     return F.array(*[F.lit(v) for v in values])
 

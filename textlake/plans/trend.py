@@ -65,7 +65,7 @@ def trend_matrix(posts: DataFrame, dim: DataFrame, mode: str = "GT", n_pieces: i
     if "G" in mode:
         series, _ = trend_series(posts, n_pieces, up, low, spam_ids, white_ids)
         since = up - _dt.timedelta(microseconds=interval_micros(since_parts))
-        g = B.trend_score(series.filter(F.col("number_tweets") >= 0), ["topic"], since).select(
+        g = B.trend_score(series, ["topic"], since).select(
             "topic", F.col("trend_score").alias("google_trend"))
         out = out.join(g, "topic", "left")
     out = attach_topic_id(out, dim)
