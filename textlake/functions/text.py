@@ -100,19 +100,17 @@ def glue_capitals(col: Column) -> Column:
     Word-level form of the left-to-right regex loop: the blank between two
     blank-separated pieces becomes '-' when the left piece ends in a
     capitalised run ``[A-Z][word.-]*`` and the right piece starts with A-Z.
+    Pieces are paired with their successor by ``zip_with`` (the split is
+    evaluated once per row, not once per piece).
     """
     parts = F.split(col, " ", -1)
-    n = F.size(parts)
+    nxt = F.concat(F.slice(parts, 2, F.size(parts) - 1), F.array(F.lit(None).cast("string")))
     return F.array_join(
-        F.transform(
-            parts,
-            lambda p, i: F.concat(
-                p,
-                F.when(i >= n - 1, F.lit(""))
-                .when(p.rlike(CAP_TAIL_RE) & F.get(parts, i + 1).rlike(CAP_HEAD_RE), F.lit("-"))
-                .otherwise(F.lit(" ")),
-            ),
-        ),
+        F.zip_with(parts, nxt, lambda p, q: F.concat(
+            p,
+            F.when(q.isNull(), F.lit(""))
+            .when(p.rlike(CAP_TAIL_RE) & q.rlike(CAP_HEAD_RE), F.lit("-"))
+            .otherwise(F.lit(" ")))),
         "",
     )
 
@@ -132,13 +130,14 @@ def process_text(col: Column) -> Column:
 
 
 def ngrams(arr: Column, n: int, sep: str = " ") -> Column:
-    """Consecutive n-grams of a token array, each joined by ``sep``."""
-    size = F.size(arr)
-    return F.when(
-        size >= n,
-        F.transform(F.sequence(F.lit(1), size - n + 1),
-                    lambda i: F.array_join(F.slice(arr, i, n), sep)),
-    ).otherwise(F.array().cast("array<string>"))
+    """Consecutive n-grams of a token array, each joined by ``sep``: a zip
+    of n shifted slices (the array is evaluated n times per row, never once
+    per element)."""
+    if n == 1:
+        return arr
+    m = F.greatest(F.size(arr) - n + 1, F.lit(0))
+    z = F.arrays_zip(*[F.slice(arr, k + 1, m) for k in range(n)])
+    return F.transform(z, lambda s: F.concat_ws(sep, *[s[str(k)] for k in range(n)]))
 
 
 def get_tokens(col: Column, n: int = 1) -> Column:

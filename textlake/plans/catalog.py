@@ -1,3 +1,3 @@
 """Imports every query module so that the registry is complete."""
 
-from textlake.plans import queries_trend  # noqa: F401
+from textlake.plans import queries_trend, queries_text  # noqa: F401

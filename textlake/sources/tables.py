@@ -190,7 +190,7 @@ FIXTURE_SQL = {
                      FROM (SELECT DISTINCT topic FROM posts))
       SELECT topic AS name, id, id AS pos FROM r WHERE id < (SELECT max(id) FROM r)
       UNION ALL SELECT topic AS name, id + 100 AS id, CAST(1000 AS BIGINT) AS pos FROM r WHERE id = 1""",
-    "doc_tokens": f"""SELECT unnest(regexp_extract_all(lower(text), '{T.WORD_RE}')) AS token FROM documents""",
+    "doc_tokens": f"""SELECT unnest(regexp_extract_all(lower(text), {T.sql_lit(T.WORD_RE)})) AS token FROM documents""",
     "lexicon": """SELECT token, CAST(length(token) % 9 - 4 AS DOUBLE) AS valence
       FROM doc_tokens GROUP BY token HAVING count(*) >= 5""",
     "tags": """SELECT token, CASE WHEN length(token) % 3 = 0 THEN 'NNP' ELSE 'NN' END AS tag
