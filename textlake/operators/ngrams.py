@@ -75,23 +75,33 @@ def lm_score(df: DataFrame, key: str, col: str, model: DataFrame, n: int = 1) ->
     return j.groupBy(key).agg(F.sum(lp).alias("log_prob"))
 
 
+def _joiner(k: int):
+    return lambda s: F.concat(*[s[str(j)] for j in range(k)])
+
+
 def char_grams(text: Column, minn: int = 3, maxn: int = 7) -> Column:
-    """Character n-grams minn..maxn of a text (each start, each length)."""
-    L = F.length(text)
-    per_start = F.transform(
-        F.sequence(F.lit(0), F.greatest(L - minn, F.lit(0))),
-        lambda i: F.when(L - i >= minn, F.transform(
-            F.sequence(F.lit(minn), F.least(F.lit(maxn), L - i)),
-            lambda k: F.substring(text, i + 1, k))).otherwise(F.array().cast("array<string>")))
-    return F.when(L >= minn, F.flatten(per_start)).otherwise(F.array().cast("array<string>"))
+    """Character n-grams minn..maxn of a text (every start, every length).
+
+    The text is cut once into code points; grams of length k are a zip of k
+    shifted slices, so the work is linear in the text length (a positional
+    substring on a long UTF-8 string would rescan it for every gram)."""
+    chars = F.regexp_extract_all(text, F.lit("(?s)."), 0)
+    L = F.size(chars)
+    per_len = []
+    for k in range(minn, maxn + 1):
+        m = F.greatest(L - k + 1, F.lit(0))
+        z = F.arrays_zip(*[F.slice(chars, j + 1, m) for j in range(k)])
+        per_len.append(F.transform(z, _joiner(k)))
+    return F.concat(*per_len)
 
 
 def char_tfidf(df: DataFrame, key: str, col: str, minn: int = 3, maxn: int = 7) -> DataFrame:
     """TXT-04: long-form TF-IDF (key, gram, weight) of character n-grams of
     the lower-cased text with blank runs squeezed; smooth idf
     ln((1+N)/(1+df)) + 1 and L2 row norm."""
-    t = F.regexp_replace(F.lower(F.col(col)), CHAR_WS_RE, " ")
-    ex = df.select(key, F.explode(char_grams(t, minn, maxn)).alias("gram"))
+    # the prepared text is a column before the per-position lambdas read it
+    prep = df.select(key, F.regexp_replace(F.lower(F.col(col)), CHAR_WS_RE, " ").alias("_t"))
+    ex = prep.select(key, F.explode(char_grams(F.col("_t"), minn, maxn)).alias("gram"))
     tf = ex.groupBy(key, "gram").agg(F.count(F.lit(1)).alias("tf"))
     n_docs = df.select(F.count(F.lit(1))).scalar()
     dfreq = tf.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))

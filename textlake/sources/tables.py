@@ -134,6 +134,16 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
         i.alias("qid"), _wid(i).alias("a"), _wid(i + 1).alias("b"), _wid(c).alias("c"), _wid(i + 3).alias("d"))
 
 
+def lines_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a training line, its quality label (when labelled) in front."""
+    d = load(spark, sf_dir, "documents").select("doc_id", "text")
+    lab = load(spark, sf_dir, "labels").select("doc_id", "quality")
+    j = d.join(lab, "doc_id", "left")
+    lab_txt = F.when(F.col("quality").isNotNull(),
+                     F.concat(F.lit("__label__"), F.col("quality").cast("string"), F.lit(" "))).otherwise(F.lit(""))
+    return j.select("doc_id", F.concat(lab_txt, F.col("text")).alias("line"))
+
+
 def labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = load(spark, sf_dir, "documents").select("doc_id", "text")
     lab = load(spark, sf_dir, "labels")
@@ -207,6 +217,8 @@ FIXTURE_SQL = {
         vec_id AS qid, 'w' || CAST(vec_id AS VARCHAR) AS a, 'w' || CAST(vec_id + 1 AS VARCHAR) AS b,
         'w' || CAST(CASE WHEN vec_id % 10 = 9 THEN vec_id + 1000000 ELSE vec_id + 2 END AS VARCHAR) AS c,
         'w' || CAST(vec_id + 3 AS VARCHAR) AS d FROM embeddings""",
+    "lines_all": """SELECT d.doc_id, CASE WHEN l.quality IS NOT NULL THEN '__label__' || CAST(l.quality AS VARCHAR) || ' '
+        ELSE '' END || d.text AS line FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     "labeled": """SELECT d.doc_id, d.text, '__label__' || CAST(l.quality AS VARCHAR) AS label, l.quality, l.toxic
       FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
     "predictions": """SELECT doc_id, CAST(quality AS BIGINT) AS y, doc_id % 2 AS prediction,
