@@ -223,5 +223,6 @@ def parse_questions(lines: DataFrame, order: Sequence[str], col: str = "value")
     df = fill_forward(df, order, "_sec")
     f = F.split(F.trim(F.col(col)), " ", -1)
     q = df.filter(~is_sec & (F.size(f) == 4))
-    return q.select(F.col("_sec").alias("section"), *order,
+    keep = [c for c in lines.columns if c != col]
+    return q.select(F.col("_sec").alias("section"), *keep,
                     F.get(f, 0).alias("a"), F.get(f, 1).alias("b"), F.get(f, 2).alias("c"), F.get(f, 3).alias("d"))
