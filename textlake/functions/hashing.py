@@ -77,19 +77,18 @@ def word_ngram_buckets(hashes: Column, n: int, bucket: int, offset: Column | int
     if n <= 1:
         return F.array().cast("array<bigint>")
     size = F.size(hashes)
-    u = F.transform(hashes, lambda h: F.pmod(as_int32(h).cast("decimal(38,0)"), F.lit(TWO64).cast("decimal(38,0)")))
-
-    def grams_from(i):
-        # h_i, then fold in the next tokens one by one, emitting each prefix
-        top = F.least(size - 1, i + n - 1)
-        return F.when(top > i, F.transform(
-            F.sequence(i + 1, top),
-            lambda j: F.aggregate(F.slice(u, i + 2, j - i), F.get(u, i),
-                                  lambda h, x: F.pmod(h * NGRAM_MULT + x, F.lit(TWO64).cast("decimal(38,0)")))
-        )).otherwise(F.array().cast("array<decimal(38,0)>"))
-
-    allh = F.flatten(F.transform(F.sequence(F.lit(0), size - 1), grams_from))
-    allh = F.when(size > 0, allh).otherwise(F.array().cast("array<decimal(38,0)>"))
+    two64 = F.lit(str(TWO64)).cast("decimal(38,0)")
+    u = F.transform(hashes, lambda h: F.pmod(as_int32(h).cast("decimal(38,0)"), two64))
+
+    # level k holds the hashes of all k-grams: zip(level k-1, tokens shifted
+    # by k-1), so every level is one linear pass over the line
+    levels, prev = [], u
+    for k in range(2, n + 1):
+        m = F.greatest(size - k + 1, F.lit(0))
+        z = F.arrays_zip(F.slice(prev, 1, m), F.slice(u, k, m))
+        prev = F.transform(z, lambda s: F.pmod(s["0"] * NGRAM_MULT + s["1"], two64))
+        levels.append(prev)
+    allh = F.concat(*levels)
     return F.transform(allh, lambda h: (F.pmod(h, F.lit(bucket)).cast("bigint") + offset))
 
 
