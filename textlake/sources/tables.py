@@ -29,7 +29,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = load(spark, sf_dir, "events")
+    return posts_from_events(load(spark, sf_dir, "events"))
+
+
+def posts_from_events(ev: DataFrame) -> DataFrame:
+    """The posts fixture as a projection (works on batch and stream frames)."""
     eid, uid = F.col("event_id"), F.col("user_id")
     return ev.select(
         eid.alias("tweet_id"),
