@@ -43,12 +43,16 @@ def char_ngrams(word: Column, minn: int = 3, maxn: int = 6) -> Column:
 
 def utf8_bytes(s: Column) -> Column:
     """Array of the UTF-8 byte values (0..255) of a string."""
-    hx = F.hex(F.encode(s, "UTF-8"))
-    n = F.length(hx) / 2
-    return F.when(F.length(hx) > 0, F.transform(
-        F.sequence(F.lit(0), (n - 1).cast("int")),
-        lambda k: F.conv(F.substring(hx, k * 2 + 1, 2), 16, 10).cast("bigint"))
-    ).otherwise(F.array().cast("array<bigint>"))
+    from textlake.functions.text import let
+
+    def body(hx):
+        hx = hx[0]
+        n = F.length(hx) / 2
+        return F.when(F.length(hx) > 0, F.transform(
+            F.sequence(F.lit(0), (n - 1).cast("int")),
+            lambda k: F.conv(F.substring(hx, k * 2 + 1, 2), 16, 10).cast("bigint"))
+        ).otherwise(F.array().cast("array<bigint>"))
+    return let(F.array(F.hex(F.encode(s, "UTF-8"))), body)
 
 
 def fnv1a(s: Column) -> Column:
@@ -76,19 +80,21 @@ def word_ngram_buckets(hashes: Column, n: int, bucket: int, offset: Column | int
     """
     if n <= 1:
         return F.array().cast("array<bigint>")
-    size = F.size(hashes)
+    from textlake.functions.text import let
     two64 = F.lit(str(TWO64)).cast("decimal(38,0)")
-    u = F.transform(hashes, lambda h: F.pmod(as_int32(h).cast("decimal(38,0)"), two64))
-
-    # level k holds the hashes of all k-grams: zip(level k-1, tokens shifted
-    # by k-1), so every level is one linear pass over the line
-    levels, prev = [], u
-    for k in range(2, n + 1):
-        m = F.greatest(size - k + 1, F.lit(0))
-        z = F.arrays_zip(F.slice(prev, 1, m), F.slice(u, k, m))
-        prev = F.transform(z, lambda s: F.pmod(s["0"] * NGRAM_MULT + s["1"], two64))
-        levels.append(prev)
-    allh = F.concat(*levels)
+
+    def body(u):
+        size = F.size(u)
+        # level k holds the hashes of all k-grams: zip(level k-1, tokens
+        # shifted by k-1), so every level is one linear pass over the line
+        levels, prev = [], u
+        for k in range(2, n + 1):
+            m = F.greatest(size - k + 1, F.lit(0))
+            z = F.arrays_zip(F.slice(prev, 1, m), F.slice(u, k, m))
+            prev = F.transform(z, lambda s: F.pmod(s["0"] * NGRAM_MULT + s["1"], two64))
+            levels.append(prev)
+        return F.concat(*levels)
+    allh = let(F.transform(hashes, lambda h: F.pmod(as_int32(h).cast("decimal(38,0)"), two64)), body)
     return F.transform(allh, lambda h: (F.pmod(h, F.lit(bucket)).cast("bigint") + offset))
 
 

@@ -50,6 +50,16 @@ CAP_HEAD_RE = r"^[A-Z]"
 KEEP_TOKEN_RE = r"^." + W + r"+$"          # process_text keep rule
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` as a lambda variable.
+
+    Helpers below read their input array several times (sizes, shifted
+    slices); given an expression instead of a column, Spark would evaluate
+    it again for each read.  Binding it through a one-element ``transform``
+    makes every read a variable look-up."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def sql_lit(s: str) -> str:
     """A SQL string literal (quotes doubled) for the oracle side."""
     return "'" + s.replace("'", "''") + "'"
@@ -103,16 +113,17 @@ def glue_capitals(col: Column) -> Column:
     Pieces are paired with their successor by ``zip_with`` (the split is
     evaluated once per row, not once per piece).
     """
-    parts = F.split(col, " ", -1)
-    nxt = F.concat(F.slice(parts, 2, F.size(parts) - 1), F.array(F.lit(None).cast("string")))
-    return F.array_join(
-        F.zip_with(parts, nxt, lambda p, q: F.concat(
-            p,
-            F.when(q.isNull(), F.lit(""))
-            .when(p.rlike(CAP_TAIL_RE) & q.rlike(CAP_HEAD_RE), F.lit("-"))
-            .otherwise(F.lit(" ")))),
-        "",
-    )
+    def body(parts):
+        nxt = F.concat(F.slice(parts, 2, F.size(parts) - 1), F.array(F.lit(None).cast("string")))
+        return F.array_join(
+            F.zip_with(parts, nxt, lambda p, q: F.concat(
+                p,
+                F.when(q.isNull(), F.lit(""))
+                .when(p.rlike(CAP_TAIL_RE) & q.rlike(CAP_HEAD_RE), F.lit("-"))
+                .otherwise(F.lit(" ")))),
+            "",
+        )
+    return let(F.split(col, " ", -1), body)
 
 
 def clean_sentence(col: Column) -> Column:
@@ -135,9 +146,12 @@ def ngrams(arr: Column, n: int, sep: str = " ") -> Column:
     per element)."""
     if n == 1:
         return arr
-    m = F.greatest(F.size(arr) - n + 1, F.lit(0))
-    z = F.arrays_zip(*[F.slice(arr, k + 1, m) for k in range(n)])
-    return F.transform(z, lambda s: F.concat_ws(sep, *[s[str(k)] for k in range(n)]))
+
+    def body(a):
+        m = F.greatest(F.size(a) - n + 1, F.lit(0))
+        z = F.arrays_zip(*[F.slice(a, k + 1, m) for k in range(n)])
+        return F.transform(z, lambda s: F.concat_ws(sep, *[s[str(k)] for k in range(n)]))
+    return let(arr, body)
 
 
 def get_tokens(col: Column, n: int = 1) -> Column:

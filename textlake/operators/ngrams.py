@@ -85,14 +85,15 @@ def char_grams(text: Column, minn: int = 3, maxn: int = 7) -> Column:
     The text is cut once into code points; grams of length k are a zip of k
     shifted slices, so the work is linear in the text length (a positional
     substring on a long UTF-8 string would rescan it for every gram)."""
-    chars = F.regexp_extract_all(text, F.lit("(?s)."), 0)
-    L = F.size(chars)
-    per_len = []
-    for k in range(minn, maxn + 1):
-        m = F.greatest(L - k + 1, F.lit(0))
-        z = F.arrays_zip(*[F.slice(chars, j + 1, m) for j in range(k)])
-        per_len.append(F.transform(z, _joiner(k)))
-    return F.concat(*per_len)
+    def body(chars):
+        L = F.size(chars)
+        per_len = []
+        for k in range(minn, maxn + 1):
+            m = F.greatest(L - k + 1, F.lit(0))
+            z = F.arrays_zip(*[F.slice(chars, j + 1, m) for j in range(k)])
+            per_len.append(F.transform(z, _joiner(k)))
+        return F.concat(*per_len)
+    return T.let(F.regexp_extract_all(text, F.lit("(?s)."), 0), body)
 
 
 def char_tfidf(df: DataFrame, key: str, col: str, minn: int = 3, maxn: int = 7) -> DataFrame:

@@ -19,9 +19,27 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations"]
 
 
+TEXT_TABLES = {"documents", "pages", "conversations"}
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one table; Catalyst prunes columns and pushes filters to the scan."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Read one table; Catalyst prunes columns and pushes filters to the scan.
+
+    Text tables feed CPU-heavy per-row work (regexes, n-grams); when one
+    arrives in fewer splits than the cluster has cores (a small file with
+    one row group) it is spread round-robin first.  A large input is already
+    read in many splits and is left alone (no extra shuffle at scale)."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if name in TEXT_TABLES:
+        df = spread(df)
+    return df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 # ---------------------------------------------------------------------------
