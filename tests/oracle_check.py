@@ -12,7 +12,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import duckdb  # noqa: E402
+import duckdb  # noqa: E402,F401
 import pandas as pd  # noqa: E402
 
 from textlake.sources.tables import TABLES  # noqa: E402

@@ -78,11 +78,11 @@ def line_features(df: DataFrame, key: str, tokens: str, vocab: DataFrame, args:
     unknown words give their sub-words) followed by word n-gram buckets,
     and the label ids.  Order is kept with positions."""
     ex = df.select(key, F.posexplode(F.slice(F.col(tokens), 1, args.max_line)).alias("pos", "word"))
-    j = ex.join(vocab.select("word", "id", "type"), "word", "left")
+    j = ex.join(vocab.select("word", F.col("id").alias("_vid")), "word", "left")
     is_label = F.col("word").startswith(args.label)
     words = j.filter(~is_label)
-    sub = H.subword_ids(F.col("word"), F.col("id"), nwords, max(args.bucket, 1), args.minn, args.maxn) \
-        if args.maxn > 0 else F.when(F.col("id").isNotNull(), F.array(F.col("id").cast("bigint"))).otherwise(
+    sub = H.subword_ids(F.col("word"), F.col("_vid"), nwords, max(args.bucket, 1), args.minn, args.maxn) \
+        if args.maxn > 0 else F.when(F.col("_vid").isNotNull(), F.array(F.col("_vid").cast("bigint"))).otherwise(
             F.array().cast("array<bigint>"))
     w = words.select(key, "pos", sub.alias("ids"), H.as_int32(H.fnv1a(F.col("word"))).alias("h"))
     g = w.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "ids", "h"))).alias("_s"))
@@ -90,8 +90,8 @@ def line_features(df: DataFrame, key: str, tokens: str, vocab: DataFrame, args:
     if args.word_ngrams > 1 and args.bucket > 0:
         feats = F.concat(feats, H.word_ngram_buckets(F.transform("_s", lambda s: s["h"]), args.word_ngrams,
                                                      args.bucket, nwords))
-    lab = j.filter(is_label & F.col("id").isNotNull()).groupBy(key).agg(
-        F.collect_set((F.col("id") - nwords).cast("bigint")).alias("labels"))
+    lab = j.filter(is_label & F.col("_vid").isNotNull()).groupBy(key).agg(
+        F.collect_set((F.col("_vid") - nwords).cast("bigint")).alias("labels"))
     return g.select(key, feats.alias("features")).join(lab, key, "left").select(
         key, "features", F.coalesce("labels", F.array().cast("array<bigint>")).alias("labels"))
 
@@ -99,9 +99,9 @@ def line_features(df: DataFrame, key: str, tokens: str, vocab: DataFrame, args:
 def _word_lines(df: DataFrame, key: str, tokens: str, vocab: DataFrame, args: Args) -> DataFrame:
     """Unsupervised lines: ids of known words (labels out), in order, cut at max_line."""
     ex = df.select(key, F.posexplode(F.slice(F.col(tokens), 1, args.max_line)).alias("pos", "word"))
-    j = ex.join(vocab.filter(F.col("type") == "word").select("word", "id"), "word")
-    g = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_s"))
-    return g.select(key, F.transform("_s", lambda s: s["id"]).alias("words"))
+    j = ex.join(vocab.filter(F.col("type") == "word").select("word", F.col("id").alias("_vid")), "word")
+    g = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "_vid"))).alias("_s"))
+    return g.select(key, F.transform("_s", lambda s: s["_vid"]).alias("words"))
 
 
 # ---------------------------------------------------------------------------
