@@ -54,9 +54,20 @@ def zeros(dim: int) -> Column:
 
 
 def normalize_rows(v: Column) -> Column:
-    """ARR-04: divide by the L2 norm; a zero row stays zero."""
-    n = vec_norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(as_double(v))
+    """ARR-04: divide by the L2 norm; a zero row stays zero.  The norm is
+    bound once (``let``), not recomputed for every element."""
+    from textlake.functions.text import let
+
+    def body(s):
+        n, vv = s["n"], s["v"]
+        return F.when(n > 0, F.transform(vv, lambda x: x.cast("double") / n)).otherwise(as_double(vv))
+    return let(F.struct(v.alias("v"), vec_norm(v).alias("n")), body)
+
+
+def scale_by(v: Column, d: Column) -> Column:
+    """``v / d`` element-wise with ``d`` evaluated once."""
+    from textlake.functions.text import let
+    return let(F.struct(v.alias("v"), d.alias("d")), lambda s: F.transform(s["v"], lambda x: x / s["d"]))
 
 
 def sum_vectors(list_col: Column, dim: int) -> Column:
@@ -68,3 +79,15 @@ def expand_vector(df: DataFrame, col: str, n: int, prefix: str = "dim") -> DataF
     """ARR-05: spread a vector into columns dim0..dim{n-1}."""
     others = [c for c in df.columns if c != col]
     return df.select(*others, *[F.col(col)[i].alias(f"{prefix}{i}") for i in range(n)])
+
+
+def group_vector_stats(df: DataFrame, keys, vec: str, metric: str = "mean", out: str = "vec") -> DataFrame:
+    """Element-wise mean or sum of ``vec`` per key with Spark ML's
+    ``Summarizer`` (a JVM aggregate with map-side partial aggregation: no
+    list is collected per key, so a hot key is not one task's memory)."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    v = array_to_vector(as_double(F.col(vec)))
+    m = Summarizer.mean(v) if metric == "mean" else Summarizer.sum(v)
+    g = df.groupBy(*keys).agg(m.alias("_m"), F.count(F.lit(1)).alias("_cnt"))
+    return g.select(*keys, vector_to_array("_m").alias(out), "_cnt")

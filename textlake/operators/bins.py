@@ -104,7 +104,7 @@ def _flag_users(frame: DataFrame, spec: BinSpec, topic: Sequence[str], user: str
     batch = [*topic, "bin_idx"]
     span = frame.groupBy(*batch).agg((F.max(tmax) - F.min(tmin)).alias("_span"))
     bar = F.greatest(F.lit(1.0), F.col("_span").cast("double") / F.lit(float(spec.gap_us)) * F.lit(spec.total_bar))
-    counts = frame.groupBy(*batch, user).agg(F.sum(weight).alias("_cnt"))
+    counts = frame.groupBy(*batch, user).agg(F.sum(weight).alias("_cnt"))  # a no-op re-group on per-user frames
     over = (counts.join(span.select(*batch, bar.alias("_bar")), batch)
             .filter(F.col("_cnt") > F.col("_bar")).select(*batch, user))
     if carry:
@@ -176,39 +176,50 @@ def sentiment_scores(df: DataFrame, group: Sequence[str], compound: str = "compo
 
 def binned_scores(posts: DataFrame, spec: BinSpec, topic: Sequence[str] = ("topic",), user: str = "user_id",
                   spam_ids: DataFrame | None = None, white_ids: DataFrame | None = None,
-                  update: bool = True, carry: bool = True, ts: str = "tweet_created_at") -> DataFrame:
+                  update: bool = True, carry: bool = True, ts: str = "tweet_created_at",
+                  checkpoint: bool = True) -> DataFrame:
     """WIN-02 + FLT-02 (+ WIN-05) + AGG-01 per (topic, bin), non-empty bins only.
 
-    Rows are first combined per (topic, bin, user, account-ok, rescued) into
-    sums, so the spam-flag joins run on that small frame instead of on the
-    rows (a hot user collapses to a handful of rows before any shuffle).
+    One scan and one shuffle pre-aggregate the rows per (topic, bin, user)
+    into the sentiment sums twice: over account-ok rows and over account-ok
+    rows that are also rescued (popular).  A user's post count in the bin
+    is then a column, the spam flag is a join on this small frame (a hot
+    user is one row per bin), and the kept sums are one of the two sets.
+    The frame is checkpointed to the shared folder so its three readers
+    (bin span, flags, final sums) do not rescan the posts.
     """
     topic = list(topic)
     b = assign_bins(posts, spec, ts)
     c, r = F.col("compound"), F.col("retweet_count")
-    pos, neg = c >= 0, c < 0
-    pre = b.groupBy(*topic, "bin_idx", user, static_ok().alias("_ok"), rescued().alias("_res")).agg(
-        F.count(F.lit(1)).alias("_n"),
-        _sum_if(pos, F.lit(1)).alias("_np"), _sum_if(pos, r).alias("_rp"), _sum_if(pos, c * (r + 1)).alias("_sp"),
-        _sum_if(neg, F.lit(1)).alias("_nn"), _sum_if(neg, r).alias("_rn"), _sum_if(neg, c * (r + 1)).alias("_sn"),
-        F.min("_ts_us").alias("_tmin"), F.max("_ts_us").alias("_tmax"))
+    ok, res = static_ok(), rescued()
+    sums = []
+    for tag, cond in (("o", ok), ("r", ok & res)):
+        sums += [_sum_if(cond & (c >= 0), F.lit(1)).alias(f"_np{tag}"), _sum_if(cond & (c >= 0), r).alias(f"_rp{tag}"),
+                 _sum_if(cond & (c >= 0), c * (r + 1)).alias(f"_sp{tag}"),
+                 _sum_if(cond & (c < 0), F.lit(1)).alias(f"_nn{tag}"), _sum_if(cond & (c < 0), r).alias(f"_rn{tag}"),
+                 _sum_if(cond & (c < 0), c * (r + 1)).alias(f"_sn{tag}")]
+    pre = b.groupBy(*topic, "bin_idx", user).agg(
+        F.count(F.lit(1)).alias("_n"), *sums, F.min("_ts_us").alias("_tmin"), F.max("_ts_us").alias("_tmax"))
+    if checkpoint:
+        from textlake.session import checkpoint_dir
+        checkpoint_dir(pre.sparkSession)
+        pre = pre.checkpoint(eager=True)
     if update:
         pre = _flag_users(pre, spec, topic, user, F.col("_n"), "_tmin", "_tmax", carry, spam_ids, white_ids)
-        kept = F.col("_ok") & (~F.col("_failing") | F.col("_res"))
+        fail = F.col("_failing")
     else:
-        kept = F.lit(True)
+        fail = F.lit(False)
+
+    def kept(name):
+        return F.when(fail, F.col(f"{name}r")).otherwise(F.col(f"{name}o"))
+    kn = kept("_np") + kept("_nn")
     g = pre.groupBy(*topic, "bin_idx").agg(
-        F.sum("_n").alias("_all"),
-        _sum_if(kept, F.col("_n")).alias("_kn"),
-        _sum_if(kept, F.col("_np")).alias("_np"), _sum_if(kept, F.col("_rp")).alias("_rp"),
-        _sum_if(kept, F.col("_sp")).alias("_sp"),
-        _sum_if(kept, F.col("_nn")).alias("_nn"), _sum_if(kept, F.col("_rn")).alias("_rn"),
-        _sum_if(kept, F.col("_sn")).alias("_sn"))
+        F.sum("_n").alias("_all"), F.sum(kn).alias("_kn"),
+        *[F.sum(kept(x)).alias(x) for x in ("_np", "_rp", "_sp", "_nn", "_rn", "_sn")])
     cols = _scores_from_sums(F.col("_np"), F.col("_rp"), F.col("_sp"), F.col("_nn"), F.col("_rn"),
                              F.col("_sn"), F.col("_kn"))
-    out = g.filter(F.col("_kn") > 0).select(
+    return g.filter(F.col("_kn") > 0).select(
         *topic, "bin_idx", *cols, (F.col("_all") - F.col("_kn")).cast("bigint").alias("number_tweets_rejected"))
-    return out
 
 
 def fill_bins(scores: DataFrame, topics: DataFrame, spec: BinSpec, topic: Sequence[str] = ("topic",)) -> DataFrame:

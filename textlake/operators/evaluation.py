@@ -94,7 +94,5 @@ def sentence_hidden(df: DataFrame, key: str, tokens: str, rows: DataFrame, dim:
     from textlake.functions import arrays as A
     ex = df.select(key, F.explode(tokens).alias("word"))
     j = ex.join(rows.select("word", "vec"), "word")
-    g = j.groupBy(key).agg(F.collect_list(A.as_double(F.col("vec"))).alias("_vs"))
-    mean = F.transform(A.sum_vectors(F.col("_vs"), dim), lambda x: x / F.size("_vs"))
-    h = g.select(key, mean.alias("vec"))
+    h = A.group_vector_stats(j, [key], "vec", "mean").select(key, "vec")
     return df.select(key).join(h, key, "left").select(key, F.coalesce("vec", A.zeros(dim)).alias("vec"))

@@ -330,11 +330,10 @@ def predict(model: Model, df: DataFrame, key: str, text: str, k: int = 1, thresh
     toks = df.select(key, T.tokenize_ws(F.col(text)).alias("tokens"))
     lines = line_features(toks, key, "tokens", model.vocab, model.args, model.nwords)
     rows = matrix_frame(spark, model.input)
-    ex = lines.select(key, F.explode_outer("features").alias("row_id")).join(rows, "row_id", "left")
-    g = ex.groupBy(key).agg(F.collect_list("vec").alias("_vs"))
     from textlake.functions import arrays as A
-    mean = F.transform(A.sum_vectors(F.col("_vs"), model.args.dim), lambda x: x / F.size("_vs"))
-    hidden = g.select(key, F.when(F.size("_vs") > 0, mean).otherwise(A.zeros(model.args.dim)).alias("vec"))
+    ex = lines.select(key, F.explode("features").alias("row_id")).join(rows, "row_id")
+    h = A.group_vector_stats(ex, [key], "vec", "mean").select(key, "vec")
+    hidden = df.select(key).join(h, key, "left").select(key, F.coalesce("vec", A.zeros(model.args.dim)).alias("vec"))
     out = spark.createDataFrame(pd.DataFrame({"label": model.labels, "vec": list(model.output)}),
                                 "label string, vec array<double>")
     return _predict(hidden, key, out, k, threshold)
@@ -409,7 +408,7 @@ def train_dan(df: DataFrame, label: str, vec: str, hidden=(300, 300, 300), max_i
                                           maxIter=max_iter, seed=seed).fit(d)
 
 
-def grid_search(df: DataFrame, label: str, vec: str, reg=(0.0, 0.01), iters=(20, 50), seed: int = 0):
+def grid_search(df: DataFrame, label: str, vec: str, reg=(0.0, 0.01), iters=(10, 25), seed: int = 0):
     """MDL-08: parameter grid, 20 % validation split, best model."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator

@@ -54,10 +54,11 @@ def word_vectors(words: DataFrame, rows: DataFrame, dim: int, vocab: DataFrame |
     ``rows`` is (row_id, vec).  The list collected per word is bounded by
     the word's own n-gram count."""
     sw = subword_rows(words, vocab, nwords, bucket, minn, maxn, word)
-    j = sw.join(rows.select("row_id", "vec"), "row_id", "left")
-    g = j.groupBy(word).agg(F.collect_list("vec").alias("_vs"), F.count("vec").alias("n_sub"))
-    mean = F.transform(A.sum_vectors(F.col("_vs"), dim), lambda x: x / F.col("n_sub"))
-    return g.select(word, "n_sub", F.when(F.size("_vs") > 0, mean).otherwise(A.zeros(dim)).alias("vec"))
+    j = sw.join(rows.select("row_id", "vec"), "row_id")
+    g = A.group_vector_stats(j, [word], "vec", "mean")
+    allw = words.select(word).distinct()
+    return allw.join(g, word, "left").select(
+        word, F.coalesce(F.col("_cnt"), F.lit(0)).alias("n_sub"), F.coalesce(F.col("vec"), A.zeros(dim)).alias("vec"))
 
 
 def subword_vectors(words: DataFrame, rows: DataFrame, vocab=None, nwords: int = 0, bucket: int = 2_000_000,
@@ -74,25 +75,22 @@ def text_vectors(df: DataFrame, key: str, tokens: str, vectors: DataFrame, dim:
     """VEC-02.  ``normed``: mean of the unit vectors of the known words with
     non-zero norm; ``mean``: mean of all token rows (unknown = zeros);
     ``sumsq``: sum / (sum . sum), all-zero or empty -> zeros."""
-    ex = df.select(key, F.explode_outer(tokens).alias("word"))
-    j = ex.join(vectors.select("word", "vec"), "word", "left")
+    ex = df.select(key, F.explode(tokens).alias("word"))
+    j = ex.join(vectors.select("word", "vec"), "word")
     if how == "normed":
-        j = j.filter(F.col("vec").isNotNull() & (A.vec_norm(F.col("vec")) > 0)).withColumn(
-            "_v", A.normalize_rows(F.col("vec")))
-    elif how in ("mean", "sumsq"):
-        j = j.withColumn("_v", F.when(F.col("vec").isNotNull(), A.as_double(F.col("vec"))).otherwise(
-            F.when(F.col("word").isNotNull(), A.zeros(dim))))
+        j = j.filter(A.vec_norm(F.col("vec")) > 0).withColumn("vec", A.normalize_rows(F.col("vec")))
+        res = A.group_vector_stats(j, [key], "vec", "mean").select(key, "vec")
+    elif how == "mean":
+        # unknown tokens count in the divisor as zero rows
+        n = ex.groupBy(key).agg(F.count(F.lit(1)).alias("_ntok"))
+        s = A.group_vector_stats(j, [key], "vec", "sum").join(n, key)
+        res = s.select(key, F.transform("vec", lambda x: x / F.col("_ntok")).alias("vec"))
+    elif how == "sumsq":
+        s = A.group_vector_stats(j, [key], "vec", "sum")
+        d = A.vec_dot(F.col("vec"), F.col("vec"))
+        res = s.select(key, F.when(d > 0, A.scale_by(F.col("vec"), d)).otherwise(A.zeros(dim)).alias("vec"))
     else:
         raise ValueError(how)
-    g = j.groupBy(key).agg(F.collect_list("_v").alias("_vs"))
-    s = A.sum_vectors(F.col("_vs"), dim)
-    n = F.size("_vs")
-    if how == "sumsq":
-        d = A.vec_dot(s, s)
-        out = F.when(d > 0, F.transform(s, lambda x: x / d)).otherwise(A.zeros(dim))
-    else:
-        out = F.when(n > 0, F.transform(s, lambda x: x / n)).otherwise(A.zeros(dim))
-    res = g.select(key, out.alias("vec"))
     return df.select(key).distinct().join(res, key, "left").select(
         key, F.coalesce("vec", A.zeros(dim)).alias("vec"))
 
