@@ -102,9 +102,12 @@ def _flag_users(frame: DataFrame, spec: BinSpec, topic: Sequence[str], user: str
     (topic, bin, user, ...) with a row count as weight.
     """
     batch = [*topic, "bin_idx"]
-    span = frame.groupBy(*batch).agg((F.max(tmax) - F.min(tmin)).alias("_span"))
+    # one aggregate of the frame gives the user counts; the bin span is
+    # derived from it (no second pass over the rows)
+    counts = frame.groupBy(*batch, user).agg(F.sum(weight).alias("_cnt"), F.min(tmin).alias("_lo"),
+                                             F.max(tmax).alias("_hi"))
+    span = counts.groupBy(*batch).agg((F.max("_hi") - F.min("_lo")).alias("_span"))
     bar = F.greatest(F.lit(1.0), F.col("_span").cast("double") / F.lit(float(spec.gap_us)) * F.lit(spec.total_bar))
-    counts = frame.groupBy(*batch, user).agg(F.sum(weight).alias("_cnt"))  # a no-op re-group on per-user frames
     over = (counts.join(span.select(*batch, bar.alias("_bar")), batch)
             .filter(F.col("_cnt") > F.col("_bar")).select(*batch, user))
     if carry:
