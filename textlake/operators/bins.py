@@ -188,8 +188,9 @@ def binned_scores(posts: DataFrame, spec: BinSpec, topic: Sequence[str] = ("topi
     rows that are also rescued (popular).  A user's post count in the bin
     is then a column, the spam flag is a join on this small frame (a hot
     user is one row per bin), and the kept sums are one of the two sets.
-    The frame is checkpointed to the shared folder so its three readers
-    (bin span, flags, final sums) do not rescan the posts.
+    The frame is persisted (memory, spilling to disk) so its three readers
+    (bin span, flags, final sums) share one scan of the posts; its lineage
+    is one aggregate, so a lost partition is recomputed cheaply.
     """
     topic = list(topic)
     b = assign_bins(posts, spec, ts)
@@ -204,9 +205,8 @@ def binned_scores(posts: DataFrame, spec: BinSpec, topic: Sequence[str] = ("topi
     pre = b.groupBy(*topic, "bin_idx", user).agg(
         F.count(F.lit(1)).alias("_n"), *sums, F.min("_ts_us").alias("_tmin"), F.max("_ts_us").alias("_tmax"))
     if checkpoint:
-        from textlake.session import checkpoint_dir
-        checkpoint_dir(pre.sparkSession)
-        pre = pre.checkpoint(eager=True)
+        from pyspark import StorageLevel
+        pre = pre.persist(StorageLevel.MEMORY_AND_DISK)
     if update:
         pre = _flag_users(pre, spec, topic, user, F.col("_n"), "_tmin", "_tmax", carry, spam_ids, white_ids)
         fail = F.col("_failing")
