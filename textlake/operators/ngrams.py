@@ -106,10 +106,15 @@ def char_tfidf(df: DataFrame, key: str, col: str, minn: int = 3, maxn: int = 7)
     tf = ex.groupBy(key, "gram").agg(F.count(F.lit(1)).alias("tf"))
     n_docs = df.select(F.count(F.lit(1))).scalar()
     dfreq = tf.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    # df per gram: aggregate + join (a gram found in every document is a hot
+    # key; AQE splits that join partition)
     w = tf.join(dfreq, "gram").withColumn(
         "w", F.col("tf") * (F.ln((F.lit(1) + n_docs) / (F.lit(1) + F.col("df"))) + 1))
-    norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-    return w.join(norm, key).select(key, "gram", (F.col("w") / F.col("_norm")).alias("weight"))
+    # row norm: a window per document (bounded by the document's own grams),
+    # one shuffle instead of an aggregate plus a join
+    from pyspark.sql import Window
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return w.select(key, "gram", (F.col("w") / norm).alias("weight"))
 
 
 def top_grams(tfidf: DataFrame) -> DataFrame:
