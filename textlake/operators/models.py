@@ -78,13 +78,15 @@ def line_features(df: DataFrame, key: str, tokens: str, vocab: DataFrame, args:
     unknown words give their sub-words) followed by word n-gram buckets,
     and the label ids.  Order is kept with positions."""
     ex = df.select(key, F.posexplode(F.slice(F.col(tokens), 1, args.max_line)).alias("pos", "word"))
-    j = ex.join(vocab.select("word", F.col("id").alias("_vid")), "word", "left")
     is_label = F.col("word").startswith(args.label)
-    words = j.filter(~is_label)
+    # sub-word ids and hashes once per distinct word, not per occurrence
+    dw = ex.select("word").distinct().join(vocab.select("word", F.col("id").alias("_vid")), "word", "left")
     sub = H.subword_ids(F.col("word"), F.col("_vid"), nwords, max(args.bucket, 1), args.minn, args.maxn) \
         if args.maxn > 0 else F.when(F.col("_vid").isNotNull(), F.array(F.col("_vid").cast("bigint"))).otherwise(
             F.array().cast("array<bigint>"))
-    w = words.select(key, "pos", sub.alias("ids"), H.as_int32(H.fnv1a(F.col("word"))).alias("h"))
+    feat = dw.select("word", "_vid", sub.alias("ids"), H.as_int32(H.fnv1a(F.col("word"))).alias("h"))
+    j = ex.join(feat, "word")
+    w = j.filter(~is_label).select(key, "pos", "ids", "h")
     g = w.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "ids", "h"))).alias("_s"))
     feats = F.flatten(F.transform("_s", lambda s: s["ids"]))
     if args.word_ngrams > 1 and args.bucket > 0:
