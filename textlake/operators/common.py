@@ -42,8 +42,10 @@ def dense_index(df: DataFrame, order: Sequence, group: Sequence[str] = (), name:
     cnt = s.groupBy("_p", *g).agg(F.count(F.lit(1)).alias("_c"), F.min("_r").alias("_r0"))
     w = Window.partitionBy(*g).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     off = cnt.withColumn("_off", F.coalesce(F.sum("_c").over(w), F.lit(0)))
-    # bounded by #partitions x #groups-per-partition: safe to broadcast
-    out = s.join(F.broadcast(off.select("_p", *g, "_off", "_r0")), ["_p", *g])
+    # #partitions rows without groups (then always broadcast by AQE); with
+    # many groups it can grow, so the join side is left to AQE's size check
+    off_t = off.select("_p", *g, "_off", "_r0")
+    out = s.join(F.broadcast(off_t) if not g else off_t, ["_p", *g])
     idx = (F.col("_off") + F.col("_r") - F.col("_r0") + start).cast("bigint")
     return out.withColumn(name, idx).drop("_p", "_r", "_off", "_r0")
 

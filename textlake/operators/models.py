@@ -209,8 +209,13 @@ def _round_fn(args: Args, bA, bB, lr0, lr1, rnd, sub, neg_table, keep, kind):
     return run
 
 
+MAX_MODEL_BYTES = 4 << 30   # broadcast bound for the model matrices (checked)
+
+
 def _mix(spark, lines: DataFrame, args: Args, A, B, kind, sub=None, neg_table=None, keep=None) -> tuple:
     """Rounds of parameter mixing; returns the final (A, B)."""
+    if A.nbytes + B.nbytes > MAX_MODEL_BYTES:
+        raise ValueError("model over the broadcast bound: raise min_count or lower bucket / dim")
     nparts = lines.rdd.getNumPartitions()
     for e in range(args.epoch):
         lr0 = args.lr * (1 - e / args.epoch)

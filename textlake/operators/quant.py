@@ -30,13 +30,18 @@ def n_parts(dim: int, dsub: int) -> int:
     return -(-dim // dsub)
 
 
+def _check_codebook(codebook: DataFrame) -> None:
+    """A codebook holds at most 256 centroids per part: the bound that makes
+    broadcasting it safe whatever the data size."""
+    n, nsub = codebook.agg(F.count(F.lit(1)), F.countDistinct("sub")).first()
+    if n > KSUB * max(nsub, 1):
+        raise ValueError("codebook larger than 256 centroids per part")
+
+
 def _codebook_arrays(codebook: DataFrame):
     """Codebook table (sub, code, centroid) -> {sub: (codes, matrix)}; its size
     is checked against the per-part bound before it leaves the cluster."""
-    n = codebook.count()
-    nsub = codebook.select(F.countDistinct("sub")).first()[0]
-    if n > KSUB * max(nsub, 1):
-        raise ValueError("codebook larger than 256 centroids per part")
+    _check_codebook(codebook)
     out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for r in codebook.orderBy("sub", "code").collect():
         out.setdefault(r["sub"], ([], []))
@@ -73,6 +78,7 @@ def pq_encode(df: DataFrame, codebook, dsub: int, key: str = "row_id", vec: str
 def pq_decode(codes: DataFrame, codebook: DataFrame, key: str = "row_id") -> DataFrame:
     """QNT-03: the centroids of a row's codes, concatenated in part order.
     The codebook side is bounded (<= 256 x parts rows) and broadcast."""
+    _check_codebook(codebook)
     ex = codes.select(key, F.posexplode("codes").alias("sub", "code"))
     j = ex.join(F.broadcast(codebook.select("sub", "code", "centroid")), ["sub", "code"])
     g = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("sub", "centroid"))).alias("_p"))
