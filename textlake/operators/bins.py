@@ -66,9 +66,14 @@ def assign_bins(df: DataFrame, spec: BinSpec, ts: str = "tweet_created_at") -> D
 
     The range filter is on the raw column, so it is pushed into the scan.
     """
+    import datetime as _dt
     lo_us = spec.edge_us - spec.n_bins * spec.width_us
+    epoch = _dt.datetime(1970, 1, 1)
+    hi_t = F.lit(epoch + _dt.timedelta(microseconds=spec.edge_us)).cast("timestamp_ntz")
+    lo_t = F.lit(epoch + _dt.timedelta(microseconds=lo_us)).cast("timestamp_ntz")
     t = to_micros(F.col(ts))
-    out = df.filter((t <= F.lit(spec.edge_us)) & (t > F.lit(lo_us)))
+    # raw-column comparisons with constant bounds: pushed to the Parquet scan
+    out = df.filter((F.col(ts) <= hi_t) & (F.col(ts) > lo_t))
     return out.withColumn("bin_idx", ((F.lit(spec.edge_us) - t) / F.lit(spec.width_us)).cast("bigint")) \
               .withColumn("_ts_us", t)
 
