@@ -62,8 +62,10 @@ def text_or_drop(df: DataFrame, col: str, how: str = "drop") -> DataFrame:
 def time_cut(df: DataFrame, ts: str, low=None, high=None) -> DataFrame:
     """FLT-04: both ends inclusive; a missing end is the data's own min/max
     (a lazy scalar subquery, so the cut is one plan)."""
-    lo = F.lit(low) if low is not None else df.select(F.min(ts)).scalar()
-    hi = F.lit(high) if high is not None else df.select(F.max(ts)).scalar()
+    typ = df.schema[ts].dataType.simpleString()
+    # constants typed like the column, so the cut reaches the Parquet scan
+    lo = F.lit(low).cast(typ) if low is not None else df.select(F.min(ts)).scalar()
+    hi = F.lit(high).cast(typ) if high is not None else df.select(F.max(ts)).scalar()
     return df.filter(F.col(ts).between(lo, hi))
 
 

@@ -53,7 +53,8 @@ def trend_matrix(posts: DataFrame, dim: DataFrame, mode: str = "GT", n_pieces: i
     out = base
     if "T" in mode:
         # one batch per topic covering [low, up]: a single bin as wide as the window
-        window = posts.filter(F.col("tweet_created_at").between(F.lit(low), F.lit(up)))
+        typ = posts.schema["tweet_created_at"].dataType.simpleString()
+        window = posts.filter(F.col("tweet_created_at").between(F.lit(low).cast(typ), F.lit(up).cast(typ)))
         spec = B.BinSpec(edge_us=0, width_us=1, n_bins=1, gap_us=_gap_us(up, low))
         one = window.withColumn("bin_idx", F.lit(0).cast("bigint")).withColumn(
             "_ts_us", F.unix_micros(F.col("tweet_created_at").cast("timestamp")))
