@@ -22,10 +22,12 @@ BASE_CONF = {
     # join whose side is not bounded by construction.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     # Partition sizing: scans split at 128 MB; shuffles start wide and AQE
-    # coalesces them towards 128 MB, so one setting serves sf0.1 and 100 TB
-    # (a cluster sets spark.sql.shuffle.partitions to a few x its cores).
+    # coalesces small ones (a cluster sets spark.sql.shuffle.partitions to a
+    # few x its cores).
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
+    # Window partitions here are bounded by one document / one topic's bins;
+    # keep them in memory instead of spilling past 4096 rows.
+    "spark.sql.windowExec.buffer.in.memory.threshold": str(1 << 20),
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     # Malformed CSV rows must not survive pruned reads (SRC-01).
