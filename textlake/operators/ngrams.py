@@ -26,6 +26,10 @@ def ngram_model(df: DataFrame, col: str, norm: bool = True) -> DataFrame:
     c = df.select(F.explode(col).alias("ngram")).groupBy("ngram").agg(F.count(F.lit(1)).alias("count"))
     if not norm:
         return c.withColumn("freq", F.col("count").cast("double"))
+    # the total reads the same counts: keep them (small next to the text)
+    # instead of running the text pipeline a second time for the subquery
+    from pyspark import StorageLevel
+    c = c.persist(StorageLevel.MEMORY_AND_DISK)
     total = c.select(F.sum("count")).scalar()
     return c.withColumn("freq", F.col("count") / total)
 
