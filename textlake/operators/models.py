@@ -326,8 +326,8 @@ def model_word_vectors(spark: SparkSession, model: Model, words: DataFrame) -> D
 
 
 def matrix_frame(spark: SparkSession, M: np.ndarray, key: str = "row_id") -> DataFrame:
-    pdf = pd.DataFrame({key: np.arange(len(M), dtype=np.int64), "vec": list(M.astype(np.float64))})
-    return spark.createDataFrame(pdf, f"{key} long, vec array<double>")
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(np.asarray(M, dtype=np.float64))]
+    return spark.createDataFrame(rows, f"{key} long, vec array<double>")
 
 
 def predict(model: Model, df: DataFrame, key: str, text: str, k: int = 1, threshold: float = 0.0) -> DataFrame:
@@ -341,7 +341,7 @@ def predict(model: Model, df: DataFrame, key: str, text: str, k: int = 1, thresh
     ex = lines.select(key, F.explode("features").alias("row_id")).join(rows, "row_id")
     h = A.group_vector_stats(ex, [key], "vec", "mean").select(key, "vec")
     hidden = df.select(key).join(h, key, "left").select(key, F.coalesce("vec", A.zeros(model.args.dim)).alias("vec"))
-    out = spark.createDataFrame(pd.DataFrame({"label": model.labels, "vec": list(model.output)}),
+    out = spark.createDataFrame([(l, [float(x) for x in r]) for l, r in zip(model.labels, model.output)],
                                 "label string, vec array<double>")
     return _predict(hidden, key, out, k, threshold)
 
