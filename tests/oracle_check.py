@@ -74,7 +74,13 @@ def main():
     names = sys.argv[2:]
     import __spark_entry__ as E
     from textlake.session import get_spark
-    spark = get_spark("local[8]", shuffle_partitions=8)
+    if os.environ.get("PLAIN_SESSION"):
+        # a bare session, as an outside driver would build it
+        from pyspark.sql import SparkSession
+        spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").getOrCreate()
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        spark = get_spark("local[8]", shuffle_partitions=8)
     con = duck(sf_dir)
     qs, os_ = E.queries(), E.oracle_sql()
     bad = 0
