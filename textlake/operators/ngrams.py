@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from textlake.functions import text as T
 
 UNSEEN_LOG_PROB = -100.0    # fixed value: score of an unseen gram
-VADER_ALPHA = 15.0          # fixed value: compound = s / sqrt(s^2 + alpha)
+SENTIMENT_ALPHA = 15.0          # fixed value: compound = s / sqrt(s^2 + alpha)
 CHAR_WS_RE = r"[ \t\n\r\f\x0B]{2,}"
 
 
@@ -63,7 +63,7 @@ def lexicon_sentiment(df: DataFrame, key: str, col: str, lexicon: DataFrame) ->
     s = F.col("_s")
     return g.select(
         key,
-        F.when(s == 0, 0.0).otherwise(s / F.sqrt(s * s + VADER_ALPHA)).alias("compound"),
+        F.when(s == 0, 0.0).otherwise(s / F.sqrt(s * s + SENTIMENT_ALPHA)).alias("compound"),
         F.coalesce(F.try_divide(F.col("_ps"), total), F.lit(0.0)).alias("pos"),
         F.coalesce(F.try_divide(F.col("_nu"), total), F.lit(0.0)).alias("neu"),
         F.coalesce(F.try_divide(F.abs(F.col("_ns")), total), F.lit(0.0)).alias("neg"))
