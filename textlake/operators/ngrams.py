@@ -112,7 +112,9 @@ def char_tfidf(df: DataFrame, key: str, col: str, minn: int = 3, maxn: int = 7)
     dfreq = tf.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     # df per gram: aggregate + join (a gram found in every document is a hot
     # key; AQE splits that join partition)
-    w = tf.join(dfreq, "gram").withColumn(
+    # the gram table grows with the corpus: sort-merge (spillable), never a
+    # broadcast chosen from a compressed size estimate
+    w = tf.join(dfreq.hint("merge"), "gram").withColumn(
         "w", F.col("tf") * (F.ln((F.lit(1) + n_docs) / (F.lit(1) + F.col("df"))) + 1))
     # row norm: a window per document (bounded by the document's own grams),
     # one shuffle instead of an aggregate plus a join

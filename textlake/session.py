@@ -27,7 +27,7 @@ BASE_CONF = {
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
     # Window partitions here are bounded by one document / one topic's bins;
     # keep them in memory instead of spilling past 4096 rows.
-    "spark.sql.windowExec.buffer.in.memory.threshold": str(1 << 20),
+    "spark.sql.windowExec.buffer.in.memory.threshold": str(1 << 16),
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     # Malformed CSV rows must not survive pruned reads (SRC-01).
