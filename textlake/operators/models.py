@@ -223,11 +223,16 @@ def _mix(spark, lines: DataFrame, args: Args, A, B, kind, sub=None, neg_table=No
         bA, bB = spark.sparkContext.broadcast(A), spark.sparkContext.broadcast(B)
         deltas = lines.mapInPandas(_round_fn(args, bA, bB, lr0, lr1, e, sub, neg_table, keep, kind),
                                    "m string, row long, delta array<double>")
-        # one list per model row, at most one delta per partition in it
-        summed = deltas.groupBy("m", "row").agg(F.collect_list("delta").alias("ds"))
+        # per model row, the partitions' deltas summed in Spark (Summarizer);
+        # the result is the model's size and arrives as one Arrow batch
+        from textlake.functions.arrays import group_vector_stats
+        summed = group_vector_stats(deltas, ["m", "row"], "delta", "sum", out="d").select("m", "row", "d")
+        pdf = summed.toPandas()
         A, B = A.copy(), B.copy()
-        for r in summed.toLocalIterator():   # rows of the model (vocabulary x dim), not data
-            (A if r["m"] == "in" else B)[r["row"]] += np.sum(np.asarray(r["ds"]), axis=0) / nparts
+        for name, M in (("in", A), ("out", B)):
+            sel = pdf[pdf["m"] == name]
+            if len(sel):
+                M[sel["row"].to_numpy()] += np.stack(sel["d"].to_numpy()) / nparts
         bA.unpersist()
         bB.unpersist()
     return A, B
