@@ -92,9 +92,12 @@ class Tokens(NamedTuple):
     ends: np.ndarray
     off: np.ndarray
     base: np.ndarray
+    prefixes: np.ndarray | None = None
 
 
-def tokenize(texts: list[bytes], classes: np.ndarray, fold: np.ndarray = LOWER) -> Tokens:
+def tokenize(texts: list[bytes], classes: np.ndarray, fold: np.ndarray = LOWER,
+             prefix: int = 0) -> Tokens:
+    """Tokens of the texts; with ``prefix``, also hashes of their first so many bytes."""
     data = b" ".join(texts) + b" "
     raw = np.frombuffer(data, np.uint8)
     n = len(raw)
@@ -114,9 +117,13 @@ def tokenize(texts: list[bytes], classes: np.ndarray, fold: np.ndarray = LOWER)
     folded += np.uint64(1)
     folded *= power[:n]
     np.cumsum(folded, out=sums[1:])
-    h = (sums[ends] - sums[starts]) * inverse[starts]
-    h = mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return Tokens(data, h, kind, starts, ends, np.searchsorted(starts, base), base)
+
+    def span_hash(stop):
+        h = (sums[stop] - sums[starts]) * inverse[starts]
+        return mix(h + (stop - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+    return Tokens(data, span_hash(ends), kind, starts, ends, np.searchsorted(starts, base), base,
+                  span_hash(np.minimum(ends, starts + prefix)) if prefix else None)
 
 
 def chunks(texts: list[bytes], size: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
