@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlake.llm import quality
+from textlake.llm import decontam, quality, toxicity
 from textlake.llm.common import fold, table
 
 
@@ -19,8 +19,58 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.col("score") >= p.threshold).cast("int").alias("predicted")))
 
 
+def op2_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlap of every document with the benchmark's 10-word windows."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.find(docs, table(spark, sf_dir, "benchmark"))
+    o = F.col("overlap")
+    return found.select(
+        "doc_id", o["n_words"].alias("n_words"), o["n_hit"].alias("n_hit"),
+        F.size(o["items"]).cast("long").alias("n_items"),
+        F.sha2(F.array_join(o["items"], ","), 256).alias("items_sha256"),
+        (o["n_hit"] > 0).alias("contaminated"))
+
+
+_LOWER_SQL = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM_SQL = r"regexp_extract_all(" + _LOWER_SQL + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP2_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_ALNUM_SQL.format("coalesce(text, '')")} AS w FROM documents),
+b AS (SELECT item_id, {_ALNUM_SQL.format("text")} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS s
+        FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM b WHERE len(w) > 0)),
+lengths AS (SELECT DISTINCT n FROM win),
+dw AS (SELECT rid, n, i, array_to_string(w[i:i + n - 1], ' ') AS s
+       FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, lengths WHERE len(w) >= n)),
+hits AS (SELECT DISTINCT rid, dw.n, i, item_id FROM dw JOIN win ON dw.n = win.n AND dw.s = win.s),
+words AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM hits) GROUP BY rid),
+items AS (SELECT rid, count(DISTINCT item_id) AS n_items,
+                 sha256(array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',')) AS h
+          FROM hits GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, coalesce(h, sha256('')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)"""
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; labels of fold 1 (of 3) are held out
+    (their documents don't serve as unlabelled text either)."""
+    p = toxicity.Params()
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    seen = fold(F.col("doc_id"), 3) != 1
+    weights = toxicity.train(docs, labels, "toxic", seen, seen, p)
+    return (toxicity.score(docs.select("doc_id", "text"), weights, p)
+            .select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score",
+                    (F.col("score") >= p.threshold).cast("int").alias("predicted")))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_decontam": op2_decontam,
+    "op8_toxicity": op8_toxicity,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_decontam": OP2_SQL,
+}

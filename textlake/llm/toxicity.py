@@ -7,9 +7,9 @@ numpy on the risk
 
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))
 
-(logistic loss); when the second part of a step falls below zero, the step goes
-the other way on that part, so the model can't win by calling the
-positives among the unlabelled negative.  Spark trains ``members`` classifiers
+(logistic loss, full-batch steps, weights of cue words never below zero); when
+the second part falls below zero, a step goes the other way on that part, so
+the model can't win by calling the positives among the unlabelled negative.  Spark trains ``members`` classifiers
 side by side, each in its own task on its own unlabelled sample, and averages
 their weights; a size fixed by ``bits`` is broadcast, and every whole
 text is scored in its own task.
@@ -42,16 +42,17 @@ from textlake.llm.common import utf8
 @dataclass(frozen=True)
 class Params:
     bits: int = 18
-    prefix: int = 5              # bytes of a word's beginning
+    prefix: int = 4              # bytes of a word's beginning
     positive_rows: int = 3000    # bound of the positive sample
-    unlabelled_rows: int = 9000  # bound of the unlabelled sample, all members together
+    unlabelled_rows: int = 18000 # bound of the unlabelled sample, all members together
     members: int = 3
-    epochs: int = 12
-    batch: int = 200
-    rate: float = 0.3
-    l1: float = 2e-4
+    steps: int = 1000            # full-batch gradient steps
+    rate: float = 30.0
+    intercept_rate: float = 1.0
+    l1: float = 3e-5
     least: float = 0.05          # smaller weights are set to 0
-    min_texts: int = 3           # a bucket in fewer training texts gets no weight
+    min_texts: int = 3           # a bucket in fewer positives gets no weight,
+    lift: float = 4.0            # nor does one less than so many times as frequent in them
     prior: float | None = None   # share of toxic texts; None: from the labels
     threshold: float = 0.7
 
@@ -72,49 +73,45 @@ def distinct(doc: np.ndarray, bucket: np.ndarray, bits: int) -> tuple[np.ndarray
     return key >> bits, key & ((1 << bits) - 1)
 
 
-def train_nnpu(texts: list[bytes], positive: np.ndarray, prior: float, p: Params, seed: int) -> np.ndarray:
+def train_nnpu(texts: list[bytes], positive: np.ndarray, prior: float, p: Params) -> np.ndarray:
     """Weights (intercept last) of one member."""
     size = 1 << p.bits
     rows: list[np.ndarray] = []
     for lo, hi in T.chunks(texts):
         doc, bucket = distinct(*features(texts[lo:hi], p), p.bits)
         rows += np.split(bucket, np.searchsorted(doc, np.arange(1, hi - lo)))
-    df = np.zeros(size, np.int64)
-    for r in rows:
-        df[r] += 1
-    rows = [r[df[r] >= p.min_texts] for r in rows]
+    seen = np.zeros((2, size))
+    for r, y in zip(rows, positive):
+        seen[int(y), r] += 1
+    share = seen / np.maximum([[(~positive).sum()], [positive.sum()]], 1)
+    cue = (seen[1] >= p.min_texts) & (share[1] >= p.lift * share[0])
+    rows = [r[cue[r]] for r in rows]
     w = np.zeros(size)
     b = math.log(prior / (1 - prior))
-    rng = np.random.default_rng(seed)
-    pos, unl = np.flatnonzero(positive), np.flatnonzero(~positive)
-    steps = max(1, -(-max(len(pos), len(unl)) // p.batch))
 
-    def side(ids):
-        part = [rows[i] for i in ids]
-        off = np.concatenate([[0], np.cumsum([len(r) for r in part])])
-        idx = np.concatenate(part) if part else np.empty(0, np.int64)
-        return idx, np.diff(off), T.segment_sum(w[idx], off) + b
+    def matrix(which):
+        part = [r for r, y in zip(rows, positive) if y == which]
+        return np.concatenate(part), np.concatenate([[0], np.cumsum([len(r) for r in part])])
+
+    (xp, op), (xu, ou) = matrix(True), matrix(False)
+    n_p, n_u = len(op) - 1, len(ou) - 1
 
     def sigmoid(x):
         return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
 
-    for epoch in range(p.epochs):
-        rate = p.rate / (1 + epoch / 4)
-        po, uo = rng.permutation(pos), rng.permutation(unl)
-        for k in range(steps):
-            ip = po[np.arange(k * p.batch, (k + 1) * p.batch) % len(po)]
-            iu = uo[np.arange(k * p.batch, (k + 1) * p.batch) % len(uo)]
-            (xp, np_, fp), (xu, nu, fu) = side(ip), side(iu)
-            rest = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-            sign = 1.0 if rest >= 0 else -1.0
-            # derivatives by f, per text
-            gp = (-prior * (1 - sigmoid(fp)) * (sign > 0) - sign * prior * sigmoid(fp)) / len(ip)
-            gu = sign * sigmoid(fu) / len(iu)
-            g = np.bincount(np.concatenate([xp, xu]), np.concatenate([np.repeat(gp, np_), np.repeat(gu, nu)]),
-                            minlength=size)
-            w -= rate * g
-            w = np.sign(w) * np.maximum(np.abs(w) - rate * p.l1, 0.0)
-            b -= rate * 0.1 * (gp.sum() + gu.sum())
+    for step in range(p.steps):
+        rate = p.rate / (1 + 4 * step / p.steps)
+        fp, fu = T.segment_sum(w[xp], op) + b, T.segment_sum(w[xu], ou) + b
+        rest = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+        sign = 1.0 if rest >= 0 else -1.0
+        # derivatives by f, per text
+        gp = (-prior * (1 - sigmoid(fp)) * (sign > 0) - sign * prior * sigmoid(fp)) / n_p
+        gu = sign * sigmoid(fu) / n_u
+        g = np.bincount(np.concatenate([xp, xu]),
+                        np.concatenate([np.repeat(gp, np.diff(op)), np.repeat(gu, np.diff(ou))]), minlength=size)
+        # words are evidence for toxicity only: a long clean text gets no bonus
+        w = np.maximum(w - rate * (g + p.l1), 0.0)
+        b -= p.intercept_rate * (gp.sum() + gu.sum())
     return np.append(w, b)
 
 
@@ -157,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", labelled: Co
         positive = pdf["_pos"].to_numpy(bool)
         if not positive.any() or positive.all():
             return pd.DataFrame({"i": [], "w": []})
-        w = train_nnpu([bytes(t) for t in pdf["_t"]], positive, prior, p, int(pdf["member"].iloc[0]))
+        w = train_nnpu([bytes(t) for t in pdf["_t"]], positive, prior, p)
         i = np.flatnonzero(w)
         return pd.DataFrame({"i": i, "w": w[i] / members})
 
