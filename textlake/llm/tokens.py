@@ -92,12 +92,12 @@ class Tokens(NamedTuple):
     ends: np.ndarray
     off: np.ndarray
     base: np.ndarray
-    prefixes: np.ndarray | None = None
+    prefixes: list[np.ndarray] = []
 
 
 def tokenize(texts: list[bytes], classes: np.ndarray, fold: np.ndarray = LOWER,
-             prefix: int = 0) -> Tokens:
-    """Tokens of the texts; with ``prefix``, also hashes of their first so many bytes."""
+             prefix: tuple[int, ...] = ()) -> Tokens:
+    """Tokens of the texts; ``prefix``: also hash their first so many bytes."""
     data = b" ".join(texts) + b" "
     raw = np.frombuffer(data, np.uint8)
     n = len(raw)
@@ -123,7 +123,7 @@ def tokenize(texts: list[bytes], classes: np.ndarray, fold: np.ndarray = LOWER,
         return mix(h + (stop - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
     return Tokens(data, span_hash(ends), kind, starts, ends, np.searchsorted(starts, base), base,
-                  span_hash(np.minimum(ends, starts + prefix)) if prefix else None)
+                  [span_hash(np.minimum(ends, starts + k)) for k in prefix])
 
 
 def chunks(texts: list[bytes], size: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:

@@ -42,16 +42,16 @@ from textlake.llm.common import utf8
 @dataclass(frozen=True)
 class Params:
     bits: int = 18
-    prefix: int = 4              # bytes of a word's beginning
+    prefix: tuple[int, ...] = (4, 5)  # lengths of word beginnings, in bytes
     positive_rows: int = 3000    # bound of the positive sample
-    unlabelled_rows: int = 18000 # bound of the unlabelled sample, all members together
+    unlabelled_rows: int = 6000  # bound of a member's unlabelled sample
     members: int = 3
     steps: int = 1000            # full-batch gradient steps
     rate: float = 30.0
     intercept_rate: float = 1.0
     l1: float = 3e-5
     least: float = 0.05          # smaller weights are set to 0
-    min_texts: int = 3           # a bucket in fewer positives gets no weight,
+    min_texts: int = 5           # a bucket in fewer positives gets no weight,
     lift: float = 4.0            # nor does one less than so many times as frequent in them
     prior: float | None = None   # share of toxic texts; None: from the labels
     threshold: float = 0.7
@@ -62,10 +62,12 @@ def features(texts: list[bytes], p: Params) -> tuple[np.ndarray, np.ndarray]:
     t = T.tokenize(texts, T.ALPHANUMERIC, prefix=p.prefix)
     doc = np.repeat(np.arange(len(texts)), np.diff(t.off))
     shift = np.uint64(64 - p.bits)
-    long = (t.ends - t.starts) > p.prefix
-    begin = T.mix(t.prefixes[long] + np.uint64(1)) >> shift
-    return (np.concatenate([doc, doc[long]]),
-            np.concatenate([t.hashes >> shift, begin]).astype(np.int64))
+    docs, buckets = [doc], [t.hashes >> shift]
+    for length, begin in zip(p.prefix, t.prefixes):
+        long = (t.ends - t.starts) > length
+        docs.append(doc[long])
+        buckets.append(T.mix(begin[long] + np.uint64(length)) >> shift)
+    return np.concatenate(docs), np.concatenate(buckets).astype(np.int64)
 
 
 def distinct(doc: np.ndarray, bucket: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,19 +128,19 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, labelled: Colu
     n, n1 = lab.agg(F.count("*"), F.sum(F.when(F.col("_y") > 0, 1).otherwise(0))).first()
     prior = p.prior or (min(max(n1 / n, 0.001), 0.5) if n and n1 else 0.1)
     top = (F.xxhash64("_id"), F.col("_id"))
-    chosen = (lab.filter(F.col("_y") > 0).orderBy(*top).limit(p.positive_rows).select("_id", F.lit(True).alias("_pos")))
+    chosen = lab.filter(F.col("_y") > 0).orderBy(*top).limit(p.positive_rows).select("_id")
     ids = docs.filter(usable & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")).distinct()
-    # another order than that of the positives, so the two samples are independent
-    other = (F.xxhash64("_id", F.lit(1)), F.col("_id"))
-    unlabelled = ids.orderBy(*other).limit(p.unlabelled_rows).select("_id", F.lit(False).alias("_pos"))
-    both = chosen.unionByName(unlabelled)      # bounded by the two parameters
+    # members draw in their own orders, independent of that of the positives
+    both = chosen.select("_id", F.lit(True).alias("_pos"), F.explode(F.array(*map(F.lit, range(p.members)))).alias("member"))
+    for m in range(p.members):
+        drawn = ids.orderBy(F.xxhash64("_id", F.lit(m + 1)), "_id").limit(p.unlabelled_rows)
+        both = both.unionByName(drawn.select("_id", F.lit(False).alias("_pos"), F.lit(m).alias("member")))
+    # bounded by the parameters: members * (positive_rows + unlabelled_rows) ids
+    sides = both.groupBy("_id").agg(F.collect_list(F.struct("_pos", "member")).alias("_sides"))
     d = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
-    texts = (d.join(F.broadcast(both.groupBy("_id").agg(F.collect_list("_pos").alias("_sides"))), "_id")
+    texts = (d.join(F.broadcast(sides), "_id")
              .groupBy("_id").agg(F.min("_text").alias("_text"), F.first("_sides").alias("_sides")))
-    rows = texts.select("_id", utf8(F.col("_text")).alias("_t"), F.explode("_sides").alias("_pos"))
-    every = F.array(*[F.lit(i) for i in range(p.members)])
-    one = F.array(F.pmod(F.xxhash64("_id", F.lit(2)), F.lit(p.members)).cast("int"))
-    return rows.withColumn("member", F.explode(F.when(F.col("_pos"), every).otherwise(one))), prior
+    return texts.select("_id", utf8(F.col("_text")).alias("_t"), F.inline("_sides")), prior
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", labelled: Column | None = None,
