@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlake.llm import decontam, quality, toxicity
+from textlake.llm import decontam, graph_ann, licenses, mixing, pii, quality, simhash, toxicity
 from textlake.llm.common import fold, table
 
 
@@ -53,6 +53,40 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)"""
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raked sampling probability of every document and whether it is sampled."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return mixing.sample(docs).select(
+        "doc_id", F.col("mix_tokens").alias("n_tokens"), F.col("mix_source").alias("source"),
+        F.col("mix_lang").alias("lang"), F.col("mix_topic").alias("topic"),
+        F.round("mix_probability", 9).alias("probability"), F.col("mix_kept").alias("kept"))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    g = simhash.groups(table(spark, sf_dir, "documents"))
+    return g.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors of every 50th vector, by graph search."""
+    return graph_ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices of every document: how many, the best, and where."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licenses.matches(docs)
+    m = F.col("licenses")
+    best = F.array_max(F.transform(m, lambda x: x["dice"]))
+    return found.select(
+        "doc_id", F.size(F.split(F.coalesce("text", F.lit("")), r"\r\n|\n|\r")).cast("long").alias("n_lines"),
+        F.size(m).cast("long").alias("n_matches"),
+        F.array_min(F.transform(F.filter(m, lambda x: x["dice"] == best), lambda x: x["name"])).alias("license"),
+        F.round(best, 6).alias("dice"),
+        F.array_join(F.transform(m, lambda x: F.concat(x["line"].cast("string"), F.lit(":"), x["name"])), ",").alias("found"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document; labels of fold 1 (of 3) are held out
     (their documents don't serve as unlabelled text either)."""
@@ -65,12 +99,25 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.col("score") >= p.threshold).cast("int").alias("predicted")))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts, a hash of the base spans, all spans."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.digest(docs).drop("text")
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_decontam": op2_decontam,
+    "op3_mixing": op3_mixing,
+    "op4_simhash": op4_simhash,
+    "op5_ann": op5_ann,
+    "op6_licenses": op6_licenses,
     "op8_toxicity": op8_toxicity,
+    "op10_pii": op10_pii,
 }
 
 ORACLE: dict[str, str] = {
     "op2_decontam": OP2_SQL,
+    "op3_mixing": mixing.sample_sql(),
+    "op6_licenses": licenses.matches_sql(),
 }
