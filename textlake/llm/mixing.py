@@ -5,10 +5,11 @@ target of its own counts as ``*``, so the cells are at most the product of the
 target lists' lengths, whatever the table holds; Spark sums documents and
 tokens per cell, and only this bounded table comes to the driver.  There the
 token weights are raked: scaled to the source targets, then to the language
-targets, then to the topic targets, ``rounds`` times over.  A cell's calibrated
-probability is its raked share over its own share, divided by the largest such
-ratio, so the sample meets the targets in expectation (as far as the
-targets can be met together) with no document twice.  A document stays if a
+targets, then to the topic targets, ``rounds`` times over.  The weights add up
+to ``budget`` times all tokens, and a cell's weight never exceeds its tokens, so
+its calibrated probability (weight over tokens) is at most 1 and no document is
+needed twice; the sample meets the targets in expectation, as far as they can
+be met together within the budget.  A document stays if a
 hash of its id, as a number in [0, 1), is below the probability of its cell.
 
 Defined results
@@ -35,8 +36,9 @@ Targets = Mapping[str, Mapping[str, float]]
 TARGETS: Targets = {
     "source": {"src0": 0.30, "*": 0.70},
     "lang": {"en": 0.55, "de": 0.17, "fr": 0.16, "es": 0.12, "*": 0.01},
-    "topic": {"legal": 0.03, "contact": 0.05, "numeric": 0.07, "long": 0.60, "short": 0.25, "*": 0.01},
+    "topic": {"legal": 0.03, "contact": 0.02, "numeric": 0.04, "long": 0.66, "short": 0.24, "*": 0.01},
 }
+BUDGET = 0.8
 ROUNDS = 20
 SEED = 17
 
@@ -65,34 +67,31 @@ def _listed(value: Column, target: Mapping[str, float]) -> Column:
 
 
 def rake(tokens: np.ndarray, cells: list[tuple], targets: list[Mapping[str, float]],
-         rounds: int = ROUNDS) -> np.ndarray:
-    """Raked token weights (sum 1) of the cells."""
-    w = tokens / max(tokens.sum(), 1)
+         budget: float = BUDGET, rounds: int = ROUNDS) -> np.ndarray:
+    """Raked token weights of the cells."""
+    w = tokens * budget
+    goal = tokens.sum() * budget
     for _ in range(rounds):
         for k, target in enumerate(targets):
-            keys = [c[k] for c in cells]
-            names = sorted({c[k] for c, t in zip(cells, tokens) if t > 0})
+            keys = np.array([c[k] for c in cells])
+            names = sorted(set(keys[tokens > 0]))
             total = sum(target.get(n, 0.0) for n in names)
-            if not total:
-                continue
-            factor = {}
-            for n in names:
-                now = sum(x for x, key in zip(w, keys) if key == n)
-                factor[n] = target.get(n, 0.0) / total / now if now > 0 else 0.0
-            w = np.array([x * factor.get(key, 0.0) for x, key in zip(w, keys)])
+            for n in names if total else ():
+                own = keys == n
+                now = w[own].sum()
+                factor = target.get(n, 0.0) / total * goal / now if now else 0.0
+                w[own] = np.minimum(tokens[own], w[own] * factor)
     return w
 
 
 def probabilities(tokens: np.ndarray, cells: list[tuple], targets: list[Mapping[str, float]],
-                  rounds: int = ROUNDS) -> np.ndarray:
+                  budget: float = BUDGET, rounds: int = ROUNDS) -> np.ndarray:
     """Calibrated sampling probabilities of the cells."""
-    w = rake(tokens, cells, targets, rounds)
-    ratio = np.divide(w, tokens, out=np.zeros(len(w)), where=tokens > 0)
-    top = ratio.max(initial=0.0)
-    return np.where(tokens > 0, ratio / top if top else 0.0, 1.0)
+    w = rake(tokens, cells, targets, budget, rounds)
+    return np.divide(w, tokens, out=np.ones(len(w)), where=tokens > 0)
 
 
-def sample(docs: DataFrame, targets: Targets = TARGETS, rounds: int = ROUNDS, seed: int = SEED,
+def sample(docs: DataFrame, targets: Targets = TARGETS, budget: float = BUDGET, rounds: int = ROUNDS, seed: int = SEED,
            doc_id: str = "doc_id", text: str = "text", prefix: str = "mix_") -> DataFrame:
     """``docs`` with the columns ``mix_tokens``, one ``mix_<dimension>`` a dimension,
     ``mix_probability`` and ``mix_kept`` (columns of these names are replaced).  A dimension is a column of ``docs``;
@@ -108,7 +107,7 @@ def sample(docs: DataFrame, targets: Targets = TARGETS, rounds: int = ROUNDS, se
     # at most prod(len(target)) rows
     cells = frame.groupBy(*names).agg(F.sum(f"{prefix}tokens").alias("t")).orderBy(*names).collect()
     keys = [tuple(c[n] for n in names) for c in cells]
-    p = probabilities(np.array([c["t"] for c in cells], float), keys, list(targets.values()), rounds)
+    p = probabilities(np.array([c["t"] for c in cells], float), keys, list(targets.values()), budget, rounds)
     schema = ", ".join(f"`{n}` string" for n in names) + f", `{prefix}probability` double"
     known = docs.sparkSession.createDataFrame([(*k, float(x)) for k, x in zip(keys, p)], schema)
     frame = frame.join(F.broadcast(known), names)
@@ -132,15 +131,16 @@ def _sql_case(column: str, target: Mapping[str, float]) -> str:
     return f"CASE WHEN {column} IN ({names}) THEN {column} ELSE '*' END"
 
 
-def sample_sql(targets: Targets = TARGETS, rounds: int = ROUNDS, seed: int = SEED) -> str:
+def sample_sql(targets: Targets = TARGETS, budget: float = BUDGET, rounds: int = ROUNDS, seed: int = SEED) -> str:
     """The same as DuckDB SQL over ``documents``: the raking is a chain of window sums."""
     topic_sql = "CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{n}'" for n, p in TOPIC_RULES)
     topic_sql += f" WHEN n_tokens >= {LONG_WORDS} THEN 'long' ELSE 'short' END"
-    steps = "SELECT *, t / sum(t) OVER () AS w FROM cells WHERE t > 0"
+    steps = f"SELECT *, t * {budget} AS w, sum(t) OVER () * {budget} AS goal FROM cells WHERE t > 0"
     wanted = {d: f"(SELECT target FROM tg_{d} g WHERE g.name = {d})" for d in targets}
     for _ in range(rounds):
         for d in targets:
-            steps = f"SELECT * EXCLUDE (w), w / sum(w) OVER (PARTITION BY {d}) * share_{d} AS w FROM ({steps})"
+            steps = (f"SELECT * EXCLUDE (w), least(t, w * (share_{d} * goal / sum(w) OVER (PARTITION BY {d}))) AS w "
+                     f"FROM ({steps})")
     shares = ", ".join(f"{wanted[d]} AS share_{d}" for d in targets)
     lists = []
     for d, target in targets.items():
@@ -157,7 +157,7 @@ sums AS (SELECT {dims}, CAST(sum(n_tokens) AS DOUBLE) AS t FROM d1 GROUP BY {dim
 {", ".join(lists)},
 cells AS (SELECT *, {shares} FROM sums),
 raked AS MATERIALIZED ({steps}),
-p AS (SELECT {dims}, (w / t) / max(w / t) OVER () AS probability FROM raked)
+p AS (SELECT {dims}, w / t AS probability FROM raked)
 SELECT doc_id, CAST(n_tokens AS BIGINT) AS n_tokens, source, lang, topic, round(coalesce(probability, 1.0), 9) AS probability,
        CAST('0x' || substr(md5('{seed}' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / 4294967296.0
            < coalesce(probability, 1.0) AS kept
