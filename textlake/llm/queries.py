@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlake.llm import decontam, graph_ann, licenses, mixing, pii, quality, simhash, toxicity
+from textlake.llm import decontam, graph_ann, licenses, mixing, pii, quality, simhash, toxicity, urls
 from textlake.llm.common import fold, table
 
 
@@ -87,6 +87,13 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.transform(m, lambda x: F.concat(x["line"].cast("string"), F.lit(":"), x["name"])), ",").alias("found"))
 
 
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the url of every page: by rule, else by host words and naive Bayes."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return urls.judge(pages).select("page_id", "host", "path", "rule", "verdict", "score",
+                                    F.array_join("host_words", " ").alias("host_words"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document; labels of fold 1 (of 3) are held out
     (their documents don't serve as unlabelled text either)."""
@@ -112,6 +119,7 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_ann": op5_ann,
     "op6_licenses": op6_licenses,
+    "op7_urls": op7_urls,
     "op8_toxicity": op8_toxicity,
     "op10_pii": op10_pii,
 }
