@@ -250,6 +250,18 @@ def _unpack(row, p: Params) -> dict:
             "adj": s["adj"].reshape(-1, p.slack), "member": s["member"], "start": s["start"], "entry": row["entry"]}
 
 
+def _answer(shared, k: int, p: Params):
+    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for _, row in pdf.iterrows():
+            if int(row["dim"]) in shared.value:
+                qid, q = shared.value[int(row["dim"])]
+                found += [(int(qid[i]), v, s) for i, v, s in search_shard(_unpack(row, p), qid, q, k, p)]
+        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
+
+    return answer
+
+
 def search(index: DataFrame, queries: DataFrame, k: int = 5, p: Params = Params()) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score`` of the k nearest of each query
     (``vec_id``, ``v``, ``dim``), itself left out."""
@@ -261,16 +273,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, p: Params = Params(
         pdf = block.select("vec_id", "v", "dim").toPandas()
         by_dim = {int(d): (g["vec_id"].to_numpy(np.int64), np.stack(g["v"].to_numpy()).astype(np.float64))
                   for d, g in pdf.groupby("dim")}
-        shared = spark.sparkContext.broadcast(by_dim)
-
-        def answer(pdf: pd.DataFrame, shared=shared) -> pd.DataFrame:
-            found = []
-            for _, row in pdf.iterrows():
-                if int(row["dim"]) in shared.value:
-                    qid, q = shared.value[int(row["dim"])]
-                    found += [(int(qid[i]), v, s) for i, v, s in search_shard(_unpack(row, p), qid, q, k, p)]
-            return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
-
+        answer = _answer(spark.sparkContext.broadcast(by_dim), k, p)
         one = index.groupBy("shard", "dim").applyInPandas(answer, "query_id long, vec_id long, score double")
         answers = one if answers is None else answers.unionByName(one)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlake.llm import decontam, graph_ann, licenses, mixing, pii, quality, simhash, toxicity, urls
+from textlake.llm import decontam, graph_ann, licenses, mixing, ngram_lm, pii, quality, simhash, toxicity, urls
 from textlake.llm.common import fold, table
 
 
@@ -106,6 +106,17 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.col("score") >= p.threshold).cast("int").alias("predicted")))
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kneser-Ney score of every document, by a model of the folds 1 to 9 (of 10)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = fold(F.col("doc_id"), 10) == 0
+    scored, model = ngram_lm.train_and_score(docs, ~held)
+    lm = F.col("lm")
+    return scored.select("doc_id", held.alias("held_out"), lm["n_tokens"].alias("n_tokens"), lm["n_known"].alias("n_known"),
+                         F.lit(model.n_tokens).cast("long").alias("train_tokens"), lm["base_score"].alias("base_score"),
+                         lm["score"].alias("score"), lm["perplexity"].alias("perplexity"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: counts, a hash of the base spans, all spans."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -121,6 +132,7 @@ QUERIES = {
     "op6_licenses": op6_licenses,
     "op7_urls": op7_urls,
     "op8_toxicity": op8_toxicity,
+    "op9_lm": op9_lm,
     "op10_pii": op10_pii,
 }
 
