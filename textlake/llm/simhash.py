@@ -6,9 +6,11 @@ fingerprint is set if it is set in over half of the shingles' XXH64 (seed 42).
 
 Links: two fingerprints link at ``max_bits`` = 2 or fewer differing bits.  The
 fingerprint is cut into two segments of 32 bits; then one of the segments of
-a linked pair differs by at most one bit.  Every distinct fingerprint is indexed under the
-one-wildcard variants of both segments (segment, wildcard bit, the other 31
-bits), variants are equality-joined and the candidates verified on all bits.
+a linked pair differs by at most one bit.  If it is the low one, the pair shares
+a one-wildcard variant of it (wildcard bit, the other 31 bits); if the low one
+differs by two bits, the high one doesn't differ at all.  So every distinct fingerprint
+is indexed under the 32 variants of its low segment and its high segment as
+it is; the keys are equality-joined and the candidates verified on all bits.
 
 Copies and hot signatures.  Equal fingerprints are one node from the start, so
 exact copies cost nothing.  Signatures are counted first (with partial sums in each
@@ -88,8 +90,8 @@ def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "_fp", shin
 
 
 _SIGNATURES = """
-explode(flatten(transform(array(fp & 4294967295L, shiftrightunsigned(fp, 32)), (x, s) ->
-    transform(sequence(0, 31), b -> shiftleft(cast(s * 32 + b AS BIGINT), 32) | (x & ~shiftleft(1L, b)))))) AS sig"""
+explode(concat(transform(sequence(0, 31), b -> shiftleft(cast(b AS BIGINT), 32) | (fp & 4294967295L & ~shiftleft(1L, b))),
+               array(shiftleft(32L, 32) | shiftrightunsigned(fp, 32)))) AS sig"""
 
 
 def links(prints: DataFrame, pair_bucket: int = PAIR_BUCKET, max_bits: int = MAX_BITS) -> DataFrame:
@@ -130,7 +132,9 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     rows = docs.select(F.col(doc_id).alias("doc_id"), *_row_keys(doc_id, text), F.col(text).alias("_t"))
     rows = cut(with_fingerprint(rows, "_t", "fp", shingle).drop("_t"))
     prints = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    roots = components(links(prints.select("fp"), pair_bucket, max_bits), "a", "b")
+    # every print becomes 33 rows: deal the few bytes out to all tasks first
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    roots = components(links(prints.select("fp").repartition(parts), pair_bucket, max_bits), "a", "b")
     named = (prints.join(roots, prints["fp"] == roots["node"], "left")
              .select("fp", "least_id", F.coalesce("root", "fp").alias("root")))
     tops = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
