@@ -81,13 +81,15 @@ def expand_vector(df: DataFrame, col: str, n: int, prefix: str = "dim") -> DataF
     return df.select(*others, *[F.col(col)[i].alias(f"{prefix}{i}") for i in range(n)])
 
 
-def group_vector_stats(df: DataFrame, keys, vec: str, metric: str = "mean", out: str = "vec") -> DataFrame:
-    """Element-wise mean or sum of ``vec`` per key with Spark ML's
+def group_vector_stats(df: DataFrame, keys, vec: str, metric: str = "mean", out: str = "vec",
+                       weight: str | None = None) -> DataFrame:
+    """Element-wise (weighted) mean or sum of ``vec`` per key with Spark ML's
     ``Summarizer`` (a JVM aggregate with map-side partial aggregation: no
     list is collected per key, so a hot key is not one task's memory)."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
     v = array_to_vector(as_double(F.col(vec)))
-    m = Summarizer.mean(v) if metric == "mean" else Summarizer.sum(v)
+    w = [F.col(weight)] if weight else []
+    m = Summarizer.mean(v, *w) if metric == "mean" else Summarizer.sum(v, *w)
     g = df.groupBy(*keys).agg(m.alias("_m"), F.count(F.lit(1)).alias("_cnt"))
     return g.select(*keys, vector_to_array("_m").alias(out), "_cnt")

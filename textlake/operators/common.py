@@ -83,20 +83,22 @@ def split_head_tail(df: DataFrame, n: int, order: Sequence) -> tuple[DataFrame,
     return ix.filter(F.col("_pos") <= n).drop("_pos"), ix.filter(F.col("_pos") > n).drop("_pos")
 
 
-def fill_forward(df: DataFrame, order: Sequence, col: str) -> DataFrame:
-    """Carry the last non-null ``col`` forward in ``order`` over the whole
-    frame without a global window: fill inside each sort partition, then
-    take the carry-in from the last value of earlier partitions (a table of
-    #partitions rows)."""
-    s = df.orderBy(*_cols(order))
+def fill_forward(df: DataFrame, order: Sequence, col: str, group: Sequence[str] = ()) -> DataFrame:
+    """Carry the last non-null ``col`` forward in ``order`` (within each
+    ``group``) without a window over a whole group: fill inside each sort
+    partition, then take the carry-in from the last value of the group in earlier
+    partitions (#partitions rows, and one more for each further group)."""
+    g = list(group)
+    s = df.orderBy(*_cols(g), *_cols(order))
     s = (s.withColumn("_p", F.spark_partition_id())
           .withColumn("_m", F.monotonically_increasing_id()))
     checkpoint_dir(df.sparkSession)
     s = s.checkpoint(eager=True)
-    wp = Window.partitionBy("_p").orderBy("_m").rowsBetween(Window.unboundedPreceding, 0)
+    wp = Window.partitionBy("_p", *g).orderBy("_m").rowsBetween(Window.unboundedPreceding, 0)
     s = s.withColumn("_fill", F.last(col, ignorenulls=True).over(wp))
-    last = s.groupBy("_p").agg(F.max_by(col, F.when(F.col(col).isNotNull(), F.col("_m"))).alias("_last"))
-    wl = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    carry = last.withColumn("_carry", F.last("_last", ignorenulls=True).over(wl)).select("_p", "_carry")
-    out = s.join(F.broadcast(carry), "_p", "left")
+    last = s.groupBy("_p", *g).agg(F.max_by(col, F.when(F.col(col).isNotNull(), F.col("_m"))).alias("_last"))
+    wl = Window.partitionBy(*g).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    carry = last.withColumn("_carry", F.last("_last", ignorenulls=True).over(wl)).select("_p", *g, "_carry")
+    # without groups #partitions rows; with groups the side is left to AQE's size check
+    out = s.join(F.broadcast(carry) if not g else carry, ["_p", *g], "left")
     return out.withColumn(col, F.coalesce(F.col("_fill"), F.col("_carry"))).drop("_p", "_m", "_fill", "_carry")

@@ -33,9 +33,10 @@ def errors(df: DataFrame, y: str = "y", pred: str = "prediction") -> DataFrame:
     return df.filter(F.col(y) != F.col(pred))
 
 
-def precision_recall_at_k(df: DataFrame, k: int, true: str = "true_labels", pred: str = "pred_labels") -> DataFrame:
-    """AGG-07: N (rows with a label), P@k = hits / (k N), R@k = hits / sum(labels)."""
-    d = df.filter(F.size(true) > 0)
+def precision_recall_at_k(df: DataFrame, k: int, true: str = "true_labels", pred: str = "pred_labels",
+                          words: str = "words") -> DataFrame:
+    """AGG-07: N (rows with a label and a word), P@k = hits / (k N), R@k = hits / sum(labels)."""
+    d = df.filter((F.size(true) > 0) & (F.size(words) > 0))
     top = F.slice(F.col(pred), 1, k)
     hits = F.size(F.filter(top, lambda p: F.array_contains(F.col(true), p)))
     return d.agg(F.count(F.lit(1)).alias("n"),

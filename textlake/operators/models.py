@@ -381,13 +381,11 @@ def word_dropout(df: DataFrame, key: str, tokens: str, rate: float, seed: int) -
     """Whole tokens dropped with chance ``rate`` (clamped to 0..1), no
     rescale; repeatable by md5(seed || key || position)."""
     rate = min(1.0, max(0.0, rate))
-    ex = df.select(key, F.posexplode(tokens).alias("pos", "tok"))
-    h = hash_share(seed, F.concat_ws(":", F.col(key).cast("string"), F.col("pos").cast("string")))
-    kept = ex.filter(h >= rate)
-    g = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("_s"))
-    out = g.select(key, F.transform("_s", lambda s: s["tok"]).alias(tokens))
-    return df.select(key).join(out, key, "left").select(
-        key, F.coalesce(tokens, F.array().cast("array<string>")).alias(tokens))
+
+    def stays(_, pos):
+        return hash_share(seed, F.concat_ws(":", F.col(key).cast("string"), pos.cast("string"))) >= rate
+
+    return df.select(key, F.coalesce(F.filter(F.col(tokens), stays), F.array().cast("array<string>")).alias(tokens))
 
 
 # ---------------------------------------------------------------------------

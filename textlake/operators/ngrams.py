@@ -30,20 +30,21 @@ def ngram_model(df: DataFrame, col: str, norm: bool = True) -> DataFrame:
     # instead of running the text pipeline a second time for the subquery
     from pyspark import StorageLevel
     c = c.persist(StorageLevel.MEMORY_AND_DISK)
-    total = c.select(F.sum("count")).scalar()
-    return c.withColumn("freq", F.col("count") / total)
+    total = c.agg(F.sum("count")).first()[0] or 0
+    return c.withColumn("freq", F.col("count") / F.lit(float(total)))
 
 
 def filter_by_tag(df: DataFrame, key: str, col: str, tags: DataFrame, keep: list[str]) -> DataFrame:
     """FLT-05: keep tokens whose tag is in ``keep`` and rejoin them as text.
 
     Tags come from a (token, tag) table; order is kept by position."""
-    ex = df.select(key, F.posexplode(F.split(F.col(col), " ", -1)).alias("pos", "token")).filter(F.col("token") != "")
-    t = tags.filter(F.col("tag").isin(keep)).select("token")
-    j = ex.join(t, "token", "left_semi")
-    g = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_s"))
-    out = g.select(key, F.array_join(F.transform("_s", lambda s: s["token"]), " ").alias("text"))
-    return df.select(key).join(out, key, "left").select(key, F.coalesce("text", F.lit("")).alias("text"))
+    words = F.filter(F.split(F.col(col), " ", -1), lambda w: w != "")
+    ex = df.select(key, F.posexplode_outer(words).alias("pos", "token"))
+    t = tags.filter(F.col("tag").isin(keep)).select("token").distinct().withColumn("_kept", F.lit(True))
+    # a left join and one ordered collect: rows that keep no token need no second read
+    j = ex.join(t, "token", "left")
+    g = j.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("_kept"), F.struct("pos", "token")))).alias("_s"))
+    return g.select(key, F.array_join(F.transform("_s", lambda s: s["token"]), " ").alias("text"))
 
 
 def lexicon_sentiment(df: DataFrame, key: str, col: str, lexicon: DataFrame) -> DataFrame:
@@ -106,15 +107,17 @@ def char_tfidf(df: DataFrame, key: str, col: str, minn: int = 3, maxn: int = 7)
     ln((1+N)/(1+df)) + 1 and L2 row norm."""
     # the prepared text is a column before the per-position lambdas read it
     prep = df.select(key, F.regexp_replace(F.lower(F.col(col)), CHAR_WS_RE, " ").alias("_t"))
+    # the texts are dealt by key before they become grams (about 30 times
+    # their size), so counting grams per text needs no further exchange
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    prep = prep.repartition(parts, key)
     ex = prep.select(key, F.explode(char_grams(F.col("_t"), minn, maxn)).alias("gram"))
     tf = ex.groupBy(key, "gram").agg(F.count(F.lit(1)).alias("tf"))
     n_docs = df.select(F.count(F.lit(1))).scalar()
     dfreq = tf.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     # df per gram: aggregate + join (a gram found in every document is a hot
     # key; AQE splits that join partition)
-    # the gram table grows with the corpus: sort-merge (spillable), never a
-    # broadcast chosen from a compressed size estimate
-    w = tf.join(dfreq.hint("merge"), "gram").withColumn(
+    w = tf.join(dfreq, "gram").withColumn(
         "w", F.col("tf") * (F.ln((F.lit(1) + n_docs) / (F.lit(1) + F.col("df"))) + 1))
     # row norm: a window per document (bounded by the document's own grams),
     # one shuffle instead of an aggregate plus a join

@@ -13,6 +13,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textlake.operators.common import fill_forward
+
 from textlake.functions import text as T
 
 
@@ -105,13 +107,11 @@ def repeat_users(df: DataFrame, user: str, bar: float, group: Sequence[str] = ()
 
 
 def backfill(df: DataFrame, col: str, order: Sequence[str], part: Sequence[str] = ()) -> DataFrame:
-    """WIN-04: a missing value takes the next row's (first non-null after it).
-
-    Partition by ``part`` (e.g. topic); the window is bounded by the group.
+    """WIN-04: a missing value takes the next row's (first non-null after it)
+    within ``part`` (e.g. topic): the value is carried forward in reverse order,
+    across sort partitions, so a hot topic is not one task.
     """
-    from pyspark.sql import Window
-    w = Window.partitionBy(*part).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-    return df.withColumn(col, F.first(col, ignorenulls=True).over(w))
+    return fill_forward(df, [F.col(c).desc() for c in order], col, part)
 
 
 def by_time(df: DataFrame, col: str) -> DataFrame:

@@ -73,20 +73,18 @@ def subword_vectors(words: DataFrame, rows: DataFrame, vocab=None, nwords: int =
 # ---------------------------------------------------------------------------
 def text_vectors(df: DataFrame, key: str, tokens: str, vectors: DataFrame, dim: int, how: str = "normed") -> DataFrame:
     """VEC-02.  ``normed``: mean of the unit vectors of the known words with
-    non-zero norm; ``mean``: mean of all token rows (unknown = zeros);
-    ``sumsq``: sum / (sum . sum), all-zero or empty -> zeros."""
-    ex = df.select(key, F.explode(tokens).alias("word"))
+    non-zero norm; ``mean``: mean of the rows of the known words;
+    ``sumsq``: sum / (sum . sum), all-zero or empty -> zeros.  Words are
+    counted per text first, so a vector is joined once per (text, word)."""
+    ex = df.select(key, F.explode(tokens).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).cast("double").alias("_n"))
     j = ex.join(vectors.select("word", "vec"), "word")
     if how == "normed":
         j = j.filter(A.vec_norm(F.col("vec")) > 0).withColumn("vec", A.normalize_rows(F.col("vec")))
-        res = A.group_vector_stats(j, [key], "vec", "mean").select(key, "vec")
+        res = A.group_vector_stats(j, [key], "vec", "mean", weight="_n").select(key, "vec")
     elif how == "mean":
-        # unknown tokens count in the divisor as zero rows
-        n = ex.groupBy(key).agg(F.count(F.lit(1)).alias("_ntok"))
-        s = A.group_vector_stats(j, [key], "vec", "sum").join(n, key)
-        res = s.select(key, F.transform("vec", lambda x: x / F.col("_ntok")).alias("vec"))
+        res = A.group_vector_stats(j, [key], "vec", "mean", weight="_n").select(key, "vec")
     elif how == "sumsq":
-        s = A.group_vector_stats(j, [key], "vec", "sum")
+        s = A.group_vector_stats(j, [key], "vec", "sum", weight="_n")
         d = A.vec_dot(F.col("vec"), F.col("vec"))
         res = s.select(key, F.when(d > 0, A.scale_by(F.col("vec"), d)).otherwise(A.zeros(dim)).alias("vec"))
     else:
@@ -209,7 +207,7 @@ def analogy_accuracy(triples: DataFrame, vectors: DataFrame, order_col: str = "q
     res = found.join(top.select("qid", F.col("word").alias("pred")), "qid", "left")
     res = res.withColumn("ok", (F.col("pred") == F.col("d")).cast("int"))
     sec_no = triples.groupBy("section").agg(F.min(order_col).alias("_first"))
-    sec_no = dense_index(sec_no, ["_first"], name="sec_no", checkpoint=False)
+    sec_no = dense_index(sec_no, ["_first"], name="sec_no")
     res = res.join(sec_no.select("section", "sec_no"), "section")
     per = res.groupBy("section", "sec_no").agg(F.sum("ok").alias("correct"), F.count(F.lit(1)).alias("n_qs"))
     kind = F.when(F.col("sec_no") <= 5, "semantic").otherwise("syntactic")

@@ -64,31 +64,36 @@ def label_counts(tokens: DataFrame, col: str = "tokens", prefix: str = LABEL_PRE
     return token_counts(tokens, col).filter(F.col("word").startswith(prefix)).withColumnRenamed("word", "label")
 
 
-def encode_tokens(df: DataFrame, key: str, col: str, vocab: DataFrame) -> DataFrame:
-    """JOIN-04: token -> id, unknown dropped, order kept.
+def _ordered(g: DataFrame, key: str, field: str, out: str, kind: str) -> DataFrame:
+    """One list per key in position order (null entries are skipped)."""
+    lists = g.groupBy(key).agg(F.array_sort(F.collect_list(
+        F.when(F.col(field).isNotNull(), F.struct("pos", field)))).alias("_s"))
+    return lists.select(key, F.transform("_s", lambda s: s[field]).cast(f"array<{kind}>").alias(out))
 
-    posexplode -> equi join on word (AQE splits a hot word) -> per-row
-    ordered collect (a row's list is bounded by the row's own length)."""
-    ex = df.select(key, F.posexplode(col).alias("pos", "word"))
-    j = ex.join(vocab.select("word", "id"), "word")
-    g = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_s"))
-    enc = g.select(key, F.transform("_s", lambda s: s["id"]).alias("ids"))
-    return df.select(key).join(enc, key, "left").select(
-        key, F.coalesce("ids", F.array().cast("array<bigint>")).alias("ids"))
 
+def encode_tokens(df: DataFrame, key: str, col: str, vocab: DataFrame, offset: int = 0) -> DataFrame:
+    """JOIN-04: token -> id + ``offset``, unknown dropped, order kept.
 
-def decode_tokens(df: DataFrame, key: str, col: str, vocab: DataFrame, pad: int = 0) -> DataFrame:
-    """JOIN-07: ids back to words, padding id dropped, order kept."""
-    ex = df.select(key, F.posexplode(col).alias("pos", "id")).filter(F.col("id") != pad)
-    j = ex.join(vocab.select("id", "word"), "id")
-    g = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("_s"))
-    dec = g.select(key, F.transform("_s", lambda s: s["word"]).alias("words"))
-    return df.select(key).join(dec, key, "left").select(
-        key, F.coalesce("words", F.array().cast("array<string>")).alias("words"))
+    posexplode -> left join on word (AQE splits a hot word) -> one ordered
+    collect per row (a row's list is bounded by the row's own length); rows
+    without known words keep an empty list, so ``df`` is read once.  An offset of
+    1 leaves 0 free as a padding id."""
+    ex = df.select(key, F.posexplode_outer(col).alias("pos", "word"))
+    j = ex.join(vocab.select("word", (F.col("id") + offset).alias("id")), "word", "left")
+    return _ordered(j, key, "id", "ids", "bigint")
+
+
+def decode_tokens(df: DataFrame, key: str, col: str, vocab: DataFrame, pad: int = 0, offset: int = 1) -> DataFrame:
+    """JOIN-07: ids (word id + ``offset``) back to words, padding dropped, order kept."""
+    ids = F.filter(col, lambda i: i != pad)
+    ex = df.select(key, F.posexplode_outer(ids).alias("pos", "_id"))
+    words = vocab.select((F.col("id") + offset).alias("_id"), "word")
+    return _ordered(ex.join(words, "_id", "left"), key, "word", "words", "string")
 
 
 def pad(col: Column, n: int, value: int = 0) -> Column:
-    """ARR-01: pad at the front / cut at the front to length ``n``."""
+    """ARR-01: pad at the front / cut at the front to length ``n`` (ids from 1,
+    see ``encode_tokens(offset=1)``: 0 is no word)."""
     size = F.size(col)
     return F.when(size >= n, F.slice(col, size - n + 1, n)).otherwise(
         F.concat(F.array_repeat(F.lit(value).cast("bigint"), F.lit(n) - size), col))

@@ -40,7 +40,7 @@ def _pr_sql(k):
   round(sum(len(list_filter(pred_labels[1:{k}], lambda p: list_contains(true_labels, p)))) / ({k} * count(*)), 6) AS p_at_{k},
   round(sum(len(list_filter(pred_labels[1:{k}], lambda p: list_contains(true_labels, p)))) / sum(len(true_labels)), 6)
     AS r_at_{k}
-FROM predictions WHERE len(true_labels) > 0""", "predictions")
+FROM predictions WHERE len(true_labels) > 0 AND len(words) > 0""", "predictions")
 
 
 @register("precision_recall_at_1", _pr_sql(1))

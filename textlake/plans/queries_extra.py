@@ -13,7 +13,7 @@ from textlake.operators import posts as P
 from textlake.operators import vectors as VE
 from textlake.plans import sqlfrag as Q
 from textlake.plans.queries_trend import SPEC_SQL, W6H
-from textlake.plans.queries_vectors import COS_SQL, DOC_TOKS_SQL, WORD_TABLE_SQL, _doc_tokens, _summary, _word_table
+from textlake.plans.queries_vectors import COS_SQL, DOC_TOKS_SQL, WORD_TABLE_SQL, _dim, _doc_tokens, _summary, _word_table
 from textlake.plans.registry import register, round_doubles
 from textlake.sources import tables as S
 from textlake.sources.tables import with_fixtures
@@ -73,7 +73,7 @@ s AS (SELECT doc_id, list_transform(hs, lambda x: CASE WHEN x >= 2147483648 THEN
 b AS (SELECT doc_id, list_transform(list_zip(u[1:len(u) - 1], u[2:]),
     lambda z: CAST(((z[1] * 116049371 + z[2]) % 18446744073709551616) % 2000000 AS BIGINT)) AS bk FROM s)
 SELECT doc_id, CAST(len(bk) AS BIGINT) AS n, CAST(coalesce(list_sum(bk), 0) AS BIGINT) AS bucket_sum,
-  array_to_string(bk[1:5], ' ') AS first_buckets FROM b"""
+  array_to_string(bk, ' ') AS buckets FROM b"""
 
 
 @register("word_ngram_buckets", WNG_SQL)
@@ -83,7 +83,7 @@ def word_ngram_buckets_q(spark, sf_dir):
     b = d.select("doc_id", H.word_ngram_buckets(F.transform("tk", H.fnv1a), 2, 2_000_000).alias("bk"))
     return b.select("doc_id", F.size("bk").cast("bigint").alias("n"),
                     F.aggregate("bk", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("bucket_sum"),
-                    F.array_join(F.slice("bk", 1, 5), " ").alias("first_buckets"))
+                    F.array_join("bk", " ").alias("buckets"))
 
 
 @register("line_features")
@@ -102,16 +102,16 @@ def line_features_q(spark, sf_dir):
 
 @register("text_vectors_mean", with_fixtures(f"""WITH {WORD_TABLE_SQL},
 ex AS (SELECT doc_id, unnest({DOC_TOKS_SQL}) AS word FROM documents),
-nt AS (SELECT doc_id, count(*) AS n FROM ex GROUP BY doc_id),
 j AS (SELECT ex.doc_id, wt.vec FROM ex JOIN wt USING (word)),
+nt AS (SELECT doc_id, count(*) AS n FROM j GROUP BY doc_id),
 dims AS (SELECT j.doc_id, d.i, sum(vec[d.i]) / any_value(nt.n) AS m FROM j JOIN nt USING (doc_id),
     (SELECT unnest(range(1, 65)) AS i) d GROUP BY j.doc_id, d.i),
 per AS (SELECT doc_id, sum(m) AS vsum, sqrt(sum(m * m)) AS vnorm FROM dims GROUP BY doc_id)
 SELECT d.doc_id, round(coalesce(per.vsum, 0.0), 6) AS vsum, round(coalesce(per.vnorm, 0.0), 6) AS vnorm
 FROM documents d LEFT JOIN per USING (doc_id)""", "lines_all"))
 def text_vectors_mean(spark, sf_dir):
-    """VEC-02(b): mean of all token rows (unknown tokens count as zeros)."""
-    tv = VE.text_vectors(_doc_tokens(spark, sf_dir), "doc_id", "tokens", _word_table(spark, sf_dir), 64, "mean")
+    """VEC-02(b): mean of the rows of the known words."""
+    tv = VE.text_vectors(_doc_tokens(spark, sf_dir), "doc_id", "tokens", _word_table(spark, sf_dir), _dim(spark, sf_dir), "mean")
     return _summary(tv, "doc_id")
 
 

@@ -327,27 +327,30 @@ TOKS_NOEOS = Q.tokenize_ws("text", eos=False)
 
 
 @register("skipgram_cooc", "WITH t AS (SELECT " + TOKS_NOEOS + " AS tk FROM documents),\n" + "p AS (" + " UNION ALL ".join(
-    f"SELECT unnest(list_slice(tk, 1, greatest(len(tk) - {d}, 0))) AS center, {d} AS dist FROM t UNION ALL "
-    f"SELECT unnest(list_slice(tk, {d} + 1, {d} + greatest(len(tk) - {d}, 0))) AS center, {d} AS dist FROM t"
+    f"SELECT unnest(list_slice(tk, 1, greatest(len(tk) - {d}, 0))) AS center, "
+    f"unnest(list_slice(tk, {d} + 1, {d} + greatest(len(tk) - {d}, 0))) AS context, {d} AS dist FROM t UNION ALL "
+    f"SELECT unnest(list_slice(tk, {d} + 1, {d} + greatest(len(tk) - {d}, 0))) AS center, "
+    f"unnest(list_slice(tk, 1, greatest(len(tk) - {d}, 0))) AS context, {d} AS dist FROM t"
     for d in range(1, WS + 1)) + f""")
-SELECT center, count(*) AS n_pairs, round(sum(({WS} - dist + 1) / {WS}.0), 6) AS weight_sum FROM p GROUP BY center""")
+SELECT center, context, count(*) AS n_pairs, round(sum(({WS} - dist + 1) / {WS}.0), 6) AS weight_sum
+FROM p GROUP BY center, context""")
 def skipgram_cooc(spark, sf_dir):
     d = S.load(spark, sf_dir, "documents").select(T.tokenize_ws(F.col("text"), eos_at_end=False).alias("tk"))
     p = VE.skipgram_pairs(d, "tk", WS)
-    return round_doubles(p.groupBy("center").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum("weight").alias("weight_sum")))
+    return round_doubles(p.groupBy("center", "context").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum("weight").alias("weight_sum")))
 
 
 @register("cbow_bags", f"""WITH t AS (SELECT doc_id, {TOKS_NOEOS} AS tk FROM documents)
 SELECT doc_id, CAST(len(tk) AS BIGINT) AS n_bags,
   CAST(coalesce(list_sum(list_transform(range(len(tk)), lambda i: least(i, {WS}) + least(len(tk) - 1 - i, {WS}))), 0) AS BIGINT)
     AS ctx_total,
-  coalesce(array_to_string(list_transform(range(least(len(tk), 3)), lambda i:
-    array_to_string(list_concat(tk[greatest(i - {WS}, 0) + 1 : i], tk[i + 2 : least(len(tk), i + 1 + {WS})]), ',')), '|'), '') AS first_bags
+  coalesce(array_to_string(list_transform(range(len(tk)), lambda i:
+    array_to_string(list_concat(tk[greatest(i - {WS}, 0) + 1 : i], tk[i + 2 : least(len(tk), i + 1 + {WS})]), ',')), '|'), '') AS bags
 FROM t""")
 def cbow_bags_q(spark, sf_dir):
     d = S.load(spark, sf_dir, "documents").select("doc_id", T.tokenize_ws(F.col("text"), eos_at_end=False).alias("tk"))
     bags = d.select("doc_id", "tk").withColumn("b", VE.cbow_bags(F.col("tk"), WS))
     ctx = F.aggregate(F.transform("b", lambda s: F.size(s["context"])), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    first = F.array_join(F.transform(F.slice("b", 1, 3), lambda s: F.array_join(s["context"], ",")), "|")
+    every = F.array_join(F.transform("b", lambda s: F.array_join(s["context"], ",")), "|")
     return bags.select("doc_id", F.size("b").cast("bigint").alias("n_bags"), ctx.alias("ctx_total"),
-                       F.coalesce(first, F.lit("")).alias("first_bags"))
+                       F.coalesce(every, F.lit("")).alias("bags"))

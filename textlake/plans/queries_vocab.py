@@ -98,28 +98,29 @@ def encode_tokens_q(spark, sf_dir):
     return e.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), F.array_join("ids", " ").alias("ids"))
 
 
+# word ids from 1: the padding id 0 is no word
+ENC1_SQL = "SELECT doc_id, list_transform(ids, lambda z: z + 1) AS ids FROM enc"
 PAD_SQL = "CASE WHEN len(ids) >= 140 THEN ids[len(ids) - 139:] ELSE list_concat(list_transform(range(140 - len(ids)), lambda z: 0), ids) END"
 
 
 @register("pad_sequences", with_fixtures(f"""WITH {ENC_SQL}
-SELECT doc_id, array_to_string({PAD_SQL}, ' ') AS padded FROM enc""", "lines_all"))
+SELECT doc_id, array_to_string({PAD_SQL}, ' ') AS padded FROM ({ENC1_SQL})""", "lines_all"))
 def pad_sequences_q(spark, sf_dir):
     toks = _line_tokens(spark, sf_dir)
-    e = V.encode_tokens(toks, "doc_id", "tokens", V.build_vocab(toks, "tokens", MIN_COUNT, 1))
+    e = V.encode_tokens(toks, "doc_id", "tokens", V.build_vocab(toks, "tokens", MIN_COUNT, 1), offset=1)
     return e.select("doc_id", F.array_join(V.pad(F.col("ids"), 140), " ").alias("padded"))
 
 
 @register("decode_tokens", with_fixtures(f"""WITH {ENC_SQL},
-pd AS (SELECT doc_id, {PAD_SQL} AS p FROM enc),
+pd AS (SELECT doc_id, {PAD_SQL} AS p FROM ({ENC1_SQL})),
 ex2 AS (SELECT doc_id, unnest(range(len(p))) AS pos, unnest(p) AS id FROM pd)
-SELECT d.doc_id, coalesce((SELECT string_agg(v.word, ' ' ORDER BY e.pos) FROM ex2 e JOIN vocab v USING (id)
+SELECT d.doc_id, coalesce((SELECT string_agg(v.word, ' ' ORDER BY e.pos) FROM ex2 e JOIN vocab v ON v.id = e.id - 1
                            WHERE e.doc_id = d.doc_id AND e.id <> 0), '') AS words FROM pd d""", "lines_all"))
 def decode_tokens_q(spark, sf_dir):
-    """Padding id 0 is dropped (0 is also the first vocabulary id, as with a
-    reserved padding index it would not be)."""
+    """Encode with ids from 1, pad with 0, decode: every word of the last 140 comes back."""
     toks = _line_tokens(spark, sf_dir)
     vocab = V.build_vocab(toks, "tokens", MIN_COUNT, 1)
-    e = V.encode_tokens(toks, "doc_id", "tokens", vocab).select("doc_id", V.pad(F.col("ids"), 140).alias("ids"))
+    e = V.encode_tokens(toks, "doc_id", "tokens", vocab, offset=1).select("doc_id", V.pad(F.col("ids"), 140).alias("ids"))
     d = V.decode_tokens(e, "doc_id", "ids", vocab)
     return d.select("doc_id", F.array_join("words", " ").alias("words"))
 
@@ -195,10 +196,20 @@ def lexicon_sentiment_q(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # TXT-04 / TXT-05 character 3..7-gram TF-IDF on the clean texts
 # ---------------------------------------------------------------------------
+def _char_grams_sql(ch: str, minn: int, maxn: int) -> str:
+    """Zips of shifted slices, one list per gram length (as on the Spark side)."""
+    per_length = []
+    for k in range(minn, maxn + 1):
+        slices = ", ".join(f"list_slice({ch}, {i + 1}, {i} + greatest(len({ch}) - {k} + 1, 0))" for i in range(k))
+        joined = " || ".join(f"cz[{i + 1}]" for i in range(k))
+        per_length.append(f"list_transform(list_zip({slices}), lambda cz: {joined})")
+    return f"list_concat({', '.join(per_length)})"
+
+
 TFIDF_SQL = f"""{CLEAN_SQL},
 lt AS (SELECT doc_id, regexp_replace(lower(c), '{N.CHAR_WS_RE}', ' ', 'g') AS t FROM cl),
 chs AS (SELECT doc_id, regexp_extract_all(t, '(?s).') AS ch FROM lt),
-ex AS (SELECT doc_id, unnest(list_concat(list_transform(list_zip(list_slice(ch, 1, 0 + greatest(len(ch) - 3 + 1, 0)), list_slice(ch, 2, 1 + greatest(len(ch) - 3 + 1, 0)), list_slice(ch, 3, 2 + greatest(len(ch) - 3 + 1, 0))), lambda cz: cz[1] || cz[2] || cz[3]), list_transform(list_zip(list_slice(ch, 1, 0 + greatest(len(ch) - 4 + 1, 0)), list_slice(ch, 2, 1 + greatest(len(ch) - 4 + 1, 0)), list_slice(ch, 3, 2 + greatest(len(ch) - 4 + 1, 0)), list_slice(ch, 4, 3 + greatest(len(ch) - 4 + 1, 0))), lambda cz: cz[1] || cz[2] || cz[3] || cz[4]), list_transform(list_zip(list_slice(ch, 1, 0 + greatest(len(ch) - 5 + 1, 0)), list_slice(ch, 2, 1 + greatest(len(ch) - 5 + 1, 0)), list_slice(ch, 3, 2 + greatest(len(ch) - 5 + 1, 0)), list_slice(ch, 4, 3 + greatest(len(ch) - 5 + 1, 0)), list_slice(ch, 5, 4 + greatest(len(ch) - 5 + 1, 0))), lambda cz: cz[1] || cz[2] || cz[3] || cz[4] || cz[5]), list_transform(list_zip(list_slice(ch, 1, 0 + greatest(len(ch) - 6 + 1, 0)), list_slice(ch, 2, 1 + greatest(len(ch) - 6 + 1, 0)), list_slice(ch, 3, 2 + greatest(len(ch) - 6 + 1, 0)), list_slice(ch, 4, 3 + greatest(len(ch) - 6 + 1, 0)), list_slice(ch, 5, 4 + greatest(len(ch) - 6 + 1, 0)), list_slice(ch, 6, 5 + greatest(len(ch) - 6 + 1, 0))), lambda cz: cz[1] || cz[2] || cz[3] || cz[4] || cz[5] || cz[6]), list_transform(list_zip(list_slice(ch, 1, 0 + greatest(len(ch) - 7 + 1, 0)), list_slice(ch, 2, 1 + greatest(len(ch) - 7 + 1, 0)), list_slice(ch, 3, 2 + greatest(len(ch) - 7 + 1, 0)), list_slice(ch, 4, 3 + greatest(len(ch) - 7 + 1, 0)), list_slice(ch, 5, 4 + greatest(len(ch) - 7 + 1, 0)), list_slice(ch, 6, 5 + greatest(len(ch) - 7 + 1, 0)), list_slice(ch, 7, 6 + greatest(len(ch) - 7 + 1, 0))), lambda cz: cz[1] || cz[2] || cz[3] || cz[4] || cz[5] || cz[6] || cz[7]))) AS gram FROM chs),
+ex AS (SELECT doc_id, unnest({_char_grams_sql('ch', 3, 7)}) AS gram FROM chs),
 tf AS (SELECT doc_id, gram, count(*) AS tf FROM ex GROUP BY doc_id, gram),
 dfq AS (SELECT gram, count(*) AS df FROM tf GROUP BY gram),
 w AS (SELECT tf.doc_id, tf.gram, tf.tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + dfq.df)) + 1) AS w
@@ -213,21 +224,22 @@ def _tfidf(spark, sf_dir):
 
 
 @register("char_tfidf_summary", f"""WITH {TFIDF_SQL}
-SELECT doc_id, count(*) AS n_grams, round(max(weight), 6) AS max_weight, round(sum(weight * weight), 6) AS sq_norm
+SELECT doc_id, count(*) AS n_grams, round(max(weight), 6) AS max_weight, round(sum(weight), 4) AS weight_sum,
+  round(sum(weight * length(gram)), 4) AS weight_by_length
 FROM tfidf GROUP BY doc_id""")
 def char_tfidf_summary(spark, sf_dir):
     t = _tfidf(spark, sf_dir)
     return round_doubles(t.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_grams"), F.max("weight").alias("max_weight"),
-        F.sum(F.col("weight") * F.col("weight")).alias("sq_norm")))
+        F.round(F.sum("weight"), 4).alias("weight_sum"),
+        F.round(F.sum(F.col("weight") * F.length("gram")), 4).alias("weight_by_length")))
 
 
 @register("top_grams", f"""WITH {TFIDF_SQL}
-SELECT gram, round(max(weight), 6) AS max_weight FROM tfidf GROUP BY gram ORDER BY max_weight DESC, gram LIMIT 1000""")
+SELECT gram, round(max(weight), 6) AS max_weight FROM tfidf GROUP BY gram""")
 def top_grams_q(spark, sf_dir):
-    """TXT-05 as a top-1000 report by largest weight (the limit is the report)."""
-    g = N.top_grams(_tfidf(spark, sf_dir))
-    return round_doubles(g).orderBy(F.col("max_weight").desc(), "gram").limit(1000)
+    """TXT-05: the largest weight of every gram."""
+    return round_doubles(N.top_grams(_tfidf(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------------------

@@ -63,6 +63,8 @@ def trend_matrix(posts: DataFrame, dim: DataFrame, mode: str = "GT", n_pieces: i
         s = B.sentiment_scores(kept, ["topic"]).withColumnRenamed("compound_score", "twitter_trend_compound")
         rej = flagged.groupBy("topic").agg(F.sum("is_spam").cast("bigint").alias("number_tweets_rejected"))
         out = out.join(s, "topic", "left").join(rej, "topic", "left")
+        # a topic that keeps nothing reports no score and no rejected posts
+        out = out.withColumn("number_tweets_rejected", F.when(F.col("number_tweets").isNotNull(), F.col("number_tweets_rejected")))
     if "G" in mode:
         series, _ = trend_series(posts, n_pieces, up, low, spam_ids, white_ids)
         since = up - _dt.timedelta(microseconds=interval_micros(since_parts))

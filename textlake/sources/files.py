@@ -138,14 +138,21 @@ def write_labeled(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 # SRC-07 / SRC-08 word vectors in text form ------------------------------------
 def parse_vectors(lines: DataFrame, order: Sequence[str], col: str = "value") -> DataFrame:
-    """``word v1 ... vd`` lines (an optional ``n dim`` header is dropped):
-    rows with a wrong field count or a bad number are dropped, zero-norm
-    rows skipped, the first duplicate wins."""
+    """``word v1 ... vd`` lines.  A first line of two whole numbers is the
+    ``n dim`` header and names the dimension; without one the first line's
+    field count does.  Rows with a wrong field count or a bad number are
+    dropped, zero-norm rows skipped, the first duplicate wins."""
     f = F.filter(F.split(F.col(col), " ", -1), lambda x: x != "")
-    df = lines.withColumn("_f", f)
-    # the dimension is the most common field count minus one (a tiny aggregate)
-    dim = (df.groupBy(F.size("_f").alias("_k")).count()
-             .orderBy(F.col("count").desc(), F.col("_k").desc()).first()[0]) - 1
+    df = lines.withColumn("_f", f).withColumn("_o", F.struct(*order))
+    first = df.select(F.min_by(F.struct("_f", "_o"), "_o").alias("x")).first()["x"]
+    if first is None:
+        return df.select(F.lit("").alias("word"), F.array().cast("array<float>").alias("vec")).limit(0)
+    head = first["_f"]
+    header = len(head) == 2 and all(x.isascii() and x.isdigit() for x in head)
+    dim = int(head[1]) if header else len(head) - 1
+    if header:
+        smallest = df.select(F.min("_o")).scalar()
+        df = df.filter(F.col("_o") > smallest)
     vec = F.transform(F.slice("_f", 2, F.size("_f")), lambda x: x.try_cast("float"))
     df = df.filter(F.size("_f") == dim + 1).withColumn("word", F.get("_f", 0)).withColumn("vec", vec)
     df = df.filter(F.forall("vec", lambda x: x.isNotNull()))
@@ -219,7 +226,7 @@ def parse_questions(lines: DataFrame, order: Sequence[str], col: str = "value")
     The section is carried forward in line order with ``fill_forward``
     (per-partition fill plus a small cross-partition prefix)."""
     is_sec = F.col(col).startswith(":")
-    df = lines.withColumn("_sec", F.when(is_sec, F.trim(F.substring(F.col(col), 2, 1_000_000))))
+    df = lines.withColumn("_sec", F.when(is_sec, F.trim(F.expr(f"substring({col}, 2)"))))
     df = fill_forward(df, order, "_sec")
     f = F.split(F.trim(F.col(col)), " ", -1)
     q = df.filter(~is_sec & (F.size(f) == 4))

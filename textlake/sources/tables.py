@@ -184,7 +184,9 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.concat(F.lit("__label__t"), F.col("toxic").cast("string"))).alias("true_labels"),
         F.array(F.concat(F.lit("__label__"), (did % 2).cast("string")),
                 F.concat(F.lit("__label__t"), (did % 3).cast("string")),
-                F.concat(F.lit("__label__x"), (did % 5).cast("string"))).alias("pred_labels"))
+                F.concat(F.lit("__label__x"), (did % 5).cast("string"))).alias("pred_labels"),
+        # long words only, so that some labelled lines have none
+        F.regexp_extract_all("text", F.lit("[a-z]{12,}"), 0).alias("words"))
 
 
 def codebook(spark: SparkSession, sf_dir: str, dsub: int = 2, k: int = 16) -> DataFrame:
@@ -246,7 +248,8 @@ FIXTURE_SQL = {
     "predictions": """SELECT doc_id, CAST(quality AS BIGINT) AS y, doc_id % 2 AS prediction,
         ['__label__' || CAST(quality AS VARCHAR), '__label__t' || CAST(toxic AS VARCHAR)] AS true_labels,
         ['__label__' || CAST(doc_id % 2 AS VARCHAR), '__label__t' || CAST(doc_id % 3 AS VARCHAR),
-         '__label__x' || CAST(doc_id % 5 AS VARCHAR)] AS pred_labels
+         '__label__x' || CAST(doc_id % 5 AS VARCHAR)] AS pred_labels,
+        regexp_extract_all(text, '[a-z]{12,}') AS words
       FROM labeled""",
     "codebook": """SELECT s.sub, e.vec_id AS code, e.embedding[s.sub * 2 + 1 : s.sub * 2 + 2] AS centroid
       FROM embeddings e, (SELECT unnest(range(0, 32)) AS sub) s WHERE e.vec_id < 16""",

@@ -100,7 +100,9 @@ def run_available(df: DataFrame, out: str, mode: str = "append", foreach_batch=N
 
 
 def append_spam_table(path: str):
-    """STM-04 sink: each micro-batch's flagged users appended to a table."""
+    """STM-04 sink: each micro-batch's flagged users become one partition
+    ``batch_id=<id>`` of a table; a batch that is replayed after a failure
+    overwrites its own partition, so it is never there twice."""
     def write(batch: DataFrame, epoch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(epoch_id)).write.mode("append").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={epoch_id}")
     return write
