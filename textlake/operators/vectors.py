@@ -1,11 +1,11 @@
 """Word / text vectors, nearest neighbours, analogies, rank correlation,
 context windows (VEC-01..05, JOIN-05/06/08, AGG-08/09, WIN-07..09).
 
-Nearest neighbours are exact: the query set is cut into chunks of a
-checked size, each chunk is broadcast to a ``mapInPandas`` scan of the
-vector table that keeps only the best ``k`` (plus ties) per query and
-partition, and a final per-query top-k runs on at most
-(#partitions x k) candidates.  No cross join, no all-pairs output.
+Nearest neighbours are exact: a given query table is cut into blocks of a
+bounded size, each block is broadcast to a ``mapInPandas`` scan of the
+vector table that keeps a running best ``k`` per query and emits it once per
+task, and a final per-query top-k runs on at most (#partitions x k)
+candidates.  No cross join, no all-pairs output.
 """
 
 from __future__ import annotations
@@ -96,37 +96,34 @@ def text_vectors(df: DataFrame, key: str, tokens: str, vectors: DataFrame, dim:
 # ---------------------------------------------------------------------------
 # VEC-04 / VEC-05 nearest neighbours and analogies
 # ---------------------------------------------------------------------------
-def _scan_fn(qids, qmat, qnorm, bans, k):
+QUERY_TILE = 512              # queries scored at once inside a task
+
+
+def _scan_fn(shared, k: int, qid_type: str):
+    """Best ``k`` words per query of one task's vectors (sim, then word, both
+    falling), emitted once when the task has read all of them."""
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        Q = qmat.value if hasattr(qmat, "value") else qmat
+        qids, Q, qnorm, bans = shared.value
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, object))] * len(qids)
         for b in batches:
             if len(b) == 0:
                 continue
             V = np.stack(b["uvec"].to_numpy()).astype(np.float64)
             words = b["word"].to_numpy()
-            S = (V @ Q.T) / qnorm                       # rows: vectors, cols: queries
-            pos = {w: i for i, w in enumerate(words)}
-            for j, ban in enumerate(bans):
-                for w in ban:
-                    i = pos.get(w)
-                    if i is not None:
-                        S[i, j] = -np.inf
-            kk = min(k, len(words))
-            out_q, out_w, out_s = [], [], []
-            for j in range(S.shape[1]):
-                col = S[:, j]
-                if kk < len(col):
-                    thr = np.partition(col, len(col) - kk)[len(col) - kk]
-                    idx = np.nonzero(col >= thr)[0]          # keeps every tie at the cut
-                else:
-                    idx = np.arange(len(col))
-                idx = idx[np.isfinite(col[idx])]
-                out_q.append(np.full(len(idx), qids[j]))
-                out_w.append(words[idx])
-                out_s.append(col[idx])
-            if out_q:
-                yield pd.DataFrame({"qid": np.concatenate(out_q).astype(np.int64),
-                                    "word": np.concatenate(out_w), "sim": np.concatenate(out_s)})
+            for lo in range(0, len(qids), QUERY_TILE):
+                S = (V @ Q[lo:lo + QUERY_TILE].T) / qnorm[lo:lo + QUERY_TILE]
+                spare = min(k + max((len(x) for x in bans[lo:lo + QUERY_TILE]), default=0), len(words))
+                cut = np.partition(S, len(words) - spare, axis=0)[len(words) - spare]
+                for j in range(S.shape[1]):
+                    near = np.flatnonzero(S[:, j] >= cut[j])
+                    near = near[[w not in bans[lo + j] for w in words[near]]]
+                    sims = np.concatenate([best[lo + j][0], S[near, j]])
+                    names = np.concatenate([best[lo + j][1], words[near]])
+                    order = sorted(range(len(sims)), key=lambda i: (sims[i], names[i]), reverse=True)[:k]
+                    best[lo + j] = (sims[order], names[order])
+        out = [(q, w, s) for q, (sims, names) in zip(qids, best) for s, w in zip(sims, names)]
+        if out:
+            yield pd.DataFrame(out, columns=["qid", "word", "sim"])
     return scan
 
 
@@ -136,48 +133,49 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, chunk: int = MAX_QUERY_CHUNK) -> DataFrame:
-    """VEC-04: the k nearest words by cosine for every query.
+    """VEC-04: the k nearest words by cosine for every query of a given table.
 
-    ``queries``: (qid bigint, qvec array, ban array<string>); ``vectors``:
-    (word, vec).  Ties by word, descending.  Returns (qid, rank, word, sim).
+    ``queries``: (qid, qvec array, ban array<string>), one row a qid;
+    ``vectors``: (word, vec).  Ties by word, descending.  The queries are
+    broadcast in hash blocks of about ``chunk``; every task scans its vectors
+    once per block and emits k words a query.  Returns (qid, rank, word, sim).
     """
     spark = queries.sparkSession
     units = unit_vectors(vectors)
-    n = queries.count()
-    n_chunks = max(1, -(-n // chunk))
-    q = queries.withColumn("_chunk", F.pmod(F.xxhash64("qid"), F.lit(n_chunks)))
-    parts = []
-    for c in range(n_chunks):
-        qc = q.filter(F.col("_chunk") == c).select("qid", "qvec", "ban")
-        # size check: a hash chunk holds ~chunk queries; refuse to broadcast
-        # one that is far larger (a skewed qid set) instead of risking OOM
-        rows = qc.collect() if qc.count() <= 4 * chunk else None
-        if rows is None:
-            raise ValueError("query chunk over the broadcast bound; raise the chunk count")
+    qid_type = dict(queries.dtypes)["qid"]
+    blocks = max(1, -(-queries.count() // chunk))
+    cand = None
+    for c in range(blocks):
+        qc = queries.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == c).select("qid", "qvec", "ban")
+        rows = qc.collect()                       # one bounded block of the query table
         if not rows:
             continue
-        qids = np.array([r["qid"] for r in rows], dtype=np.int64)
         qmat = np.stack([np.asarray(r["qvec"], dtype=np.float64) for r in rows])
         qnorm = np.linalg.norm(qmat, axis=1)
         qnorm[np.abs(qnorm) < QUERY_NORM_FLOOR] = 1.0
-        bans = [list(r["ban"] or []) for r in rows]
-        bq = spark.sparkContext.broadcast(qmat)
-        parts.append(units.mapInPandas(_scan_fn(qids, bq, qnorm, bans, k), "qid long, word string, sim double"))
-    if not parts:
-        return spark.createDataFrame([], "qid long, rank int, word string, sim double")
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
-    # candidates per query <= #partitions x (k + ties): a bounded window
+        shared = spark.sparkContext.broadcast(([r["qid"] for r in rows], qmat, qnorm, [set(r["ban"] or ()) for r in rows]))
+        part = units.mapInPandas(_scan_fn(shared, k, qid_type), f"qid {qid_type}, word string, sim double")
+        cand = part if cand is None else cand.unionByName(part)
+    if cand is None:
+        return spark.createDataFrame([], f"qid {qid_type}, rank int, word string, sim double")
+    # candidates per query <= #partitions x k: a bounded window
     w = Window.partitionBy("qid").orderBy(F.col("sim").desc(), F.col("word").desc())
     return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def word_queries(vectors: DataFrame, words: DataFrame | None = None) -> DataFrame:
-    """Queries for VEC-04: each word (its own vector, itself banned)."""
-    src = vectors if words is None else vectors.join(words.select("word"), "word", "left_semi")
-    ix = src.select("word", "vec", F.xxhash64("word").alias("qid"))
-    return ix.select("qid", "word", A.as_double(F.col("vec")).alias("qvec"), F.array(F.col("word")).alias("ban"))
+def word_queries(vectors: DataFrame, words: DataFrame) -> DataFrame:
+    """Queries for VEC-04: the given words by their own vectors, each banned
+    from its own answer; the word is the query's id."""
+    src = vectors.join(words.select("word").distinct(), "word", "left_semi")
+    return src.select(F.col("word").alias("qid"), A.as_double(F.col("vec")).alias("qvec"), F.array("word").alias("ban"))
+
+
+def oov_queries(words: DataFrame, rows: DataFrame, dim: int, vocab: DataFrame | None = None, nwords: int = 0,
+                bucket: int = 2_000_000, minn: int = 3, maxn: int = 6) -> DataFrame:
+    """Queries for VEC-04 by any word, known or not: its vector is that of its
+    sub-words (VEC-01); the word is the query's id and banned."""
+    v = word_vectors(words, rows, dim, vocab, nwords, bucket, minn, maxn)
+    return v.select(F.col("word").alias("qid"), A.as_double(F.col("vec")).alias("qvec"), F.array("word").alias("ban"))
 
 
 def analogy_queries(triples: DataFrame, vectors: DataFrame, unit: bool = True) -> DataFrame:

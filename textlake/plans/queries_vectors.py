@@ -129,15 +129,42 @@ COS_SQL = """(CASE WHEN list_dot_product(o.v, o.v) > 0 THEN list_dot_product(o.v
 
 
 @register("nearest_words", with_fixtures(f"""WITH vv AS (SELECT word, CAST(vec AS DOUBLE[]) AS v FROM vectors),
-s AS (SELECT q.word AS query, o.word, {COS_SQL} AS sim FROM vv q, vv o WHERE o.word <> q.word),
+qq AS (SELECT 'label' || CAST(label AS VARCHAR) AS word, list(m ORDER BY i) AS v
+  FROM (SELECT label, d.i, avg(CAST(vec[d.i] AS DOUBLE)) AS m FROM vectors, (SELECT unnest({DIM_SQL}) AS i) d GROUP BY label, d.i)
+  GROUP BY label
+  UNION ALL SELECT word, CAST(vec AS DOUBLE[]) FROM vectors WHERE vec_id % 100 = 0),
+s AS (SELECT q.word AS query, o.word, {COS_SQL} AS sim FROM qq q, vv o WHERE o.word <> q.word),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, word DESC) AS rank FROM s)
 SELECT query, CAST(rank AS INTEGER) AS rank, word, round(sim, 6) AS sim FROM r WHERE rank <= 10""", "vectors"))
 def nearest_words(spark, sf_dir):
-    v = S.vectors(spark, sf_dir).select("word", "vec")
-    q = VE.word_queries(v)
+    """Query table: the mean vector of each label and every hundredth word."""
+    all_v = S.vectors(spark, sf_dir)
+    v = all_v.select("word", "vec")
+    means = A.group_vector_stats(all_v, ["label"], "vec", "mean").select(
+        F.concat(F.lit("label"), F.col("label").cast("string")).alias("qid"), F.col("vec").alias("qvec"),
+        F.array().cast("array<string>").alias("ban"))
+    q = means.unionByName(VE.word_queries(v, all_v.filter(F.col("vec_id") % 100 == 0)))
     nn = VE.nearest(q, v, k=10)
-    return round_doubles(nn.join(q.select("qid", F.col("word").alias("query")), "qid").select(
-        "query", F.col("rank").cast("int").alias("rank"), "word", "sim"))
+    return round_doubles(nn.select(F.col("qid").alias("query"), F.col("rank").cast("int").alias("rank"), "word", "sim"))
+
+
+@register("nearest_unknown_words", with_fixtures(f"""WITH vv AS (SELECT word, CAST(vec AS DOUBLE[]) AS v FROM vectors),
+nemb AS (SELECT count(*) AS n FROM embeddings),
+gw AS (SELECT lower(n_name) AS word, {Q.char_ngram_strings('lower(n_name)', MINN, MAXN)} AS grams, nemb.n AS nb FROM nation, nemb),
+sw AS (SELECT word, unnest(list_transform(grams, lambda g: {Q.fnv1a('g')} % nb)) AS row_id FROM gw),
+j AS (SELECT sw.word, d.i, avg(CAST(e.embedding[d.i] AS DOUBLE)) AS m FROM sw JOIN embeddings e ON e.vec_id = sw.row_id,
+  (SELECT unnest({DIM_SQL}) AS i) d GROUP BY sw.word, d.i),
+qq AS (SELECT word, list(m ORDER BY i) AS v FROM j GROUP BY word),
+s AS (SELECT q.word AS query, o.word, {COS_SQL} AS sim FROM qq q, vv o WHERE o.word <> q.word),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, word DESC) AS rank FROM s)
+SELECT query, CAST(rank AS INTEGER) AS rank, word, round(sim, 6) AS sim FROM r WHERE rank <= 10""", "vectors"))
+def nearest_unknown_words(spark, sf_dir):
+    """VEC-04 for words outside the vocabulary (the nation names), by their sub-words."""
+    emb = S.load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vec"))
+    words = S.load(spark, sf_dir, "nation").select(F.lower("n_name").alias("word"))
+    q = VE.oov_queries(words, emb, _dim(spark, sf_dir), None, 0, emb.count(), MINN, MAXN)
+    nn = VE.nearest(q, S.vectors(spark, sf_dir).select("word", "vec"), k=10)
+    return round_doubles(nn.select(F.col("qid").alias("query"), F.col("rank").cast("int").alias("rank"), "word", "sim"))
 
 
 ANALOGY_SQL = f"""WITH vv AS (SELECT word, CAST(vec AS DOUBLE[]) AS v FROM vectors),
