@@ -84,8 +84,8 @@ def test_nearest_equals_brute_force(spark):
     V[5] = V[6]                                   # a tie
     words = [f"w{i:03d}" for i in range(300)]
     vec = spark.createDataFrame(pd.DataFrame({"word": words, "vec": list(V)})).repartition(4)
-    q = VE.word_queries(vec)
-    got = VE.nearest(q, vec, k=5, chunk=64).join(q.select("qid", F.col("word").alias("query")), "qid")
+    q = VE.word_queries(vec, vec)
+    got = VE.nearest(q, vec, k=5, chunk=64).withColumnRenamed("qid", "query")
     got = got.toPandas().sort_values(["query", "rank"])
     U = V / np.linalg.norm(V, axis=1, keepdims=True)
     for qi in [0, 5, 6, 123]:
@@ -108,15 +108,139 @@ def test_pq_error_falls_with_k(spark):
     assert errs[1] < errs[0]
 
 
+def _lines(spark, n=120):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(n):
+        y = int(rng.random() < 0.4)
+        words = [f"w{rng.integers(30)}" for _ in range(rng.integers(3, 12))] + ([f"good{rng.integers(3)}"] if y else [f"bad{rng.integers(3)}"])
+        rows.append((i, f"__label__{y} " + " ".join(words)))
+    return spark.createDataFrame(rows, "id long, line string")
+
+
+def _vectors_by(df, key):
+    return {r[key]: np.array(r["vec"]) for r in df.collect()}
+
+
+def test_classifier_does_not_depend_on_partitions(spark):
+    from textlake.operators import classifier as K
+    from textlake.operators.models import Args
+    models = [K.train(_lines(spark).repartition(n), "id", "line", Args(dim=6, epoch=4, lr=0.5, seed=1, word_ngrams=2, bucket=512))
+              for n in (1, 8, 64)]
+    for part, key in (("input", "row_id"), ("output", "label_id")):
+        first = _vectors_by(getattr(models[0], part), key)
+        for m in models[1:]:
+            other = _vectors_by(getattr(m, part), key)
+            assert first.keys() == other.keys() and all(np.allclose(first[k], other[k], atol=1e-9) for k in first)
+
+
+def test_classifier_learns_and_survives_shrinking(spark):
+    from textlake.operators import classifier as K
+    from textlake.operators.models import Args
+    m = K.train(_lines(spark), "id", "line", Args(dim=6, epoch=8, lr=0.5, seed=1))
+    test = spark.createDataFrame([(i, f"w{i} w{i + 1} {'good' if i % 2 else 'bad'}{i % 3}", f"__label__{i % 2}") for i in range(30)],
+                                 "id long, line string, y string")
+    hits = lambda model: K.predict(model, test, "id", "line").join(test, "id").filter("label = y").count()
+    assert hits(m) >= 27
+    small, codes, book = K.shrink(m, 20, qnorm=True, qout=True, retrain=_lines(spark), key="id", text="line")
+    assert codes.count() == 20 and hits(small) >= 25
+    with pytest.raises(ValueError):
+        K.shrink(K.Classifier(Args(model="skipgram"), m.vocab, m.nwords, m.input, m.output), 5)
+
+
 def test_save_load_identity(spark, tmp_path):
-    from textlake.operators import models as M
-    df = spark.createDataFrame([(i, f"__label__{i % 2} w{i % 5} common word{i % 3}") for i in range(60)],
-                               "id long, line string")
-    m = M.train_classifier(df, "id", "line", M.Args(dim=8, epoch=2, lr=0.5, seed=1))
-    M.save(m, str(tmp_path / "m"))
-    b = M.load(spark, str(tmp_path / "m"))
-    assert np.allclose(b.input, m.input) and np.allclose(b.output, m.output)
-    assert b.labels == m.labels and b.nwords == m.nwords
+    from textlake.operators import classifier as K
+    from textlake.operators.models import Args
+    m = K.train(_lines(spark, 60), "id", "line", Args(dim=8, epoch=2, lr=0.5, seed=1))
+    K.save(m, str(tmp_path / "m"))
+    b = K.load(spark, str(tmp_path / "m"))
+    for part, key in (("input", "row_id"), ("output", "label_id")):
+        one, two = _vectors_by(getattr(m, part), key), _vectors_by(getattr(b, part), key)
+        assert one.keys() == two.keys() and all((one[k] == two[k]).all() for k in one)
+    assert b.nwords == m.nwords and b.args == m.args
+
+
+def test_embeddings_bring_shared_contexts_together(spark):
+    from textlake.operators import embeddings as EM
+    from textlake.operators.models import Args
+    rng = np.random.default_rng(2)
+    text = lambda: " ".join(rng.choice(["cat", "dog"]) + " eats " + rng.choice(["fish", "meat"]) if rng.random() < .5
+                            else rng.choice(["car", "bus"]) + " needs " + rng.choice(["fuel", "oil"]) for _ in range(4))
+    df = spark.createDataFrame([(i, "\n".join(text() for _ in range(3))) for i in range(60)], "id long, text string")
+    for model in ("skipgram", "cbow"):
+        m = EM.train(df, "id", "text", Args(model=model, dim=6, epoch=6, lr=0.3, min_count=1, ws=2, t=1.0, seed=3))
+        v = {r["word"]: np.array(r["vec"]) for r in m.vocab.join(m.input, m.vocab["id"] == m.input["row_id"]).collect()}
+        cos = lambda a, b: v[a] @ v[b] / np.linalg.norm(v[a]) / np.linalg.norm(v[b])
+        assert cos("cat", "dog") > cos("cat", "bus") and cos("car", "bus") > cos("car", "dog")
+
+
+def test_codebook_of_few_rows_and_empty_clusters(spark):
+    X = np.repeat(np.arange(6.0), 2).reshape(-1, 2)
+    df = spark.createDataFrame(pd.DataFrame({"row_id": np.arange(6), "vec": list(X)}))
+    cb = QN.pq_train(df, 1, ksub=256, niter=3)
+    assert cb.count() == 2 * 6                                     # no more centroids than rows
+    same = spark.createDataFrame(pd.DataFrame({"row_id": np.arange(40), "vec": [np.array([1.0])] * 39 + [np.array([5.0])]}))
+    got = sorted(r["centroid"][0] for r in QN.pq_train(same, 1, ksub=4, niter=5).collect())
+    assert len(got) == 4 and abs(got[-1] - 5) < 1e-3 and abs(got[0] - 1) < 1e-3
+
+
+def test_padding_keeps_the_first_word(spark):
+    from textlake.operators import vocab as V
+    toks = spark.createDataFrame([(1, ["the", "cat"]), (2, []), (3, ["zzz"])], "id long, t array<string>")
+    vocab = spark.createDataFrame([(0, "the"), (1, "cat")], "id long, word string")
+    e = V.encode_tokens(toks, "id", "t", vocab, offset=1).select("id", V.pad(F.col("ids"), 4).alias("ids"))
+    assert {r["id"]: r["ids"] for r in e.collect()} == {1: [0, 0, 1, 2], 2: [0] * 4, 3: [0] * 4}
+    back = {r["id"]: r["words"] for r in V.decode_tokens(e, "id", "ids", vocab).collect()}
+    assert back == {1: ["the", "cat"], 2: [], 3: []}
+
+
+def test_mean_of_known_words_only(spark):
+    df = spark.createDataFrame([(1, ["x", "unk", "unk"])], "id long, t array<string>")
+    vec = spark.createDataFrame([("x", [3.0, 6.0])], "word string, vec array<double>")
+    assert VE.text_vectors(df, "id", "t", vec, 2, "mean").first()["vec"] == [3.0, 6.0]
+
+
+def test_vector_file_with_header_and_one_number(spark):
+    from textlake.sources import files as FI
+    rows = [(0, "2 1"), (1, "a 3"), (2, "b 4"), (3, "b 5"), (4, "c 1 2")]
+    got = FI.parse_vectors(spark.createDataFrame(rows, "o long, value string"), ["o"])
+    assert {r["word"]: r["vec"] for r in got.collect()} == {"a": [3.0], "b": [4.0]}
+
+
+def test_backfill_with_a_hot_topic_over_many_partitions(spark):
+    from textlake.operators import posts as P
+    rng = np.random.default_rng(1)
+    pdf = pd.DataFrame({"k": ["hot" if x < .8 else "cold" for x in rng.random(2000)], "o": np.arange(2000),
+                        "v": [None if rng.random() < .6 else int(i) for i in range(2000)]})
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "k string, o long, v long").repartition(16)
+    got = P.backfill(df, "v", ["o"], ["k"]).toPandas().sort_values("o")["v"]
+    want = pdf.groupby("k")["v"].bfill()
+    assert got.fillna(-1).astype(int).tolist() == want.fillna(-1).astype(int).tolist()
+
+
+def test_replayed_stream_batch_is_written_once(spark, tmp_path):
+    from textlake.streaming import stream as ST
+    write = ST.append_spam_table(str(tmp_path / "t"))
+    batch = spark.createDataFrame([(1,), (2,)], "user_id long")
+    write(batch, 0)
+    write(batch, 0)
+    write(batch, 1)
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 4
+
+
+def test_topic_that_keeps_nothing_reports_no_rejected_posts(spark):
+    import datetime as dt
+    from textlake.plans.trend import trend_matrix
+    from textlake.sources import tables as S
+    posts = S.posts(spark, "/root/testdata/sf0.001")
+    one = posts.select("topic").first()[0]
+    young = posts.withColumn("user_age_days", F.when(F.col("topic") == one, 0).otherwise(F.col("user_age_days")))
+    for c in ("user_posts_count", "user_follower_count", "user_favorite_count", "tweet_favorite_count", "retweet_count"):
+        young = young.withColumn(c, F.when(F.col("topic") == one, F.lit(0)).otherwise(F.col(c)))
+    dim = S.topic_ids(spark, "/root/testdata/sf0.001")
+    r = trend_matrix(young, dim, mode="T").filter(F.col("name") == one).first()
+    assert (r["number_tweets"], r["number_tweets_rejected"]) == (-1, 0)
+    assert isinstance(r["start_date"], dt.datetime)
 
 
 def test_word_vector_is_mean_of_subword_rows(spark):

@@ -1,8 +1,8 @@
 """Classifier evaluation and prediction (AGG-06, AGG-07, FLT-07, MDL-05, TOP-02).
 
-Prediction keeps the output matrix (one row per label, a size bounded by
-the label count and checked) in a broadcast numpy array used inside
-``mapInPandas``; rows are never crossed with labels in a join.
+Prediction keeps the output matrix (one row per label) in a broadcast numpy
+array used inside ``mapInPandas``, label tile by label tile; rows are never
+crossed with labels in a join.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_LABELS = 1_000_000   # output rows kept in one broadcast (size check)
+LABEL_TILE = 4096   # labels scored at once for a batch of rows
 
 
 def confusion(df: DataFrame, y: str = "y", pred: str = "prediction") -> DataFrame:
@@ -59,10 +59,7 @@ def predict(hidden: DataFrame, key: str, output: DataFrame, k: int = 1, threshol
     ``hidden``: (key, vec) sentence vectors (VEC-02 mean of feature rows);
     ``output``: (label, vec).  Returns (key, rank, label, prob).
     """
-    n_labels = output.count()
-    if n_labels > MAX_LABELS:
-        raise ValueError("output matrix over the broadcast bound")
-    rows = output.orderBy("label").collect()
+    rows = output.orderBy("label").collect()          # one row per label
     labels = np.array([r["label"] for r in rows], dtype=object)
     W = hidden.sparkSession.sparkContext.broadcast(np.stack([np.asarray(r["vec"], dtype=np.float64) for r in rows]))
     kk = min(k, len(labels))
@@ -70,19 +67,25 @@ def predict(hidden: DataFrame, key: str, output: DataFrame, k: int = 1, threshol
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         Wv = W.value
         for b in batches:
-            if len(b) == 0:
+            n = len(b)
+            if not n:
                 continue
             H = np.stack(b["vec"].to_numpy()).astype(np.float64)
-            z = H @ Wv.T
-            z -= z.max(axis=1, keepdims=True)
-            p = np.exp(z)
-            p /= p.sum(axis=1, keepdims=True)
-            order = np.lexsort((np.tile(np.arange(len(labels)), (len(b), 1)), -p), axis=1)[:, :kk]
-            keys = np.repeat(b[key].to_numpy(), kk)
-            ranks = np.tile(np.arange(1, kk + 1), len(b))
-            lab = labels[order].ravel()
-            pr = np.take_along_axis(p, order, axis=1).ravel()
-            out = pd.DataFrame({key: keys, "rank": ranks.astype(np.int32), "label": lab, "prob": pr})
+            top, norm = np.full(n, -np.inf), np.zeros(n)
+            best, ids = np.empty((n, 0)), np.empty((n, 0), dtype=np.int64)
+            # labels in tiles: the running softmax sum and the k best so far
+            for lo in range(0, len(Wv), LABEL_TILE):
+                z = H @ Wv[lo:lo + LABEL_TILE].T
+                new = np.maximum(top, z.max(axis=1))
+                norm = norm * np.exp(top - new) + np.exp(z - new[:, None]).sum(axis=1)
+                top = new
+                all_z = np.concatenate([best, z], axis=1)
+                all_i = np.concatenate([ids, np.broadcast_to(np.arange(lo, lo + z.shape[1]), z.shape)], axis=1)
+                order = np.argsort(-all_z, axis=1, kind="stable")[:, :kk]
+                best, ids = np.take_along_axis(all_z, order, 1), np.take_along_axis(all_i, order, 1)
+            p = np.exp(best - top[:, None]) / norm[:, None]
+            out = pd.DataFrame({key: np.repeat(b[key].to_numpy(), kk), "rank": np.tile(np.arange(1, kk + 1), n).astype(np.int32),
+                                "label": labels[ids].ravel(), "prob": p.ravel()})
             yield out[out["prob"] >= threshold]
     key_type = dict(hidden.dtypes)[key]
     return hidden.select(key, "vec").mapInPandas(run, f"{key} {key_type}, rank int, label string, prob double")

@@ -1,36 +1,16 @@
-"""Model training (MDL-01..04, MDL-06..11, QNT-06).
-
-Word-vector and classifier training replace the library's lock-free
-threads with iterative parameter mixing (McDonald et al., 2010): each
-round broadcasts the current input / output matrices, every partition runs
-one local SGD pass over its own lines in ``mapInPandas`` (numpy, vectorised
-per line or per batch of lines), emits the deltas of the rows it touched,
-and the deltas are summed per row by a ``groupBy`` and divided by the
-number of partitions.  The learning rate decays linearly over the rounds.
-The model (vocabulary x dim) is what is broadcast; the data never leaves
-its partition.  Between rounds the line table is checkpointed once.
-
-Spark ML covers the rest: Word2Vec (words only), LogisticRegression,
-MultilayerPerceptronClassifier, KMeans, PCA, ParamGridBuilder +
-TrainValidationSplit.
-"""
+"""Model arguments, line features, word dropout and the Spark ML models
+(STR-14, MDL-01 words only, MDL-06..10).  The classifier is in
+``classifier.py``, sub-word embeddings are in ``embeddings.py``."""
 
 from __future__ import annotations
 
-import json
-from dataclasses import asdict, dataclass, field
-from typing import Iterator
+from dataclasses import dataclass, field
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlake.functions import hashing as H
-from textlake.functions import text as T
-from textlake.operators import vocab as V
 from textlake.operators.common import hash_share
-from textlake.session import checkpoint_dir
 
 
 @dataclass
@@ -52,7 +32,6 @@ class Args:
     t: float = 1e-4
     label: str = "__label__"
     seed: int = 0
-    max_line: int = 1024
     extra: dict = field(default_factory=dict)
 
     def __post_init__(self):
@@ -60,16 +39,6 @@ class Args:
             self.bucket = 0        # the library's rule: no hashed rows without n-grams
 
 
-@dataclass
-class Model:
-    args: Args
-    vocab: DataFrame             # (id, word, count, type)
-    nwords: int
-    labels: list
-    input: np.ndarray            # (nwords + bucket) x dim
-    output: np.ndarray           # nlabels x dim (supervised) or nwords x dim
-
-
 # ---------------------------------------------------------------------------
 # features
 # ---------------------------------------------------------------------------
@@ -77,7 +46,7 @@ def line_features(df: DataFrame, key: str, tokens: str, vocab: DataFrame, args:
     """STR-14: per line the feature row ids (word id or its sub-words;
     unknown words give their sub-words) followed by word n-gram buckets,
     and the label ids.  Order is kept with positions."""
-    ex = df.select(key, F.posexplode(F.slice(F.col(tokens), 1, args.max_line)).alias("pos", "word"))
+    ex = df.select(key, F.posexplode(tokens).alias("pos", "word"))
     is_label = F.col("word").startswith(args.label)
     # sub-word ids and hashes once per distinct word, not per occurrence
     dw = ex.select("word").distinct().join(vocab.select("word", F.col("id").alias("_vid")), "word", "left")
@@ -98,282 +67,6 @@ def line_features(df: DataFrame, key: str, tokens: str, vocab: DataFrame, args:
         key, "features", F.coalesce("labels", F.array().cast("array<bigint>")).alias("labels"))
 
 
-def _word_lines(df: DataFrame, key: str, tokens: str, vocab: DataFrame, args: Args) -> DataFrame:
-    """Unsupervised lines: ids of known words (labels out), in order, cut at max_line."""
-    ex = df.select(key, F.posexplode(F.slice(F.col(tokens), 1, args.max_line)).alias("pos", "word"))
-    j = ex.join(vocab.filter(F.col("type") == "word").select("word", F.col("id").alias("_vid")), "word")
-    g = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "_vid"))).alias("_s"))
-    return g.select(key, F.transform("_s", lambda s: s["_vid"]).alias("words"))
-
-
-# ---------------------------------------------------------------------------
-# local SGD passes (run inside mapInPandas)
-# ---------------------------------------------------------------------------
-def _sigmoid(x):
-    return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
-
-
-def _sup_pass(lines, A, B, lr0, lr1, rng):
-    n = len(lines)
-    for i, (feat, labs) in enumerate(lines):
-        if len(feat) == 0 or len(labs) == 0:
-            continue
-        lr = lr0 + (lr1 - lr0) * i / max(n, 1)
-        y = labs[rng.integers(len(labs))]
-        h = A[feat].mean(axis=0)
-        z = B @ h
-        z -= z.max()
-        p = np.exp(z)
-        p /= p.sum()
-        alpha = lr * (-p)
-        alpha[y] += lr
-        grad = alpha @ B
-        B += np.outer(alpha, h)
-        np.add.at(A, feat, grad / len(feat))
-
-
-def _ns_pass(lines, sub, A, B, lr0, lr1, args, neg_table, keep, rng, cbow):
-    n = len(lines)
-    for i, words in enumerate(lines):
-        lr = lr0 + (lr1 - lr0) * i / max(n, 1)
-        words = np.asarray(words, dtype=np.int64)
-        if keep is not None and len(words):
-            words = words[rng.random(len(words)) < keep[words]]
-        L = len(words)
-        if L < 2:
-            continue
-        reach = rng.integers(1, args.ws + 1, size=L)
-        for c in range(L):
-            lo, hi = max(0, c - reach[c]), min(L, c + reach[c] + 1)
-            ctx = np.concatenate([words[lo:c], words[c + 1:hi]])
-            if len(ctx) == 0:
-                continue
-            if cbow:
-                inputs = [np.concatenate([sub[w] for w in ctx])]
-                targets = [words[c]]
-            else:
-                inputs = [sub[words[c]]] * len(ctx)
-                targets = list(ctx)
-            for inp, tgt in zip(inputs, targets):
-                h = A[inp].mean(axis=0)
-                negs = neg_table[rng.integers(len(neg_table), size=args.neg)]
-                negs = negs[negs != tgt]
-                tg = np.concatenate([[tgt], negs])
-                lab = np.zeros(len(tg))
-                lab[0] = 1.0
-                s = _sigmoid(B[tg] @ h)
-                alpha = lr * (lab - s)
-                grad = alpha @ B[tg]
-                np.add.at(B, tg, np.outer(alpha, h))
-                np.add.at(A, inp, grad)
-
-
-def _round_fn(args: Args, bA, bB, lr0, lr1, rnd, sub, neg_table, keep, kind):
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-        A = bA.value.copy()
-        B = bB.value.copy()
-        A0, B0 = bA.value, bB.value
-        part = TaskContext.get().partitionId() if TaskContext.get() else 0
-        seed = (args.seed * 1_000_003 + rnd * 7919 + part) % (2 ** 32)
-        rng = np.random.default_rng(seed)
-        touched_a: set = set()
-        any_rows = False
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            any_rows = True
-            if kind == "supervised":
-                lines = [(np.asarray(f, dtype=np.int64), np.asarray(l, dtype=np.int64))
-                         for f, l in zip(pdf["features"], pdf["labels"])]
-                for f, _ in lines:
-                    touched_a.update(f.tolist())
-                _sup_pass(lines, A, B, lr0, lr1, rng)
-            else:
-                lines = [np.asarray(w, dtype=np.int64) for w in pdf["words"]]
-                subv = sub.value
-                for w in lines:
-                    for x in w:
-                        touched_a.update(subv[x].tolist())
-                _ns_pass(lines, subv, A, B, lr0, lr1, args, neg_table.value,
-                         keep.value if keep is not None else None, rng, kind == "cbow")
-        if not any_rows:
-            return
-        ta = np.array(sorted(touched_a), dtype=np.int64)
-        dA = A[ta] - A0[ta]
-        tb = np.nonzero(np.any(B != B0, axis=1))[0]
-        dB = B[tb] - B0[tb]
-        yield pd.DataFrame({"m": ["in"] * len(ta) + ["out"] * len(tb),
-                            "row": np.concatenate([ta, tb]).astype(np.int64),
-                            "delta": list(dA) + list(dB)})
-    return run
-
-
-MAX_MODEL_BYTES = 4 << 30   # broadcast bound for the model matrices (checked)
-
-
-def _mix(spark, lines: DataFrame, args: Args, A, B, kind, sub=None, neg_table=None, keep=None) -> tuple:
-    """Rounds of parameter mixing; returns the final (A, B)."""
-    if A.nbytes + B.nbytes > MAX_MODEL_BYTES:
-        raise ValueError("model over the broadcast bound: raise min_count or lower bucket / dim")
-    nparts = lines.rdd.getNumPartitions()
-    for e in range(args.epoch):
-        lr0 = args.lr * (1 - e / args.epoch)
-        lr1 = args.lr * (1 - (e + 1) / args.epoch)
-        bA, bB = spark.sparkContext.broadcast(A), spark.sparkContext.broadcast(B)
-        deltas = lines.mapInPandas(_round_fn(args, bA, bB, lr0, lr1, e, sub, neg_table, keep, kind),
-                                   "m string, row long, delta array<double>")
-        # per model row, the partitions' deltas summed in Spark (Summarizer);
-        # the result is the model's size and arrives as one Arrow batch
-        from textlake.functions.arrays import group_vector_stats
-        summed = group_vector_stats(deltas, ["m", "row"], "delta", "sum", out="d").select("m", "row", "d")
-        pdf = summed.toPandas()
-        A, B = A.copy(), B.copy()
-        for name, M in (("in", A), ("out", B)):
-            sel = pdf[pdf["m"] == name]
-            if len(sel):
-                M[sel["row"].to_numpy()] += np.stack(sel["d"].to_numpy()) / nparts
-        bA.unpersist()
-        bB.unpersist()
-    return A, B
-
-
-# ---------------------------------------------------------------------------
-# public trainers
-# ---------------------------------------------------------------------------
-def _init(rows: int, dim: int, seed: int, uniform: bool = True) -> np.ndarray:
-    rng = np.random.default_rng(seed)
-    return rng.uniform(-1.0 / dim, 1.0 / dim, size=(rows, dim)) if uniform else np.zeros((rows, dim))
-
-
-def train_classifier(df: DataFrame, key: str, text: str, args: Args | None = None,
-                     pretrained: DataFrame | None = None) -> Model:
-    """MDL-03 (+ MDL-04 with ``pretrained`` (word, vec) rows of the same dim)."""
-    args = args or Args()
-    spark = df.sparkSession
-    toks = df.select(key, T.tokenize_ws(F.col(text)).alias("tokens"))
-    vocab = V.build_vocab(toks, "tokens", args.min_count, args.min_count_label, args.label)
-    if pretrained is not None:
-        vocab = _with_pretrained_words(vocab, pretrained, args)
-    vocab = vocab.checkpoint(eager=True) if checkpoint_dir(spark) else vocab
-    nwords = vocab.filter(F.col("type") == "word").count()
-    labels = [r["word"] for r in vocab.filter(F.col("type") == "label").orderBy("id").collect()]
-    A = _init(nwords + args.bucket, args.dim, args.seed)
-    if pretrained is not None:
-        A = _load_pretrained(A, vocab, pretrained, args)
-    B = np.zeros((len(labels), args.dim))
-    lines = line_features(toks, key, "tokens", vocab, args, nwords).filter(F.size("labels") > 0)
-    lines = lines.checkpoint(eager=True)
-    A, B = _mix(spark, lines, args, A, B, "supervised")
-    return Model(args, vocab, nwords, labels, A, B)
-
-
-def train_embeddings(df: DataFrame, key: str, text: str, args: Args | None = None) -> Model:
-    """MDL-01 (skipgram) / MDL-02 (cbow): negative sampling, sub-words
-    (minn..maxn), frequent-word sub-sampling, linear rate decay."""
-    args = args or Args(model="skipgram", lr=0.05, minn=3, maxn=6, min_count=5)
-    spark = df.sparkSession
-    toks = df.select(key, T.tokenize_ws(F.col(text)).alias("tokens"))
-    vocab = V.build_vocab(toks, "tokens", args.min_count, args.min_count_label, args.label)
-    checkpoint_dir(spark)
-    vocab = vocab.checkpoint(eager=True)
-    words = vocab.filter(F.col("type") == "word").orderBy("id")
-    nwords = words.count()
-    ntokens = toks.select(F.sum(F.size("tokens"))).first()[0]
-    info = words.select("id", "word", "count",
-                        H.subword_ids(F.col("word"), F.col("id"), nwords, max(args.bucket, 1), args.minn, args.maxn)
-                        .alias("sub")).collect()          # one row per vocabulary word: the model's own size
-    counts = np.array([r["count"] for r in info], dtype=np.float64)
-    sub = [np.asarray(r["sub"], dtype=np.int64) for r in info]
-    f = counts / ntokens
-    keep = np.minimum(1.0, np.sqrt(args.t / f) + args.t / f)
-    p = np.sqrt(counts) / np.sqrt(counts).sum()
-    neg_table = np.repeat(np.arange(nwords), np.maximum(1, np.round(p * 1_000_000).astype(int)))
-    sc = spark.sparkContext
-    A = _init(nwords + args.bucket, args.dim, args.seed)
-    B = np.zeros((nwords, args.dim))
-    lines = _word_lines(toks, key, "tokens", vocab, args).checkpoint(eager=True)
-    A, B = _mix(spark, lines, args, A, B, args.model, sc.broadcast(sub), sc.broadcast(neg_table), sc.broadcast(keep))
-    return Model(args, vocab, nwords, [], A, B)
-
-
-def _with_pretrained_words(vocab: DataFrame, pretrained: DataFrame, args: Args) -> DataFrame:
-    """MDL-04: given words join the vocabulary with count 1 when absent."""
-    extra = pretrained.select("word").join(vocab.select("word"), "word", "left_anti").withColumn("count", F.lit(1))
-    c = vocab.select("word", "count").unionByName(extra)
-    is_label = F.col("word").startswith(args.label)
-    c = c.withColumn("type", F.when(is_label, "label").otherwise("word")).withColumn("_t", is_label.cast("int"))
-    from textlake.operators.common import dense_index
-    return dense_index(c, ["_t", F.col("count").desc(), "word"], name="id", start=0).drop("_t").select(
-        "id", "word", "count", "type")
-
-
-def _load_pretrained(A: np.ndarray, vocab: DataFrame, pretrained: DataFrame, args: Args) -> np.ndarray:
-    dims = pretrained.select(F.size("vec")).distinct().collect()
-    if len(dims) != 1 or dims[0][0] != args.dim:
-        raise ValueError("pretrained vectors must have the model dimension")
-    j = vocab.join(pretrained.select("word", "vec"), "word").select("id", "vec")
-    A = A.copy()
-    for r in j.collect():                # the model's rows
-        A[r["id"]] = np.asarray(r["vec"], dtype=np.float64)
-    return A
-
-
-# ---------------------------------------------------------------------------
-# using a model
-# ---------------------------------------------------------------------------
-def model_word_vectors(spark: SparkSession, model: Model, words: DataFrame) -> DataFrame:
-    """VEC-01 against a trained model: mean of the word's sub-word rows."""
-    from textlake.operators.vectors import word_vectors
-    rows = matrix_frame(spark, model.input)
-    return word_vectors(words, rows, model.args.dim, model.vocab.filter(F.col("type") == "word"), model.nwords,
-                        max(model.args.bucket, 1), model.args.minn, model.args.maxn)
-
-
-def matrix_frame(spark: SparkSession, M: np.ndarray, key: str = "row_id") -> DataFrame:
-    rows = [(i, [float(x) for x in r]) for i, r in enumerate(np.asarray(M, dtype=np.float64))]
-    return spark.createDataFrame(rows, f"{key} long, vec array<double>")
-
-
-def predict(model: Model, df: DataFrame, key: str, text: str, k: int = 1, threshold: float = 0.0) -> DataFrame:
-    """MDL-05 with a trained classifier."""
-    from textlake.operators.evaluation import predict as _predict
-    spark = df.sparkSession
-    toks = df.select(key, T.tokenize_ws(F.col(text)).alias("tokens"))
-    lines = line_features(toks, key, "tokens", model.vocab, model.args, model.nwords)
-    rows = matrix_frame(spark, model.input)
-    from textlake.functions import arrays as A
-    ex = lines.select(key, F.explode("features").alias("row_id")).join(rows, "row_id")
-    h = A.group_vector_stats(ex, [key], "vec", "mean").select(key, "vec")
-    hidden = df.select(key).join(h, key, "left").select(key, F.coalesce("vec", A.zeros(model.args.dim)).alias("vec"))
-    out = spark.createDataFrame([(l, [float(x) for x in r]) for l, r in zip(model.labels, model.output)],
-                                "label string, vec array<double>")
-    return _predict(hidden, key, out, k, threshold)
-
-
-# ---------------------------------------------------------------------------
-# MDL-11 save / load (Parquet directory)
-# ---------------------------------------------------------------------------
-def save(model: Model, path: str) -> None:
-    spark = model.vocab.sparkSession
-    meta = dict(args=asdict(model.args), nwords=model.nwords, labels=model.labels)
-    spark.createDataFrame([(json.dumps(meta),)], "json string").coalesce(1).write.mode("overwrite").text(f"{path}/args")
-    model.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
-    matrix_frame(spark, model.input).write.mode("overwrite").parquet(f"{path}/input")
-    matrix_frame(spark, model.output).write.mode("overwrite").parquet(f"{path}/output")
-
-
-def load(spark: SparkSession, path: str) -> Model:
-    meta = json.loads(spark.read.text(f"{path}/args").first()[0])
-    args = Args(**meta["args"])
-    vocab = spark.read.parquet(f"{path}/vocab")
-
-    def mat(name):
-        rows = spark.read.parquet(f"{path}/{name}").orderBy("row_id").collect()
-        return np.stack([np.asarray(r["vec"]) for r in rows]) if rows else np.zeros((0, args.dim))
-    return Model(args, vocab, meta["nwords"], meta["labels"], mat("input"), mat("output"))
-
-
 # ---------------------------------------------------------------------------
 # MDL-07 word dropout
 # ---------------------------------------------------------------------------
@@ -450,21 +143,3 @@ def project(df: DataFrame, vec: str, k: int = 3) -> tuple[DataFrame, list]:
     m = PCA(k=k, inputCol="features", outputCol="pca").fit(c)
     out = m.transform(c).withColumn("pca", vector_to_array("pca")).drop("raw", "features")
     return out, list(m.explainedVariance.toArray())
-
-
-def shrink(model: Model, cutoff: int, dsub: int = 2, qnorm: bool = False, qout: bool = False,
-           retrain_df: DataFrame | None = None, key: str = "id", text: str = "text"):
-    """QNT-06: classifiers only; keep ``cutoff`` input rows by norm (end of
-    line first), optionally retrain, quantize the input (and output) rows."""
-    from textlake.operators import quant as QN
-    if model.args.model != "supervised":
-        raise ValueError("only classifiers can be shrunk")
-    spark = model.vocab.sparkSession
-    rows = matrix_frame(spark, model.input)
-    kept = QN.prune_by_norm(rows, cutoff)
-    if qnorm:
-        unit, norms = QN.quantize_norms(kept)
-        cb = QN.pq_train(unit, dsub) if unit.count() >= QN.KSUB else None
-        return kept, cb, QN.pq_train(norms, 1) if norms.count() >= QN.KSUB else None
-    cb = QN.pq_train(kept, dsub) if kept.count() >= QN.KSUB else None
-    return kept, cb, None

@@ -4,8 +4,8 @@ Vectors are cut into ``ceil(dim / dsub)`` parts (the last may be shorter).
 Codebooks hold at most 256 centroids per part, so a codebook is bounded by
 256 x dim numbers whatever the row count: it is the one thing broadcast.
 Encoding is a ``mapInPandas`` arg-min against the broadcast codebook (no
-row x centroid join); training is Lloyd rounds of that assignment plus a
-``groupBy(sub, code)`` mean, with the small centroid table fed back.
+row x centroid join); training is Lloyd rounds in which every task sums its
+rows per centroid, with the small centroid table fed back.
 """
 
 from __future__ import annotations
@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlake.functions import arrays as A
-from textlake.operators.common import hash_key, hash_share
+from textlake.operators.common import hash_key
 from textlake.session import checkpoint_dir
 
 KSUB = 256              # fixed value: centroids per part
 NITER = 25              # fixed value: Lloyd rounds
-MAX_POINTS = 65_536     # fixed value: training points per part at most
+SPLIT_EPS = 1e-7        # fixed value: distance of the two halves of a split cluster
 
 
 def n_parts(dim: int, dsub: int) -> int:
@@ -102,46 +102,71 @@ def pq_dot(query_vec: list[float], codes: DataFrame, codebook: DataFrame, dsub:
     return j.groupBy(key).agg(F.sum("dot").alias("dot"))
 
 
+def _part_sums(book, dsub: int, vec: str):
+    """Of one task: per (part, code) how many rows it is nearest to and their sum."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = book.value
+        counts = {s: np.zeros(len(c), np.int64) for s, (c, _) in parts.items()}
+        sums = {s: np.zeros_like(m) for s, (_, m) in parts.items()}
+        for b in batches:
+            if len(b) == 0:
+                continue
+            X = np.stack(b[vec].to_numpy()).astype(np.float64)
+            for s, (_, C) in parts.items():
+                part = X[:, s * dsub: s * dsub + C.shape[1]]
+                near = ((part[:, None, :] - C[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
+                counts[s] += np.bincount(near, minlength=len(C))
+                np.add.at(sums[s], near, part)
+        rows = [(s, i, int(n), sums[s][i]) for s in parts for i, n in enumerate(counts[s]) if n]
+        if rows:
+            yield pd.DataFrame(rows, columns=["sub", "i", "n", "total"])
+    return run
+
+
+def _split_empty(counts: np.ndarray, M: np.ndarray) -> None:
+    """An empty cluster takes half of the fullest one, a hair apart from it."""
+    for e in np.flatnonzero(counts == 0):
+        big = int(counts.argmax())
+        if counts[big] < 2:
+            continue
+        sign = np.where(np.arange(M.shape[1]) % 2, SPLIT_EPS, -SPLIT_EPS)
+        M[e] = M[big] + sign
+        M[big] -= sign
+        counts[e] = counts[big] // 2
+        counts[big] -= counts[e]
+
+
 def pq_train(df: DataFrame, dsub: int, ksub: int = KSUB, niter: int = NITER, seed: int = 1234,
-             key: str = "row_id", vec: str = "vec", max_points: int = MAX_POINTS) -> DataFrame:
-    """QNT-01: codebook (sub, code, centroid) by Lloyd's k-means per part.
-
-    Seeds: the first ``ksub`` rows by md5(seed || key); at most
-    ``max_points`` rows (by hash share) train; every round is one
-    assignment scan plus one ``groupBy(sub, code)`` mean.  Lineage is cut
-    by checkpointing the training sample to the shared folder.
-    """
+             key: str = "row_id", vec: str = "vec", start: DataFrame | None = None) -> DataFrame:
+    """QNT-01: codebook (sub, code, centroid) by Lloyd's k-means per part over all rows.
+
+    Seeds: the first ``ksub`` rows by md5(seed || key) (all rows if there are
+    fewer) or the codebook ``start``.  In a round every task assigns its rows
+    and emits one sum per (part, code); those are added up, so rows never move.
+    Empty clusters split the fullest.  The rows are cut to the shared folder once."""
     spark = df.sparkSession
-    n = df.count()
-    if n < ksub:
-        raise ValueError(f"need at least {ksub} rows to train {ksub} centroids")
-    share = min(1.0, max_points / n)
-    train = df.select(key, vec)
-    if share < 1.0:
-        train = train.filter(hash_share(seed, F.col(key)) < share)
     checkpoint_dir(spark)
-    train = train.checkpoint(eager=True)
-    dim = train.select(F.size(vec)).first()[0]
-    nsub = n_parts(dim, dsub)
-    # seeds: ksub rows (bounded by the codebook size) reach the driver
-    seeds = train.orderBy(hash_key(seed, F.col(key)), key).limit(ksub).collect()
-    book = {}
-    for s in range(nsub):
-        M = np.stack([np.asarray(r[vec], dtype=np.float64)[s * dsub:(s + 1) * dsub] for r in seeds])
-        book[s] = (np.arange(len(seeds), dtype=np.int64), M)
-    for _ in range(niter):
-        enc = pq_encode(train, book, dsub, key, vec)
-        ex = enc.join(train, key).select(F.posexplode("codes").alias("sub", "code"), vec)
-        part = F.slice(A.as_double(F.col(vec)), F.col("sub") * dsub + 1, F.lit(dsub))
-        # per-dimension means: map-side combined, a hot cluster is not one task
-        means = (ex.select("sub", "code", F.posexplode(part).alias("d", "x"))
-                   .groupBy("sub", "code", "d").agg(F.avg("x").alias("m")))
-        new = {s: (c.copy(), m.copy()) for s, (c, m) in book.items()}
-        for r in means.collect():          # <= 256 x dim rows
-            cids, M = new[r["sub"]]
-            i = int(np.searchsorted(cids, r["code"]))
-            M[i, r["d"]] = r["m"]
-        book = new                          # empty clusters keep their centroid
+    train = df.select(key, vec).checkpoint(eager=True)
+    if start is not None:
+        book = _codebook_arrays(start)
+    else:
+        seeds = train.orderBy(hash_key(seed, F.col(key)), key).limit(ksub).collect()
+        dim = len(seeds[0][vec]) if seeds else 0
+        X = np.array([list(r[vec]) for r in seeds], dtype=np.float64).reshape(len(seeds), dim)
+        book = {s: (np.arange(len(seeds), dtype=np.int64), X[:, s * dsub:(s + 1) * dsub]) for s in range(n_parts(dim, dsub))}
+    for _ in range(niter if book else 0):
+        shared = spark.sparkContext.broadcast(book)
+        found = (train.mapInPandas(_part_sums(shared, dsub, vec), "sub int, i int, n long, total array<double>")
+                 .select("sub", "i", "n", F.posexplode("total").alias("d", "x")).groupBy("sub", "i", "d")
+                 .agg(F.sum("n").alias("n"), F.sum("x").alias("x")).collect())      # <= 256 x dim rows
+        counts = {s: np.zeros(len(c), np.int64) for s, (c, _) in book.items()}
+        book = {s: (c, m.copy()) for s, (c, m) in book.items()}
+        for r in found:
+            counts[r["sub"]][r["i"]] = r["n"]
+            book[r["sub"]][1][r["i"], r["d"]] = r["x"] / r["n"]
+        for s, (_, M) in book.items():
+            _split_empty(counts[s], M)
+        shared.unpersist()
     return _book_df(spark, book)
 
 

@@ -79,8 +79,8 @@ def encode_tokens(df: DataFrame, key: str, col: str, vocab: DataFrame, offset: i
     without known words keep an empty list, so ``df`` is read once.  An offset of
     1 leaves 0 free as a padding id."""
     ex = df.select(key, F.posexplode_outer(col).alias("pos", "word"))
-    j = ex.join(vocab.select("word", (F.col("id") + offset).alias("id")), "word", "left")
-    return _ordered(j, key, "id", "ids", "bigint")
+    j = ex.join(vocab.select("word", (F.col("id") + offset).alias("_id")), "word", "left")
+    return _ordered(j, key, "_id", "ids", "bigint")
 
 
 def decode_tokens(df: DataFrame, key: str, col: str, vocab: DataFrame, pad: int = 0, offset: int = 1) -> DataFrame:

@@ -105,6 +105,17 @@ def pq_dot_mean_query(spark, sf_dir):
     return round_doubles(QN.pq_dot(_mean_vector(spark, sf_dir), _codes(spark, sf_dir), S.codebook(spark, sf_dir), DSUB))
 
 
+@register("pq_lloyd_round", with_fixtures(f"""WITH {ENCODE_SQL},
+m AS (SELECT b.sub, b.code, avg(CAST(e.embedding[b.sub * 2 + 1] AS DOUBLE)) AS m0, avg(CAST(e.embedding[b.sub * 2 + 2] AS DOUBLE)) AS m1
+  FROM best b JOIN embeddings e USING (vec_id) GROUP BY b.sub, b.code)
+SELECT CAST(sub AS INTEGER) AS sub, code, round(m0, 6) AS m0, round(m1, 6) AS m1 FROM m""", "codebook"))
+def pq_lloyd_round(spark, sf_dir):
+    """QNT-01: one Lloyd round over all rows from a given codebook."""
+    e = S.load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vec"))
+    cb = QN.pq_train(e, DSUB, niter=1, start=S.codebook(spark, sf_dir))
+    return round_doubles(cb.select("sub", "code", F.col("centroid")[0].alias("m0"), F.col("centroid")[1].alias("m1")))
+
+
 @register("pq_train_codebook")
 def pq_train_codebook(spark, sf_dir):
     """QNT-01: 256 centroids per 2-dim part, 25 Lloyd rounds (rows-only)."""
