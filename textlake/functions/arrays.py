@@ -70,11 +70,6 @@ def scale_by(v: Column, d: Column) -> Column:
     return let(F.struct(v.alias("v"), d.alias("d")), lambda s: F.transform(s["v"], lambda x: x / s["d"]))
 
 
-def sum_vectors(list_col: Column, dim: int) -> Column:
-    """Element-wise sum of an array of vectors."""
-    return F.aggregate(list_col, zeros(dim), lambda acc, v: F.zip_with(acc, v, lambda x, y: x + y.cast("double")))
-
-
 def expand_vector(df: DataFrame, col: str, n: int, prefix: str = "dim") -> DataFrame:
     """ARR-05: spread a vector into columns dim0..dim{n-1}."""
     others = [c for c in df.columns if c != col]

@@ -65,10 +65,6 @@ def sql_lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def lit_array(values):
-    return F.array(*[F.lit(v) for v in values])
-
-
 def tokens(col: Column) -> Column:
     """Social tokenizer: array of tokens in order."""
     return F.regexp_extract_all(col, F.lit(TOKEN_RE), 0)
@@ -154,10 +150,12 @@ def ngrams(arr: Column, n: int, sep: str = " ") -> Column:
     return let(arr, body)
 
 
-def get_tokens(col: Column, n: int = 1) -> Column:
-    """STR-04: digits and apostrophes out, tokenize, n-grams ('a b' for n=2)."""
+def get_tokens(col: Column, n: int = 1, token_func=None) -> Column:
+    """STR-04: digits and apostrophes out, tokenize, n-grams ('a b' for n=2).
+    ``token_func`` (UDF-03): another Column -> Column tokenizer, a built-in
+    expression or a pandas UDF."""
     t = F.regexp_replace(F.coalesce(col, F.lit("")), "[0-9']", "")
-    return ngrams(tokens(t), n)
+    return ngrams((token_func or tokens)(t), n)
 
 
 def tokenize_ws(col: Column, eos_at_end: bool = True) -> Column:
@@ -225,8 +223,8 @@ def normalize_crude(col: Column, published: bool = False) -> Column:
 
 
 def min_tokens_mask(col: Column, n: int = 1) -> Column:
-    """FLT-06: keep lines with more than ``n`` blank-separated fields."""
-    return F.size(F.filter(F.split(col, " ", -1), lambda x: x != "")) > n
+    """FLT-06: keep lines with more than ``n`` fields (blanks and tabs between)."""
+    return F.size(F.filter(F.split(col, "[ \t]+", -1), lambda x: x != "")) > n
 
 
 def keyword_flag(col: Column, word: str) -> Column:

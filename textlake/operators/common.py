@@ -67,8 +67,9 @@ def sample_n(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
 
 
 def shuffle_rows(df: DataFrame, seed: int, key: str) -> DataFrame:
-    """TOP-06: a repeatable permutation (range-partitioned sort by hash)."""
-    return df.orderBy(hash_key(seed, F.col(key)), F.col(key))
+    """TOP-06: a repeatable permutation: the rows with their ``position`` (from 1)
+    in the order of a hash of the key."""
+    return dense_index(df, [hash_key(seed, F.col(key)), F.col(key)], name="position")
 
 
 def split_share(df: DataFrame, share: float, seed: int, key: str) -> tuple[DataFrame, DataFrame]:

@@ -44,14 +44,6 @@ def precision_recall_at_k(df: DataFrame, k: int, true: str = "true_labels", pred
                  (F.sum(hits) / F.sum(F.size(true))).alias(f"r_at_{k}"))
 
 
-def top_k_labels(probs_col: str, labels: list[str], k: int):
-    """TOP-02 helper for arrays of probabilities aligned with ``labels``:
-    the k best (label, prob), ties by label order."""
-    arr = F.arrays_zip(F.col(probs_col).alias("p"), F.array(*[F.lit(l) for l in labels]).alias("label"))
-    srt = F.array_sort(arr, lambda a, b: F.when(a["p"] > b["p"], -1).when(a["p"] < b["p"], 1).otherwise(0))
-    return F.slice(srt, 1, k)
-
-
 def predict(hidden: DataFrame, key: str, output: DataFrame, k: int = 1, threshold: float = 0.0) -> DataFrame:
     """MDL-05: softmax over ``hidden . output_row`` for every label, the k
     best with their (exact) probabilities.

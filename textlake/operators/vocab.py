@@ -71,6 +71,11 @@ def _ordered(g: DataFrame, key: str, field: str, out: str, kind: str) -> DataFra
     return lists.select(key, F.transform("_s", lambda s: s[field]).cast(f"array<{kind}>").alias(out))
 
 
+def word_frequencies(vocab: DataFrame) -> DataFrame:
+    """AGG-05: words with their frequency."""
+    return vocab.filter(F.col("type") == "word").select("word", "count")
+
+
 def encode_tokens(df: DataFrame, key: str, col: str, vocab: DataFrame, offset: int = 0) -> DataFrame:
     """JOIN-04: token -> id + ``offset``, unknown dropped, order kept.
 

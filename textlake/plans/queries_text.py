@@ -66,8 +66,7 @@ WHERE len(list_filter(regexp_split_to_array(line, '[ \\t]+'), lambda z: z <> '')
 def min_tokens_lines(spark, sf_dir):
     d = S.load(spark, sf_dir, "documents")
     lines = d.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    n = F.size(F.filter(F.split("line", "[ \t]+", -1), lambda z: z != ""))
-    return lines.filter(n > 1).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "line")
+    return lines.filter(T.min_tokens_mask(F.col("line"), 1)).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "line")
 
 
 # ---------------------------------------------------------------------------

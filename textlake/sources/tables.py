@@ -10,9 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from textlake.functions import text as T
+from textlake.operators.common import dense_index
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -93,8 +93,7 @@ def topic_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topic -> id table: ids by name order, the last topic left out and the
     first one listed twice (the later entry, id + 100, must win)."""
     t = posts(spark, sf_dir).select("topic").distinct()
-    w = Window.orderBy("topic")
-    r = t.withColumn("id", F.dense_rank().over(w).cast("bigint"))
+    r = dense_index(t, ["topic"], name="id")
     n = r.select(F.max("id")).scalar()
     base = r.filter(F.col("id") < n).select(F.col("topic").alias("name"), "id", F.col("id").alias("pos"))
     dup = r.filter(F.col("id") == 1).select(F.col("topic").alias("name"), (F.col("id") + 100).alias("id"),
