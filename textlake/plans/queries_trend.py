@@ -144,6 +144,21 @@ def spam_filter_bins(spark, sf_dir):
     return f.select("tweet_id", "topic", "bin_idx", "is_spam")
 
 
+@register("spam_filter_lists", with_fixtures(f"""WITH {SPEC_SQL}
+SELECT b.tweet_id, b.topic, b.bin_idx,
+  CASE WHEN {JUDGE_SQL} AND (NOT ((o.user_id IS NOT NULL OR b.user_id % 17 = 0) AND b.user_id % 5 <> 0) OR {RESCUE_SQL})
+    THEN 0 ELSE 1 END AS is_spam
+FROM binned b LEFT JOIN over_bar o USING (topic, bin_idx, user_id)""", "posts"))
+def spam_filter_lists(spark, sf_dir):
+    """FLT-02 with a spam list (every 17th user) and a white list (every 5th), which wins."""
+    p = S.posts(spark, sf_dir)
+    spec = B.bin_spec(p, "tweet_created_at", 4)
+    users = p.select("user_id").distinct()
+    f = B.spam_filter(B.assign_bins(p, spec), spec, carry=False, spam_ids=users.filter(F.col("user_id") % 17 == 0),
+                      white_ids=users.filter(F.col("user_id") % 5 == 0))
+    return f.select("tweet_id", "topic", "bin_idx", "is_spam")
+
+
 @register("spam_kept_counts", with_fixtures(f"""WITH {SPEC_SQL}
 SELECT b.topic, count(*) AS n_posts,
   CAST(sum(CASE WHEN {JUDGE_SQL} AND (o.user_id IS NULL OR {RESCUE_SQL}) THEN 1 ELSE 0 END) AS BIGINT) AS n_kept
