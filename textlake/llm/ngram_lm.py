@@ -55,7 +55,7 @@ FLUSH = 2_000_000                # tokens a task gathers before it sums them
 LOOKUP_BYTES = 4 << 20           # text looked up at once
 PAIRS_PER_SHARD = 4_000_000      # tokens a shard of the pair table stands for, at most
 SPREAD = np.uint64(4)            # tasks over which a context is spread
-WORD_BLOCK = 1 << 18             # word numbers in a block of the word table
+WORD_BLOCK = 1 << 16             # word numbers in a block of the word table
 WORD_ROW = np.dtype([("total", "<i8"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4"), ("contexts", "<u4")])
 
 
