@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textlake.llm.common import cut
+
 #: Words that mark a host as unwanted, fixed values.
 SEEDS = ("ads", "adult", "bet", "bets", "casino", "pills", "poker", "porn", "sex", "spam", "track", "tracker",
          "viagra", "xxx")
@@ -158,7 +160,8 @@ def judge(pages: DataFrame, url: str = "url", html: str = "html", rules=RULES, p
     """``pages`` with host, path, rule, host_words, score (log odds of block) and verdict."""
     frame = pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
     hosts = frame.select("host").distinct()
-    known = segmented(hosts, word_counts(pages, html, p), p)
+    # both are read several times: the counts and the words of each host are kept
+    known = cut(segmented(hosts, cut(word_counts(pages, html, p)), p))
     frame = frame.drop("host_words").join(known, "host", "left")
     words = F.coalesce("host_words", F.array().cast("array<string>"))
     tokens = F.concat(F.transform(words, lambda w: F.concat(F.lit("h:"), w)),
