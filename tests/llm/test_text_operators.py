@@ -194,6 +194,26 @@ def test_toxicity_learns_from_positives_and_unlabelled_text(spark):
     assert got[1000] == got[1001] == got[1002] < 0.5
 
 
+@pytest.mark.parametrize("prior", [0.1, 0.3, 0.5])
+def test_toxicity_learns_at_every_prior(prior):
+    """Cue words pass the gate whatever share of the unlabelled text is toxic."""
+    rng = random.Random(5)
+
+    def text(bad):
+        body = [f"w{rng.randint(0, 300)}" for _ in range(rng.randint(5, 80))]
+        for _ in range(3 if bad else 0):
+            body.insert(rng.randint(0, len(body)), rng.choice(["vile", "grubby", "nastyone", "nastytwo"]))
+        return " ".join(body).encode()
+
+    texts = [text(True) for _ in range(300)] + [text(rng.random() < prior) for _ in range(900)]
+    positive = np.arange(1200) < 300
+    p = toxicity.Params()
+    w = toxicity.train_nnpu(texts, positive, prior, p)
+    w[:-1][np.abs(w[:-1]) < p.least] = 0
+    found, wrong = ((toxicity.scores([text(bad) for _ in range(400)], w, p) >= p.threshold).mean() for bad in (True, False))
+    assert found > 0.8 and wrong < 0.05
+
+
 def test_toxicity_without_positives(spark):
     d = docs(spark, [(1, "a b"), (2, None)])
     none = spark.createDataFrame([], "doc_id long, toxic int")

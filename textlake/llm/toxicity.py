@@ -52,7 +52,7 @@ class Params:
     l1: float = 3e-5
     least: float = 0.05          # smaller weights are set to 0
     min_texts: int = 5           # a bucket in fewer positives gets no weight,
-    lift: float = 4.0            # nor does one less than so many times as frequent in them
+    lift: float = 4.0            # nor does one less than so many times as frequent in them as in clean text
     prior: float | None = None   # share of toxic texts; None: from the labels
     threshold: float = 0.7
 
@@ -86,7 +86,9 @@ def train_nnpu(texts: list[bytes], positive: np.ndarray, prior: float, p: Params
     for r, y in zip(rows, positive):
         seen[int(y), r] += 1
     share = seen / np.maximum([[(~positive).sum()], [positive.sum()]], 1)
-    cue = (seen[1] >= p.min_texts) & (share[1] >= p.lift * share[0])
+    # unlabelled text holds positives at the prior: the share in clean text is what they leave
+    clean = np.maximum(share[0] - prior * share[1], 0.0) / (1 - prior)
+    cue = (seen[1] >= p.min_texts) & (share[1] >= p.lift * clean)
     rows = [r[cue[r]] for r in rows]
     w = np.zeros(size)
     b = math.log(prior / (1 - prior))
