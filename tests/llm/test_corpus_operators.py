@@ -315,6 +315,19 @@ def test_segmentation_against_all_splits():
         assert "".join(got) == s and sum(map(log, got)) == pytest.approx(best(s)[0])
 
 
+def test_splits_do_not_depend_on_the_size_of_the_table(spark):
+    hosts = spark.createDataFrame([(h,) for h in ("zqads.com", "zqkbet.net", "vlorpporn.org", "kwizpoker.net", "nightnews.com")], "host string")
+    counts = [("night", 900), ("news", 700), ("com", 400), ("the", 20_000), ("bet", 3)]
+    got = []
+    for times in (1, 50, 1_000, 100_000):
+        c = spark.createDataFrame([(w, n * times) for w, n in counts], "word string, n long")
+        got.append(by_id(urls.segmented(hosts, c).withColumnRenamed("host", "doc_id"), "host_words"))
+    assert got[0] == got[1] == got[2] == got[3]
+    assert got[0]["zqads.com"] == ["zq", "ads", "com"] and got[0]["zqkbet.net"][:2] == ["zqk", "bet"]
+    assert got[0]["vlorpporn.org"][:2] == ["vlorp", "porn"] and got[0]["kwizpoker.net"][:2] == ["kwiz", "poker"]
+    assert got[0]["nightnews.com"] == ["night", "news", "com"]
+
+
 def test_naive_bayes_counts(spark):
     rows = [([1, 1, 2], 1), ([2, 3], 0), ([3], 0)]
     w = urls.naive_bayes(spark.createDataFrame(rows, "b array<int>, block int"), urls.Params(bits=4))

@@ -5,11 +5,12 @@ and all subdomains if the url's path starts with its path, and the longest
 that fits gives the verdict.  The method judges the rest:
 
 1. word counts: every page's visible words are counted by Spark, a few seed
-   words are added;
+   words are added with a fixed share of all words;
 2. segmentation: each distinct name in a host (letters between dots, digits and
    hyphens) is split by unigram Viterbi into the likeliest words; candidate
    words reach their names by an equality join of the names' substrings with the
-   word counts, so neither table has to fit anywhere;
+   word counts, so neither table has to fit anywhere; only shares of the total
+   count, known and unknown pieces alike, so a split doesn't depend on the size of the table;
 3. naive Bayes: urls whose host holds a seed word are the examples of ``block``,
    the others of ``allow``; multinomial counts of host words and path tokens
    are kept in ``2**bits`` hash buckets (a model of fixed size, broadcast), and a url is
@@ -43,13 +44,18 @@ SEEDS = ("ads", "adult", "bet", "bets", "casino", "pills", "poker", "porn", "sex
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
          ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
+STEP = 64               # letters a piece of a name advances
+
 
 @dataclass(frozen=True)
 class Params:
     bits: int = 16
     longest: int = 20           # letters of a candidate word
     longest_name: int = 63
-    seed_count: int = 50        # count added for each seed word
+    seed_share: float = 0.002   # share of all words added for each seed word; a seed of k letters
+                                # is cut from an unknown remainder if it is over 10**-k
+    scale: int = 1_000_000      # total that the counts are brought to: an unknown piece of n letters
+                                # has the share 10 / (scale * 10**n)
     smoothing: float = 0.5
     threshold: float = 0.0
 
@@ -77,17 +83,23 @@ def _lower(text: Column) -> Column:
 
 
 def word_counts(pages: DataFrame, html: str = "html", p: Params = Params()) -> DataFrame:
-    """``word``, ``n`` of the visible words of all pages and the seeds."""
+    """``word``, ``n`` of the visible words of all pages."""
     plain = F.regexp_replace(_lower(F.coalesce(F.col(html), F.lit(""))), r"<[^>]*>|[^a-z]+", " ")
     words = pages.select(F.explode(F.split(plain, " +")).alias("word")).filter(
         (F.col("word") != "") & (F.length("word") <= p.longest))
-    seeds = pages.sparkSession.createDataFrame([(w,) for w in SEEDS], "word string")
-    return (words.groupBy("word").agg(F.count("*").alias("n"))
-            .unionByName(seeds.select("word", F.lit(p.seed_count).cast("long").alias("n")))
+    return words.groupBy("word").agg(F.count("*").alias("n"))
+
+
+def word_shares(counts: DataFrame, p: Params = Params()) -> DataFrame:
+    """``word``, ``n``: the counts brought to a total of ``scale``, and the seeds' shares."""
+    total = counts.agg(F.sum("n")).first()[0] or 1
+    seeds = counts.sparkSession.createDataFrame([(w,) for w in SEEDS], "word string")
+    return (counts.select("word", (F.col("n") * float(p.scale) / total).alias("n"))
+            .unionByName(seeds.select("word", F.lit(p.seed_share * p.scale).alias("n")))
             .groupBy("word").agg(F.sum("n").alias("n")))
 
 
-def split_name(name: str, words: dict[tuple[int, int], int], total: int, longest: int) -> list[str]:
+def split_name(name: str, words: dict[tuple[int, int], float], total: int, longest: int) -> list[str]:
     """Likeliest split of a name; ``words``: counts of its known substrings.
     An unknown piece of n letters has the probability 10 / (total * 10**n)."""
     best: list[tuple[float, int]] = [(0.0, 0)]
@@ -110,23 +122,29 @@ def segmented(hosts: DataFrame, counts: DataFrame, p: Params = Params()) -> Data
     """``hosts`` (column ``host``, distinct) with ``host_words``."""
     parts = hosts.select("host", F.posexplode(F.split("host", "[^a-z]+")).alias("pos", "name")).filter("name != ''")
     names = parts.select("name").distinct()
-    total = counts.agg(F.sum("n")).first()[0] or 1
-    subs = (names.filter(F.length("name") <= p.longest_name)
-            .select("name", F.explode(F.sequence(F.lit(0), F.length("name") - 1)).alias("s"))
-            .select("name", "s", F.explode(F.sequence(F.col("s") + 1, F.least(F.length("name"), F.col("s") + p.longest))).alias("e"))
-            .select("name", "s", "e", F.expr("substring(name, s + 1, e - s)").alias("word")))
-    found = (subs.join(counts, "word").groupBy("name")
-             .agg(F.collect_list(F.struct("s", "e", "n")).alias("known")))     # at most 63 * longest
+    # a short key and short pieces go with the substrings, so their bytes grow with the length of a name, not its square
+    key = F.when(F.length("name") <= STEP, F.col("name")).otherwise(F.concat(F.lit("#"), F.sha2("name", 256)))
+    starts = F.sequence(F.lit(0), F.floor((F.length("name") - 1) / STEP))
+    pieces = names.filter(F.length("name") <= p.longest_name).select(key.alias("key"), F.posexplode(F.transform(
+        starts, lambda k: F.substr("name", (k * STEP + 1).cast("int"), F.lit(STEP + p.longest - 1)))).alias("k", "piece"))
+    subs = (pieces.select("key", "k", "piece", F.explode(F.sequence(F.lit(0), F.least(F.length("piece"), F.lit(STEP)) - 1)).alias("s"))
+            .select("key", "k", "piece", "s",
+                    F.explode(F.sequence(F.col("s") + 1, F.least(F.length("piece"), F.col("s") + p.longest))).alias("e"))
+            .select("key", (F.col("k") * STEP + F.col("s")).alias("s"), (F.col("k") * STEP + F.col("e")).alias("e"),
+                    F.expr("substring(piece, s + 1, e - s)").alias("word")))
+    found = (subs.join(word_shares(counts, p), "word").groupBy("key")
+             .agg(F.collect_list(F.struct("s", "e", "n")).alias("known")))     # at most longest a letter
 
     @F.arrow_udf("array<string>")
     def split(name: pa.Array, known: pa.Array) -> pa.Array:
         out = []
         for s, k in zip(name.to_pylist(), known.to_pylist()):
             have = {(x["s"], x["e"]): x["n"] for x in k or ()}
-            out.append(split_name(s, have, total, p.longest) if len(s) <= p.longest_name else [s])
+            out.append(split_name(s, have, p.scale, p.longest) if len(s) <= p.longest_name else [s])
         return pa.array(out, pa.list_(pa.string()))
 
-    words = names.join(found, "name", "left").select("name", split("name", "known").alias("w"))
+    words = (names.withColumn("key", key).join(found, "key", "left")
+             .select("name", split("name", "known").alias("w")))
     return (parts.join(words, "name").groupBy("host")
             .agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"])).alias("host_words")))
 
