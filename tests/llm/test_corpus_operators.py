@@ -328,6 +328,15 @@ def test_splits_do_not_depend_on_the_size_of_the_table(spark):
     assert got[0]["nightnews.com"] == ["night", "news", "com"]
 
 
+def test_long_names_are_split(spark):
+    name = "q" * 60 + "casino" + "news" * 30 + "q" * 70 + "poker"
+    hosts = spark.createDataFrame([(f"{name}.com",)], "host string")
+    counts = spark.createDataFrame([("news", 700), ("com", 400)], "word string, n long")
+    [row] = urls.segmented(hosts, counts).collect()
+    assert [w for w in row["host_words"] if not w.startswith("q")] == ["casino", *["news"] * 30, "poker", "com"]
+    assert "".join(row["host_words"]) == name + "com"
+
+
 def test_naive_bayes_counts(spark):
     rows = [([1, 1, 2], 1), ([2, 3], 0), ([3], 0)]
     w = urls.naive_bayes(spark.createDataFrame(rows, "b array<int>, block int"), urls.Params(bits=4))

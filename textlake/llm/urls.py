@@ -19,7 +19,6 @@ that fits gives the verdict.  The method judges the rest:
 Defined results
 * null url, or one without ``://``: empty host and path, no rule, scored on the
   class shares alone;
-* names of over 63 letters (no valid host has any) are one word;
 * repeated rows get equal results, extra columns are kept, clashing names replaced;
 * an empty table gives an empty result; without any seeded url all are allowed.
 """
@@ -51,7 +50,6 @@ STEP = 64               # letters a piece of a name advances
 class Params:
     bits: int = 16
     longest: int = 20           # letters of a candidate word
-    longest_name: int = 63
     seed_share: float = 0.002   # share of all words added for each seed word; a seed of k letters
                                 # is cut from an unknown remainder if it is over 10**-k
     scale: int = 1_000_000      # total that the counts are brought to: an unknown piece of n letters
@@ -125,7 +123,7 @@ def segmented(hosts: DataFrame, counts: DataFrame, p: Params = Params()) -> Data
     # a short key and short pieces go with the substrings, so their bytes grow with the length of a name, not its square
     key = F.when(F.length("name") <= STEP, F.col("name")).otherwise(F.concat(F.lit("#"), F.sha2("name", 256)))
     starts = F.sequence(F.lit(0), F.floor((F.length("name") - 1) / STEP))
-    pieces = names.filter(F.length("name") <= p.longest_name).select(key.alias("key"), F.posexplode(F.transform(
+    pieces = names.select(key.alias("key"), F.posexplode(F.transform(
         starts, lambda k: F.substr("name", (k * STEP + 1).cast("int"), F.lit(STEP + p.longest - 1)))).alias("k", "piece"))
     subs = (pieces.select("key", "k", "piece", F.explode(F.sequence(F.lit(0), F.least(F.length("piece"), F.lit(STEP)) - 1)).alias("s"))
             .select("key", "k", "piece", "s",
@@ -140,7 +138,7 @@ def segmented(hosts: DataFrame, counts: DataFrame, p: Params = Params()) -> Data
         out = []
         for s, k in zip(name.to_pylist(), known.to_pylist()):
             have = {(x["s"], x["e"]): x["n"] for x in k or ()}
-            out.append(split_name(s, have, p.scale, p.longest) if len(s) <= p.longest_name else [s])
+            out.append(split_name(s, have, p.scale, p.longest))
         return pa.array(out, pa.list_(pa.string()))
 
     words = (names.withColumn("key", key).join(found, "key", "left")
