@@ -253,6 +253,25 @@ def test_licences_against_brute_force(spark):
         assert [(m["line"], m["name"], pytest.approx(m["dice"])) for m in r["licenses"]] == want
 
 
+def test_licences_inside_lines_and_over_line_breaks(spark):
+    full = dict(licenses.full_texts())
+    wrapped = "Some prose and more of it, in many words that say nothing at all.\n# Licensed under the Apache\n# License, Version 2.0 (the \"License\");\n# you may not use this file except\n" \
+              "# in compliance with the License. You\n# may obtain a copy of the License at\nx = 1  " + "y z w v u t s r " * 4
+    texts = {"# Copyright 2020 The Foo Authors. All rights reserved.": "1:proprietary",
+             "Notes on the tool. Released under the MIT License. Have fun.": "1:mit",
+             "MIT License\n\nCopyright (c) 2020 Foo\n\n" + full["mit"]: "5:mit",
+             "prose\n" * 5 + full["bsd-2-clause"]: "6:bsd-2-clause",
+             "BSD\n" + full["bsd-3-clause"] + "\nmore prose, words " * 40: "2:bsd-3-clause",
+             wrapped: "2:apache-2.0", "All rights\nreserved.": "0:proprietary", "Nothing under the license here": "", "": "", "all": ""}
+    d = docs(spark, list(enumerate(texts)) + [(99, None)])
+    got = by_id(licenses.scan(d), "licenses")
+    for k, want in enumerate(texts.values()):
+        assert want in ",".join(f"{m['line']}:{m['name']}" for m in got[k]) and bool(want) == bool(got[k])
+    assert got[99] == []
+    plan = licenses.scan(table(spark, SMALL, "documents"))._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "Exchange", "Join"))
+
+
 def test_licence_scan_is_native(spark):
     plan = licenses.matches(table(spark, SMALL, "documents"))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "Exchange", "Join"))

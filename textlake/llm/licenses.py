@@ -12,6 +12,12 @@ Size bounds prune first: Dice can reach t only if
 give such a set for any template are dropped before any gram is made, the others meet
 only the templates within the bounds.
 
+``passages`` looks at every run of words, inside a line or across line breaks,
+whose number of bigrams is within a template's size bounds (of twice that reach), with the full licence texts
+beside the notices; ``scan`` puts both together.  A run with Dice >= t holds at
+least |B| t / (2 - t) of the template's bigrams, so only texts that hold so many are looked at
+closely, and the best run from a start ends with a bigram of the template.
+
 Everything is DataFrame functions inside one projection: no shuffle, no
 Python, no join; the templates are a literal of fixed size.
 
@@ -24,10 +30,14 @@ from __future__ import annotations
 
 import math
 import re
+from functools import cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textlake.llm.common import free_name
+
 THRESHOLD = 0.8
 
 #: Notices as public licences word them, fixed values: (name, notice).
@@ -60,9 +70,13 @@ TEMPLATES = (
 )
 
 
+def _normal_words(line: str) -> list[str]:
+    return re.sub(r"[^\w]+|_", " ", line.lower()).split()
+
+
 def grams_of(line: str) -> list[str]:
     """Distinct word bigrams of a normalised line (for the templates and tests)."""
-    words = re.sub(r"[^\w]+|_", " ", line.lower()).split()
+    words = _normal_words(line)
     return sorted({" ".join(p) for p in zip(words, words[1:])} if len(words) > 1 else set(words))
 
 
@@ -131,6 +145,128 @@ def matches(docs: DataFrame, text: str = "text", out: str = "licenses", threshol
     return docs.withColumn(out, found)
 
 
+@cache
+def full_texts() -> tuple[tuple[str, str], ...]:
+    """(name, text) of whole licences, from ``license_texts``."""
+    return tuple((p.stem, p.read_text()) for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt")))
+
+
+def anchors(notice: str, need: int) -> list[str]:
+    """Words, long ones first choice, one of which is in every text that holds
+    ``need`` bigrams of the notice: the bigrams without any of them are fewer."""
+    left, out = set(grams_of(notice)), []
+    while len(left) >= need:
+        gain: dict[str, int] = {}
+        for g in left:
+            for w in set(g.split(" ")):
+                gain[w] = gain.get(w, 0) + len(w) ** 2
+        out.append(max(gain, key=lambda w: (gain[w], w)))
+        left = {g for g in left if out[-1] not in g.split(" ")}
+    return out
+
+
+def passages(docs: DataFrame, text: str = "text", out: str = "passages", threshold: float = THRESHOLD,
+             templates=None) -> DataFrame:
+    """``docs`` with an array of (line, last, name, dice): runs of words that match a
+    template, with their first and last line, in text order.  Where runs overlap, the one with
+    the most shared less unshared bigrams stays."""
+    every = sorted(TEMPLATES + full_texts() if templates is None else templates)
+    body, cand, occ, found = (free_name(docs, c) for c in ("_body", "_cand", "_occ", "_runs"))
+    rows, may = [], []
+    for k, (name, notice) in enumerate(every):
+        g = grams_of(notice)
+        plain = _normal_words(notice)
+        need, _ = size_bounds(len(g), threshold)
+        # repeats count for the reach of a run, and it may begin with hits from before the passage
+        hi = 2 * size_bounds(len(plain) - 1, threshold)[1]
+        rows.append(F.struct(F.lit(k).alias("k"), F.lit(name).alias("name"), F.lit(len(g)).alias("n"), F.lit(need).alias("need"),
+                             F.lit(hi).alias("hi"), F.lit(" ".join(plain[:2])).alias("first"), F.split(F.lit("|".join(g)), r"\|").alias("grams")))
+        some = F.lit(False)
+        for w in anchors(notice, need):
+            some = some | F.contains(F.col(body), F.lit(w))
+        # so many different bigrams take two characters each at least
+        may.append(F.when((F.length(body) > 2 * need) & some, F.lit(k)))
+    table = F.array(*rows)
+    empty = "array<struct<line:int,last:int,name:string,dice:double>>"
+
+    # a bigram, where it was before (-1: nowhere), in text order
+    pairs = F.transform(F.array(F.split(_normalised(F.col(body)), " ")), lambda w: F.zip_with(
+        F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b)))[0]
+    sorted_ = F.array_sort(F.transform(pairs, lambda g, i: F.struct(g.alias("g"), i.alias("at"))))
+    with_prev = F.transform(F.array(sorted_), lambda s: F.zip_with(s, F.slice(F.concat(F.array(
+        F.struct(F.lit(None).cast("string").alias("g"), F.lit(-1).alias("at"))), s), 1, F.size(s)),
+        lambda x, y: F.struct(x["at"].alias("at"), x["g"].alias("g"), F.when(x["g"] == y["g"], y["at"]).otherwise(-1).alias("prev"))))[0]
+
+    def runs(t, shared, marks):
+        """Best run of the template from every start that has enough hits within its bound."""
+        hits = F.transform(F.filter(marks, lambda m: m["hit"]), lambda m: m["at"])
+        many = F.greatest(F.size(hits) - t["need"] + 1, F.lit(0))
+        starts = F.transform(F.array(hits), lambda h: F.filter(
+            F.zip_with(F.slice(h, F.lit(1), many), F.slice(h, t["need"], many), lambda a, b: F.when(b - a < t["hi"], a)),
+            lambda s: s.isNotNull()))[0]
+        # a hit in front never makes a run worse: only the first of adjacent hits begins one, and the notice's own beginning
+        starts = F.filter(starts, lambda s: (s == 0) | ~F.coalesce(F.get(marks, s - 1)["hit"], F.lit(False)) | F.get(marks, s)["first"])
+
+        def step(a, m, s):
+            size = a["size"] + (m["prev"] < s).cast("int")
+            common = a["common"] + ((m["prev"] < s) & m["hit"]).cast("int")
+            dice = F.lit(2.0) * common / (size + t["n"])
+            score = 3 * common - size - t["n"]
+            better = (dice >= threshold) & (score > a["score"])
+            return F.struct(size.alias("size"), common.alias("common"), F.when(better, score).otherwise(a["score"]).alias("score"),
+                            F.when(better, dice).otherwise(a["dice"]).alias("dice"), F.when(better, m["at"]).otherwise(a["end"]).alias("end"))
+
+        def best(s):
+            start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("common"), F.lit(0).alias("score"), F.lit(0.0).alias("dice"), F.lit(-1).alias("end"))
+            return F.aggregate(F.slice(marks, s + 1, t["hi"]), start, lambda a, m: step(a, m, s), lambda a: F.struct(
+                (-a["score"]).alias("rank"), (-a["dice"]).alias("less"), t["name"].alias("name"), s.alias("start"), a["end"].alias("end")))
+
+        return F.filter(F.transform(starts, best), lambda r: r["end"] >= 0)
+
+    def of_template(t):
+        shared = F.array_intersect(t["grams"], F.transform(F.col(occ), lambda o: o["g"]))
+        near = F.filter(F.array(shared), lambda s: F.size(s) >= t["need"])
+        return F.flatten(F.transform(near, lambda s: F.flatten(F.transform(
+            F.array(F.transform(F.col(occ), lambda o: F.struct(o["at"].alias("at"), o["prev"].alias("prev"), F.array_contains(s, o["g"]).alias("hit"),
+                                                             (o["g"] == t["first"]).alias("first")))),
+            lambda marks: runs(t, s, marks)))))
+
+    ranked = F.array_sort(F.flatten(F.transform(F.filter(table, lambda t: F.array_contains(F.col(cand), t["k"])), of_template)))
+    none = "array<struct<rank:int,less:double,name:string,start:int,end:int>>"
+    kept = F.aggregate(ranked, F.array().cast(none), lambda acc, c: F.when(
+        F.exists(acc, lambda k: (c["start"] <= k["end"] + 1) & (k["start"] <= c["end"] + 1)), acc).otherwise(F.concat(acc, F.array(c))))
+    words = F.transform(F.split(F.col(body), r"\r\n|\n|\r"), lambda s: F.transform(F.array(_normalised(s)), lambda x: F.when(
+        x == "", 0).otherwise(F.size(F.split(x, " "))))[0])
+
+    def line(counts, word):
+        start = F.struct(word.alias("left"), F.lit(1).alias("line"))
+        return F.aggregate(counts, start, lambda a, n: F.struct(
+            F.when(a["left"] < 0, -1).otherwise(a["left"] - n).alias("left"),
+            (a["line"] + F.when((a["left"] >= 0) & (a["left"] >= n), 1).otherwise(0)).alias("line")), lambda a: a["line"])
+
+    placed = F.flatten(F.transform(F.array(words), lambda counts: F.transform(
+        F.array_sort(F.col(found), lambda a, b: a["start"] - b["start"]),
+        lambda r: F.struct(line(counts, r["start"]).alias("line"), line(counts, r["end"] + 1).alias("last"), r["name"].alias("name"), (-r["less"]).alias("dice")))))
+    frame = docs.withColumn(body, F.lower(F.coalesce(F.col(text), F.lit(""))))
+    frame = frame.withColumn(cand, F.filter(F.array(*may), lambda k: k.isNotNull()))
+    frame = frame.withColumn(occ, F.when(F.size(cand) > 0, F.array_sort(with_prev)))
+    frame = frame.withColumn(found, F.when(F.col(occ).isNotNull(), kept))
+    return (frame.withColumn(out, F.when(F.size(F.coalesce(F.col(found), F.array().cast(none))) > 0, placed).otherwise(F.array().cast(empty)))
+            .drop(body, cand, occ, found))
+
+
+def scan(docs: DataFrame, text: str = "text", out: str = "licenses", threshold: float = THRESHOLD) -> DataFrame:
+    """``matches`` and, beside them, the ``passages`` that these don't show: not the
+    passages inside a line of the same match, nor those over several lines in a text that matches as a whole."""
+    extra = free_name(docs, "_passages")
+    frame = passages(matches(docs, text, out, threshold), text, extra, threshold)
+    known = F.col(out)
+    new = F.filter(F.col(extra), lambda p: ~F.exists(known, lambda m: (m["name"] == p["name"]) & (
+        ((p["line"] == p["last"]) & (m["line"] == p["line"])) | ((p["line"] < p["last"]) & (m["line"] == 0)))))
+    both = F.concat(known, F.transform(new, lambda p: F.struct(p["line"].alias("line"), p["name"].alias("name"), p["dice"].alias("dice"))))
+    return frame.withColumn(out, F.array_sort(both)).drop(extra)
+
+
 def matches_sql(threshold: float = THRESHOLD, templates=TEMPLATES) -> str:
     """One row a document, as DuckDB SQL over ``documents`` (see ``op6`` in queries)."""
     rows = ", ".join("('{}', [{}])".format(n, ", ".join("'" + g.replace("'", "''") + "'" for g in grams_of(t)))

@@ -74,9 +74,9 @@ def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licence notices of every document: how many, the best, and where."""
+    """Licence notices and texts of every document: how many, the best, and where they begin."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = licenses.matches(docs)
+    found = licenses.scan(docs)
     m = F.col("licenses")
     best = F.array_max(F.transform(m, lambda x: x["dice"]))
     return found.select(
