@@ -252,3 +252,18 @@ def test_word_vector_is_mean_of_subword_rows(spark):
     grams = ["<he", "<hel", "hel", "hell", "ell", "ello", "llo", "llo>", "lo>"]
     exp = rows[[_fnv(g) % 50 for g in grams]].mean(axis=0)
     assert np.allclose(wv, exp)
+
+
+def test_every_word_can_be_a_negative(spark):
+    """Draws follow the distribution over the whole vocabulary, neg of them for every example."""
+    from textlake.operators import embeddings as EM
+    n = 20_000
+    dist = spark.range(n).select("id", ((F.col("id") % 4 + 1) / (2.5 * n)).alias("p_negative"))
+    cells = EM.draw_cells(dist)
+    assert cells[0].count() <= 2 * n
+    examples = spark.range(40_000).select((F.col("id") % 7).alias("_bag"), F.col("id").alias("word_id"), (F.col("id") % 3 + 1.0).alias("weight"))
+    got = EM.negatives(EM.with_own_range(examples, cells), "_bag", cells, 5, 1)
+    rows = got.groupBy((F.col("word_id") % 4).alias("k")).agg(F.count("*").alias("n"), F.countDistinct("word_id").alias("d")).orderBy("k").collect()
+    assert sum(r["n"] for r in rows) == 200_000 and sum(r["d"] for r in rows) > 19_500
+    assert all(abs(r["n"] / 200_000 - (r["k"] + 1) / 10) < 0.01 for r in rows)
+    assert abs(got.agg(F.sum("weight")).first()[0] - 5 * examples.agg(F.sum("weight")).first()[0]) < 1e-6
