@@ -275,6 +275,13 @@ def test_added_spans():
     assert find("password=b7db7aa4a5 but accounting 123456 or account closed", "account") == ["b7db7aa4a5"]
 
 
+def test_secrets_without_digits():
+    find = lambda t: [t[a:b] for kind, a, b in pii.find(t) if kind == "account"]
+    assert find("password: hunter2 and secret=abcdefXYZ, token = 'p@ss.word!x' passwd:no") == ["hunter2", "abcdefXYZ", "p@ss.word!x", "no"]
+    assert find("the password is lost; account: closed, api_key=is_it") == ["is_it"]
+    assert pii.redact_text("secret=abcdefXYZ.") == "secret=<ACCOUNT>."
+
+
 def test_pii_digest_and_redaction(spark):
     rows = [(1, "mail a@b.example or +1 (988) 555-2485 é"), (2, None), (3, ""), (4, "clean text"), (4, "clean text"), (None, "1.2.3.4")]
     d = docs(spark, rows + [(100 + k, t) for k, t in enumerate(EDGE_TEXTS)]).withColumn("spans", F.lit(0))

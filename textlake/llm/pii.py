@@ -13,7 +13,9 @@ Kinds
 * ``address``  a web address that carries a user name, or a mail address after ``mailto:``
                with its scheme;
 * ``account``  the value after an identifier cue (``iban``, ``account no``, ``passport``,
-               ``password``, ``token``, ...): at least 6 letters and digits, 4 of them digits.
+               ``password``, ``token``, ...): at least 6 letters and digits, 4 of them digits;
+               after a password, secret, token or key cue and a mark (``:``, ``=``) any
+               value up to a blank, quote, comma or semicolon.
 
 The first four are found exactly as leftmost non-overlapping matches, per kind, of
 
@@ -47,6 +49,8 @@ KINDS = (*BASE_KINDS, "address", "account")
 #: Identifier cues (lower case), fixed values.
 CUES = ("iban", "account", "acct", "passport", "ssn", "social security", "tax id", "user id", "customer id",
         "password", "passwd", "api key", "api_key", "apikey", "secret", "token")
+#: Cues whose values need no digits after a mark.
+SECRETS = frozenset(("password", "passwd", "api key", "api_key", "apikey", "secret", "token"))
 SCHEMES = ("http://", "https://", "ftp://", "mailto:")
 
 _DIGITS = frozenset("0123456789")
@@ -198,10 +202,12 @@ def _accounts(text: str, folded: str, cues: list[tuple[int, int]]) -> list[Span]
     for start, i in cues:
         if (start and folded[start - 1] in _ALNUM) or (i < n and folded[i] in _ALNUM):
             continue
-        mark = False
+        mark, secret, cue_end = False, False, i
         while i < n and text[i] in " :=#\"'.":
             mark |= text[i] in ":=#"
+            secret |= text[i] in ":=" and folded[start:cue_end] in SECRETS
             i += 1
+        value = i
         for word in ("number", "no", "nr", "id", "is"):
             if folded.startswith(word, i) and not (i + len(word) < n and folded[i + len(word)] in _ALNUM):
                 i += len(word)
@@ -217,7 +223,17 @@ def _accounts(text: str, folded: str, cues: list[tuple[int, int]]) -> list[Span]
             j += 1
         while j > i and text[j - 1] not in _ALNUM:
             j -= 1
-        if size >= 6 and digits >= 4 and i >= free:
+        if secret and not (size >= 6 and digits >= 4):
+            # the value as it stands: any length, any characters up to its end
+            i = j = value
+            while j < n and not text[j].isspace() and text[j] not in "\"',;<>":
+                j += 1
+            while j > i and text[j - 1] in ".:!?)]}":
+                j -= 1
+            if j > i and i >= free:
+                found.append(("account", i, j))
+                free = j
+        elif size >= 6 and digits >= 4 and i >= free:
             found.append(("account", i, j))
             free = j
     return found
@@ -249,7 +265,8 @@ def find(text: str) -> list[Span]:
         runs = _runs(digits)
         found += _ips(text, runs) + _cards(text, runs)
         found += _phones(text, pluses) if pluses else []
-        found += _accounts(text, folded, cues) if cues else []
+    if cues:
+        found += _accounts(text, folded, cues)
     if schemes and at_signs:
         found += _addresses(text, schemes)
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
