@@ -171,6 +171,13 @@ def test_sampled_share_follows_the_probability(spark):
     assert all(abs(p - n) < 0.02 for p, n in got.values())
 
 
+def test_rows_without_ids_are_sampled_one_by_one(spark):
+    d = docs(spark, [(None, f"text {k % 2000}", "en", "src0") for k in range(4000)])
+    got = mixing.sample(d, {"source": {"src0": 1.0, "*": 0.0}}, budget=0.5).collect()
+    assert abs(sum(r["mix_kept"] for r in got) / 4000 - 0.5) < 0.05
+    assert len({(r["text"], r["mix_kept"]) for r in got}) == 2000
+
+
 # --- nearest neighbours -----------------------------------------------------
 
 def _exact(ids, x, k):

@@ -16,7 +16,7 @@ Defined results
 * null source, language or topic: the value ``*``; null or empty text: no tokens;
 * a target value that has no tokens is left out and the others are scaled up;
   a cell without tokens has probability 1, its documents cost nothing;
-* repeated rows (same id) stay or go together; extra columns are kept;
+* repeated rows (same id; without an id, same text) stay or go together; extra columns are kept;
 * an empty table gives an empty result.
 """
 
@@ -111,7 +111,7 @@ def sample(docs: DataFrame, targets: Targets = TARGETS, budget: float = BUDGET,
     schema = ", ".join(f"`{n}` string" for n in names) + f", `{prefix}probability` double"
     known = docs.sparkSession.createDataFrame([(*k, float(x)) for k, x in zip(keys, p)], schema)
     frame = frame.join(F.broadcast(known), names)
-    unit = hash_share(seed, F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
+    unit = hash_share(seed, F.coalesce(F.col(doc_id).cast("string"), F.md5(F.col(text)), F.lit("")))
     return frame.withColumn(f"{prefix}kept", unit < F.col(f"{prefix}probability"))
 
 
