@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlake.llm import decontam, graph_ann, licenses, mixing, ngram_lm, pii, quality, simhash, toxicity, urls
+from textlake.llm import (decontam, filter_audit, graph_ann, licenses, mixing, ngram_lm, pii, quality, simhash, suffix_dedup,
+                          toxicity, urls, whitening)
 from textlake.llm.common import fold, table
 
 
@@ -123,6 +124,23 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(docs).drop("text")
 
 
+def op11_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the bytes of 100-byte strings seen before."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.digest(docs)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every embedding, with exact deviation and explained variance."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes in each of their orders, per source."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return filter_audit.audit(docs, table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_decontam": op2_decontam,
@@ -134,10 +152,15 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_lm": op9_lm,
     "op10_pii": op10_pii,
+    "op11_suffix": op11_suffix,
+    "op12_whitening": op12_whitening,
+    "op13_audit": op13_audit,
 }
 
 ORACLE: dict[str, str] = {
     "op2_decontam": OP2_SQL,
     "op3_mixing": mixing.sample_sql(),
     "op6_licenses": licenses.matches_sql(),
+    "op11_suffix": suffix_dedup.digest_sql(),
+    "op13_audit": filter_audit.audit_sql(),
 }
