@@ -7,6 +7,7 @@ bytes are exactly the repeated windows; every member but the earliest is marked,
 and the bytes under marked windows are removed.
 
 Passes
+0. A document whose whole text a smaller id has is removed at once, by a digest of its text.
 1. The first digit is the ``digit``-byte gram of least hash among the grams inside
    the window (the leftmost of equal ones).  It depends on the window's bytes alone, so equal
    windows agree in it, and neighbouring suffixes mostly share one: a text has about one such
@@ -21,8 +22,8 @@ are rows of their own, told apart by all their bytes, and meet in a
 partially aggregated group-by and an equality join that Spark can split.
 
 Matches never cross documents.  Documents are ordered by id, rows without an id after
-all others; rows of one id (or of none) that differ in text are ordered by a digest of their text;
-equal rows of one id are one document and get equal results.  A null text is empty; texts
+all others; rows of one id (or of none) that differ in text are told apart and ordered by a 64-bit digest of
+id and text; equal rows of one id are one document and get equal results.  A null text is empty; texts
 shorter than ``depth`` are never touched; an empty table gives no rows; extra columns
 stay, whatever their names (outputs of the same names replace them); the kept bytes stand for the text.  Ids are integers.
 """
@@ -46,11 +47,11 @@ DIGIT = 20
 #: Occurrences of one gram that one task may sort.
 CROWD = 50_000
 #: Bytes of text per bucket of the sort, and windows sorted at once.
-BUCKET_BYTES = 16 << 20
-SLICE_WINDOWS = 1 << 20
+BUCKET_BYTES = 8 << 20
+SLICE_WINDOWS = 1 << 18
 
-#: What tells documents apart and orders them: id, digest of the text, digest of both (for joins).
-_ROW = ["ord", "tie", "uid"]
+#: What tells documents apart and orders them: id, digest of id and text (which joins use).
+_ROW = ["ord", "uid"]
 
 
 def _least_grams(raw: np.ndarray, off: np.ndarray, depth: int, digit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,17 +97,25 @@ def anchors(texts: list[bytes], depth: int, digit: int) -> tuple[np.ndarray, ...
 def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """The order key of every document, its bytes and its other columns (``row``)."""
     c, body = F.col(id_col).cast("long"), F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.coalesce(c, F.lit((1 << 63) - 1)).alias("ord"), F.xxhash64(F.lit(1), body).alias("tie"),
-                       F.xxhash64(c, body).alias("uid"), body.cast("binary").alias("bytes"),
+    return docs.select(F.coalesce(c, F.lit((1 << 63) - 1)).alias("ord"), F.xxhash64(c, body).alias("uid"), body.cast("binary").alias("bytes"),
                        F.struct(*(x for x in docs.columns if x != text)).alias("row"))
 
 
+def _copies(keyed: DataFrame, depth: int) -> DataFrame:
+    """Marks all windows of documents whose whole text a smaller id has: they are out
+    of the sort before it begins."""
+    ids = keyed.select(*_ROW, F.unhex(F.sha2("bytes", 256)).alias("text"), F.octet_length("bytes").alias("n")).filter(F.col("n") >= depth)
+    first = ids.groupBy("text").agg(F.min("ord").alias("least"))
+    return (ids.join(first, "text").filter(F.col("ord") > F.col("least"))
+            .select(*_ROW, F.lit(0).alias("first"), (F.col("n") - depth).cast("int").alias("last")).distinct())
+
+
 def _grams(docs: DataFrame, depth: int, digit: int) -> DataFrame:
     """``h``, ``uid``, ``c``: distinct grams of every row, with their number."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, uid = b.column(1).to_pylist(), b.column(0).to_numpy()
+            texts, uid = b.column(2).to_pylist(), b.column(1).to_numpy()
             for lo, hi in chunks(texts):
                 owner, h, *_ = anchors(texts[lo:hi], depth, digit)
                 if len(h):
@@ -117,7 +126,7 @@ def _grams(docs: DataFrame, depth: int, digit: int) -> DataFrame:
                         [pa.array(h[first].view(np.int64)), pa.array(uid[lo:hi][o[first]]),
                          pa.array(np.diff(np.append(first, len(h))))], ["h", "uid", "c"])
 
-    return docs.select("uid", "bytes").mapInArrow(scan, "h long, uid long, c long")
+    return docs.mapInArrow(scan, "h long, uid long, c long")
 
 
 def _runs(row: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -151,13 +160,13 @@ def _pieces(rows: DataFrame, depth: int, digit: int, buckets: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(3).to_pylist()
+            texts = b.column(2).to_pylist()
             for lo, hi in chunks(texts):
                 part = b.slice(lo, hi - lo)
                 owner, h, pos, first, last = anchors(texts[lo:hi], depth, digit)
                 if not len(h):
                     continue
-                left = part.column(4)                  # (text, gram) pairs, numbered
+                left = part.column(3)                  # (text, gram) pairs, numbered
                 want_o, want_h = np.repeat(np.arange(len(part)), np.diff(left.offsets.to_numpy())), left.flatten().to_numpy().view(np.uint64)
                 names, code = np.unique(np.concatenate([want_h, h]), return_inverse=True)
                 found = np.isin(owner * len(names) + code[len(want_h):], want_o * len(names) + code[:len(want_h)])
@@ -170,11 +179,11 @@ def _pieces(rows: DataFrame, depth: int, digit: int, buckets: int) -> DataFrame:
                 first, last = np.concatenate([first[new], run[1]]), np.concatenate([last[new], run[2]])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array((hs % np.uint64(buckets)).astype(np.int64)), pa.array(hs.view(np.int64)),
-                     *(part.column(k).take(pa.array(o)) for k in range(3)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)),
+                     *(part.column(k).take(pa.array(o)) for k in range(2)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)),
                      pa.array(pos.astype(np.int32)), pa.array([piece[k] for k in new] + [b""] * len(run[0]), pa.binary())],
                     ["bucket", "h", *_ROW, "first", "last", "shift", "piece"])
 
-    return rows.mapInArrow(cut, "bucket long, h long, ord long, tie long, uid long, first int, last int, shift int, piece binary")
+    return rows.mapInArrow(cut, "bucket long, h long, ord long, uid long, first int, last int, shift int, piece binary")
 
 
 def radix_classes(raw: np.ndarray, at: np.ndarray, cls: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -224,7 +233,7 @@ def _windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sort_bucket(table: pa.Table, depth: int) -> pa.Table:
-    """Marked windows of a bucket: (ord, tie, uid, first, last) of runs of starts."""
+    """Marked windows of a bucket: (ord, uid, first, last) of runs of starts."""
     known = pc.equal(pc.binary_length(table["piece"]), 0)
     marked, table = table.filter(known).select([*_ROW, "first", "last"]), table.filter(pc.invert(known))
     h = table["h"].to_numpy()
@@ -271,7 +280,7 @@ def _crowded(pieces: DataFrame, depth: int) -> DataFrame:
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            body = b.column(4).to_pylist()
+            body = b.column(3).to_pylist()
             for lo in range(0, len(body), 2000):
                 part = body[lo:lo + 2000]
                 sizes = np.array([len(p) - depth + 1 for p in part], np.int64)
@@ -282,13 +291,13 @@ def _crowded(pieces: DataFrame, depth: int) -> DataFrame:
                 take = pa.array(piece + lo)
                 yield pa.RecordBatch.from_arrays(
                     [pa.FixedSizeBinaryArray.from_buffers(pa.binary(depth), len(piece), [None, pa.py_buffer(np.ascontiguousarray(windows))]).cast(pa.binary()),
-                     *(b.column(k).take(take) for k in range(3)),
-                     pa.array((b.column(3).to_numpy()[piece + lo] + number).astype(np.int32))], ["w", *_ROW, "first"])
+                     *(b.column(k).take(take) for k in range(2)),
+                     pa.array((b.column(2).to_numpy()[piece + lo] + number).astype(np.int32))], ["w", *_ROW, "first"])
 
     at = F.struct(*_ROW, "first")
     known = F.octet_length("piece") == 0
     rows = (pieces.filter(~known).select(*_ROW, "first", "piece")
-            .mapInArrow(explode, "w binary, ord long, tie long, uid long, first int").withColumn("at", at))
+            .mapInArrow(explode, "w binary, ord long, uid long, first int").withColumn("at", at))
     least = rows.groupBy("w").agg(F.min("at").alias("least"))
     return (rows.join(least, "w").filter(F.col("at") > F.col("least"))
             .select(*_ROW, "first", F.col("first").alias("last")).distinct()
@@ -300,11 +309,11 @@ def _remove(rows: DataFrame, depth: int, row_type: str) -> DataFrame:
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ord_, tie, texts, row, marks = (b.column(k) for k in (0, 1, 3, 4, 5))
+            ord_, texts, row, marks = (b.column(k) for k in (0, 2, 3, 4))
             kept, sizes, spans = [], [], []
-            for t, m, o, e in zip(texts.to_pylist(), marks.to_pylist(), ord_.to_pylist(), tie.to_pylist()):
+            for t, m, o in zip(texts.to_pylist(), marks.to_pylist(), ord_.to_pylist()):
                 parts, at, n = [], 0, 0
-                for lo, hi in sorted((x["first"], x["last"] + depth) for x in m or () if x["ord"] == o and x["tie"] == e):
+                for lo, hi in sorted((x["first"], x["last"] + depth) for x in m or () if x["ord"] == o):
                     if lo > at or not n:
                         parts.append(t[at:lo])
                         n += 1
@@ -328,21 +337,25 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", depth: in
     keyed = _keyed(docs, id_col, text)
     size = keyed.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     buckets = max(1, -(-int(size) // BUCKET_BYTES))
-    grams = _grams(keyed, depth, digit)
+    copies = _copies(keyed, depth)
+    # other documents: equal uid and id (the subtraction keeps the join on uid alone, like the others below)
+    alone = keyed.join(copies.select(F.col("uid").alias("copy"), F.col("ord").alias("copy_ord")),
+                       (F.col("uid") == F.col("copy")) & (F.col("ord") - F.col("copy_ord") == 0), "left_anti")
+    grams = _grams(alone.select(*_ROW, "bytes", "row"), depth, digit)
     counts = grams.groupBy("h").agg(F.sum("c").alias("n")).filter("n > 1")
 
     def around(seen: DataFrame) -> DataFrame:
         """Pieces around the grams of ``seen``; all uses of ``keyed`` share one exchange of the texts."""
         left = grams.select("h", "uid").join(seen.select("h"), "h").groupBy("uid").agg(F.collect_set("h").alias("hs"))
-        return _pieces(keyed.join(left, "uid").select(*_ROW, "bytes", "hs", "row"), depth, digit, buckets)
+        return _pieces(keyed.join(left, "uid").select(*_ROW, "bytes", "hs", "row"), depth, digit, buckets)   # every column: one exchange
 
     def sort(table: pa.Table) -> pa.Table:
         return _sort_bucket(table, depth)
 
     marks = (around(counts.filter(F.col("n") <= crowd)).groupBy("bucket")
-             .applyInArrow(sort, "ord long, tie long, uid long, first int, last int")
+             .applyInArrow(sort, "ord long, uid long, first int, last int")
              .unionByName(_crowded(around(counts.filter(F.col("n") > crowd)), depth)))
-    marks = marks.groupBy("uid").agg(F.collect_list(F.struct("ord", "tie", "first", "last")).alias("marks"))
+    marks = marks.unionByName(copies).groupBy("uid").agg(F.collect_list(F.struct("ord", "first", "last")).alias("marks"))
     out = _remove(keyed.join(marks, "uid", "left").select(*_ROW, "bytes", "row", "marks"), depth, keyed.schema["row"].dataType.simpleString())
     new = ["kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     return out.select(*(F.col("row")[c].alias(c) for c in docs.columns if c != text and c.lower() not in new), *new)
