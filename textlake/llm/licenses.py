@@ -12,11 +12,13 @@ Size bounds prune first: Dice can reach t only if
 give such a set for any template are dropped before any gram is made, the others meet
 only the templates within the bounds.
 
-``passages`` looks at every run of words, inside a line or across line breaks,
-whose number of bigrams is within a template's size bounds (of twice that reach), with the full licence texts
-beside the notices; ``scan`` puts both together.  A run with Dice >= t holds at
-least |B| t / (2 - t) of the template's bigrams, so only texts that hold so many are looked at
-closely, and the best run from a start ends with a bigram of the template.
+``passages`` looks at every run of words, inside a line or across line breaks, with the
+full licence texts beside the notices.  Run and template are bags of bigrams here (a
+repeated bigram counts as often as it occurs in both), so the size bounds hold for the length of a run, whatever it
+repeats: no run longer than |B| (2 - t) / t bigrams can match.  A run that matches shares
+at least need = |B| t / (2 - t) bigrams with the template, so it holds one of any
+|B| - need + 1 of them: texts without one of a template's longest |B| - need + 1 bigrams
+are not looked at any further.  ``scan`` puts both together.
 
 Everything is DataFrame functions inside one projection: no shuffle, no
 Python, no join; the templates are a literal of fixed size.
@@ -151,108 +153,131 @@ def full_texts() -> tuple[tuple[str, str], ...]:
     return tuple((p.stem, p.read_text()) for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt")))
 
 
-def anchors(notice: str, need: int) -> list[str]:
-    """Words, long ones first choice, one of which is in every text that holds
-    ``need`` bigrams of the notice: the bigrams without any of them are fewer."""
-    left, out = set(grams_of(notice)), []
-    while len(left) >= need:
-        gain: dict[str, int] = {}
-        for g in left:
-            for w in set(g.split(" ")):
-                gain[w] = gain.get(w, 0) + len(w) ** 2
-        out.append(max(gain, key=lambda w: (gain[w], w)))
-        left = {g for g in left if out[-1] not in g.split(" ")}
+def bag_of(notice: str) -> dict[str, int]:
+    """Word bigrams of a notice with their numbers."""
+    words, out = _normal_words(notice), {}
+    for g in map(" ".join, zip(words, words[1:])):
+        out[g] = out.get(g, 0) + 1
     return out
 
 
+def prefix_of(bag: dict[str, int], need: int) -> list[str]:
+    """The longest bigrams, so many that the others together are fewer than ``need``:
+    a text that shares ``need`` bigrams with the notice holds one of these."""
+    left, out = sum(bag.values()), []
+    for g in sorted(bag, key=lambda g: (-len(g), g)):
+        if left < need:
+            break
+        out.append(g)
+        left -= bag[g]
+    return out
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _among(x: str, grams) -> str:
+    """SQL: hash look-up of ``x`` among fixed bigrams (of letters, digits and blanks)."""
+    return f"{x} IN ({', '.join(repr(g) for g in grams)})"
+
+
+def _template_runs(occ: str, name: str, notice: str, threshold: float) -> Column:
+    """Runs of bigrams of a text (column ``occ``: (g, at) in text order) whose Dice coefficient with
+    the notice is ``threshold`` or more: for every start the end of the best score.
+
+    Hits are the notice's bigrams.  A run starts with a hit that has no hit right before it (with one, it
+    gets better) or with the notice's first bigram; it ends with a hit."""
+    bag = bag_of(notice)
+    n, first = sum(bag.values()), next(iter(bag))
+    need, hi = size_bounds(n, threshold)
+    number = " ".join(f"WHEN {_among('o.g', [g for g, m in bag.items() if m == c])} THEN {c}" for c in sorted(set(bag.values()) - {1}))
+    number = f"CASE {number} ELSE 1 END" if number else "1"
+    hits = F.expr(f"transform(filter(`{occ}`, o -> {_among('o.g', bag)}), o -> struct(o.g AS g, o.at AS at, {number} AS c))")
+
+    def links(s):
+        """(at, back, first): ``back`` is where the same bigram stood, as often as the notice has it, before."""
+        def of(x, j):
+            back = F.get(s, j - x["c"])
+            return F.struct(x["at"].alias("at"), F.coalesce(F.when(back["g"] == x["g"], back["at"]), F.lit(-1)).alias("back"),
+                            (x["g"] == first).alias("first"))
+        return F.array_sort(F.transform(s, of))
+
+    def balanced(h):
+        """Twice the hits less the other bigrams before each hit (``sum``)."""
+        return F.transform(h, lambda x, a: F.struct(x["at"].alias("at"), x["back"].alias("back"), x["first"].alias("first"),
+                                                    (3 * a - x["at"]).alias("sum")))
+
+    def starts(h):
+        def of(x, a):
+            before = F.get(h, a - 1)
+            # a front part with fewer hits than half of its other bigrams: without it a run scores higher and has the larger Dice
+            poor = F.exists(F.slice(h, a + 2, need - 1), lambda y: y["sum"] < x["sum"])
+            inside = F.coalesce((before["at"] == x["at"] - 1) & ~x["first"], F.lit(False))
+            return F.when((F.get(h, a + (need - 1))["at"] - x["at"] < hi) & ~inside & ~poor, a)
+        return F.filter(F.transform(h, of), lambda a: a.isNotNull())
+
+    def best(h, a):
+        s = F.get(h, a)["at"]
+
+        def step(b, x):
+            size = x["at"] - s + 1
+            common = b["common"] + (x["back"] < s).cast("int")
+            rank = 3 * common - size - n
+            better = (size <= hi) & (2.0 * common >= threshold * (size + n) - 1e-9) & (rank > b["score"])
+            return F.struct(common.alias("common"), F.when(better, rank).otherwise(b["score"]).alias("score"),
+                            F.when(better, 2.0 * common / (size + n)).otherwise(b["dice"]).alias("dice"),
+                            F.when(better, x["at"]).otherwise(b["end"]).alias("end"))
+
+        none = F.struct(F.lit(0).alias("common"), F.lit(-(1 << 30)).alias("score"), F.lit(0.0).alias("dice"), F.lit(-1).alias("end"))
+        return F.aggregate(F.slice(h, a + 1, hi), none, step, lambda b: F.struct(
+            (-b["score"]).alias("rank"), (-b["dice"]).alias("less"), F.lit(name).alias("name"), s.alias("start"), b["end"].alias("end")))
+
+    def runs(hits):
+        found = lambda h: F.filter(F.transform(starts(h), lambda a: best(h, a)), lambda r: r["end"] >= 0)
+        return F.when(F.size(hits) >= need, _let(F.array_sort(hits), lambda s: _let(links(s), lambda h: _let(balanced(h), found))))
+
+    return F.coalesce(_let(hits, runs), F.array().cast(_RUNS))
+
+
+_RUNS = "array<struct<rank:int,less:double,name:string,start:int,end:int>>"
+
+
 def passages(docs: DataFrame, text: str = "text", out: str = "passages", threshold: float = THRESHOLD,
              templates=None) -> DataFrame:
     """``docs`` with an array of (line, last, name, dice): runs of words that match a
-    template, with their first and last line, in text order.  Where runs overlap, the one with
-    the most shared less unshared bigrams stays."""
+    template, with their first and last line, in text order.  Where runs overlap or touch, the one with
+    the most shared less unshared bigrams stays (then the larger Dice, the name, the start)."""
     every = sorted(TEMPLATES + full_texts() if templates is None else templates)
-    body, cand, occ, found = (free_name(docs, c) for c in ("_body", "_cand", "_occ", "_runs"))
-    rows, may = [], []
-    for k, (name, notice) in enumerate(every):
-        g = grams_of(notice)
-        plain = _normal_words(notice)
-        need, _ = size_bounds(len(g), threshold)
-        # repeats count for the reach of a run, and it may begin with hits from before the passage
-        hi = 2 * size_bounds(len(plain) - 1, threshold)[1]
-        rows.append(F.struct(F.lit(k).alias("k"), F.lit(name).alias("name"), F.lit(len(g)).alias("n"), F.lit(need).alias("need"),
-                             F.lit(hi).alias("hi"), F.lit(" ".join(plain[:2])).alias("first"), F.split(F.lit("|".join(g)), r"\|").alias("grams")))
-        some = F.lit(False)
-        for w in anchors(notice, need):
-            some = some | F.contains(F.col(body), F.lit(w))
-        # so many different bigrams take two characters each at least
-        may.append(F.when((F.length(body) > 2 * need) & some, F.lit(k)))
-    table = F.array(*rows)
-    empty = "array<struct<line:int,last:int,name:string,dice:double>>"
-
-    # a bigram, where it was before (-1: nowhere), in text order
-    pairs = F.transform(F.array(F.split(_normalised(F.col(body)), " ")), lambda w: F.zip_with(
-        F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b)))[0]
-    sorted_ = F.array_sort(F.transform(pairs, lambda g, i: F.struct(g.alias("g"), i.alias("at"))))
-    with_prev = F.transform(F.array(sorted_), lambda s: F.zip_with(s, F.slice(F.concat(F.array(
-        F.struct(F.lit(None).cast("string").alias("g"), F.lit(-1).alias("at"))), s), 1, F.size(s)),
-        lambda x, y: F.struct(x["at"].alias("at"), x["g"].alias("g"), F.when(x["g"] == y["g"], y["at"]).otherwise(-1).alias("prev"))))[0]
-
-    def runs(t, shared, marks):
-        """Best run of the template from every start that has enough hits within its bound."""
-        hits = F.transform(F.filter(marks, lambda m: m["hit"]), lambda m: m["at"])
-        many = F.greatest(F.size(hits) - t["need"] + 1, F.lit(0))
-        starts = F.transform(F.array(hits), lambda h: F.filter(
-            F.zip_with(F.slice(h, F.lit(1), many), F.slice(h, t["need"], many), lambda a, b: F.when(b - a < t["hi"], a)),
-            lambda s: s.isNotNull()))[0]
-        # a hit in front never makes a run worse: only the first of adjacent hits begins one, and the notice's own beginning
-        starts = F.filter(starts, lambda s: (s == 0) | ~F.coalesce(F.get(marks, s - 1)["hit"], F.lit(False)) | F.get(marks, s)["first"])
-
-        def step(a, m, s):
-            size = a["size"] + (m["prev"] < s).cast("int")
-            common = a["common"] + ((m["prev"] < s) & m["hit"]).cast("int")
-            dice = F.lit(2.0) * common / (size + t["n"])
-            score = 3 * common - size - t["n"]
-            better = (dice >= threshold) & (score > a["score"])
-            return F.struct(size.alias("size"), common.alias("common"), F.when(better, score).otherwise(a["score"]).alias("score"),
-                            F.when(better, dice).otherwise(a["dice"]).alias("dice"), F.when(better, m["at"]).otherwise(a["end"]).alias("end"))
-
-        def best(s):
-            start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("common"), F.lit(0).alias("score"), F.lit(0.0).alias("dice"), F.lit(-1).alias("end"))
-            return F.aggregate(F.slice(marks, s + 1, t["hi"]), start, lambda a, m: step(a, m, s), lambda a: F.struct(
-                (-a["score"]).alias("rank"), (-a["dice"]).alias("less"), t["name"].alias("name"), s.alias("start"), a["end"].alias("end")))
-
-        return F.filter(F.transform(starts, best), lambda r: r["end"] >= 0)
-
-    def of_template(t):
-        shared = F.array_intersect(t["grams"], F.transform(F.col(occ), lambda o: o["g"]))
-        near = F.filter(F.array(shared), lambda s: F.size(s) >= t["need"])
-        return F.flatten(F.transform(near, lambda s: F.flatten(F.transform(
-            F.array(F.transform(F.col(occ), lambda o: F.struct(o["at"].alias("at"), o["prev"].alias("prev"), F.array_contains(s, o["g"]).alias("hit"),
-                                                             (o["g"] == t["first"]).alias("first")))),
-            lambda marks: runs(t, s, marks)))))
-
-    ranked = F.array_sort(F.flatten(F.transform(F.filter(table, lambda t: F.array_contains(F.col(cand), t["k"])), of_template)))
-    none = "array<struct<rank:int,less:double,name:string,start:int,end:int>>"
-    kept = F.aggregate(ranked, F.array().cast(none), lambda acc, c: F.when(
-        F.exists(acc, lambda k: (c["start"] <= k["end"] + 1) & (k["start"] <= c["end"] + 1)), acc).otherwise(F.concat(acc, F.array(c))))
-    words = F.transform(F.split(F.col(body), r"\r\n|\n|\r"), lambda s: F.transform(F.array(_normalised(s)), lambda x: F.when(
-        x == "", 0).otherwise(F.size(F.split(x, " "))))[0])
-
-    def line(counts, word):
-        start = F.struct(word.alias("left"), F.lit(1).alias("line"))
-        return F.aggregate(counts, start, lambda a, n: F.struct(
-            F.when(a["left"] < 0, -1).otherwise(a["left"] - n).alias("left"),
-            (a["line"] + F.when((a["left"] >= 0) & (a["left"] >= n), 1).otherwise(0)).alias("line")), lambda a: a["line"])
-
-    placed = F.flatten(F.transform(F.array(words), lambda counts: F.transform(
-        F.array_sort(F.col(found), lambda a, b: a["start"] - b["start"]),
-        lambda r: F.struct(line(counts, r["start"]).alias("line"), line(counts, r["end"] + 1).alias("last"), r["name"].alias("name"), (-r["less"]).alias("dice")))))
+    body, grams, near, occ, found = (free_name(docs, c) for c in ("_body", "_grams", "_near", "_occ", "_runs"))
+    every = [(name, notice) for name, notice in every if bag_of(notice)]
+    firsts = [prefix_of(b, size_bounds(sum(b.values()), threshold)[0]) for b in (bag_of(notice) for _, notice in every)]
+
+    pairs = _let(F.split(_normalised(F.col(body)), " "), lambda w: F.zip_with(
+        F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
+    gate = sorted({g for f in firsts for g in f})
     frame = docs.withColumn(body, F.lower(F.coalesce(F.col(text), F.lit(""))))
-    frame = frame.withColumn(cand, F.filter(F.array(*may), lambda k: k.isNotNull()))
-    frame = frame.withColumn(occ, F.when(F.size(cand) > 0, F.array_sort(with_prev)))
-    frame = frame.withColumn(found, F.when(F.col(occ).isNotNull(), kept))
-    return (frame.withColumn(out, F.when(F.size(F.coalesce(F.col(found), F.array().cast(none))) > 0, placed).otherwise(F.array().cast(empty)))
-            .drop(body, cand, occ, found))
+    frame = frame.withColumn(grams, pairs)
+    frame = frame.withColumn(near, F.expr(f"array_distinct(filter(`{grams}`, g -> {_among('g', gate)}))") if gate else F.array().cast("array<string>"))
+    frame = frame.withColumn(occ, F.when(F.size(near) > 0, F.transform(F.col(grams), lambda g, i: F.struct(g.alias("g"), i.alias("at")))))
+    own = [F.when(F.expr(f"exists(`{near}`, g -> {_among('g', f)})"), _template_runs(occ, name, notice, threshold))
+           .otherwise(F.array().cast(_RUNS)) for (name, notice), f in zip(every, firsts)]
+    ranked = F.array_sort(F.flatten(F.array(*own))) if own else F.array().cast(_RUNS)
+    kept = _let(ranked, lambda r: F.aggregate(r, F.array().cast(_RUNS), lambda acc, c: F.when(
+        F.exists(acc, lambda k: (c["start"] <= k["end"] + 1) & (k["start"] <= c["end"] + 1)), acc).otherwise(F.concat(acc, F.array(c)))))
+    frame = frame.withColumn(found, F.when(F.size(near) > 0, kept).otherwise(F.array().cast(_RUNS)))
+    words = F.transform(F.split(F.col(body), r"\r\n|\n|\r"), lambda s: _let(_normalised(s), lambda x: F.when(
+        x == "", 0).otherwise(F.size(F.split(x, " ")))))
+    # lines by the number of words before their end: a word's line is the first that ends behind it
+    ends = F.aggregate(words, F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("ends")), lambda a, n: F.struct(
+        (a["n"] + n).alias("n"), F.concat(a["ends"], F.array(a["n"] + n)).alias("ends")), lambda a: a["ends"])
+    line = lambda e, w: F.size(F.filter(e, lambda x: x <= w)) + 1
+    placed = _let(ends, lambda e: F.transform(
+        F.array_sort(F.col(found), lambda a, b: a["start"] - b["start"]),
+        lambda r: F.struct(line(e, r["start"]).alias("line"), line(e, r["end"] + 1).alias("last"), r["name"].alias("name"), (-r["less"]).alias("dice"))))
+    none = F.array().cast("array<struct<line:int,last:int,name:string,dice:double>>")
+    return frame.withColumn(out, F.when(F.size(found) > 0, placed).otherwise(none)).drop(body, grams, near, occ, found)
 
 
 def scan(docs: DataFrame, text: str = "text", out: str = "licenses", threshold: float = THRESHOLD) -> DataFrame:
