@@ -7,7 +7,7 @@ pruning keeps an edge only if no kept neighbour is ``alpha`` times closer to
 its end, so the kept edges point in different directions; edges are also added
 backwards and pruned again where a point gets too many.  The graphs are written to the
 shared checkpoint folder, one row a shard.  Queries come in blocks of a
-bounded size, are broadcast, and search every shard with a beam; the shards' answers
+bounded size; each block meets each shard in a task and searches it with a beam; the shards' answers
 are merged by score.
 
 Nearness is the cosine; the graph works on unit vectors in single precision,
@@ -21,7 +21,8 @@ Defined results
 * rows that repeat an id count once (their least vector);
 * ties go to the smaller id; fewer candidates than ``k``: all of them;
 * vectors are compared within their own number of components;
-* an empty table, or no query, gives an empty result.
+* an empty table, or no query, gives an empty result;
+* other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ class Params:
     search_beam: int = 128
     expand: int = 4             # nodes expanded in a step
     batch: int = 256            # points added, or queries searched, at once
-    query_block: int = 20_000   # queries broadcast at once
+    query_block: int = 20_000   # queries that a task searches at once
 
 
 class Graph:
@@ -250,32 +251,28 @@ def _unpack(row, p: Params) -> dict:
             "adj": s["adj"].reshape(-1, p.slack), "member": s["member"], "start": s["start"], "entry": row["entry"]}
 
 
-def _answer(shared, k: int, p: Params):
-    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for _, row in pdf.iterrows():
-            if int(row["dim"]) in shared.value:
-                qid, q = shared.value[int(row["dim"])]
-                found += [(int(qid[i]), v, s) for i, v, s in search_shard(_unpack(row, p), qid, q, k, p)]
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
-
-    return answer
-
-
 def search(index: DataFrame, queries: DataFrame, k: int = 5, p: Params = Params()) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score`` of the k nearest of each query
-    (``vec_id``, ``v``, ``dim``), itself left out."""
-    spark = index.sparkSession
+    (``vec_id``, ``v``, ``dim``), itself left out.
+
+    Blocks of queries and shards meet by an equality join on (block, shard), so
+    neither passes through the driver and a task holds one block and one shard."""
     blocks = max(1, -(-queries.count() // p.query_block))
-    answers = None
-    for b in range(blocks):
-        block = queries.filter(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)) == b) if blocks > 1 else queries
-        pdf = block.select("vec_id", "v", "dim").toPandas()
-        by_dim = {int(d): (g["vec_id"].to_numpy(np.int64), np.stack(g["v"].to_numpy()).astype(np.float64))
-                  for d, g in pdf.groupby("dim")}
-        answer = _answer(spark.sparkContext.broadcast(by_dim), k, p)
-        one = index.groupBy("shard", "dim").applyInPandas(answer, "query_id long, vec_id long, score double")
-        answers = one if answers is None else answers.unionByName(one)
+    shards = (index.agg(F.max("shard")).first()[0] or 0) + 1
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)).cast("int")).withColumn("shard", every(shards))
+    s = index.withColumn("block", every(blocks))
+
+    def answer(q: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(q) and len(shard):
+            qid = q["vec_id"].to_numpy(np.int64)
+            own = _unpack(shard.iloc[0], p)
+            found = [(int(qid[i]), v, x) for i, v, x in search_shard(own, qid, np.stack(q["v"].to_numpy()).astype(np.float64), k, p)]
+        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
+
+    key = ["block", "shard", "dim"]
+    answers = q.groupBy(*key).cogroup(s.groupBy(*key)).applyInPandas(answer, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (answers.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))

@@ -110,10 +110,10 @@ def _gram_set(line: Column) -> Column:
 
 
 def matches(docs: DataFrame, text: str = "text", out: str = "licenses", threshold: float = THRESHOLD,
-            templates=TEMPLATES) -> DataFrame:
+            templates=TEMPLATES, only: Column | None = None) -> DataFrame:
     """``docs`` with an array of (line, name, dice), best template of every
     matching line, in line order; line 0 is the text as a whole (if it has
-    more than one line)."""
+    more than one line).  ``only``: texts that can match at all, if that is known."""
     table = _template_array(templates, threshold)
     sizes = [size_bounds(len(grams_of(n)), threshold) for _, n in templates]
     least = min(lo for lo, _ in sizes) + 1          # a set of n bigrams takes n + 1 words at least
@@ -144,7 +144,10 @@ def matches(docs: DataFrame, text: str = "text", out: str = "licenses", threshol
         return F.struct(x["line"].alias("line"), first.alias("name"), best.alias("dice"))
 
     found = F.filter(F.transform(sets, score), lambda m: m["name"].isNotNull())
-    return docs.withColumn(out, found)
+    return docs.withColumn(out, found if only is None else F.when(only, found).otherwise(F.array().cast(_MATCHES)))
+
+
+_MATCHES = "array<struct<line:int,name:string,dice:double>>"
 
 
 @cache
@@ -249,17 +252,34 @@ def passages(docs: DataFrame, text: str = "text", out: str = "passages", thresho
     """``docs`` with an array of (line, last, name, dice): runs of words that match a
     template, with their first and last line, in text order.  Where runs overlap or touch, the one with
     the most shared less unshared bigrams stays (then the larger Dice, the name, the start)."""
-    every = sorted(TEMPLATES + full_texts() if templates is None else templates)
-    body, grams, near, occ, found = (free_name(docs, c) for c in ("_body", "_grams", "_near", "_occ", "_runs"))
-    every = [(name, notice) for name, notice in every if bag_of(notice)]
-    firsts = [prefix_of(b, size_bounds(sum(b.values()), threshold)[0]) for b in (bag_of(notice) for _, notice in every)]
+    frame, names = _with_grams(docs, text, threshold, templates)
+    return _passages(frame, names, out, threshold, templates).drop(*names)
+
+
+def _every(templates) -> list[tuple[str, str]]:
+    return [(name, notice) for name, notice in sorted(TEMPLATES + full_texts() if templates is None else templates) if bag_of(notice)]
 
+
+def _with_grams(docs: DataFrame, text: str, threshold: float, templates) -> tuple[DataFrame, list[str]]:
+    """``docs`` with the lower-cased text, its bigrams, and those of them that a text
+    needs to match any template: as a run (bags), or as a line or a whole (sets)."""
+    names = body, grams, near = [free_name(docs, c) for c in ("_body", "_grams", "_near")]
+    gate = set()
+    for _, notice in _every(templates):
+        for bag in (bag_of(notice), dict.fromkeys(bag_of(notice), 1)):
+            gate.update(prefix_of(bag, size_bounds(sum(bag.values()), threshold)[0]))
     pairs = _let(F.split(_normalised(F.col(body)), " "), lambda w: F.zip_with(
         F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
-    gate = sorted({g for f in firsts for g in f})
-    frame = docs.withColumn(body, F.lower(F.coalesce(F.col(text), F.lit(""))))
-    frame = frame.withColumn(grams, pairs)
-    frame = frame.withColumn(near, F.expr(f"array_distinct(filter(`{grams}`, g -> {_among('g', gate)}))") if gate else F.array().cast("array<string>"))
+    frame = docs.withColumn(body, F.lower(F.coalesce(F.col(text), F.lit("")))).withColumn(grams, pairs)
+    found = F.expr(f"array_distinct(filter(`{grams}`, g -> {_among('g', sorted(gate))}))") if gate else F.array().cast("array<string>")
+    return frame.withColumn(near, found), names
+
+
+def _passages(frame: DataFrame, names: list[str], out: str, threshold: float, templates) -> DataFrame:
+    body, grams, near = names
+    occ, found = free_name(frame, "_occ"), free_name(frame, "_runs")
+    every = _every(templates)
+    firsts = [prefix_of(b, size_bounds(sum(b.values()), threshold)[0]) for b in (bag_of(notice) for _, notice in every)]
     frame = frame.withColumn(occ, F.when(F.size(near) > 0, F.transform(F.col(grams), lambda g, i: F.struct(g.alias("g"), i.alias("at")))))
     own = [F.when(F.expr(f"exists(`{near}`, g -> {_among('g', f)})"), _template_runs(occ, name, notice, threshold))
            .otherwise(F.array().cast(_RUNS)) for (name, notice), f in zip(every, firsts)]
@@ -277,19 +297,22 @@ def passages(docs: DataFrame, text: str = "text", out: str = "passages", thresho
         F.array_sort(F.col(found), lambda a, b: a["start"] - b["start"]),
         lambda r: F.struct(line(e, r["start"]).alias("line"), line(e, r["end"] + 1).alias("last"), r["name"].alias("name"), (-r["less"]).alias("dice"))))
     none = F.array().cast("array<struct<line:int,last:int,name:string,dice:double>>")
-    return frame.withColumn(out, F.when(F.size(found) > 0, placed).otherwise(none)).drop(body, grams, near, occ, found)
+    return frame.withColumn(out, F.when(F.size(found) > 0, placed).otherwise(none)).drop(occ, found)
 
 
 def scan(docs: DataFrame, text: str = "text", out: str = "licenses", threshold: float = THRESHOLD) -> DataFrame:
     """``matches`` and, beside them, the ``passages`` that these don't show: not the
     passages inside a line of the same match, nor those over several lines in a text that matches as a whole."""
-    extra = free_name(docs, "_passages")
-    frame = passages(matches(docs, text, out, threshold), text, extra, threshold)
+    frame, names = _with_grams(docs, text, threshold, None)
+    extra = free_name(frame, "_passages")
+    # a line of one word can't match a notice of several, so a line that matches holds a bigram of the gate
+    frame = matches(frame, text, out, threshold, only=F.size(names[2]) > 0)
+    frame = _passages(frame, names, extra, threshold, None)
     known = F.col(out)
     new = F.filter(F.col(extra), lambda p: ~F.exists(known, lambda m: (m["name"] == p["name"]) & (
         ((p["line"] == p["last"]) & (m["line"] == p["line"])) | ((p["line"] < p["last"]) & (m["line"] == 0)))))
     both = F.concat(known, F.transform(new, lambda p: F.struct(p["line"].alias("line"), p["name"].alias("name"), p["dice"].alias("dice"))))
-    return frame.withColumn(out, F.array_sort(both)).drop(extra)
+    return frame.withColumn(out, F.array_sort(both)).drop(extra, *names)
 
 
 def matches_sql(threshold: float = THRESHOLD, templates=TEMPLATES) -> str:

@@ -98,6 +98,9 @@ def sample(docs: DataFrame, targets: Targets = TARGETS, budget: float = BUDGET,
     ``topic`` is made by rule where there is no such column."""
     if any("*" not in t for t in targets.values()):
         raise ValueError("every target list needs the value *")
+    missing = [d for d in targets if d not in docs.columns and d != "topic"]
+    if missing:
+        raise ValueError(f"no column for {', '.join(missing)}")
     frame = docs.withColumn(f"{prefix}tokens", n_tokens(F.col(text)))
     names = []
     for dim, target in targets.items():

@@ -261,13 +261,16 @@ def word_rows(model: Model, ids: np.ndarray) -> np.ndarray:
 
 
 def discounts(n: np.ndarray) -> list[float]:
-    """Modified Kneser-Ney discounts [D0=0, D1, D2, D3+] from counts of counts 1 to 4."""
+    """Modified Kneser-Ney discounts [D0=0, D1, D2, D3+] from counts of counts 1 to 4.
+
+    A discount that isn't strictly between 0 and its count (many threefold copies make D2 zero
+    or less) would leave nothing for unseen words: half its count stands for it."""
     n1, n2, n3, n4 = map(float, n)
     if min(n1, n2, n3, n4) <= 0:
         return [0.0, 0.5, 1.0, 1.5]
     y = n1 / (n1 + 2 * n2)
     d = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
-    return [0.0, *(min(max(x, 0.0), float(k + 1)) for k, x in enumerate(d))]
+    return [0.0, *(x if 0.0 < x < k else k / 2 for k, x in enumerate(d, 1))]
 
 
 def _texts(batch) -> list[bytes]:

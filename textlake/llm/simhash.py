@@ -150,7 +150,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **params)
             .select("k._k1", "k._k2"))
     k1, k2 = free_name(docs, "_k1"), free_name(docs, "_k2")
     a, b = _row_keys(doc_id, text)
-    rows = docs.withColumns({k1: a, k2: b})
+    # repeats of a row go in the tasks that read them, so no key is left with many texts
+    rows = docs.withColumns({k1: a, k2: b}).dropDuplicates([k1, k2])
     kept = rows.join(keep, (rows[k1] == keep["_k1"]) & (rows[k2] == keep["_k2"]), "left_semi")
-    # the join has dealt the rows by these keys, so this needs no further shuffle
-    return kept.dropDuplicates([k1, k2]).drop(k1, k2)
+    return kept.drop(k1, k2)

@@ -128,7 +128,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, labelled: Colu
     lab = (labels.filter(labelled & F.col("doc_id").isNotNull() & F.col(label).isNotNull())
            .groupBy(F.col("doc_id").alias("_id")).agg(F.max(label).alias("_y")))
     n, n1 = lab.agg(F.count("*"), F.sum(F.when(F.col("_y") > 0, 1).otherwise(0))).first()
-    prior = p.prior or (min(max(n1 / n, 0.001), 0.5) if n and n1 else 0.1)
+    # the share of the labelled; where all are positive, half a row short of one
+    prior = p.prior or (min(n1 / n, 1 - 0.5 / n) if n and n1 else 0.1)
     top = (F.xxhash64("_id"), F.col("_id"))
     chosen = lab.filter(F.col("_y") > 0).orderBy(*top).limit(p.positive_rows).select("_id")
     ids = docs.filter(usable & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")).distinct()
