@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from textlake.functions import text as T
 from textlake.operators import evaluation as EV
 from textlake.operators import quant as QN
+from textlake.operators import vectors as VE
 from textlake.operators import vocab as V
 from textlake.operators.common import dense_index
 from textlake.operators.models import Args, line_features
@@ -269,19 +270,67 @@ def _coded(rows: DataFrame, dsub: int, qnorm: bool, key: str):
     return codes, book, back
 
 
-def save(model: Classifier, path: str) -> None:
-    """MDL-11: a Parquet folder a part."""
+#: Files a table of a saved model is dealt to; a look-up opens those of its keys only.
+LOOKUP_PARTS = 64
+
+
+def _part(key: Column | str, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+
+
+def save(model: Classifier, path: str, parts: int = LOOKUP_PARTS) -> None:
+    """MDL-11: a Parquet folder a part.  The feature rows (by ``row_id``) and the vocabulary
+    (by ``word``) lie in hash folders, sorted by key, for look-ups."""
     spark = model.vocab.sparkSession
-    meta = json.dumps(dict(args=asdict(model.args), nwords=model.nwords))
+    meta = json.dumps(dict(args=asdict(model.args), nwords=model.nwords, shrunk=model.shrunk, parts=parts))
     spark.createDataFrame([(meta,)], "json string").coalesce(1).write.mode("overwrite").text(f"{path}/args")
-    for name in ("vocab", "input", "output"):
-        getattr(model, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    for name, key in (("vocab", "word"), ("input", "row_id")):
+        (getattr(model, name).withColumn("part", _part(key, parts)).repartition(parts, "part").sortWithinPartitions("part", key)
+         .write.mode("overwrite").partitionBy("part").parquet(f"{path}/{name}"))
+    model.output.write.mode("overwrite").parquet(f"{path}/output")
+
+
+def _meta(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(f"{path}/args").first()[0])
 
 
 def load(spark: SparkSession, path: str) -> Classifier:
-    meta = json.loads(spark.read.text(f"{path}/args").first()[0])
-    return Classifier(Args(**meta["args"]), spark.read.parquet(f"{path}/vocab"), meta["nwords"],
-                      spark.read.parquet(f"{path}/input"), spark.read.parquet(f"{path}/output"))
+    meta = _meta(spark, path)
+    vocab, rows = (spark.read.parquet(f"{path}/{name}").drop("part") for name in ("vocab", "input"))
+    return Classifier(Args(**meta["args"]), vocab, meta["nwords"], rows, spark.read.parquet(f"{path}/output"), bool(meta.get("shrunk")))
+
+
+def _look_up(spark: SparkSession, path: str, name: str, key: str, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (``key``) beside its rows of a saved table, null where there is none.  Both
+    sides agree on the hash folder, so Spark opens only folders that hold wanted keys."""
+    parts = _meta(spark, path)["parts"]
+    asked = wanted.select(key).distinct().withColumn("part", _part(key, parts))
+    return asked.join(spark.read.parquet(f"{path}/{name}"), ["part", key], "left").drop("part")
+
+
+def word_ids(spark: SparkSession, path: str, words: DataFrame) -> DataFrame:
+    """MDL-11: (word, id, count, type) of the given words, -1 for the id of unknown ones."""
+    return _look_up(spark, path, "vocab", "word", words).withColumn("id", F.coalesce("id", F.lit(-1).cast("bigint")))
+
+
+def input_vectors(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
+    """MDL-11: (row_id, vec) of the given feature rows; one that training never moved has its
+    start value, or none (null) in a shrunk model."""
+    meta = _meta(spark, path)
+    got = _look_up(spark, path, "input", "row_id", rows)
+    if meta.get("shrunk"):
+        return got
+    args = Args(**meta["args"])
+    return got.withColumn("vec", F.coalesce("vec", start_vector(F.col("row_id"), args.dim, args.seed)))
+
+
+def subword_vectors(spark: SparkSession, path: str, words: DataFrame) -> DataFrame:
+    """MDL-11: (word, pos, gram, row_id, vec): the own row of a known word and its sub-words' rows."""
+    meta = _meta(spark, path)
+    args = Args(**meta["args"])
+    vocab = word_ids(spark, path, words).filter(F.col("id") >= 0)
+    grams = VE.subword_rows(words, vocab, meta["nwords"], args.bucket, args.minn, args.maxn)
+    return grams.join(input_vectors(spark, path, grams.select("row_id")), "row_id", "left").select("word", "pos", "gram", "row_id", "vec")
 
 
 def folder(spark: SparkSession, tag: str) -> str:

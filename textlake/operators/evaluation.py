@@ -51,7 +51,10 @@ def predict(hidden: DataFrame, key: str, output: DataFrame, k: int = 1, threshol
     ``hidden``: (key, vec) sentence vectors (VEC-02 mean of feature rows);
     ``output``: (label, vec).  Returns (key, rank, label, prob).
     """
+    key_type = dict(hidden.dtypes)[key]
     rows = output.orderBy("label").collect()          # one row per label
+    if not rows:                                      # no label, no prediction
+        return hidden.sparkSession.createDataFrame([], f"{key} {key_type}, rank int, label string, prob double")
     labels = np.array([r["label"] for r in rows], dtype=object)
     W = hidden.sparkSession.sparkContext.broadcast(np.stack([np.asarray(r["vec"], dtype=np.float64) for r in rows]))
     kk = min(k, len(labels))
@@ -79,7 +82,6 @@ def predict(hidden: DataFrame, key: str, output: DataFrame, k: int = 1, threshol
             out = pd.DataFrame({key: np.repeat(b[key].to_numpy(), kk), "rank": np.tile(np.arange(1, kk + 1), n).astype(np.int32),
                                 "label": labels[ids].ravel(), "prob": p.ravel()})
             yield out[out["prob"] >= threshold]
-    key_type = dict(hidden.dtypes)[key]
     return hidden.select(key, "vec").mapInPandas(run, f"{key} {key_type}, rank int, label string, prob double")
 
 

@@ -1,16 +1,15 @@
 """Word / text vectors, nearest neighbours, analogies, rank correlation,
 context windows (VEC-01..05, JOIN-05/06/08, AGG-08/09, WIN-07..09).
 
-Nearest neighbours are exact: a given query table is cut into blocks of a
-bounded size, each block is broadcast to a ``mapInPandas`` scan of the
-vector table that keeps a running best ``k`` per query and emits it once per
-task, and a final per-query top-k runs on at most (#partitions x k)
-candidates.  No cross join, no all-pairs output.
+Nearest neighbours are exact: a given query table and the vectors are cut into blocks of
+bounded sizes that meet by an equality join on their numbers; a task finds the best ``k`` of one
+block of vectors for one block of queries, and a final per-query top-k runs on
+k candidates a block of vectors.  No all-pairs output.
 """
 
 from __future__ import annotations
 
-from typing import Iterator, Sequence
+from typing import Sequence
 
 import numpy as np
 import pandas as pd
@@ -22,7 +21,8 @@ from textlake.functions import hashing as H
 from textlake.operators.common import dense_index
 
 QUERY_NORM_FLOOR = 1e-8       # fixed value: a tinier query norm counts as 1
-MAX_QUERY_CHUNK = 20_000      # queries broadcast per scan (checked, not assumed)
+MAX_QUERY_CHUNK = 20_000      # queries in a block
+VECTOR_BLOCK = 65_536         # vectors in a block
 
 
 # ---------------------------------------------------------------------------
@@ -99,32 +99,24 @@ def text_vectors(df: DataFrame, key: str, tokens: str, vectors: DataFrame, dim:
 QUERY_TILE = 512              # queries scored at once inside a task
 
 
-def _scan_fn(shared, k: int, qid_type: str):
-    """Best ``k`` words per query of one task's vectors (sim, then word, both
-    falling), emitted once when the task has read all of them."""
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qids, Q, qnorm, bans = shared.value
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, object))] * len(qids)
-        for b in batches:
-            if len(b) == 0:
-                continue
-            V = np.stack(b["uvec"].to_numpy()).astype(np.float64)
-            words = b["word"].to_numpy()
-            for lo in range(0, len(qids), QUERY_TILE):
-                S = (V @ Q[lo:lo + QUERY_TILE].T) / qnorm[lo:lo + QUERY_TILE]
-                spare = min(k + max((len(x) for x in bans[lo:lo + QUERY_TILE]), default=0), len(words))
-                cut = np.partition(S, len(words) - spare, axis=0)[len(words) - spare]
-                for j in range(S.shape[1]):
-                    near = np.flatnonzero(S[:, j] >= cut[j])
-                    near = near[[w not in bans[lo + j] for w in words[near]]]
-                    sims = np.concatenate([best[lo + j][0], S[near, j]])
-                    names = np.concatenate([best[lo + j][1], words[near]])
-                    order = sorted(range(len(sims)), key=lambda i: (sims[i], names[i]), reverse=True)[:k]
-                    best[lo + j] = (sims[order], names[order])
-        out = [(q, w, s) for q, (sims, names) in zip(qids, best) for s, w in zip(sims, names)]
-        if out:
-            yield pd.DataFrame(out, columns=["qid", "word", "sim"])
-    return scan
+def _best_words(q: pd.DataFrame, v: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The best ``k`` words of a block of vectors for every query of a block
+    (sim, then word, both falling), in tiles of queries."""
+    words, out = v["word"].to_numpy(), []
+    V = np.stack(v["uvec"].to_numpy()).astype(np.float64)
+    Q = np.stack(q["qvec"].to_numpy()).astype(np.float64)
+    norm = np.linalg.norm(Q, axis=1)
+    norm[np.abs(norm) < QUERY_NORM_FLOOR] = 1.0
+    bans = [set(() if b is None else b) for b in q["ban"]]
+    for lo in range(0, len(Q), QUERY_TILE):
+        S = (V @ Q[lo:lo + QUERY_TILE].T) / norm[lo:lo + QUERY_TILE]
+        spare = min(k + max(len(x) for x in bans[lo:lo + QUERY_TILE]), len(words))
+        cut = np.partition(S, len(words) - spare, axis=0)[len(words) - spare]
+        for j in range(S.shape[1]):
+            near = [i for i in np.flatnonzero(S[:, j] >= cut[j]) if words[i] not in bans[lo + j]]
+            near.sort(key=lambda i: (S[i, j], words[i]), reverse=True)
+            out += [(q["qid"].iat[lo + j], words[i], S[i, j]) for i in near[:k]]
+    return pd.DataFrame(out, columns=["qid", "word", "sim"])
 
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
@@ -132,33 +124,30 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
     return vectors.select("word", A.normalize_rows(F.col("vec")).alias("uvec"))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, chunk: int = MAX_QUERY_CHUNK) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, chunk: int = MAX_QUERY_CHUNK,
+            vector_block: int = VECTOR_BLOCK) -> DataFrame:
     """VEC-04: the k nearest words by cosine for every query of a given table.
 
     ``queries``: (qid, qvec array, ban array<string>), one row a qid;
-    ``vectors``: (word, vec).  Ties by word, descending.  The queries are
-    broadcast in hash blocks of about ``chunk``; every task scans its vectors
-    once per block and emits k words a query.  Returns (qid, rank, word, sim).
+    ``vectors``: (word, vec).  Ties by word, descending.  Hash blocks of about
+    ``chunk`` queries meet hash blocks of about ``vector_block`` vectors by an equality
+    join on the two block numbers: a task holds one block of each and emits k words a query, the plan is the
+    same for any number of queries, and nothing passes through the driver.
+    Returns (qid, rank, word, sim).
     """
-    spark = queries.sparkSession
-    units = unit_vectors(vectors)
     qid_type = dict(queries.dtypes)["qid"]
-    blocks = max(1, -(-queries.count() // chunk))
-    cand = None
-    for c in range(blocks):
-        qc = queries.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == c).select("qid", "qvec", "ban")
-        rows = qc.collect()                       # one bounded block of the query table
-        if not rows:
-            continue
-        qmat = np.stack([np.asarray(r["qvec"], dtype=np.float64) for r in rows])
-        qnorm = np.linalg.norm(qmat, axis=1)
-        qnorm[np.abs(qnorm) < QUERY_NORM_FLOOR] = 1.0
-        shared = spark.sparkContext.broadcast(([r["qid"] for r in rows], qmat, qnorm, [set(r["ban"] or ()) for r in rows]))
-        part = units.mapInPandas(_scan_fn(shared, k, qid_type), f"qid {qid_type}, word string, sim double")
-        cand = part if cand is None else cand.unionByName(part)
-    if cand is None:
-        return spark.createDataFrame([], f"qid {qid_type}, rank int, word string, sim double")
-    # candidates per query <= #partitions x k: a bounded window
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    n_q, n_v = max(1, -(-queries.count() // chunk)), max(1, -(-vectors.count() // vector_block))
+    q = queries.select("qid", "qvec", "ban", block("qid", n_q).alias("_qb")).withColumn("_vb", every(n_v))
+    v = unit_vectors(vectors).withColumn("_vb", block("word", n_v)).withColumn("_qb", every(n_q))
+
+    def best(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        return _best_words(q, v, k) if len(q) and len(v) else pd.DataFrame({"qid": [], "word": [], "sim": []})
+
+    cand = (q.groupBy("_qb", "_vb").cogroup(v.groupBy("_qb", "_vb"))
+            .applyInPandas(best, f"qid {qid_type}, word string, sim double"))
+    # k candidates of every block of vectors: Spark keeps k a query in each task before it deals them
     w = Window.partitionBy("qid").orderBy(F.col("sim").desc(), F.col("word").desc())
     return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

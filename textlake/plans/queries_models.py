@@ -245,6 +245,24 @@ def model_save_load(spark, sf_dir):
     return difference("input", "row_id").unionByName(difference("output", "label_id")).unionByName(vocab)
 
 
+@register("model_lookup", with_fixtures(f"""WITH {TRAIN_SQL},
+v AS (SELECT word, starts_with(word, '__label__') AS is_label, count(*) AS n FROM trw GROUP BY word),
+ids AS (SELECT word, n, is_label, row_number() OVER (ORDER BY is_label, n DESC, word) - 1 AS id FROM v)
+SELECT word, CAST(id AS BIGINT) AS id, NOT is_label AS has_row FROM ids WHERE n % 2 = 0
+UNION ALL SELECT 'no such word', -1, false""", "labeled"))
+def model_lookup(spark, sf_dir):
+    """MDL-11: look-ups in a saved classifier: ids of words (those of an even
+    count and an unknown one) and whether their ids have feature rows."""
+    model = _classifier(spark, sf_dir, epoch=1, word_ngrams=1)
+    path = K.folder(spark, "model")
+    K.save(model, path)
+    asked = model.vocab.filter(F.col("count") % 2 == 0).select("word").unionByName(spark.createDataFrame([("no such word",)], "word string"))
+    ids = K.word_ids(spark, path, asked).select("word", "id", "type")
+    rows = K.input_vectors(spark, path, ids.filter("type = 'word'").select(F.col("id").alias("row_id")))
+    moved = rows.select(F.col("row_id").alias("id"), (F.size("vec") == model.args.dim).alias("has_row"))
+    return ids.join(moved, "id", "left").select("word", "id", F.coalesce("has_row", F.lit(False)).alias("has_row"))
+
+
 @register("shrink_classifier")
 def shrink_classifier(spark, sf_dir):
     """QNT-06: keep 300 feature rows, train on with them, store rows (norms
