@@ -99,8 +99,8 @@ def text_vectors(df: DataFrame, key: str, tokens: str, vectors: DataFrame, dim:
 QUERY_TILE = 512              # queries scored at once inside a task
 
 
-def _best_words(q: pd.DataFrame, v: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The best ``k`` words of a block of vectors for every query of a block
+def _best_words(q: pd.DataFrame, v: pd.DataFrame, k: int) -> list[tuple]:
+    """(qid, word, sim): the best ``k`` words of a block of vectors for every query of a block
     (sim, then word, both falling), in tiles of queries."""
     words, out = v["word"].to_numpy(), []
     V = np.stack(v["uvec"].to_numpy()).astype(np.float64)
@@ -116,7 +116,7 @@ def _best_words(q: pd.DataFrame, v: pd.DataFrame, k: int) -> pd.DataFrame:
             near = [i for i in np.flatnonzero(S[:, j] >= cut[j]) if words[i] not in bans[lo + j]]
             near.sort(key=lambda i: (S[i, j], words[i]), reverse=True)
             out += [(q["qid"].iat[lo + j], words[i], S[i, j]) for i in near[:k]]
-    return pd.DataFrame(out, columns=["qid", "word", "sim"])
+    return out
 
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
@@ -143,7 +143,9 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, chunk: int = MA
     v = unit_vectors(vectors).withColumn("_vb", block("word", n_v)).withColumn("_qb", every(n_q))
 
     def best(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        return _best_words(q, v, k) if len(q) and len(v) else pd.DataFrame({"qid": [], "word": [], "sim": []})
+        out = _best_words(q, v, k) if len(q) and len(v) else []
+        return pd.DataFrame({c: pd.Series([x[i] for x in out], dtype=t)
+                             for i, (c, t) in enumerate((("qid", object), ("word", object), ("sim", float)))})
 
     cand = (q.groupBy("_qb", "_vb").cogroup(v.groupBy("_qb", "_vb"))
             .applyInPandas(best, f"qid {qid_type}, word string, sim double"))
