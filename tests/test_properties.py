@@ -267,3 +267,50 @@ def test_every_word_can_be_a_negative(spark):
     assert sum(r["n"] for r in rows) == 200_000 and sum(r["d"] for r in rows) > 19_500
     assert all(abs(r["n"] / 200_000 - (r["k"] + 1) / 10) < 0.01 for r in rows)
     assert abs(got.agg(F.sum("weight")).first()[0] - 5 * examples.agg(F.sum("weight")).first()[0]) < 1e-6
+
+
+def _region_loop(text):
+    """The gate record by record, with its state carried along."""
+    import re
+    on, out = False, []
+    for r in re.findall(r"[^>]*>|[^>]+$", text):
+        on = on or "<text " in r
+        if re.search("#redirect", r, re.I):
+            on = False
+        if on:
+            out.append(r)
+            on = "</text>" not in r
+    return out
+
+
+def test_text_regions_equal_a_loop_over_the_records(spark):
+    import random
+    from textlake.functions import text as T
+    rng = random.Random(5)
+    marks = ["<text x>", "</text>", "#REDIRECT", "#redirect [[a]]", "<b>", "word ", ">", "<text ", "", "\n"]
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randrange(14))) for _ in range(400)] + ["", "<text a>" * 3000 + "</text>" * 3000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None)], "i int, t string")
+    got = {r["i"]: r["r"] for r in df.select("i", T.region_records(F.regexp_extract_all("t", F.lit(T.RECORD_RE), 0)).alias("r")).collect()}
+    assert got.pop(-1) is None
+    assert got == {i: _region_loop(t) for i, t in enumerate(texts)}
+
+
+def test_failed_topics_are_kept_apart_and_the_rest_is_unchanged(spark):
+    from textlake.plans.trend import split_failed, topic_faults, trend_matrix, trend_run
+    from textlake.sources import tables as S
+    posts, dim = S.posts(spark, "/root/testdata/sf0.001"), S.topic_ids(spark, "/root/testdata/sf0.001")
+    assert topic_faults(posts).count() == 0
+    topics = sorted(r["topic"] for r in posts.select("topic").distinct().collect())
+    bad = posts.withColumn("compound", F.when(F.col("topic") == topics[0], F.lit(float("nan"))).otherwise(F.col("compound")))
+    bad = bad.unionByName(bad.limit(3).withColumn("topic", F.lit(None).cast("string")))
+    run = trend_run(bad, dim, "GT", spark.createDataFrame([(topics[0],), ("nobody",)], "topic string"))
+    matrix, failed = split_failed(run)
+    n = posts.filter(F.col("topic") == topics[0]).count()
+    assert {r["name"]: (r["failed_reason"], r["n_faulty"]) for r in failed.collect()} == {
+        topics[0]: ("missing compound", n), "nobody": ("no posts", 0), None: ("no topic", 3)}
+    whole = trend_matrix(posts, dim, "GT").filter(F.col("name") != topics[0])
+    assert sorted(map(str, matrix.collect())) == sorted(map(str, whole.collect()))
+    # nothing readable at all, and no posts at all
+    blank = posts.withColumn("tweet_created_at", F.lit(None).cast(dict(posts.dtypes)["tweet_created_at"]))
+    assert {r["failed_reason"] for r in trend_run(blank, dim, "T").collect()} == {"missing tweet_created_at"}
+    assert trend_run(posts.limit(0), dim, "T").count() == 0

@@ -282,7 +282,40 @@ def _strip_record(r: Column, spell_digits: bool) -> Column:
     return F.substring(r, F.lit(1), F.length(r) - 1)
 
 
-def strip_markup(col: Column, spell_digits: bool = False) -> Column:
-    """STR-08: visible text of wiki / HTML markup, record by record."""
+REGION_OPEN = "<text "           # fixed values: the marks of a dump's text region and of a redirect page
+REGION_CLOSE = "</text>"
+REDIRECT_RE = "(?i)#redirect"
+
+
+def region_records(recs: Column) -> Column:
+    """The records inside a dump's text regions.
+
+    A record with the opening mark starts a region, one with the closing mark is the last of it, one
+    with a redirect mark ends it and is dropped itself (also where it holds the opening mark).  As both
+    ends leave the state shut, the records are cut behind every end, and each piece keeps what follows
+    its first opening mark: linear in the text, with no state copied from record to record."""
+    def ends(r):
+        return r.contains(REGION_CLOSE) | r.rlike(REDIRECT_RE)
+
+    def inside(piece):
+        first = F.array_position(F.transform(piece, lambda r: r.contains(REGION_OPEN)), True)
+        kept = F.slice(piece, F.greatest(first, F.lit(1)).cast("int"), F.size(piece))
+        return F.when(first == 0, F.array().cast("array<string>")).otherwise(
+            F.filter(kept, lambda r: ~r.rlike(REDIRECT_RE)))
+
+    def cut(recs):
+        at = F.filter(F.transform(recs, lambda r, i: F.when(ends(r), i + 1)), lambda i: i.isNotNull())
+        pieces = let(at, lambda a: F.arrays_zip(F.concat(F.array(F.lit(0)), a), F.concat(a, F.array(F.size(recs)))))
+        return F.flatten(F.transform(pieces, lambda b: let(
+            F.slice(recs, b["0"] + 1, b["1"] - b["0"]), inside)))
+    return let(recs, cut)
+
+
+def strip_markup(col: Column, spell_digits: bool = False, region: bool = False) -> Column:
+    """STR-08: visible text of wiki / HTML markup, record by record.  With ``region`` only the text
+    regions of a dump count (``<text ...>`` to ``</text>``) and redirect pages give nothing; a text
+    without a region gives the empty string.  Null stays null."""
     recs = F.regexp_extract_all(col, F.lit(RECORD_RE), 0)
+    if region:
+        recs = region_records(recs)
     return F.array_join(F.transform(recs, lambda r: _strip_record(r, spell_digits)), "")

@@ -19,7 +19,7 @@ from textlake.plans import sqlfrag as Q
 from textlake.plans.queries_trend import TREND_MATRIX_SQL
 from textlake.plans.queries_vocab import MAXN, MINN, VOCAB_SQL, _vocab
 from textlake.plans.registry import register, round_doubles
-from textlake.plans.trend import trend_matrix
+from textlake.plans.trend import trend_matrix, trend_run
 from textlake.session import checkpoint_dir
 from textlake.sources import files as FI
 from textlake.sources import tables as S
@@ -95,6 +95,38 @@ def trend_matrix_score(spark, sf_dir):
     return round_doubles(trend_matrix(S.posts(spark, sf_dir), S.topic_ids(spark, sf_dir), mode="G", n_pieces=4))
 
 
+# Two topics with posts that can't be scored (no time, no compound), and a term that nobody wrote about.
+_FAULT = {"view": "event_id % 97 = 0", "error": "event_id % 89 = 0"}
+_RUN_SQL = (TREND_MATRIX_SQL
+            .replace("FROM (SELECT DISTINCT topic FROM posts)", "FROM (SELECT DISTINCT event_type AS topic FROM events)")
+            .replace("FROM events),", "FROM events WHERE event_type NOT IN (SELECT topic FROM faults)),")
+            .replace("b0 AS (SELECT min(tweet_created_at) AS lo, max(tweet_created_at) AS hi FROM posts)",
+                     "b0 AS (SELECT min(ts) AS lo, max(ts) AS hi FROM events "
+                     f"WHERE NOT (event_type = 'view' AND {_FAULT['view']}))"))
+
+
+@register("trend_matrix_failed", f"""WITH faults AS (SELECT event_type AS topic,
+    CASE event_type WHEN 'view' THEN 'missing tweet_created_at' ELSE 'missing compound' END AS failed_reason, count(*) AS n_faulty
+  FROM events WHERE (event_type = 'view' AND {_FAULT['view']}) OR (event_type = 'error' AND {_FAULT['error']})
+  GROUP BY event_type UNION ALL SELECT 'unwritten', 'no posts', 0),
+tid AS (SELECT topic, CAST(dense_rank() OVER (ORDER BY topic) AS BIGINT) AS r, count(*) OVER () AS n
+  FROM (SELECT DISTINCT event_type AS topic FROM events)),
+w AS (SELECT min(ts) AS lo, max(ts) AS hi FROM events WHERE NOT (event_type = 'view' AND {_FAULT['view']}))
+SELECT *, NULL AS failed_reason, CAST(NULL AS BIGINT) AS n_faulty FROM ({_RUN_SQL})
+UNION ALL BY NAME
+SELECT CASE WHEN r = 1 THEN 101 WHEN r < n THEN r ELSE -1 END AS id, topic AS name, (SELECT lo FROM w) AS start_date,
+  (SELECT CAST(epoch_us(hi) - epoch_us(lo) AS DOUBLE) / 1e6 FROM w) AS time_gap_s, failed_reason, n_faulty
+FROM faults LEFT JOIN tid USING (topic)""")
+def trend_matrix_failed(spark, sf_dir):
+    """AGG-14, failed terms kept apart: matrix and failed list of one run."""
+    p = S.posts(spark, sf_dir)
+    at = lambda t, n: (F.col("topic") == t) & (F.col("tweet_id") % n == 0)
+    p = p.withColumn("tweet_created_at", F.when(~at("view", 97), F.col("tweet_created_at"))).withColumn(
+        "compound", F.when(~at("error", 89), F.col("compound")))
+    terms = p.select("topic").distinct().unionByName(spark.range(1).select(F.lit("unwritten").alias("topic")))
+    return round_doubles(trend_run(p, S.topic_ids(spark, sf_dir), "GT", terms))
+
+
 _LOWER = "translate(regexp_replace(text, '[0-9'']', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 

@@ -100,6 +100,39 @@ def strip_markup_q(spark, sf_dir):
                     T.strip_markup(F.col("html"), spell_digits=True).alias("letters"))
 
 
+# Pages as a dump holds them: a head, the text region, a tail; every fifth page is a redirect, every
+# seventh has no region, every third a second region.
+_DUMP_SQL = """SELECT page_id, '<page> <title>Page ' || CAST(page_id AS VARCHAR) || '</title> <id>7</id> '
+  || CASE WHEN page_id % 7 = 0 THEN '<note>' ELSE '<text xml:space="preserve">' END
+  || CASE WHEN page_id % 5 = 0 THEN '#REDIRECT [[Other]] ' ELSE '' END || html || '</text> between <b>regions</b> '
+  || CASE WHEN page_id % 3 = 0 THEN '<text id="2">Second [[part|piece]] 42</text>' ELSE '' END || ' tail</page>' AS dump
+  FROM pages"""
+
+
+@register("strip_markup_region", f"""WITH d AS ({_DUMP_SQL}),
+r AS (SELECT page_id, unnest(regexp_extract_all(dump, {T.sql_lit(T.RECORD_RE)})) AS rec,
+  generate_subscripts(regexp_extract_all(dump, {T.sql_lit(T.RECORD_RE)}), 1) AS i FROM d),
+e AS (SELECT *, regexp_matches(rec, {T.sql_lit(T.REDIRECT_RE)}) AS red, contains(rec, {T.sql_lit(T.REGION_OPEN)}) AS opn,
+  contains(rec, {T.sql_lit(T.REGION_CLOSE)}) AS cls FROM r),
+b AS (SELECT *, last_value(CASE WHEN red OR cls THEN 0 WHEN opn THEN 1 END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY i
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e),
+k AS (SELECT page_id, i, {Q.strip_record('rec')} AS v, {Q.strip_record('rec', True)} AS l FROM b
+  WHERE NOT red AND (opn OR coalesce(before, 0) = 1)),
+g AS (SELECT page_id, string_agg(v, '' ORDER BY i) AS v, string_agg(l, '' ORDER BY i) AS l FROM k GROUP BY page_id)
+SELECT page_id, coalesce(g.v, '') AS visible, coalesce(g.l, '') AS letters FROM pages LEFT JOIN g USING (page_id)""")
+def strip_markup_region(spark, sf_dir):
+    """STR-08 with the text-region gate and the redirect rule, on pages wrapped as a dump."""
+    n = F.col("page_id")
+    opening = F.when(n % 7 == 0, "<note>").otherwise('<text xml:space="preserve">')
+    second = F.when(n % 3 == 0, '<text id="2">Second [[part|piece]] 42</text>').otherwise("")
+    dump = F.concat(F.lit("<page> <title>Page "), n.cast("string"), F.lit("</title> <id>7</id> "), opening,
+                    F.when(n % 5 == 0, "#REDIRECT [[Other]] ").otherwise(""), F.col("html"),
+                    F.lit("</text> between <b>regions</b> "), second, F.lit(" tail</page>"))
+    p = S.load(spark, sf_dir, "pages").select("page_id", dump.alias("dump"))
+    return p.select("page_id", T.strip_markup(F.col("dump"), region=True).alias("visible"),
+                    T.strip_markup(F.col("dump"), spell_digits=True, region=True).alias("letters"))
+
+
 # ---------------------------------------------------------------------------
 # STR-15 join a conversation's turns in order
 # ---------------------------------------------------------------------------

@@ -99,8 +99,7 @@ def normalize_crude(x, published=False):
     return ascii_lower(t)
 
 
-def strip_markup(x, spell=False):
-    r = "mr"
+def strip_record(r, spell=False):
     for pat, rep in T.MARKUP_CHAIN:
         rep = rep.replace("$1", "\\1")
         r = f"regexp_replace({r}, {q(pat)}, {q(rep)}, 'g')"
@@ -110,7 +109,11 @@ def strip_markup(x, spell=False):
         for d, w in enumerate(T.DIGIT_WORDS):
             r = f"replace({r}, '{d}', ' {w} ')"
         r = f"regexp_replace({r}, '[^a-z]+', ' ', 'g')"
-    body = f"substring({r}, 1, length({r}) - 1)"
+    return f"substring({r}, 1, length({r}) - 1)"
+
+
+def strip_markup(x, spell=False):
+    body = strip_record("mr", spell)
     return f"array_to_string(list_transform(regexp_extract_all({x}, {q(T.RECORD_RE)}), lambda mr: {body}), '')"
 
 

@@ -84,3 +84,59 @@ def trend_matrix(posts: DataFrame, dim: DataFrame, mode: str = "GT", n_pieces: i
 
 def _gap_us(up, low) -> int:
     return (up - low) // _dt.timedelta(microseconds=1)
+
+
+#: What a post needs to be judged and scored, in the order in which a lack is reported.
+NEEDED = ("tweet_created_at", "user_id", "compound", "retweet_count", "tweet_favorite_count", "user_age_days",
+          "user_posts_count", "user_follower_count", "user_favorite_count")
+
+
+def topic_faults(posts: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(topic, failed_reason, n_faulty) of every topic that can't be scored: a post without a value that
+    the scores need (or with a compound that is no number), or a requested term (``terms``: topic) without
+    posts.  Posts without a topic are one row of their own.  One aggregation with partial sums; the result has a
+    row a failed topic."""
+    lacks = {c: F.col(c).isNull() for c in NEEDED}
+    lacks["compound"] |= F.col("compound").isin(float("nan"), float("inf"), float("-inf"))
+    faulty = F.col("topic").isNull()
+    for bad in lacks.values():
+        faulty |= bad
+    per = posts.groupBy("topic").agg(F.count_if(faulty).alias("n_faulty"),
+                                     *[F.max(bad).alias(f"_no_{c}") for c, bad in lacks.items()])
+    reason = F.when(F.col("topic").isNull(), "no topic")
+    for c in NEEDED:
+        reason = reason.when(F.col(f"_no_{c}"), f"missing {c}")
+    if terms is not None:
+        asked = terms.select(F.col("topic").alias("_asked")).distinct()
+        per = per.join(asked, F.col("topic").eqNullSafe(F.col("_asked")), "full").withColumn(
+            "_posts", F.col("n_faulty").isNotNull())
+        reason = F.when(~F.col("_posts"), "no posts").otherwise(reason)
+        per = per.withColumn("topic", F.coalesce("topic", "_asked")).withColumn("n_faulty", F.coalesce("n_faulty", F.lit(0)))
+    return per.select("topic", reason.alias("failed_reason"), "n_faulty").filter("failed_reason IS NOT NULL")
+
+
+def trend_run(posts: DataFrame, dim: DataFrame, mode: str = "GT", terms: DataFrame | None = None, n_pieces: int = 4,
+              up: _dt.datetime | None = None, low: _dt.datetime | None = None, **options) -> DataFrame:
+    """AGG-14 with failed terms kept apart: the rows of ``trend_matrix`` for every topic that can be
+    scored, and for each other one a row with its ``failed_reason`` and ``n_faulty`` posts (its scores are
+    null).  The window reaches over all readable times, so a failing topic changes nothing for the rest.
+    ``failed_reason`` is null for scored topics."""
+    if up is None or low is None:
+        lo, hi = posts.agg(F.min("tweet_created_at"), F.max("tweet_created_at")).first()
+        up, low = (hi if up is None else up), (lo if low is None else low)
+    failed = topic_faults(posts, terms)
+    if up is None or low is None:           # no readable time at all: nothing can be scored
+        up = low = _dt.datetime(1970, 1, 1)
+    good = posts.filter(F.col("topic").isNotNull()).join(failed.select("topic"), "topic", "left_anti")
+    matrix = trend_matrix(good, dim, mode, n_pieces, up, low, **options)
+    ids = attach_topic_id(failed, dim).select(
+        "id", F.col("topic").alias("name"), F.lit(low).cast("timestamp_ntz").alias("start_date"),
+        F.lit(_gap_us(up, low) / 1e6).alias("time_gap_s"), "failed_reason", "n_faulty")
+    return matrix.unionByName(ids, allowMissingColumns=True)
+
+
+def split_failed(run: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(matrix, failed terms) of a ``trend_run``."""
+    apart = ["failed_reason", "n_faulty"]
+    return (run.filter("failed_reason IS NULL").drop(*apart),
+            run.filter("failed_reason IS NOT NULL").select("id", "name", *apart))
