@@ -55,12 +55,30 @@ def test_text_vectors_join_each_word_of_a_text_once(no_broadcast, spark):
     assert out.first()["vec"] == pytest.approx([(50 + 5) / 51, 2.0])
 
 
-def test_char_grams_are_counted_where_the_text_is(no_broadcast, spark):
+def test_char_grams_are_counted_once_where_the_text_is(no_broadcast, spark):
     df = spark.createDataFrame([(1, "some text"), (2, "other text")], "k long, t string")
-    out = N.char_tfidf(df, "k", "t", 3, 4)
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    # texts by key (read for both sides), grams for their document count, the
-    # weighted rows for the join, and by key for the norm: none by (key, gram)
-    assert "hashpartitioning(k" in plan and not any(
-        "hashpartitioning(k" in line and "gram" in line.split("hashpartitioning(")[1].split("),")[0]
-        for line in plan.splitlines() if "hashpartitioning(" in line)
+    plan = N.char_tfidf(df, "k", "t", 3, 4)._jdf.queryExecution().executedPlan().toString()
+    # both sides read the packed counts, the document frequencies their gram column only; the texts are
+    # not read again, and nothing is dealt by (key, gram)
+    assert "MapInArrow" not in plan and "other text" not in plan
+    assert plan.count("FileScan parquet") == 2 and "ReadSchema: struct<grams:array<string>>" in plan
+    assert not any("hashpartitioning(k" in line and "gram" in line.split("hashpartitioning(")[1].split("),")[0]
+                   for line in plan.splitlines() if "hashpartitioning(" in line)
+
+
+def test_char_tfidf_joins_repeated_keys_and_cuts_long_rows(spark, monkeypatch):
+    from collections import Counter
+    from math import log, sqrt
+    monkeypatch.setattr(N, "GRAMS_A_ROW", 5)
+    rows = [(1, "Abc  abd"), (2, ""), (None, "xy\U0001f600z"), (1, "abc"), (3, None), (None, "xy"), (4, "abcabcabc" * 30)]
+    got = {(r["k"], r["gram"]): r["weight"] for r in N.char_tfidf(spark.createDataFrame(rows, "k long, t string"), "k", "t", 2, 3).collect()}
+    tf = {}
+    for k, t in rows:
+        t = (t or "").lower().replace("  ", " ")
+        tf.setdefault(k, Counter()).update(t[i:i + n] for n in (2, 3) for i in range(len(t) - n + 1))
+    df = Counter(g for c in tf.values() for g in c)
+    want = {}
+    for k, c in tf.items():
+        w = {g: n * (log((1 + len(rows)) / (1 + df[g])) + 1) for g, n in c.items()}
+        want |= {(k, g): x / sqrt(sum(v * v for v in w.values())) for g, x in w.items()}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-12 for x in want)

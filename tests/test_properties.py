@@ -314,3 +314,21 @@ def test_failed_topics_are_kept_apart_and_the_rest_is_unchanged(spark):
     blank = posts.withColumn("tweet_created_at", F.lit(None).cast(dict(posts.dtypes)["tweet_created_at"]))
     assert {r["failed_reason"] for r in trend_run(blank, dim, "T").collect()} == {"missing tweet_created_at"}
     assert trend_run(posts.limit(0), dim, "T").count() == 0
+
+
+@pytest.mark.parametrize("k", [1, 3, 50])
+def test_label_tiles_give_the_same_as_one_matrix(spark, k):
+    """More labels than a tile: states of tiles merge into the softmax over all of them."""
+    from textlake.operators import evaluation as EV
+    rng = np.random.default_rng(1)
+    W, H = rng.normal(size=(37, 5)).round(1), rng.normal(size=(60, 5)).round(1)
+    W[7] = W[3]                                                   # a tie
+    H[0] = 0                                                      # all labels tie
+    labels = spark.createDataFrame([(f"l{i:02d}", list(map(float, w))) for i, w in enumerate(W)], "label string, vec array<double>")
+    hidden = spark.createDataFrame([(i // 2, list(map(float, h))) for i, h in enumerate(H)], "id long, vec array<double>")
+    rows = lambda d: sorted((r["id"], r["rank"], r["label"], round(r["prob"], 9)) for r in d.collect())
+    whole = rows(EV.predict(hidden, "id", labels, k))
+    assert len(whole) == 60 * min(k, 37)
+    assert rows(EV.predict(hidden, "id", labels, k, label_tile=5, row_block=16)) == whole
+    assert rows(EV.predict(hidden, "id", labels, k, 0.05, 5, 16)) == rows(EV.predict(hidden, "id", labels, k, 0.05))
+    assert EV.predict(hidden.limit(0), "id", labels, k, label_tile=5).count() == 0

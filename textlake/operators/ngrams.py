@@ -10,13 +10,20 @@ hot key).
 
 from __future__ import annotations
 
+import uuid
+from collections import Counter
+from typing import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlake.functions import text as T
+from textlake.session import checkpoint_dir
 
 UNSEEN_LOG_PROB = -100.0    # fixed value: score of an unseen gram
 SENTIMENT_ALPHA = 15.0          # fixed value: compound = s / sqrt(s^2 + alpha)
+GRAMS_A_ROW = 200_000       # grams of a packed row, and of the rows a task hands on at once
 CHAR_WS_RE = r"[ \t\n\r\f\x0B]{2,}"
 
 
@@ -101,20 +108,65 @@ def char_grams(text: Column, minn: int = 3, maxn: int = 7) -> Column:
     return T.let(F.regexp_extract_all(text, F.lit("(?s)."), 0), body)
 
 
+def _packed_grams(key: str, minn: int, maxn: int):
+    """Arrow task: rows (key, _t) with equal keys side by side -> (key, grams, tf), a key's distinct
+    grams and their counts, in rows of at most ``GRAMS_A_ROW``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush():
+            batch = pa.RecordBatch.from_arrays(
+                [pa.array(keys, key_type), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(grams, pa.string())),
+                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tf, pa.int32()))], [key, "grams", "tf"])
+            keys.clear(), grams.clear(), tf.clear(), ends.__setitem__(slice(None), [0])
+            return batch
+
+        def pack(k, counts):
+            items = list(counts.items())
+            for lo in range(0, len(items), GRAMS_A_ROW):
+                part = items[lo:lo + GRAMS_A_ROW]
+                keys.append(k)
+                grams.extend(g for g, _ in part)
+                tf.extend(c for _, c in part)
+                ends.append(len(grams))
+                if len(grams) >= GRAMS_A_ROW:
+                    yield flush()
+
+        keys, grams, tf, ends, counts, open_key, key_type = [], [], [], [0], Counter(), None, None
+        for b in batches:
+            key_type = b.schema.field(0).type
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if k != open_key:
+                    yield from pack(open_key, counts)
+                    counts, open_key = Counter(), k
+                for n in range(minn, min(maxn, len(t or "")) + 1):
+                    counts.update(map(t.__getitem__, map(slice, range(len(t) - n + 1), range(n, len(t) + 1))))
+        yield from pack(open_key, counts)
+        if keys:
+            yield flush()
+    return run
+
+
 def char_tfidf(df: DataFrame, key: str, col: str, minn: int = 3, maxn: int = 7) -> DataFrame:
     """TXT-04: long-form TF-IDF (key, gram, weight) of character n-grams of
     the lower-cased text with blank runs squeezed; smooth idf
-    ln((1+N)/(1+df)) + 1 and L2 row norm."""
-    # the prepared text is a column before the per-position lambdas read it
+    ln((1+N)/(1+df)) + 1 and L2 row norm.  Rows with one key count as one text; a null text has no grams.
+
+    A text becomes grams once: a task counts those of its texts into packed rows (grams and
+    counts), written to the shared checkpoint folder; the document frequencies read its gram column, the
+    weights all of it."""
     prep = df.select(key, F.regexp_replace(F.lower(F.col(col)), CHAR_WS_RE, " ").alias("_t"))
     # the texts are dealt by key before they become grams (about 30 times
     # their size), so counting grams per text needs no further exchange
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    prep = prep.repartition(parts, key)
-    ex = prep.select(key, F.explode(char_grams(F.col("_t"), minn, maxn)).alias("gram"))
-    tf = ex.groupBy(key, "gram").agg(F.count(F.lit(1)).alias("tf"))
+    prep = prep.repartition(parts, key).sortWithinPartitions(key)
+    key_type = dict(df.dtypes)[key]
+    packed = prep.mapInArrow(_packed_grams(key, minn, maxn), f"{key} {key_type}, grams array<string>, tf array<int>")
+    folder = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/grams-{uuid.uuid4().hex}"
+    packed.write.option("parquet.enable.dictionary", "false").parquet(folder)
+    packed = df.sparkSession.read.parquet(folder)
+    tf = packed.select(key, F.explode(F.arrays_zip("grams", "tf")).alias("_g")).select(
+        key, F.col("_g.grams").alias("gram"), F.col("_g.tf").alias("tf"))
     n_docs = df.select(F.count(F.lit(1))).scalar()
-    dfreq = tf.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    dfreq = packed.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     # df per gram: aggregate + join (a gram found in every document is a hot
     # key; AQE splits that join partition)
     w = tf.join(dfreq, "gram").withColumn(
