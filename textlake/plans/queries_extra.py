@@ -14,6 +14,7 @@ from textlake.operators import vectors as VE
 from textlake.plans import sqlfrag as Q
 from textlake.plans.queries_trend import SPEC_SQL, W6H
 from textlake.plans.queries_vectors import COS_SQL, DOC_TOKS_SQL, WORD_TABLE_SQL, _dim, _doc_tokens, _summary, _word_table
+from textlake.plans.queries_vocab import VOCAB_SQL
 from textlake.plans.registry import register, round_doubles
 from textlake.sources import tables as S
 from textlake.sources.tables import with_fixtures
@@ -86,18 +87,38 @@ def word_ngram_buckets_q(spark, sf_dir):
                     F.array_join("bk", " ").alias("buckets"))
 
 
-@register("line_features")
+FEATURE_BUCKET = 1 << 16
+
+
+@register("line_features", with_fixtures(f"""WITH {VOCAB_SQL},
+nw AS (SELECT count(*) AS n FROM vocab WHERE type = 'word'),
+tk AS (SELECT doc_id, unnest(tokens) AS word, generate_subscripts(tokens, 1) AS pos FROM toks),
+dw AS (SELECT DISTINCT word FROM tk WHERE NOT starts_with(word, '__label__')),
+sw AS (SELECT word, id, n, CAST({Q.fnv1a('word')} AS HUGEINT) AS h,
+    list_transform({Q.char_ngram_strings('word', 3, 6)}, lambda sg: {Q.fnv1a('sg')} % {FEATURE_BUCKET}) AS b
+  FROM dw LEFT JOIN vocab USING (word) CROSS JOIN nw),
+wf AS (SELECT word, list_concat(CASE WHEN id IS NULL THEN []::BIGINT[] ELSE [CAST(id AS BIGINT)] END,
+    CASE WHEN word = '</s>' THEN []::BIGINT[] ELSE list_transform(b, lambda x: x + n) END) AS ids,
+  CASE WHEN h >= 2147483648 THEN h - 4294967296 + 18446744073709551616 ELSE h END AS u FROM sw),
+ln AS (SELECT doc_id, flatten(list(ids ORDER BY pos)) AS ids, list(u ORDER BY pos) AS u FROM tk JOIN wf USING (word) GROUP BY doc_id),
+ft AS (SELECT doc_id, list_concat(ids, list_transform(list_zip(u[1:len(u) - 1], u[2:]),
+    lambda z: CAST(((z[1] * 116049371 + z[2]) % 18446744073709551616) % {FEATURE_BUCKET} AS BIGINT) + n)) AS f FROM ln CROSS JOIN nw),
+lb AS (SELECT doc_id, string_agg(DISTINCT CAST(id - n AS VARCHAR), ' ') AS labels FROM tk JOIN vocab USING (word) CROSS JOIN nw
+  WHERE type = 'label' GROUP BY doc_id)
+SELECT doc_id, CAST(len(f) AS INTEGER) AS n_features, md5(array_to_string(f, ' ')) AS features_md5, coalesce(labels, '') AS labels
+FROM ft LEFT JOIN lb USING (doc_id)""", "lines_all"))
 def line_features_q(spark, sf_dir):
-    """STR-14: feature ids of every labelled line (word ids or their 3..6
-    sub-words, then word bigram buckets) and its label ids."""
+    """STR-14: feature ids of every labelled line (word ids and their 3..6
+    sub-words, then word bigram buckets), as a digest of the ids in order, and its label ids."""
     from textlake.operators import models as M
     from textlake.operators import vocab as V
-    args = M.Args(minn=3, maxn=6, word_ngrams=2, bucket=1 << 16, min_count=5)
+    args = M.Args(minn=3, maxn=6, word_ngrams=2, bucket=FEATURE_BUCKET, min_count=5)
     l = S.lines_all(spark, sf_dir).select("doc_id", T.tokenize_ws(F.col("line")).alias("tokens"))
     vocab = V.build_vocab(l, "tokens", 5, 1)
     nwords = vocab.filter(F.col("type") == "word").count()
     f = M.line_features(l, "doc_id", "tokens", vocab, args, nwords)
-    return f.select("doc_id", F.size("features").alias("n_features"), F.array_join("labels", " ").alias("labels"))
+    return f.select("doc_id", F.size("features").alias("n_features"), F.md5(F.array_join("features", " ")).alias("features_md5"),
+                    F.array_join("labels", " ").alias("labels"))
 
 
 @register("text_vectors_mean", with_fixtures(f"""WITH {WORD_TABLE_SQL},
