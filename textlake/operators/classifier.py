@@ -131,12 +131,12 @@ def _line_gradients(labels: np.ndarray, key: str):
     return run
 
 
-def _moved(df: DataFrame, by: str, dim: int, rate: float) -> DataFrame:
+def _moved(df: DataFrame, by: str | list[str], dim: int, rate: float) -> DataFrame:
     """(by, v0.., g) and its gradient d0..: one step of every row."""
     square = sum((F.col(f"d{i}") * F.col(f"d{i}") for i in range(dim)), F.lit(0.0)) / dim
     df = df.withColumn("g", F.col("g") + F.coalesce(square, F.lit(0.0)))
     scale = rate / F.sqrt(F.col("g") + EPS)
-    return df.select(by, *[(F.col(c) + F.coalesce(F.col(f"d{i}"), F.lit(0.0)) * scale).alias(c)
+    return df.select(*([by] if isinstance(by, str) else by), *[(F.col(c) + F.coalesce(F.col(f"d{i}"), F.lit(0.0)) * scale).alias(c)
                            for i, c in enumerate(_columns(dim))], "g")
 
 
