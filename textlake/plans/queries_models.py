@@ -14,7 +14,7 @@ from textlake.operators import embeddings as EM
 from textlake.operators import models as M
 from textlake.operators import vectors as VE
 from textlake.plans import sqlfrag as Q
-from textlake.plans.queries_vectors import WORD_TABLE_SQL
+from textlake.plans.queries_vectors import TOKS_NOEOS, WORD_TABLE_SQL
 from textlake.plans.queries_vocab import VOCAB_SQL
 from textlake.plans.registry import register, round_doubles
 from textlake.session import checkpoint_dir
@@ -131,6 +131,50 @@ def train_cbow_vectors(spark, sf_dir):
     return round_doubles(v.join(model.input, "row_id").select("word", A.vec_norm(F.col("vec")).alias("vnorm")))
 
 
+HELD_WORDS = 100      # the commonest words of the held-out documents, judged in pairs
+
+
+def held_pairs(docs, ws):
+    """(w1, w2, n, gold) of every pair of the ``HELD_WORDS`` commonest words: how often they stand
+    within ``ws`` words of each other, and that over both words' neighbours."""
+    p = VE.skipgram_pairs(docs.select(T.tokenize_ws(F.col("text"), eos_at_end=False).alias("tk")), "tk", ws)
+    n = p.groupBy("center", "context").agg(F.count("*").alias("n"))
+    top = n.groupBy("center").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "center").limit(HELD_WORDS)
+    words = top.agg(F.array_sort(F.collect_list(F.struct(F.col("center").alias("w"), "c"))).alias("t"))
+    pairs = words.select(F.explode("t").alias("x"), "t").select("x", F.explode("t").alias("y")).filter("x.w < y.w")
+    pairs = pairs.select(F.col("x.w").alias("w1"), F.col("y.w").alias("w2"), (F.col("x.c") * F.col("y.c")).alias("both"))
+    met = n.select(F.col("center").alias("w1"), F.col("context").alias("w2"), "n")
+    pairs = pairs.join(met, ["w1", "w2"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return pairs.select("w1", "w2", "n", (F.col("n") / F.col("both")).alias("gold"))
+
+
+@register("skipgram_beats_start", "WITH t AS (SELECT " + TOKS_NOEOS + f" AS tk FROM documents WHERE {_SHARE} < 0.2),\n" + "p AS (" + " UNION ALL ".join(
+    f"SELECT unnest(list_slice(tk, 1, greatest(len(tk) - {d}, 0))) AS a, "
+    f"unnest(list_slice(tk, {d} + 1, {d} + greatest(len(tk) - {d}, 0))) AS b FROM t" for d in range(1, 4)) + f"""),
+n AS (SELECT a, b, count(*) AS n FROM (SELECT a, b FROM p UNION ALL SELECT b, a FROM p) GROUP BY a, b),
+top AS (SELECT a AS w FROM n GROUP BY a ORDER BY sum(n) DESC, a LIMIT {HELD_WORDS})
+SELECT count(*) AS n_held_pairs, coalesce(sum(n), 0)::BIGINT AS n_met, true AS vectors_follow_pairs, true AS above_start
+FROM top x JOIN top y ON x.w < y.w LEFT JOIN n ON n.a = x.w AND n.b = y.w""")
+def skipgram_beats_start(spark, sf_dir):
+    """MDL-01 + AGG-09: rank correlation of the cosines of trained vectors with how readily the
+    commonest words of held-out documents meet; it is positive and above that of the start vectors."""
+    rest, held = C.split_share(S.load(spark, sf_dir, "documents"), 0.2, 11, "doc_id")
+    args = M.Args(model="skipgram", lr=0.2, epoch=5, ws=3, minn=0, maxn=0, min_count=5, t=1.0, **{**SMALL, "bucket": 0})
+    model = EM.train(rest, "doc_id", "text", args)
+    checkpoint_dir(spark)
+    pairs = held_pairs(held, args.ws).checkpoint(eager=True)
+    words = model.vocab.filter(F.col("type") == "word").select("word", F.col("id").alias("row_id"))
+    trained = words.join(model.input, "row_id").select("word", "vec")
+    start = words.select("word", K.start_vector(F.col("row_id"), args.dim, args.seed).alias("vec"))
+
+    def rank(vectors):
+        known = VE.pair_similarity(pairs, vectors).filter("known").withColumn("_sim", F.round("sim", 9))
+        return VE.spearman(known, "_sim", "gold").first()["spearman_x100"] or 0.0
+    t, s = rank(trained), rank(start)
+    return pairs.agg(F.count("*").alias("n_held_pairs"), F.sum("n").alias("n_met"),
+                     F.lit(t > 0).alias("vectors_follow_pairs"), F.lit(t > s).alias("above_start"))
+
+
 @register("train_word2vec")
 def train_word2vec(spark, sf_dir):
     """MDL-01 words only with Spark ML's Word2Vec."""
