@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textlake.plans.queries_trend import JUDGE_SQL, RESCUE_SQL
 from textlake.plans.registry import register, round_doubles
 from textlake.sources.tables import posts_from_events, with_fixtures
 from textlake.streaming import stream as ST
@@ -67,3 +68,30 @@ def stream_repeat_users_q(spark, sf_dir):
     out = ST.scratch(spark, "spam")
     ST.run_available(r, out, foreach_batch=ST.append_spam_table(out + "/data"))
     return spark.read.parquet(out + "/data").select("window_start", "user_id", "n_posts")
+
+
+DAY = 86_400_000_000
+BAR, MEMORY_DAYS = 2, 7
+
+
+@register("stream_spam_bins", with_fixtures(f"""WITH p AS (SELECT *, (epoch_us(tweet_created_at) // {DAY}) * {DAY} AS ws FROM posts),
+u AS (SELECT ws, topic, user_id, count(*) AS n FROM p GROUP BY ws, topic, user_id),
+f AS (SELECT DISTINCT u.ws, u.topic, u.user_id FROM u JOIN u x ON x.topic = u.topic AND x.user_id = u.user_id
+  AND x.n > {BAR} AND x.ws <= u.ws AND u.ws - x.ws < {MEMORY_DAYS} * {DAY}),
+b AS (SELECT b.ws, b.topic, b.compound, b.retweet_count, {JUDGE_SQL} AND (f.ws IS NULL OR {RESCUE_SQL}) AS keep
+  FROM p b LEFT JOIN f ON f.ws = b.ws AND f.topic = b.topic AND f.user_id = b.user_id),
+g AS (SELECT ws, topic, count(*) AS n_all, count(*) FILTER (WHERE keep) AS n, count(*) FILTER (WHERE keep AND compound >= 0) AS np,
+    coalesce(sum(retweet_count) FILTER (WHERE keep AND compound >= 0), 0) AS rp,
+    coalesce(sum(compound * (retweet_count + 1)) FILTER (WHERE keep AND compound >= 0), 0) AS sp,
+    count(*) FILTER (WHERE keep AND compound < 0) AS nn,
+    coalesce(sum(retweet_count) FILTER (WHERE keep AND compound < 0), 0) AS rn,
+    coalesce(sum(compound * (retweet_count + 1)) FILTER (WHERE keep AND compound < 0), 0) AS sn FROM b GROUP BY ws, topic)
+SELECT make_timestamp(ws) AS window_start, topic, round(CASE WHEN sp - sn = 0 THEN 0.0 ELSE sp / (sp - sn) END, 6) AS compound_score,
+  round(sp / (np + rp + 1), 6) AS twitter_trend_positive, round(sn / (nn + rn + 1), 6) AS twitter_trend_negative,
+  CAST(n AS BIGINT) AS number_tweets, CAST(n_all - n AS BIGINT) AS n_rejected
+FROM g WHERE ws + {DAY} <= (SELECT epoch_us(max(tweet_created_at)) FROM posts) - {LATE_US}""", "posts"))
+def stream_spam_bins_q(spark, sf_dir):
+    """STM-04 + WIN-05 on a stream: daily bins of the posts that the spam rule leaves; a user over the
+    bar of a topic's day fails on that topic for the following days too."""
+    s = ST.event_time(posts_from_events(ST.stream_table(spark, sf_dir, "events")), "tweet_created_at")
+    return round_doubles(ST.kept_bins(ST.stream_spam_bins(s, "t", ST.scratch(spark, "spam-bins"), "1 day", BAR, f"{MEMORY_DAYS} days")))
