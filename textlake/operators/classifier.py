@@ -52,6 +52,7 @@ class Classifier:
     input: DataFrame             # (row_id, vec): rows that training has moved or was given
     output: DataFrame            # (label_id, label, vec)
     shrunk: bool = False         # only the rows of ``input`` are features
+    packed: QN.Packed | None = None      # the rows as codes; prediction reads these instead
 
 
 def start_vector(row: Column, dim: int, seed: int) -> Column:
@@ -214,11 +215,14 @@ def predict(model: Classifier, df: DataFrame, key: str, text: str, k: int = 1, t
     dim = model.args.dim
     toks = df.select(key, T.tokenize_ws(F.col(text)).alias("tokens"))
     lines = line_features(toks, key, "tokens", model.vocab, model.args, model.nwords)
-    known = bags(lines, key).join(model.input, "row_id", "inner" if model.shrunk else "left")
-    if not model.shrunk:
-        known = known.withColumn("vec", F.coalesce("vec", start_vector(F.col("row_id"), dim, model.args.seed)))
-    h = _spread(known, dim).groupBy(key).agg(*[(F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(c) for c in _columns(dim)])
-    h = h.select(key, F.array(*_columns(dim)).alias("vec"))
+    if model.packed is not None:
+        h = QN.weighted_means(bags(lines, key), key, model.packed)
+    else:
+        known = bags(lines, key).join(model.input, "row_id", "inner" if model.shrunk else "left")
+        if not model.shrunk:
+            known = known.withColumn("vec", F.coalesce("vec", start_vector(F.col("row_id"), dim, model.args.seed)))
+        h = _spread(known, dim).groupBy(key).agg(*[(F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(c) for c in _columns(dim)])
+        h = h.select(key, F.array(*_columns(dim)).alias("vec"))
     from textlake.functions import arrays as A
     h = df.select(key).join(h, key, "left").select(key, F.coalesce("vec", A.zeros(dim)).alias("vec"))
     return EV.predict(h, key, model.output.select("label", "vec"), k, threshold)
@@ -229,7 +233,8 @@ def shrink(model: Classifier, cutoff: int, dsub: int = 2, qnorm: bool = False, q
     """QNT-06: keep ``cutoff`` feature rows (the end-of-line word first, then by
     norm), train on with them alone (``retrain``: labelled texts), and
     store the rows as codes, with the norms apart (``qnorm``), and the label rows
-    too (``qout``).  Returns (model whose rows are read back from the codes, codes, codebook)."""
+    too (``qout``).  Returns (model, codes, codebook); the model predicts from the codes (``packed``),
+    and its ``input`` is read back from them."""
     if model.args.model != "supervised":
         raise ValueError("only classifiers can be shrunk")
     spark, args = model.vocab.sparkSession, model.args
@@ -248,26 +253,28 @@ def shrink(model: Classifier, cutoff: int, dsub: int = 2, qnorm: bool = False, q
         kept = rows.select("row_id", F.array(*_columns(args.dim)).alias("vec"))
         output = output.drop("vec").join(spark.createDataFrame(
             [(i, [float(x) for x in v]) for i, v in enumerate(B)], "label_id long, vec array<double>"), "label_id")
-    codes, book, back = _coded(kept, dsub, qnorm, "row_id")
+    codes, book, back, packed = _coded(kept, dsub, qnorm, "row_id")
     if qout:
         by_id = output.select(F.col("label_id").alias("row_id"), "vec")
-        _, _, out_back = _coded(by_id, dsub, qnorm, "row_id")
+        _, _, out_back, _ = _coded(by_id, dsub, qnorm, "row_id")
         output = output.drop("vec").join(out_back.withColumnRenamed("row_id", "label_id"), "label_id")
-    return Classifier(args, model.vocab, model.nwords, back, output, shrunk=True), codes, book
+    return Classifier(args, model.vocab, model.nwords, back, output, shrunk=True, packed=packed), codes, book
 
 
 def _coded(rows: DataFrame, dsub: int, qnorm: bool, key: str):
-    """(codes, codebook, rows read back from the codes)."""
+    """(codes, codebook, rows read back from the codes, codes packed)."""
     if not qnorm:
         book = QN.pq_train(rows, dsub)
         codes = QN.pq_encode(rows, book, dsub).checkpoint(eager=True)
-        return codes, book, QN.pq_decode(codes, book)
+        return codes, book, QN.pq_decode(codes, book), QN.Packed(QN.pack(codes), book)
     unit, norms = QN.quantize_norms(rows)
     book, norm_book = QN.pq_train(unit, dsub), QN.pq_train(norms, 1)
     codes = QN.pq_encode(unit, book, dsub).checkpoint(eager=True)
-    norm = QN.pq_decode(QN.pq_encode(norms, norm_book, 1), norm_book).select(key, F.col("vec")[0].alias("_n"))
+    norm_codes = QN.pq_encode(norms, norm_book, 1).checkpoint(eager=True)
+    norm = QN.pq_decode(norm_codes, norm_book).select(key, F.col("vec")[0].alias("_n"))
     back = QN.pq_decode(codes, book).join(norm, key).select(key, F.transform("vec", lambda x: x * F.col("_n")).alias("vec"))
-    return codes, book, back
+    both = codes.join(norm_codes.withColumnRenamed("codes", "_norm"), key).select(key, F.concat("codes", "_norm").alias("codes"))
+    return codes, book, back, QN.Packed(QN.pack(both), book, norm_book)
 
 
 #: Files a table of a saved model is dealt to; a look-up opens those of its keys only.
@@ -282,12 +289,19 @@ def save(model: Classifier, path: str, parts: int = LOOKUP_PARTS) -> None:
     """MDL-11: a Parquet folder a part.  The feature rows (by ``row_id``) and the vocabulary
     (by ``word``) lie in hash folders, sorted by key, for look-ups."""
     spark = model.vocab.sparkSession
-    meta = json.dumps(dict(args=asdict(model.args), nwords=model.nwords, shrunk=model.shrunk, parts=parts))
+    meta = json.dumps(dict(args=asdict(model.args), nwords=model.nwords, shrunk=model.shrunk, parts=parts,
+                           packed=model.packed is not None, norms=model.packed is not None and model.packed.norm_book is not None))
     spark.createDataFrame([(meta,)], "json string").coalesce(1).write.mode("overwrite").text(f"{path}/args")
     for name, key in (("vocab", "word"), ("input", "row_id")):
         (getattr(model, name).withColumn("part", _part(key, parts)).repartition(parts, "part").sortWithinPartitions("part", key)
          .write.mode("overwrite").partitionBy("part").parquet(f"{path}/{name}"))
     model.output.write.mode("overwrite").parquet(f"{path}/output")
+    for name in _packed_tables(json.loads(meta)):
+        getattr(model.packed, name).write.mode("overwrite").parquet(f"{path}/packed_{name}")
+
+
+def _packed_tables(meta: dict) -> list[str]:
+    return (["rows", "book"] if meta.get("packed") else []) + (["norm_book"] if meta.get("norms") else [])
 
 
 def _meta(spark: SparkSession, path: str) -> dict:
@@ -297,7 +311,9 @@ def _meta(spark: SparkSession, path: str) -> dict:
 def load(spark: SparkSession, path: str) -> Classifier:
     meta = _meta(spark, path)
     vocab, rows = (spark.read.parquet(f"{path}/{name}").drop("part") for name in ("vocab", "input"))
-    return Classifier(Args(**meta["args"]), vocab, meta["nwords"], rows, spark.read.parquet(f"{path}/output"), bool(meta.get("shrunk")))
+    packed = {name: spark.read.parquet(f"{path}/packed_{name}") for name in _packed_tables(meta)}
+    return Classifier(Args(**meta["args"]), vocab, meta["nwords"], rows, spark.read.parquet(f"{path}/output"), bool(meta.get("shrunk")),
+                      QN.Packed(**packed) if packed else None)
 
 
 def _look_up(spark: SparkSession, path: str, name: str, key: str, wanted: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ rows per centroid, with the small centroid table fed back.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from typing import Iterator
 
 import numpy as np
@@ -85,6 +86,54 @@ def pq_decode(codes: DataFrame, codebook: DataFrame, key: str = "row_id") -> Dat
     return g.select(key, F.flatten(F.transform("_p", lambda s: s["centroid"])).alias("vec"))
 
 
+@dataclass
+class Packed:
+    """Coded rows (row_id, code: a byte a part, and one more for the norm where norms are
+    apart) and the codebooks that the bytes point into (<= 256 x dim numbers)."""
+    rows: DataFrame
+    book: DataFrame                     # (sub, code, centroid)
+    norm_book: DataFrame | None = None
+
+
+def pack(codes: DataFrame, key: str = "row_id") -> DataFrame:
+    """QNT-03: (key, code): the codes of a row as one binary, a byte each."""
+    return codes.select(key, F.unhex(F.array_join(F.transform("codes", lambda c: F.lpad(F.hex(c), 2, "0")), "")).alias("code"))
+
+
+def code_bytes(packed: Packed) -> int:
+    """Bytes that the coded rows take, without keys and codebooks."""
+    return packed.rows.agg(F.sum(F.length("code"))).first()[0] or 0
+
+
+def weighted_means(members: DataFrame, key: str, packed: Packed) -> DataFrame:
+    """QNT-06: (key, vec), the mean of the rows of ``members`` (key, row_id, w) by weight, added up
+    from the codebooks inside tasks: what travels is a row's bytes and one sum a key, no
+    decoded row.  Members without a coded row are left out, and so are keys without any."""
+    spark = members.sparkSession
+    parts = [m for _, (_, m) in sorted(_codebook_arrays(packed.book).items())]
+    norms = None if packed.norm_book is None else _codebook_arrays(packed.norm_book)[0][1][:, 0]
+    shared = spark.sparkContext.broadcast((parts, norms))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts, norms = shared.value
+        for b in batches:
+            if not len(b):
+                continue
+            codes = np.frombuffer(b"".join(b["code"]), np.uint8).reshape(len(b), -1)
+            w = b["w"].to_numpy()
+            scale = w if norms is None else w * norms[codes[:, -1]]
+            X = np.hstack([m[codes[:, j]] for j, m in enumerate(parts)]) * scale[:, None]
+            at, first = pd.factorize(b[key])           # a key's rows lie together
+            total = np.zeros((len(first), X.shape[1]))
+            np.add.at(total, at, X)
+            yield pd.DataFrame({key: first, "vec": list(total), "w": np.bincount(at, w)})
+    met = members.join(packed.rows, "row_id").repartition(key).sortWithinPartitions(key, "row_id").select(key, "w", "code")
+    sums = met.mapInPandas(run, f"`{key}` {dict(members.dtypes)[key]}, vec array<double>, w double")
+    dim = sum(m.shape[1] for m in parts)
+    g = sums.groupBy(key).agg(*[F.sum(F.col("vec")[i]).alias(f"v{i}") for i in range(dim)], F.sum("w").alias("w"))
+    return g.select(key, F.array(*[F.col(f"v{i}") / F.col("w") for i in range(dim)]).alias("vec"))
+
+
 def pq_dot(query_vec: list[float], codes: DataFrame, codebook: DataFrame, dsub: int, key: str = "row_id") -> DataFrame:
     """QNT-04: dot product of one query with every coded row by table
     look-up: a (sub, code) -> dot table (<= 256 x parts rows, broadcast),

@@ -4,6 +4,8 @@ held-out accuracy not below the majority share); tests check the rest."""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from textlake.functions import arrays as A
@@ -12,6 +14,7 @@ from textlake.operators import classifier as K
 from textlake.operators import common as C
 from textlake.operators import embeddings as EM
 from textlake.operators import models as M
+from textlake.operators import quant as QN
 from textlake.operators import vectors as VE
 from textlake.plans import sqlfrag as Q
 from textlake.plans.queries_vectors import TOKS_NOEOS, WORD_TABLE_SQL
@@ -321,3 +324,19 @@ def shrink_classifier(spark, sf_dir):
     share = j.groupBy("label").count().agg(F.max("count")).scalar()
     return j.agg(F.count("*").alias("n_held_out"), F.lit(codes.count()).cast("long").alias("n_rows"),
                  F.sum((F.col("label") == F.col("_p")).cast("int")).alias("n_right"), share.alias("n_commonest"))
+
+
+@register("predict_from_codes", with_fixtures(f"""SELECT count(*) AS n_held_out, true AS as_decoded,
+  CAST(300 * ({SMALL['dim']} / 2 + 1) AS BIGINT) AS code_bytes FROM labeled WHERE {_SHARE} < 0.2""", "labeled"))
+def predict_from_codes(spark, sf_dir):
+    """QNT-03 + QNT-06: the held-out documents' labels and probabilities from packed codes (a byte for
+    two dimensions, one for the norm) are those of the decoded rows."""
+    small, _, _ = K.shrink(_classifier(spark, sf_dir, epoch=2, word_ngrams=1), 300, qnorm=True)
+    va = _held_out(spark, sf_dir).drop("label")
+
+    def best(model, name):
+        return K.predict(model, va, "doc_id", "text").select("doc_id", F.struct("label", "prob").alias(name))
+    j = best(small, "a").join(best(replace(small, packed=None), "b"), "doc_id", "full_outer")
+    same = F.coalesce((F.col("a.label") == F.col("b.label")) & (F.abs(F.col("a.prob") - F.col("b.prob")) < 1e-6), F.lit(False))
+    return j.agg(F.count("*").alias("n_held_out"), F.coalesce(F.every(same), F.lit(True)).alias("as_decoded"),
+                 F.lit(QN.code_bytes(small.packed)).cast("long").alias("code_bytes"))
