@@ -130,10 +130,10 @@ def predict_tiled(hidden: DataFrame, key: str, output: DataFrame, k: int = 1, th
 
 def sentence_hidden(df: DataFrame, key: str, tokens: str, rows: DataFrame, dim: int) -> DataFrame:
     """VEC-02(b) for a classifier: mean of the input rows of the known words
-    of each line (unknown words have no features); none -> zeros.  The list
-    collected per line is bounded by the line's own length."""
+    of each line (unknown words have no features); none -> zeros.  A row is
+    sent once to a unit of lines (``vectors.row_sums``)."""
     from textlake.functions import arrays as A
-    ex = df.select(key, F.explode(tokens).alias("word"))
-    j = ex.join(rows.select("word", "vec"), "word")
-    h = A.group_vector_stats(j, [key], "vec", "mean").select(key, "vec")
+    from textlake.operators.vectors import row_sums
+    s = row_sums(df, key, tokens, rows.select("word", "vec", F.lit(1.0).alias("scale")), dim)
+    h = s.select(key, A.scale_by(F.col("vec"), F.col("n")).alias("vec"))
     return df.select(key).join(h, key, "left").select(key, F.coalesce("vec", A.zeros(dim)).alias("vec"))
