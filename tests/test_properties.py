@@ -332,3 +332,19 @@ def test_label_tiles_give_the_same_as_one_matrix(spark, k):
     assert rows(EV.predict(hidden, "id", labels, k, label_tile=5, row_block=16)) == whole
     assert rows(EV.predict(hidden, "id", labels, k, 0.05, 5, 16)) == rows(EV.predict(hidden, "id", labels, k, 0.05))
     assert EV.predict(hidden.limit(0), "id", labels, k, label_tile=5).count() == 0
+
+
+def test_word_ngrams_need_no_wide_numbers(spark):
+    """Hashes of every sign and size, levels 2 to 5, in 64-bit whole numbers only."""
+    rng = np.random.default_rng(3)
+    hs = [int(x) for x in rng.integers(0, 2 ** 32, size=40)] + [0, 2 ** 31 - 1, 2 ** 31, 2 ** 32 - 1]
+    df = spark.createDataFrame([(hs,)], "h array<bigint>").select(H.word_ngram_buckets(F.col("h"), 5, 2 ** 31 - 1, 3).alias("b"))
+    want = []
+    for n in range(2, 6):
+        for i in range(len(hs) - n + 1):
+            h = 0
+            for x in hs[i:i + n]:
+                h = (h * 116049371 + (x - 2 ** 32 if x >= 2 ** 31 else x)) % 2 ** 64
+            want.append(h % (2 ** 31 - 1) + 3)
+    assert df.first()["b"] == want
+    assert "decimal" not in df._jdf.queryExecution().optimizedPlan().toString().lower()

@@ -17,7 +17,6 @@ NGRAM_MULT = 116049371
 BOW, EOW = "<", ">"
 MASK32 = 4294967295
 SIGN_EXT = 4294967040     # 0xFFFFFF00: a byte >= 128 read as a signed char
-TWO64 = 18446744073709551616
 
 
 def char_ngrams(word: Column, minn: int = 3, maxn: int = 6) -> Column:
@@ -58,8 +57,11 @@ def utf8_bytes(s: Column) -> Column:
 def fnv1a(s: Column) -> Column:
     """STR-11: 32-bit FNV-1a of the UTF-8 bytes with sign-extended bytes, as
     an unsigned value in a BIGINT."""
+    # a string of ASCII only is read character by character, which is much cheaper than by hex digits
+    ascii_codes = F.transform(F.sequence(F.lit(1), F.length(s)), lambda k: F.ascii(F.substring(s, k, F.lit(1))).cast("bigint"))
+    codes = F.when((F.length(s) > 0) & (F.octet_length(s) == F.length(s)), ascii_codes).otherwise(utf8_bytes(s))
     return F.aggregate(
-        utf8_bytes(s), F.lit(FNV_OFFSET).cast("bigint"),
+        codes, F.lit(FNV_OFFSET).cast("bigint"),
         lambda h, b: (h.bitwiseXOR(F.when(b >= 128, b + SIGN_EXT).otherwise(b)) * FNV_PRIME).bitwiseAND(MASK32))
 
 
@@ -76,12 +78,20 @@ def word_ngram_buckets(hashes: Column, n: int, bucket: int, offset: Column | int
     """STR-12: ids of word n-grams (2..n) of a line from its token hashes.
 
     ``h = h * 116049371 + next`` in unsigned 64-bit arithmetic with int32
-    hashes sign-extended; exact in DECIMAL(38,0) then reduced mod 2^64.
+    hashes sign-extended, kept as two halves of 32 bits in BIGINTs, none of whose
+    products overflows, then reduced mod ``bucket`` (below 2^31).
     """
     if n <= 1:
         return F.array().cast("array<bigint>")
+    if not 0 < bucket < 1 << 31:
+        raise ValueError("bucket must be positive and below 2**31")
     from textlake.functions.text import let
-    two64 = F.lit(str(TWO64)).cast("decimal(38,0)")
+    wrap = (1 << 32) % bucket
+
+    def step(h, token):
+        low = h["lo"] * NGRAM_MULT + token["lo"]
+        high = h["hi"] * NGRAM_MULT + token["hi"] + F.shiftrightunsigned(low, 32)
+        return F.struct(high.bitwiseAND(MASK32).alias("hi"), low.bitwiseAND(MASK32).alias("lo"))
 
     def body(u):
         size = F.size(u)
@@ -90,12 +100,15 @@ def word_ngram_buckets(hashes: Column, n: int, bucket: int, offset: Column | int
         levels, prev = [], u
         for k in range(2, n + 1):
             m = F.greatest(size - k + 1, F.lit(0))
-            z = F.arrays_zip(F.slice(prev, 1, m), F.slice(u, k, m))
-            prev = F.transform(z, lambda s: F.pmod(s["0"] * NGRAM_MULT + s["1"], two64))
+            prev = F.zip_with(F.slice(prev, 1, m), F.slice(u, k, m), step)
             levels.append(prev)
         return F.concat(*levels)
-    allh = let(F.transform(hashes, lambda h: F.pmod(as_int32(h).cast("decimal(38,0)"), two64)), body)
-    return F.transform(allh, lambda h: (F.pmod(h, F.lit(bucket)).cast("bigint") + offset))
+
+    def halves(h):
+        h = as_int32(h).cast("bigint")
+        return F.struct(F.when(h < 0, F.lit(MASK32)).otherwise(F.lit(0)).cast("bigint").alias("hi"), h.bitwiseAND(MASK32).alias("lo"))
+    allh = let(F.transform(hashes, halves), body)
+    return F.transform(allh, lambda h: ((h["hi"] % bucket) * wrap + h["lo"]) % bucket + offset)
 
 
 def subword_ids(word: Column, word_id: Column, nwords: int, bucket: int, minn: int, maxn: int,
