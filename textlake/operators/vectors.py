@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from textlake.functions import arrays as A
 from textlake.functions import hashing as H
 from textlake.operators.common import dense_index
+from textlake.session import checkpoint_dir
 
 QUERY_NORM_FLOOR = 1e-8       # fixed value: a tinier query norm counts as 1
 MAX_QUERY_CHUNK = 20_000      # queries in a block
@@ -109,6 +110,12 @@ def subword_rows(words: DataFrame, vocab: DataFrame | None, nwords: int, bucket:
                  word: str = "word") -> DataFrame:
     """(word, pos, row_id, gram): the input rows a word's vector averages
     (own id when known, then n-gram buckets offset by ``nwords``)."""
+    ex = _subwords(words, vocab, nwords, bucket, minn, maxn, word).select(word, F.posexplode_outer("_sub").alias("pos", "s"))
+    return ex.select(word, "pos", "s.row_id", "s.gram")
+
+
+def _subwords(words: DataFrame, vocab: DataFrame | None, nwords: int, bucket: int, minn: int, maxn: int, word: str) -> DataFrame:
+    """(word, _sub): the distinct words, each with its (row_id, gram) in order."""
     w = words.select(word).distinct()
     if vocab is not None:
         w = w.join(vocab.select(F.col("word").alias(word), F.col("id").alias("_wid")), word, "left")
@@ -120,19 +127,19 @@ def subword_rows(words: DataFrame, vocab: DataFrame | None, nwords: int, bucket:
                                                                F.col(word).alias("gram"))))
     own = F.coalesce(own, F.array().cast("array<struct<row_id:bigint,gram:string>>"))
     sub = F.transform(grams, lambda g: F.struct((H.fnv_bucket(g, bucket) + nwords).alias("row_id"), g.alias("gram")))
-    ex = w.select(word, F.posexplode_outer(F.concat(own, sub)).alias("pos", "s"))
-    return ex.select(word, "pos", "s.row_id", "s.gram")
+    return w.select(word, F.concat(own, sub).alias("_sub"))
 
 
 def word_vectors(words: DataFrame, rows: DataFrame, dim: int, vocab: DataFrame | None = None, nwords: int = 0,
                  bucket: int = 2_000_000, minn: int = 3, maxn: int = 6, word: str = "word") -> DataFrame:
     """VEC-01: mean of the word's sub-word rows; no rows -> zeros.
 
-    ``rows`` is (row_id, vec).  The list collected per word is bounded by
-    the word's own n-gram count."""
-    sw = subword_rows(words, vocab, nwords, bucket, minn, maxn, word)
-    j = sw.join(rows.select("row_id", "vec"), "row_id")
-    g = A.group_vector_stats(j, [word], "vec", "mean")
+    ``rows`` is (row_id, vec).  A row is sent once to a unit of words (``row_sums``)."""
+    sw = _subwords(words, vocab, nwords, bucket, minn, maxn, word).select(word, F.transform("_sub", lambda s: s["row_id"]).alias("_ids"))
+    checkpoint_dir(words.sparkSession)
+    sw = sw.checkpoint(eager=True)                   # read three times, hashed once
+    s = row_sums(sw, word, "_ids", rows.select("row_id", "vec", F.lit(1.0).alias("scale")), dim, item="row_id", unit=SUM_UNIT // 8)
+    g = s.select(word, F.col("n").alias("_cnt"), A.scale_by(F.col("vec"), F.col("n")).alias("vec"))
     allw = words.select(word).distinct()
     return allw.join(g, word, "left").select(
         word, F.coalesce(F.col("_cnt"), F.lit(0)).alias("n_sub"), F.coalesce(F.col("vec"), A.zeros(dim)).alias("vec"))
