@@ -6,6 +6,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,29 +45,91 @@ class Args:
 # ---------------------------------------------------------------------------
 # features
 # ---------------------------------------------------------------------------
-def line_features(df: DataFrame, key: str, tokens: str, vocab: DataFrame, args: Args, nwords: int) -> DataFrame:
-    """STR-14: per line the feature row ids (word id or its sub-words;
+LINE_UNIT = 1 << 21      # tokens of a unit of lines; with sub-words an eighth
+LINE_TILE = 1 << 8       # lines whose features are put together at once
+
+
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    column = column.combine_chunks()
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
+def _flat(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs ``values[start: start + size]`` one after the other."""
+    ends = np.cumsum(sizes)
+    return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)]
+
+
+def _unit_features(key: str, args: Args, nwords: int):
+    """Arrow task: the lines of a unit and the words they hold (word, ids, h, label, plain)
+    -> (key, features, labels), in batches of lines."""
+    def run(lines: pa.Table, words: pa.Table) -> pa.Table:
+        words, lines, out = words.combine_chunks(), lines.combine_chunks(), []
+        schema = pa.schema([lines.schema.field(key), ("features", pa.list_(pa.int64())), ("labels", pa.list_(pa.int64()))])
+        known = pc.unique(words["word"])                       # a word stands once
+        ids = _whole(words["ids"])
+        ids, starts, sizes = pc.list_flatten(ids).to_numpy(), ids.offsets.to_numpy()[:-1].astype(np.int64), pc.list_value_length(ids).to_numpy()
+        starts = starts - (starts[0] if len(starts) else 0)
+        h = words["h"].to_numpy().astype(np.int64).view(np.uint64)
+        label, plain = words["label"].to_numpy(), words["plain"].to_numpy()
+        for lo in range(0, len(lines), LINE_TILE):
+            part = lines.slice(lo, LINE_TILE).combine_chunks()
+            toks = _whole(part["tokens"])
+            of = pc.list_parent_indices(toks).to_numpy()
+            at = pc.index_in(pc.list_flatten(toks), value_set=known)
+            ok = pc.is_valid(at).to_numpy(zero_copy_only=False)
+            of, at = of[ok], at.drop_null().to_numpy()
+            word = plain[at]
+            line, w = of[word], at[word]
+            met = np.bincount(line, minlength=len(part))
+            pairs = np.unique(np.stack([of[~word], label[at[~word]]], 1), axis=0)
+            pairs = pairs[pairs[:, 1] >= 0]
+            rows = [(line, sizes[w], _flat(ids, starts[w], sizes[w]))]
+            gram = h[w]
+            for n in range(2, args.word_ngrams + 1 if args.bucket > 0 else 2):
+                m = len(line) - n + 1
+                if m <= 0:
+                    break
+                same = line[:m] == line[n - 1:]
+                gram = gram[:m] * np.uint64(H.NGRAM_MULT) + h[w][n - 1:]
+                rows.append((line[:m][same], np.ones(int(same.sum()), np.int64), (gram[same] % np.uint64(args.bucket)).astype(np.int64) + nwords))
+            of_f = np.concatenate([np.repeat(l, s) for l, s, _ in rows])
+            order = np.argsort(of_f, kind="stable")
+            feats = np.concatenate([v for _, _, v in rows])[order]
+            f_ends = np.r_[0, np.cumsum(np.bincount(of_f, minlength=len(part)))]
+            l_ends = np.r_[0, np.cumsum(np.bincount(pairs[:, 0], minlength=len(part)))]
+            made = pa.RecordBatch.from_arrays(
+                [_whole(part[key]),
+                 pa.ListArray.from_arrays(pa.array(f_ends.astype(np.int32)), pa.array(feats)),
+                 pa.ListArray.from_arrays(pa.array(l_ends.astype(np.int32)), pa.array(pairs[:, 1]))], schema=schema)
+            out.append(made.filter(pa.array(met > 0)))           # a line of labels alone has no features
+        return pa.Table.from_batches(out, schema)
+    return run
+
+
+def line_features(df: DataFrame, key: str, tokens: str, vocab: DataFrame, args: Args, nwords: int,
+                  unit: int | None = None) -> DataFrame:
+    """STR-14: per line (one row a key) the feature row ids (word id or its sub-words;
     unknown words give their sub-words) followed by word n-gram buckets,
-    and the label ids.  Order is kept with positions."""
-    ex = df.select(key, F.posexplode(tokens).alias("pos", "word"))
-    is_label = F.col("word").startswith(args.label)
+    and the label ids.  Order is kept.
+
+    Lines are dealt by key to units of about ``unit`` tokens; a unit gets the ids of each word it
+    holds once, and the lines are put together inside the task."""
+    unit = unit or (LINE_UNIT // 8 if args.maxn > 0 else LINE_UNIT)
+    units = max(1, -(-(df.agg(F.sum(F.size(tokens))).first()[0] or 0) // unit))
+    lines = df.filter(F.size(tokens) > 0).select(F.pmod(F.xxhash64(key), F.lit(units)).cast("int").alias("_unit"), key, F.col(tokens).alias("tokens"))
+    held = lines.select(F.col("_unit").alias("_unit"), F.explode("tokens").alias("word")).distinct()
     # sub-word ids and hashes once per distinct word, not per occurrence
-    dw = ex.select("word").distinct().join(vocab.select("word", F.col("id").alias("_vid")), "word", "left")
+    dw = held.select("word").distinct().join(vocab.select("word", F.col("id").alias("_vid")), "word", "left")
     sub = H.subword_ids(F.col("word"), F.col("_vid"), nwords, max(args.bucket, 1), args.minn, args.maxn) \
         if args.maxn > 0 else F.when(F.col("_vid").isNotNull(), F.array(F.col("_vid").cast("bigint"))).otherwise(
             F.array().cast("array<bigint>"))
-    feat = dw.select("word", "_vid", sub.alias("ids"), H.as_int32(H.fnv1a(F.col("word"))).alias("h"))
-    j = ex.join(feat, "word")
-    w = j.filter(~is_label).select(key, "pos", "ids", "h")
-    g = w.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "ids", "h"))).alias("_s"))
-    feats = F.flatten(F.transform("_s", lambda s: s["ids"]))
-    if args.word_ngrams > 1 and args.bucket > 0:
-        feats = F.concat(feats, H.word_ngram_buckets(F.transform("_s", lambda s: s["h"]), args.word_ngrams,
-                                                     args.bucket, nwords))
-    lab = j.filter(is_label & F.col("_vid").isNotNull()).groupBy(key).agg(
-        F.collect_set((F.col("_vid") - nwords).cast("bigint")).alias("labels"))
-    return g.select(key, feats.alias("features")).join(lab, key, "left").select(
-        key, "features", F.coalesce("labels", F.array().cast("array<bigint>")).alias("labels"))
+    is_label = F.col("word").startswith(args.label)
+    feat = dw.select("word", F.when(is_label, F.array().cast("array<bigint>")).otherwise(sub).alias("ids"),
+                     H.as_int32(H.fnv1a(F.col("word"))).cast("bigint").alias("h"),
+                     F.coalesce(F.col("_vid") - nwords, F.lit(-1)).cast("bigint").alias("label"), (~is_label).alias("plain"))
+    return lines.groupBy("_unit").cogroup(held.join(feat, "word").groupBy("_unit")).applyInArrow(
+        _unit_features(key, args, nwords), f"`{key}` {dict(df.dtypes)[key]}, features array<bigint>, labels array<bigint>")
 
 
 # ---------------------------------------------------------------------------
