@@ -179,11 +179,12 @@ def text_vectors(df: DataFrame, key: str, tokens: str, vectors: DataFrame, dim:
 # VEC-04 / VEC-05 nearest neighbours and analogies
 # ---------------------------------------------------------------------------
 QUERY_TILE = 512              # queries scored at once inside a task
+WORD_TILE = 4096              # vectors they are scored against at once
 
 
 def _best_words(q: pd.DataFrame, v: pd.DataFrame, k: int) -> list[tuple]:
     """(qid, word, sim): the best ``k`` words of a block of vectors for every query of a block
-    (sim, then word, both falling), in tiles of queries."""
+    (sim, then word, both falling), in tiles of queries and vectors, whose best words merge."""
     words, out = v["word"].to_numpy(), []
     V = np.stack(v["uvec"].to_numpy()).astype(np.float64)
     Q = np.stack(q["qvec"].to_numpy()).astype(np.float64)
@@ -191,13 +192,17 @@ def _best_words(q: pd.DataFrame, v: pd.DataFrame, k: int) -> list[tuple]:
     norm[np.abs(norm) < QUERY_NORM_FLOOR] = 1.0
     bans = [set(() if b is None else b) for b in q["ban"]]
     for lo in range(0, len(Q), QUERY_TILE):
-        S = (V @ Q[lo:lo + QUERY_TILE].T) / norm[lo:lo + QUERY_TILE]
-        spare = min(k + max(len(x) for x in bans[lo:lo + QUERY_TILE]), len(words))
-        cut = np.partition(S, len(words) - spare, axis=0)[len(words) - spare]
-        for j in range(S.shape[1]):
-            near = [i for i in np.flatnonzero(S[:, j] >= cut[j]) if words[i] not in bans[lo + j]]
-            near.sort(key=lambda i: (S[i, j], words[i]), reverse=True)
-            out += [(q["qid"].iat[lo + j], words[i], S[i, j]) for i in near[:k]]
+        best = [[] for _ in bans[lo:lo + QUERY_TILE]]
+        most = k + max(len(x) for x in bans[lo:lo + QUERY_TILE])
+        for at in range(0, len(V), WORD_TILE):
+            S = (V[at:at + WORD_TILE] @ Q[lo:lo + QUERY_TILE].T) / norm[lo:lo + QUERY_TILE]
+            spare = min(most, len(S))
+            cut = np.partition(S, len(S) - spare, axis=0)[len(S) - spare]
+            for j, mine in enumerate(best):
+                mine += [(S[i, j], words[at + i]) for i in np.flatnonzero(S[:, j] >= cut[j]) if words[at + i] not in bans[lo + j]]
+                mine.sort(reverse=True)
+                del mine[k:]
+        out += [(q["qid"].iat[lo + j], w, sim) for j, mine in enumerate(best) for sim, w in mine]
     return out
 
 
