@@ -24,6 +24,7 @@ from textlake.session import checkpoint_dir
 UNSEEN_LOG_PROB = -100.0    # fixed value: score of an unseen gram
 SENTIMENT_ALPHA = 15.0          # fixed value: compound = s / sqrt(s^2 + alpha)
 GRAMS_A_ROW = 200_000       # grams of a packed row, and of the rows a task hands on at once
+GRAM_GROUP = 8 << 20        # bytes of a row group of packed rows
 CHAR_WS_RE = r"[ \t\n\r\f\x0B]{2,}"
 
 
@@ -161,7 +162,10 @@ def char_tfidf(df: DataFrame, key: str, col: str, minn: int = 3, maxn: int = 7)
     key_type = dict(df.dtypes)[key]
     packed = prep.mapInArrow(_packed_grams(key, minn, maxn), f"{key} {key_type}, grams array<string>, tf array<int>")
     folder = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/grams-{uuid.uuid4().hex}"
-    packed.write.option("parquet.enable.dictionary", "false").parquet(folder)
+    # Spark's reader puts up to 4,096 packed rows side by side, but no more than a row group holds: small row
+    # groups bound the grams in a task's memory, whatever the texts' sizes
+    packed.write.option("parquet.enable.dictionary", "false").option("parquet.block.size", str(GRAM_GROUP)).option(
+        "parquet.page.size.row.check.min", "1").parquet(folder)
     packed = df.sparkSession.read.parquet(folder)
     tf = packed.select(key, F.explode(F.arrays_zip("grams", "tf")).alias("_g")).select(
         key, F.col("_g.grams").alias("gram"), F.col("_g.tf").alias("tf"))
