@@ -231,7 +231,7 @@ def map_chunks_lang_totals(spark, sf_dir):
   SELECT unnest(list_filter(string_split({Q.ascii_lower('text')}, ' '), lambda z: z <> '')) AS ngram FROM documents)
 GROUP BY ngram""")
 def ngram_model_token_func(spark, sf_dir):
-    """UDF-03: a tokenizer passed as a function (here a pandas UDF)."""
+    """UDF-03: a tokenizer passed as a function (here an Arrow UDF)."""
     from textlake.operators.ngrams import ngram_model
     d = S.load(spark, sf_dir, "documents")
     toks = d.select(U.blank_split_lower(F.col("text")).alias("toks"))
