@@ -48,6 +48,20 @@ REPOST_RE = r"(?s)^.*?RT (@" + W + r"+|" + W + r"+):? "
 CAP_TAIL_RE = r"[A-Z][\p{L}\p{N}_\-.]*$"   # token ends in a capitalised run
 CAP_HEAD_RE = r"^[A-Z]"
 KEEP_TOKEN_RE = r"^." + W + r"+$"          # process_text keep rule
+# The same rules over a whole text, for Java alone: a kept token is group 1, anything else (dropped tokens,
+# blanks) is no group, so that one replacement by "$1 " puts the kept tokens in a row without an array.
+# Plain words with a blank behind each are taken up to 32 at a time, as the time goes with the matches.
+KEPT_SENTENCE_RE = (
+    r"((?:[\p{L}\p{N}]" + W + r"*+ ){1,32}+|https?://" + NONWS + r"++|[@#]" + W + r"++|[:;=][\-']?[()DPp]"
+    + r"|" + W + r"{2,}+(?:['\-]" + W + r"++)*+|[\p{L}\p{N}](?:['\-]" + W + r"++)*+|_(?:['\-]" + W + r"++)++|\.\.\.++"
+    + r"|[^ \t\n\r\f\x0B!-/:-@\[-`{-~’“‘])|[!-/:-@\[-`{-~’“‘]?[ \t\n\r\f\x0B]++|[!-/:-@\[-`{-~’“‘]"
+)
+KEPT_WORDS_RE = (
+    r"https?://" + NONWS + r"++|((?:(?!http)" + W + r"{2,}+ ){1,32}+|[@#]" + W + r"++|[:;=][DPp]|(?!http)" + W + r"{2,}+(?!['\-]" + W + r"))"
+    + r"|[:;=][\-']?[()DPp]|" + W + r"++(?:['\-]" + W + r"++)*+|\.\.\.++|[^\p{L}\p{N}_@#:;=.]"
+    + r"|[ \t\n\r\f\x0B]++|[@#:;=.]"
+)
+GLUE_RE = r"([A-Z][\p{L}\p{N}_\-.]*+) (?=[A-Z])"
 
 
 def let(value: Column, body) -> Column:
@@ -80,6 +94,11 @@ def drop_punct(arr: Column, punct: str = PUNCT_SENTENCE) -> Column:
     return F.filter(arr, lambda t: F.instr(F.lit(punct), t) == 0)
 
 
+def in_a_row(col: Column, kept: str) -> Column:
+    """The tokens that ``kept`` captures, joined by blanks: the text is read once, no array is made."""
+    return F.trim(F.regexp_replace(F.regexp_replace(col, kept, "$1 "), "  +", " "))
+
+
 def strip_links(col: Column) -> Column:
     return F.regexp_replace(col, LINK_RE, "")
 
@@ -103,37 +122,23 @@ def clean_name(col: Column) -> Column:
 def glue_capitals(col: Column) -> Column:
     """Join runs of capitalised words with '-' ("Monero Dark" -> "Monero-Dark").
 
-    Word-level form of the left-to-right regex loop: the blank between two
+    The blank between two
     blank-separated pieces becomes '-' when the left piece ends in a
-    capitalised run ``[A-Z][word.-]*`` and the right piece starts with A-Z.
-    Pieces are paired with their successor by ``zip_with`` (the split is
-    evaluated once per row, not once per piece).
+    capitalised run ``[A-Z][word.-]*`` and the right piece starts with A-Z: one
+    replacement over the text, as the blank itself is what a match ends with.
     """
-    def body(parts):
-        nxt = F.concat(F.slice(parts, 2, F.size(parts) - 1), F.array(F.lit(None).cast("string")))
-        return F.array_join(
-            F.zip_with(parts, nxt, lambda p, q: F.concat(
-                p,
-                F.when(q.isNull(), F.lit(""))
-                .when(p.rlike(CAP_TAIL_RE) & q.rlike(CAP_HEAD_RE), F.lit("-"))
-                .otherwise(F.lit(" ")))),
-            "",
-        )
-    return let(F.split(col, " ", -1), body)
+    return F.regexp_replace(col, GLUE_RE, "$1-")
 
 
 def clean_sentence(col: Column) -> Column:
     """STR-02: as clean_name, plus capitalised runs glued by '-'."""
     t = cut_repost(strip_ctrl(strip_links(F.coalesce(col, F.lit("")))))
-    return F.array_join(drop_punct(tokens(glue_capitals(t)), PUNCT_SENTENCE), " ")
+    return in_a_row(glue_capitals(t), KEPT_SENTENCE_RE)
 
 
 def process_text(col: Column) -> Column:
     """STR-03: tokens of 2+ chars, all but the first word chars, not 'http...'."""
-    return F.array_join(
-        F.filter(tokens(col), lambda t: t.rlike(KEEP_TOKEN_RE) & ~t.startswith("http")),
-        " ",
-    )
+    return in_a_row(col, KEPT_WORDS_RE)
 
 
 def ngrams(arr: Column, n: int, sep: str = " ") -> Column:
