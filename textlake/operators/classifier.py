@@ -25,6 +25,7 @@ from __future__ import annotations
 import json
 import uuid
 from dataclasses import asdict, dataclass
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ from textlake.operators import quant as QN
 from textlake.operators import vectors as VE
 from textlake.operators import vocab as V
 from textlake.operators.common import dense_index
-from textlake.operators.models import Args, line_features, whole
+from textlake.operators.models import Args, coded_features, coded_lines, line_features, whole, word_counts
 from textlake.session import checkpoint_dir
 
 EPS = 1e-12
@@ -57,12 +58,17 @@ class Classifier:
 
 
 def start_vector(row: Column, dim: int, seed: int) -> Column:
-    """Values in [-1/dim, 1/dim) from md5(seed:row:block), 16 bits each."""
-    def value(i):
-        digest = F.md5(F.concat_ws(":", F.lit(str(seed)), row.cast("string"), F.floor(i / 8).cast("string")))
-        bits = F.conv(F.substr(digest, (i % 8) * 4 + 1, F.lit(4)), 16, 10).cast("double")
-        return (bits / 65536.0 * 2 - 1) / dim
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), value)
+    """Values in [-1/dim, 1/dim) from md5(seed:row:block), 16 bits each: a digest makes eight."""
+    blocks = range(-(-dim // 8))
+
+    @F.arrow_udf("array<double>")
+    def draw(rows: pa.Array) -> pa.Array:
+        heads = [f"{seed}:" if r is None else f"{seed}:{r}:" for r in rows.to_pylist()]
+        raw = b"".join(md5(f"{head}{b}".encode()).digest() for head in heads for b in blocks)
+        bits = np.frombuffer(raw, ">u2").reshape(len(heads), 8 * len(blocks))[:, :dim].astype(np.float64)
+        ends = pa.array(np.arange(len(heads) + 1, dtype=np.int32) * dim)
+        return pa.ListArray.from_arrays(ends, pa.array(((bits / 65536.0 * 2 - 1) / dim).ravel()))
+    return draw(row.cast("string"))
 
 
 def start_vector_sql(row: str, dim: int, seed: int) -> str:
@@ -109,6 +115,15 @@ def _line_gradients(H: np.ndarray, line: np.ndarray, label: np.ndarray, share: n
     return D
 
 
+def _places(ids: np.ndarray):
+    """Function: row ids -> their positions in ``ids`` (sorted, each once); by a table where ids lie dense."""
+    if not len(ids) or ids[0] < 0 or ids[-1] >= 16 * len(ids) + FIT_UNIT:
+        return lambda some: np.searchsorted(ids, some)
+    table = np.zeros(int(ids[-1]) + 1, np.int32)
+    table[ids] = np.arange(len(ids))
+    return lambda some: table[some]
+
+
 def _unit_step(labels, key: str, dim: int):
     """Arrow task: the lines of a unit and the feature rows they need -> the gradients by those rows
     (kind ``r``) and by the label rows (kind ``o``), each summed over the unit."""
@@ -116,12 +131,12 @@ def _unit_step(labels, key: str, dim: int):
         B = labels.value
         rows, lines = rows.sort_by("row_id").combine_chunks(), lines.sort_by(key).combine_chunks()
         ids, X = rows["row_id"].to_numpy(), np.asfortranarray(pc.list_flatten(rows["vec"]).to_numpy().reshape(len(rows), dim))
-        total, moved = np.zeros_like(B), np.zeros((len(rows), dim), order="F")
+        total, moved, place = np.zeros_like(B), np.zeros((len(rows), dim), order="F"), _places(ids)
         for lo in range(0, len(lines), LINE_TILE):
             some = lines.slice(lo, LINE_TILE).combine_chunks()
             feats, own = whole(some["features"]), whole(some["labels"])
             n = pc.list_value_length(feats).to_numpy()
-            of, at = np.repeat(np.arange(len(some)), n), np.searchsorted(ids, pc.list_flatten(feats).to_numpy())
+            of, at = np.repeat(np.arange(len(some)), n), place(pc.list_flatten(feats).to_numpy())
             w = (1.0 / n)[of]
             H = np.stack([np.bincount(of, w * X[:, j][at], len(some)) for j in range(dim)], 1)
             n = pc.list_value_length(own).to_numpy()
@@ -186,13 +201,14 @@ def train(df: DataFrame, key: str, text: str, args: Args | None = None, pretrain
     spark = df.sparkSession
     checkpoint_dir(spark)
     toks = df.select(key, T.tokenize_ws(F.col(text)).alias("tokens"))
-    vocab = V.build_vocab(toks, "tokens", args.min_count, args.min_count_label, args.label)
+    coded = coded_lines(toks, key, "tokens", args)
+    vocab = V.vocab_of_counts(word_counts(coded), args.min_count, args.min_count_label, args.label)
     if pretrained is not None:
         vocab = with_given_words(vocab, pretrained, args)
     vocab = vocab.checkpoint(eager=True)
     nwords = vocab.filter(F.col("type") == "word").count()
     names = vocab.filter(F.col("type") == "label").select((F.col("id") - nwords).alias("label_id"), F.col("word").alias("label"))
-    lines = line_features(toks, key, "tokens", vocab, args, nwords).filter(F.size("labels") > 0).checkpoint(eager=True)
+    lines = coded_features(coded, key, vocab, args, nwords).filter(F.size("labels") > 0).checkpoint(eager=True)
     start = lines.select(F.explode("features").alias("row_id")).distinct()
     start = start.select("row_id", start_vector(F.col("row_id"), args.dim, args.seed).alias("vec"))
     if pretrained is not None:

@@ -5,15 +5,18 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlake.functions import hashing as H
 from textlake.operators.common import hash_share
+from textlake.session import checkpoint_dir
 
 
 @dataclass
@@ -47,6 +50,7 @@ class Args:
 # ---------------------------------------------------------------------------
 LINE_UNIT = 1 << 21      # tokens of a unit of lines; with sub-words an eighth
 LINE_TILE = 1 << 8       # lines whose features are put together at once
+WORD_CHUNK = 1 << 12     # words of a unit in a row
 
 
 def whole(column: pa.ChunkedArray) -> pa.Array:
@@ -60,13 +64,77 @@ def _flat(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)]
 
 
+def _coded_units(key: str, unit: int):
+    """Arrow task: its lines in units of about ``unit`` tokens (a line stays whole): the lines as numbers of
+    the unit's words (``_codes``), and those words with their counts, ``WORD_CHUNK`` a row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, lines = TaskContext.get().partitionId() << 32, 0, []
+
+        def coded() -> Iterator[pa.RecordBatch]:
+            keys, toks = (pa.concat_arrays([x.column(i) for x in lines]) for i in (0, 1))
+            of, flat = pc.list_parent_indices(toks), pc.list_flatten(toks)
+            if flat.null_count:
+                of, flat = of.filter(flat.is_valid()), flat.drop_null()
+            made = flat.dictionary_encode()
+            codes, words = made.indices, made.dictionary
+            ends = np.r_[0, np.cumsum(np.bincount(of.to_numpy(), minlength=len(keys)))]
+            n = np.bincount(codes.to_numpy(), minlength=len(words))
+            firsts = np.arange(0, len(words), WORD_CHUNK, dtype=np.int32)
+            cuts = pa.array(np.r_[firsts, len(words)].astype(np.int32))
+            rows = [[keys, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), codes), None, None, None],
+                    [None, None, pa.array(firsts), pa.ListArray.from_arrays(cuts, words), pa.ListArray.from_arrays(cuts, pa.array(n.astype(np.int64)))]]
+            types = [keys.type, pa.list_(pa.int32()), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64())]
+            for cols, size in zip(rows, (len(keys), len(firsts))):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(size, number))] + [pa.nulls(size, t) if c is None else c.cast(t) for c, t in zip(cols, types)],
+                    ["_unit", key, "_codes", "_first", "_words", "_counts"])
+
+        for b in batches:
+            b = b.filter(pc.greater(pc.list_value_length(b.column(1)), 0))     # by Spark it would cut the texts twice
+            ends, lo = np.cumsum(pc.list_value_length(b.column(1)).to_numpy()), 0
+            while lo < len(ends):
+                before = ends[lo - 1] if lo else 0
+                hi = min(len(ends), int(np.searchsorted(ends, before + unit - held)) + 1)
+                lines.append(b.slice(lo, hi - lo))
+                held, lo = held + ends[hi - 1] - before, hi
+                if held >= unit:
+                    yield from coded()
+                    number, held, lines = number + 1, 0, []
+        if lines:
+            yield from coded()
+    return run
+
+
+def coded_lines(df: DataFrame, key: str, tokens: str, args: Args, unit: int | None = None) -> DataFrame:
+    """The lines where they lie, in units of about ``unit`` tokens, whose words are numbered inside the unit:
+    texts are cut into tokens once, and from here on a word stands once a unit.  One row a line
+    (_unit, key, _codes) and rows of words (_unit, _first, _words, _counts); checkpointed, as numbers depend on the
+    order of lines."""
+    unit = unit or (LINE_UNIT // 8 if args.maxn > 0 else LINE_UNIT)
+    checkpoint_dir(df.sparkSession)
+    return df.select(key, tokens).mapInArrow(_coded_units(key, unit), f"_unit long, `{key}` {dict(df.dtypes)[key]}, _codes array<int>, "
+                            "_first int, _words array<string>, _counts array<bigint>").checkpoint(eager=True)
+
+
+def _unit_words(coded: DataFrame) -> DataFrame:
+    """(_unit, code, word, n): the words of every unit."""
+    rows = coded.filter(F.col("_words").isNotNull()).select("_unit", "_first", F.posexplode(F.arrays_zip("_words", "_counts")).alias("_pos", "_w"))
+    return rows.select("_unit", (F.col("_first") + F.col("_pos")).alias("code"), F.col("_w._words").alias("word"), F.col("_w._counts").alias("n"))
+
+
+def word_counts(coded: DataFrame) -> DataFrame:
+    """(word, count) of coded lines: the counts of the units added up."""
+    return _unit_words(coded).groupBy("word").agg(F.sum("n").alias("count"))
+
+
 def _unit_features(key: str, args: Args, nwords: int):
-    """Arrow task: the lines of a unit and the words they hold (word, ids, h, label, plain)
+    """Arrow task: the coded lines of a unit and the words they hold (code, ids, h, label, plain)
     -> (key, features, labels), in batches of lines."""
     def run(lines: pa.Table, words: pa.Table) -> pa.Table:
         words, lines, out = words.combine_chunks(), lines.combine_chunks(), []
         schema = pa.schema([lines.schema.field(key), ("features", pa.list_(pa.int64())), ("labels", pa.list_(pa.int64()))])
-        known = pc.unique(words["word"])                       # a word stands once
+        place = np.empty(len(words), np.int64)                 # a code stands once, from 0
+        place[words["code"].to_numpy()] = np.arange(len(words))
         ids = whole(words["ids"])
         ids, starts, sizes = pc.list_flatten(ids).to_numpy(), ids.offsets.to_numpy()[:-1].astype(np.int64), pc.list_value_length(ids).to_numpy()
         starts = starts - (starts[0] if len(starts) else 0)
@@ -74,11 +142,8 @@ def _unit_features(key: str, args: Args, nwords: int):
         label, plain = words["label"].to_numpy(), words["plain"].to_numpy()
         for lo in range(0, len(lines), LINE_TILE):
             part = lines.slice(lo, LINE_TILE).combine_chunks()
-            toks = whole(part["tokens"])
-            of = pc.list_parent_indices(toks).to_numpy()
-            at = pc.index_in(pc.list_flatten(toks), value_set=known)
-            ok = pc.is_valid(at).to_numpy(zero_copy_only=False)
-            of, at = of[ok], at.drop_null().to_numpy()
+            codes = whole(part["_codes"])
+            of, at = pc.list_parent_indices(codes).to_numpy(), place[pc.list_flatten(codes).to_numpy()]
             word = plain[at]
             line, w = of[word], at[word]
             met = np.bincount(line, minlength=len(part))
@@ -107,29 +172,33 @@ def _unit_features(key: str, args: Args, nwords: int):
     return run
 
 
-def line_features(df: DataFrame, key: str, tokens: str, vocab: DataFrame, args: Args, nwords: int,
-                  unit: int | None = None) -> DataFrame:
-    """STR-14: per line (one row a key) the feature row ids (word id or its sub-words;
-    unknown words give their sub-words) followed by word n-gram buckets,
-    and the label ids.  Order is kept.
-
-    Lines are dealt by key to units of about ``unit`` tokens; a unit gets the ids of each word it
-    holds once, and the lines are put together inside the task."""
-    unit = unit or (LINE_UNIT // 8 if args.maxn > 0 else LINE_UNIT)
-    units = max(1, -(-(df.agg(F.sum(F.size(tokens))).first()[0] or 0) // unit))
-    lines = df.filter(F.size(tokens) > 0).select(F.pmod(F.xxhash64(key), F.lit(units)).cast("int").alias("_unit"), key, F.col(tokens).alias("tokens"))
-    held = lines.select(F.col("_unit").alias("_unit"), F.explode("tokens").alias("word")).distinct()
-    # sub-word ids and hashes once per distinct word, not per occurrence
-    dw = held.select("word").distinct().join(vocab.select("word", F.col("id").alias("_vid")), "word", "left")
+def coded_features(coded: DataFrame, key: str, vocab: DataFrame, args: Args, nwords: int) -> DataFrame:
+    """STR-14 of ``coded_lines``: (key, features, labels).  A unit gets the ids of each word it holds once, and
+    the lines are put together inside the task."""
+    lines = coded.filter(F.col("_codes").isNotNull()).select(F.col("_unit").alias("_unit"), key, "_codes")
+    held = _unit_words(coded).select("_unit", "code", "word")
+    grams = args.word_ngrams > 1 and args.bucket > 0
+    # sub-word ids and hashes, where they are needed, once per distinct word, not per occurrence
+    made = grams or args.maxn > 0
+    dw = (held.select("word").distinct() if made else held).join(vocab.select("word", F.col("id").alias("_vid")), "word", "left")
     sub = H.subword_ids(F.col("word"), F.col("_vid"), nwords, max(args.bucket, 1), args.minn, args.maxn) \
         if args.maxn > 0 else F.when(F.col("_vid").isNotNull(), F.array(F.col("_vid").cast("bigint"))).otherwise(
             F.array().cast("array<bigint>"))
     is_label = F.col("word").startswith(args.label)
-    feat = dw.select("word", F.when(is_label, F.array().cast("array<bigint>")).otherwise(sub).alias("ids"),
-                     H.as_int32(H.fnv1a(F.col("word"))).cast("bigint").alias("h"),
+    feat = dw.select(*([] if made else ["_unit", "code"]), "word", F.when(is_label, F.array().cast("array<bigint>")).otherwise(sub).alias("ids"),
+                     (H.as_int32(H.fnv1a(F.col("word"))) if grams else F.lit(0)).cast("bigint").alias("h"),
                      F.coalesce(F.col("_vid") - nwords, F.lit(-1)).cast("bigint").alias("label"), (~is_label).alias("plain"))
-    return lines.groupBy("_unit").cogroup(held.join(feat, "word").groupBy("_unit")).applyInArrow(
-        _unit_features(key, args, nwords), f"`{key}` {dict(df.dtypes)[key]}, features array<bigint>, labels array<bigint>")
+    words = (held.join(feat, "word") if made else feat).drop("word")
+    return lines.groupBy("_unit").cogroup(words.groupBy("_unit")).applyInArrow(
+        _unit_features(key, args, nwords), f"`{key}` {dict(coded.dtypes)[key]}, features array<bigint>, labels array<bigint>")
+
+
+def line_features(df: DataFrame, key: str, tokens: str, vocab: DataFrame, args: Args, nwords: int,
+                  unit: int | None = None) -> DataFrame:
+    """STR-14: per line (one row a key) the feature row ids (word id or its sub-words;
+    unknown words give their sub-words) followed by word n-gram buckets,
+    and the label ids.  Order is kept."""
+    return coded_features(coded_lines(df, key, tokens, args, unit), key, vocab, args, nwords)
 
 
 # ---------------------------------------------------------------------------

@@ -23,7 +23,11 @@ def build_vocab(tokens: DataFrame, col: str = "tokens", min_count: int = 1, min_
                 prefix: str = LABEL_PREFIX) -> DataFrame:
     """AGG-03: (id, word, count, type); words first, then labels, each by
     falling count (ties by word); rare entries dropped.  Ids from 0."""
-    c = token_counts(tokens, col)
+    return vocab_of_counts(token_counts(tokens, col), min_count, min_count_label, prefix)
+
+
+def vocab_of_counts(c: DataFrame, min_count: int = 1, min_count_label: int = 1, prefix: str = LABEL_PREFIX) -> DataFrame:
+    """AGG-03 of given (word, count) rows, one a word."""
     is_label = F.col("word").startswith(prefix)
     c = c.withColumn("type", F.when(is_label, "label").otherwise("word"))
     c = c.filter((is_label & (F.col("count") >= min_count_label)) | (~is_label & (F.col("count") >= min_count)))
