@@ -52,3 +52,24 @@ def test_start_vectors_are_those_of_the_digest(spark, dim):
     for r, v in got:
         digests = b"".join(hashlib.md5(f"3:{r}:{b}".encode()).digest() for b in range(3))
         assert v == [(int.from_bytes(digests[2 * i:2 * i + 2], "big") / 65536.0 * 2 - 1) / dim for i in range(dim)]
+
+
+@pytest.mark.parametrize("far", [0, 10 ** 12])
+def test_feature_ids_and_places_for_dense_and_sparse_ids(spark, far):
+    import numpy as np
+    data = [(u, [(u * j) % 7 + far * (j % 2) for j in range(30)]) for u in range(5)] + [(9, [])]
+    df = spark.createDataFrame(data, "u long, features array<long>").coalesce(1)
+    rows = K.feature_ids(df, "u").collect()
+    want = {(u, x) for u, f in data for x in f}
+    assert {tuple(r) for r in rows} == want and len(rows) == len(want)           # one batch: each once, not an occurrence a row
+    assert {r[0] for r in K.feature_ids(df).collect()} == {x for _, x in want}
+    ids = np.unique([x for _, x in want])
+    assert (ids[K._places(ids)(ids[::-1])] == ids[::-1]).all()
+
+
+def test_a_round_sends_values_as_columns(spark):
+    """No feature row or gradient travels as an array: only the lines' lists do."""
+    rows = spark.createDataFrame([(0, [0.5, 1.0])], "row_id long, vec array<double>")
+    lines = spark.createDataFrame([(1, [0, 0], [0])], "id long, features array<long>, labels array<long>")
+    out, B = K.fit_rows(lines, "id", rows, 2, M.Args(dim=2, epoch=2, lr=0.1))
+    assert out.columns == ["row_id", "v0", "v1", "g"] and B.shape == (2, 2) and B[0, 0] > 0 > B[1, 0]

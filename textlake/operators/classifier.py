@@ -26,6 +26,7 @@ import json
 import uuid
 from dataclasses import asdict, dataclass
 from hashlib import md5
+from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -125,12 +126,14 @@ def _places(ids: np.ndarray):
 
 
 def _unit_step(labels, key: str, dim: int):
-    """Arrow task: the lines of a unit and the feature rows they need -> the gradients by those rows
-    (kind ``r``) and by the label rows (kind ``o``), each summed over the unit."""
+    """Arrow task: the lines of a unit and the feature rows they need (row_id, v0..) -> the gradients by those rows
+    (``id``) and by the label rows (``id`` -1 - label), each summed over the unit.  Values travel as columns."""
+    cs = _columns(dim)
+
     def run(lines: pa.Table, rows: pa.Table) -> pa.Table:
         B = labels.value
-        rows, lines = rows.sort_by("row_id").combine_chunks(), lines.sort_by(key).combine_chunks()
-        ids, X = rows["row_id"].to_numpy(), np.asfortranarray(pc.list_flatten(rows["vec"]).to_numpy().reshape(len(rows), dim))
+        lines, order = lines.sort_by(key).combine_chunks(), np.argsort(rows["row_id"].to_numpy())
+        ids, X = rows["row_id"].to_numpy()[order], [rows[c].to_numpy()[order] for c in cs]
         total, moved, place = np.zeros_like(B), np.zeros((len(rows), dim), order="F"), _places(ids)
         for lo in range(0, len(lines), LINE_TILE):
             some = lines.slice(lo, LINE_TILE).combine_chunks()
@@ -138,16 +141,13 @@ def _unit_step(labels, key: str, dim: int):
             n = pc.list_value_length(feats).to_numpy()
             of, at = np.repeat(np.arange(len(some)), n), place(pc.list_flatten(feats).to_numpy())
             w = (1.0 / n)[of]
-            H = np.stack([np.bincount(of, w * X[:, j][at], len(some)) for j in range(dim)], 1)
+            H = np.stack([np.bincount(of, w * x[at], len(some)) for x in X], 1)
             n = pc.list_value_length(own).to_numpy()
             D = _line_gradients(H, np.repeat(np.arange(len(some)), n), pc.list_flatten(own).to_numpy(), np.repeat(1.0 / n, n), B, total)
             for j in range(dim):
                 moved[:, j] += np.bincount(at, w * D[of, j], len(rows))
-        count = len(rows) + len(B)
-        ends = pa.array(np.arange(count + 1, dtype=np.int32) * dim)
-        return pa.Table.from_arrays(
-            [pa.array(["r"] * len(rows) + ["o"] * len(B)), pa.array(np.r_[ids, np.arange(len(B))].astype(np.int64)),
-             pa.ListArray.from_arrays(ends, pa.array(np.r_[moved.ravel(), total.ravel()]))], ["kind", "id", "vec"])
+        return pa.Table.from_arrays([pa.array(np.r_[ids, -1 - np.arange(len(B))].astype(np.int64)),
+                                     *[pa.array(np.r_[moved[:, j], total[:, j]]) for j in range(dim)]], ["id", *cs])
     return run
 
 
@@ -160,6 +160,28 @@ def _moved(df: DataFrame, by: str | list[str], dim: int, rate: float) -> DataFra
                            for i, c in enumerate(_columns(dim))], "g")
 
 
+def feature_ids(lines: DataFrame, *by: str) -> DataFrame:
+    """(by, row_id): the feature rows of the lines, each about once a batch of lines with the same ``by`` (long)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            group = b.column(0).to_numpy() if by else np.zeros(len(b), np.int64)
+            of, ids = group[pc.list_parent_indices(b.column(len(by))).to_numpy()], pc.list_flatten(b.column(len(by))).to_numpy()
+            for g in np.unique(of):
+                mine = _once(ids[of == g])
+                yield pa.RecordBatch.from_arrays([*[pa.array(np.full(len(mine), g)) for _ in by], pa.array(mine)], [*by, "row_id"])
+    return lines.select(*[F.col(c).cast("long").alias(c) for c in by], "features").mapInArrow(
+        run, "".join(f"`{c}` long, " for c in by) + "row_id long")
+
+
+def _once(ids: np.ndarray) -> np.ndarray:
+    """The distinct ids; by marks where they lie dense."""
+    if not len(ids) or ids.min() < 0 or ids.max() >= 16 * len(ids) + FIT_UNIT:
+        return np.unique(ids)
+    met = np.zeros(int(ids.max()) + 1, bool)
+    met[ids] = True
+    return np.flatnonzero(met)
+
+
 def fit_rows(lines: DataFrame, key: str, start: DataFrame, n_labels: int, args: Args,
              labels: np.ndarray | None = None, unit: int = FIT_UNIT) -> tuple[DataFrame, np.ndarray]:
     """Rounds over (key, features, labels) lines; ``start`` is (row_id, vec)
@@ -169,26 +191,26 @@ def fit_rows(lines: DataFrame, key: str, start: DataFrame, n_labels: int, args:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     units = max(1, -(-(lines.agg(F.sum(F.size("features"))).first()[0] or 0) // unit))
     # dealt once; the caches can be rebuilt from checkpointed lines
-    f = lines.filter(F.size("features") > 0).select(F.pmod(F.xxhash64(key), F.lit(units)).cast("int").alias("_unit"), key, "features", "labels")
+    f = lines.filter(F.size("features") > 0).select(F.pmod(F.xxhash64(key), F.lit(units)).cast("long").alias("_unit"), key, "features", "labels")
     f = f.repartition(parts, "_unit").persist(StorageLevel.MEMORY_AND_DISK)
-    needed = f.select(F.col("_unit").alias("_unit"), F.explode("features").alias("row_id")).distinct()
+    needed = feature_ids(f, "_unit").distinct()
     needed = needed.repartition(parts, "row_id").persist(StorageLevel.MEMORY_AND_DISK)
     cs = _columns(dim)
     rows = _spread(start, dim).withColumn("g", F.lit(0.0)).checkpoint(eager=True)
     B, G = np.zeros((n_labels, dim)) if labels is None else labels.copy(), np.zeros(n_labels)
     for e in range(args.epoch):
         rate = args.lr * (1 - e / args.epoch)
-        sent = needed.join(rows, "row_id").select("_unit", "row_id", F.array(*cs).alias("vec"))
+        sent = needed.join(rows, "row_id").select("_unit", "row_id", *cs)
         shared = spark.sparkContext.broadcast(B)
         grad = f.groupBy("_unit").cogroup(sent.groupBy("_unit")).applyInArrow(
-            _unit_step(shared, key, dim), "kind string, id long, vec array<double>")
-        grad = _spread(grad, dim).groupBy("kind", "id").agg(*[F.sum(c).alias(c) for c in cs]).checkpoint(eager=True)
-        d = grad.filter("kind = 'r'").select(F.col("id").alias("row_id"), *[F.col(c).alias(f"d{i}") for i, c in enumerate(cs)])
+            _unit_step(shared, key, dim), ", ".join(["id long", *[f"{c} double" for c in cs]]))
+        grad = grad.groupBy("id").agg(*[F.sum(c).alias(c) for c in cs]).checkpoint(eager=True)
+        d = grad.filter("id >= 0").select(F.col("id").alias("row_id"), *[F.col(c).alias(f"d{i}") for i, c in enumerate(cs)])
         rows = _moved(rows.join(d, "row_id", "left"), "row_id", dim, rate).checkpoint(eager=True)
-        for r in grad.filter("kind = 'o'").collect():                       # labels x dim numbers
-            g = np.array([r[c] for c in cs])
-            G[r["id"]] += (g * g).mean()
-            B[r["id"]] += rate * g / np.sqrt(G[r["id"]] + EPS)
+        for r in grad.filter("id < 0").collect():                           # labels x dim numbers
+            g, l = np.array([r[c] for c in cs]), -1 - r["id"]
+            G[l] += (g * g).mean()
+            B[l] += rate * g / np.sqrt(G[l] + EPS)
         shared.unpersist()
     needed.unpersist()
     f.unpersist()
@@ -209,7 +231,7 @@ def train(df: DataFrame, key: str, text: str, args: Args | None = None, pretrain
     nwords = vocab.filter(F.col("type") == "word").count()
     names = vocab.filter(F.col("type") == "label").select((F.col("id") - nwords).alias("label_id"), F.col("word").alias("label"))
     lines = coded_features(coded, key, vocab, args, nwords).filter(F.size("labels") > 0).checkpoint(eager=True)
-    start = lines.select(F.explode("features").alias("row_id")).distinct()
+    start = feature_ids(lines).distinct()
     start = start.select("row_id", start_vector(F.col("row_id"), args.dim, args.seed).alias("vec"))
     if pretrained is not None:
         given = vocab.join(pretrained.select("word", F.col("vec").alias("_given")), "word").select(F.col("id").alias("row_id"), "_given")
@@ -246,7 +268,7 @@ def predict(model: Classifier, df: DataFrame, key: str, text: str, k: int = 1, t
     else:
         rows = model.input
         if not model.shrunk:
-            rows = lines.select(F.explode("features").alias("row_id")).distinct().join(rows, "row_id", "left")
+            rows = feature_ids(lines).distinct().join(rows, "row_id", "left")
             rows = rows.withColumn("vec", F.coalesce("vec", start_vector(F.col("row_id"), dim, model.args.seed)))
         h = VE.row_sums(lines, key, "features", rows.select("row_id", "vec", F.lit(1.0).alias("scale")), dim, item="row_id")
         h = h.select(key, A.scale_by(F.col("vec"), F.col("n")).alias("vec"))
