@@ -1,5 +1,7 @@
 """Embeddings from units of lines: examples and negatives are made inside tasks."""
 
+import os
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -60,3 +62,34 @@ def test_lines_give_the_rows_of_their_examples(spark, monkeypatch, model):
             monkeypatch.setattr(EM, "LEAST_UNITS", 1)
         for got, w in zip((table(x) for x in EM.fit_lines(lines, None, words, args, unit)), want):
             assert got.keys() == w.keys() and all(np.abs(got[i] - w[i]).max() < 1e-9 for i in w)
+
+
+def test_units_stay_few_as_the_text_grows():
+    """Every unit sends a sum of every word that it draws: 270 million words (about 1 GB) were 129 units."""
+    assert EM.lines_units(270_000_000) == 17 and EM.lines_units(4_000_000) == 16 and EM.lines_units(300) == 1
+
+
+def test_rows_are_stored_once_for_all_units(spark, monkeypatch):
+    """Units read the rows of a round from the shared folder: its files hold each row once and go after the round."""
+    lines, words = _lines(spark)
+    rows, files, store = [], [], EM._stored
+
+    def stored(df, folder):
+        rows.append(df.count())
+        files.append((folder, store(df, folder)))
+        return files[-1][1]
+    monkeypatch.setattr(EM, "_stored", stored)
+    EM.fit_lines(lines, None, words, Args(model="skipgram", dim=DIM, epoch=2, neg=2, seed=5), 60)
+    assert rows == [WORDS] * 4
+    for folder, names in files:
+        assert names and not any(os.path.exists(f"{EM.SH._at(folder)[1]}/{n}") for n in names)
+
+
+def test_stored_rows_come_back_sorted_and_only_those_wanted(spark):
+    df = spark.range(100).select((100 - F.col("id")).alias("id"), F.col("id").alias("share"), F.lit(0.5).alias("keep"), F.col("id").cast("double").alias("v0"))
+    folder = EM.SH.folder(spark, "rows")
+    names = EM._stored(df.repartition(7), folder)
+    ids, share, keep, vec = EM._load(folder, names, 1)
+    assert ids.tolist() == list(range(1, 101)) and share.tolist() == list(range(99, -1, -1)) and vec[:, 0].tolist() == share.tolist()
+    ids, share, _, _ = EM._load(folder, names, 1, np.array([3, 50, 777]))
+    assert ids.tolist() == [3, 50] and share.tolist() == [97, 50] and set(keep) == {0.5}
