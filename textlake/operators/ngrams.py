@@ -32,7 +32,7 @@ GRAM_UNIT = 1 << 22         # characters of a unit of texts; inputs of no more t
 LEAST_UNITS = 64            # smaller inputs are dealt to as many units, if these hold LEAST_CHARS
 LEAST_CHARS = 1 << 17
 ROWS_A_BATCH = 200_000      # rows (key, gram, weight) a task hands on at once
-BEST_ROWS = 1 << 22         # rows whose largest weights a task takes at once
+BEST_ROWS = 1 << 21         # rows whose largest weights a task takes at once
 CHAR_WS_RE = r"[ \t\n\r\f\x0B]{2,}"
 
 
