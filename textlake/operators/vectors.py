@@ -24,8 +24,10 @@ from textlake.operators.common import dense_index
 from textlake.session import checkpoint_dir
 
 QUERY_NORM_FLOOR = 1e-8       # fixed value: a tinier query norm counts as 1
-MAX_QUERY_CHUNK = 20_000      # queries in a block
+MAX_QUERY_CHUNK = 65_536      # queries in a block: vectors are sent once for each
 VECTOR_BLOCK = 65_536         # vectors in a block
+LEAST_TASKS = 16              # fewer blocks are cut into as many, if these hold LEAST_QUERIES
+LEAST_QUERIES = 2_048
 SUM_UNIT = 1 << 22            # items of a unit of row sums
 SUM_TILE = 1 << 15            # rows added up at once inside a task
 BAG_TILE = 1 << 9             # bags whose items are looked up at once
@@ -182,27 +184,61 @@ QUERY_TILE = 512              # queries scored at once inside a task
 WORD_TILE = 4096              # vectors they are scored against at once
 
 
+def _first_copies(V: np.ndarray, words: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors and words without those that can't be among the best: of equal vectors the ``most`` last words stay."""
+    order = np.argsort(words)[::-1]
+    same = np.unique(np.ascontiguousarray(V[order]).view(f"V{V.shape[1] * V.itemsize}").ravel(), return_inverse=True)[1].ravel()
+    if not len(same) or same.max() + 1 == len(same):
+        return V, words
+    by = np.argsort(same, kind="stable")
+    start = np.flatnonzero(np.r_[True, np.diff(same[by]) > 0])
+    turn = np.arange(len(by)) - np.repeat(start, np.diff(np.r_[start, len(by)]))
+    stay = np.sort(order[by[turn < most]])
+    return V[stay], words[stay]
+
+
 def _best_words(q: pd.DataFrame, v: pd.DataFrame, k: int) -> list[tuple]:
     """(qid, word, sim): the best ``k`` words of a block of vectors for every query of a block
-    (sim, then word, both falling), in tiles of queries and vectors, whose best words merge."""
-    words, out = v["word"].to_numpy(), []
+    (sim, then word, both falling), in tiles of queries and vectors, whose best words merge.
+
+    Single precision tells which words of a tile may be among the best so far: those that reach the last of them less
+    the most by which it can be off.  Only these get their cosine, in double precision."""
     V = np.stack(v["uvec"].to_numpy()).astype(np.float64)
     Q = np.stack(q["qvec"].to_numpy()).astype(np.float64)
     norm = np.linalg.norm(Q, axis=1)
     norm[np.abs(norm) < QUERY_NORM_FLOOR] = 1.0
-    bans = [set(() if b is None else b) for b in q["ban"]]
+    bans, out = [set(() if b is None else b) for b in q["ban"]], []
+    V, words = _first_copies(V, v["word"].to_numpy(), k + max(map(len, bans), default=0))
+    Q /= norm[:, None]
+    V4, Q4 = V.astype(np.float32), Q.astype(np.float32)
+    # rounding of both, of every product and of the sums, for vectors no longer than 1
+    off = 2 * (V.shape[1] + 8) * 2.0 ** -24 * max(1.0, float(np.linalg.norm(V, axis=1).max(initial=0))) * np.linalg.norm(Q, axis=1)
+    off = off.astype(np.float32) + np.float32(1e-30)
     for lo in range(0, len(Q), QUERY_TILE):
-        best = [[] for _ in bans[lo:lo + QUERY_TILE]]
-        most = k + max(len(x) for x in bans[lo:lo + QUERY_TILE])
+        mine = slice(lo, lo + QUERY_TILE)
+        best = [[] for _ in bans[mine]]
+        most = k + max(len(x) for x in bans[mine])
+        least = np.full(len(best), -np.inf, np.float32)
         for at in range(0, len(V), WORD_TILE):
-            S = (V[at:at + WORD_TILE] @ Q[lo:lo + QUERY_TILE].T) / norm[lo:lo + QUERY_TILE]
-            spare = min(most, len(S))
-            cut = np.partition(S, len(S) - spare, axis=0)[len(S) - spare]
-            for j, mine in enumerate(best):
-                mine += [(S[i, j], words[at + i]) for i in np.flatnonzero(S[:, j] >= cut[j]) if words[at + i] not in bans[lo + j]]
-                mine.sort(reverse=True)
-                del mine[k:]
-        out += [(q["qid"].iat[lo + j], w, sim) for j, mine in enumerate(best) for sim, w in mine]
+            S = Q4[mine] @ V4[at:at + WORD_TILE].T
+            if not at:
+                spare = min(most, S.shape[1])
+                least = np.partition(S, S.shape[1] - spare, axis=1)[:, S.shape[1] - spare]
+            bar = least - off[mine]
+            some = np.flatnonzero(S.max(axis=1) >= bar)
+            of, i = np.nonzero(S[some] >= bar[some, None])
+            of, i = some[of], i + at
+            for x in range(0, len(of), 1 << 15):
+                j, w = of[x:x + (1 << 15)], i[x:x + (1 << 15)]
+                for y, word, sim in zip(j.tolist(), words[w], np.einsum("id,id->i", V[w], Q[lo + j])):
+                    if word not in bans[lo + y]:
+                        best[y].append((sim, word))
+            for y in np.unique(of).tolist():
+                best[y].sort(reverse=True)
+                del best[y][k:]
+                if len(best[y]) == k:
+                    least[y] = best[y][-1][0]
+        out += [(q["qid"].iat[lo + j], w, sim) for j, found in enumerate(best) for sim, w in found]
     return out
 
 
@@ -225,7 +261,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, chunk: int = MA
     qid_type = dict(queries.dtypes)["qid"]
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    n_q, n_v = max(1, -(-queries.count() // chunk)), max(1, -(-vectors.count() // vector_block))
+    n, n_v = queries.count(), max(1, -(-vectors.count() // vector_block))
+    n_q = max(1, -(-n // chunk), min(n // LEAST_QUERIES, -(-LEAST_TASKS // n_v)))
     q = queries.select("qid", "qvec", "ban", block("qid", n_q).alias("_qb")).withColumn("_vb", every(n_v))
     v = unit_vectors(vectors).withColumn("_vb", block("word", n_v)).withColumn("_qb", every(n_q))
 
