@@ -227,12 +227,12 @@ class Grams:
 
     def packed(self, keys: np.ndarray) -> bytes:
         """Sorted keys, compressed."""
-        return _squeezed(np.diff(keys, prepend=0).astype(np.uint64) if self.numbers else keys)
+        return SH.squeezed(np.diff(keys, prepend=0).astype(np.uint64) if self.numbers else keys)
 
     def unpacked(self, raw: bytes, n: int) -> np.ndarray:
         if self.numbers:
-            return np.cumsum(_swollen(raw, n, np.uint64)).astype(np.int64)
-        return _swollen(raw, n, f"S{self.maxn * self.digits}")
+            return np.cumsum(SH.swollen(raw, n, np.uint64)).astype(np.int64)
+        return SH.swollen(raw, n, f"S{self.maxn * self.digits}")
 
 
 def _spread_bits(h: np.ndarray) -> np.ndarray:
@@ -240,18 +240,6 @@ def _spread_bits(h: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)
 
 
-def _squeezed(values: np.ndarray) -> bytes:
-    """Values compressed byte by byte: all first bytes, all second ones and so on."""
-    planes = np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T)
-    return pa.Codec("zstd", compression_level=1).compress(planes.tobytes(), asbytes=True)
-
-
-def _swollen(raw: bytes, n: int, kind) -> np.ndarray:
-    kind = np.dtype(kind)
-    planes = np.frombuffer(pa.Codec("zstd").decompress(raw, n * kind.itemsize, asbytes=True), np.uint8).reshape(kind.itemsize, n)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
-
-
 def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct ones of sorted keys, and how often each stands."""
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
@@ -297,7 +285,7 @@ def _unit_counts(grams: Grams, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, texts in _units(batches):
             unit = _Unit(texts, grams, buckets)
-            rows = [(b, at.stop - at.start, grams.packed(unit.keys[unit.order[at]]), _squeezed(unit.held[unit.order[at]].astype(np.uint32)))
+            rows = [(b, at.stop - at.start, grams.packed(unit.keys[unit.order[at]]), SH.squeezed(unit.held[unit.order[at]].astype(np.uint32)))
                     for b, at in unit.cuts.items()]
             for lo in range(0, len(rows), 256):
                 b, n, keys, held = zip(*rows[lo:lo + 256])
@@ -311,13 +299,13 @@ def _bucket_df(grams: Grams):
     def run(rows: pa.Table) -> pa.Table:
         sizes, out = rows["n"].to_pylist(), []
         keys = np.concatenate([grams.unpacked(k, n) for k, n in zip(rows["keys"].to_pylist(), sizes)])
-        held = np.concatenate([_swollen(h, n, np.uint32) for h, n in zip(rows["held"].to_pylist(), sizes)])
+        held = np.concatenate([SH.swollen(h, n, np.uint32) for h, n in zip(rows["held"].to_pylist(), sizes)])
         order = np.argsort(keys, kind="stable")
         head = np.r_[True, keys[order][1:] != keys[order][:-1]]
         df = np.empty(len(keys), np.uint32)
         df[order] = np.add.reduceat(held[order].astype(np.int64), np.flatnonzero(head))[np.cumsum(head) - 1]
         for n, lo in zip(sizes, np.cumsum([0, *sizes])):
-            out.append(_squeezed(df[lo:lo + n]))
+            out.append(SH.squeezed(df[lo:lo + n]))
         return rows.select(["_unit", "_b", "n"]).append_column("df", pa.array(out, pa.binary()))
     return run
 
@@ -331,7 +319,7 @@ def _unit_weights(grams: Grams, buckets: int, n_docs: int, key: str):
             unit = _Unit(texts, grams, buckets)
             df = np.zeros(len(unit.keys), np.int64)
             for b, n, raw in zip(*(found[c].to_pylist() for c in ("_b", "n", "df"))):
-                df[unit.order[unit.cuts[b]]] = _swollen(raw, n, np.uint32)
+                df[unit.order[unit.cuts[b]]] = SH.swollen(raw, n, np.uint32)
             idf, words, names = np.log((1 + n_docs) / (1 + df)) + 1, grams.strings(unit.keys), texts.column(1).combine_chunks()
             names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names
             at, weight, of, size = [], [], [], 0

@@ -9,6 +9,7 @@ import uuid
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,3 +92,15 @@ def even_numbers(spark: SparkSession, units: int, parts: int) -> DataFrame:
         found.setdefault(r["p"], []).append(r["i"])
     turns = sorted((turn, p, i) for p, numbers in found.items() for turn, i in enumerate(numbers))[:units]
     return spark.createDataFrame([(k, i) for k, (_, _, i) in enumerate(turns)], "_k int, _unit int")
+
+
+def squeezed(values: np.ndarray) -> bytes:
+    """Values compressed byte by byte: all first bytes, all second ones and so on."""
+    planes = np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T)
+    return pa.Codec("zstd", compression_level=1).compress(planes.tobytes(), asbytes=True)
+
+
+def swollen(raw: bytes, n: int, kind) -> np.ndarray:
+    kind = np.dtype(kind)
+    planes = np.frombuffer(pa.Codec("zstd").decompress(raw, n * kind.itemsize, asbytes=True), np.uint8).reshape(kind.itemsize, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()

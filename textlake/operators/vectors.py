@@ -10,6 +10,7 @@ k candidates a block of vectors.  No all-pairs output.
 from __future__ import annotations
 
 from typing import Iterator, Sequence
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from textlake.functions import arrays as A
 from textlake.functions import hashing as H
+from textlake.operators import shared as SH
 from textlake.operators.common import dense_index
 from textlake.session import checkpoint_dir
 
@@ -379,6 +381,7 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
 # WIN-07 / WIN-08 context windows
 # ---------------------------------------------------------------------------
 PAIR_UNIT = 1 << 20     # words whose pairs a task sums up at once
+PAIR_BUCKET = 1 << 22   # pairs that meet in a task, before those of different units are added up
 FREQUENT = 1 << 10      # a word with more than one in so many occurrences is frequent; there are fewer than that
 
 
@@ -390,8 +393,9 @@ def skipgram_pairs(df: DataFrame, tokens: str, ws: int, summed: bool = False, un
 
     ``summed`` gives (center, context, n, weight), one row for each two words with the number and
     the weight of their pairs.  A pair counts alike in both directions, so a task sums up the
-    unordered pairs of ``unit`` words at a time and sends a word's partners on as one row.  A frequent
-    word is sent as its partners' partner, so no word makes a large group."""
+    unordered pairs of ``unit`` words at a time and sends them by bucket of their first word, packed: the words
+    once, the pairs as steps from one to the next.  They are added up inside the task of a bucket.  A frequent
+    word stands second, so no word makes a large bucket."""
     if summed:
         return _summed_pairs(df, tokens, ws, unit)
     t = F.col(tokens)
@@ -406,11 +410,19 @@ def skipgram_pairs(df: DataFrame, tokens: str, ws: int, summed: bool = False, un
     return ex.select("p.center", "p.context", "p.dist", "p.weight")
 
 
-def _partners(ws: int, unit: int, frequent: Sequence):
+def _pair_runs(keys: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+
+
+def _partners(ws: int, unit: int, frequent: Sequence, buckets: int = 0):
     """Arrow task: rows (tokens) -> (a, b, n, k): a word, its partners that don't stand before it (the
-    frequent words stand last), the number of pairs with each and their summed ws - d + 1."""
-    def runs(keys: np.ndarray) -> np.ndarray:
-        return np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    frequent words stand last), the number of pairs with each and their summed ws - d + 1.  With ``buckets``
+    (_b, words, size, pairs, n, k): the same of all words of a bucket, packed."""
+    def stream(words: pa.Array) -> bytes:
+        sink, t = pa.BufferOutputStream(), pa.table({"w": words})
+        with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(t)
+        return sink.getvalue().to_pybytes()
 
     def partners(parts: list[pa.Array]) -> Iterator[pa.RecordBatch]:
         lists = pa.concat_arrays(parts)
@@ -431,10 +443,13 @@ def _partners(ws: int, unit: int, frequent: Sequence):
         key = np.concatenate(keys)
         key.sort()
         pair, reach = key // ws, ws - key % ws
-        at = runs(pair)
+        at = _pair_runs(pair)
         n, k = np.diff(np.r_[at, len(pair)]), np.add.reduceat(reach, at) if len(at) else np.zeros(0, np.int64)
-        word, hi = np.divmod(pair[at], len(words)) if len(at) else (at, at)
-        head = runs(word)
+        word, hi = np.divmod(pair[at], max(len(words), 1))
+        yield from packed(words, word, hi, n, k) if buckets else unpacked(words, word, hi, n, k)
+
+    def unpacked(words: pa.Array, word: np.ndarray, hi: np.ndarray, n: np.ndarray, k: np.ndarray) -> Iterator[pa.RecordBatch]:
+        head = _pair_runs(word)
         ends = pa.array(np.r_[head, len(word)].astype(np.int32))
         out = pa.RecordBatch.from_arrays(
             [words.take(pa.array(word[head])), pa.ListArray.from_arrays(ends, words.take(pa.array(hi))),
@@ -443,6 +458,20 @@ def _partners(ws: int, unit: int, frequent: Sequence):
         for lo in range(0, len(out), 1 << 14):
             yield out.slice(lo, 1 << 14)
 
+    def packed(words: pa.Array, word: np.ndarray, hi: np.ndarray, n: np.ndarray, k: np.ndarray) -> Iterator[pa.RecordBatch]:
+        of = np.array([crc32(str(w).encode("utf-8", "surrogatepass")) % buckets for w in words.to_pylist()], np.int64)[word]
+        order = np.argsort(of, kind="stable")
+        of, word, hi, n, k = (x[order] for x in (of, word, hi, n, k))
+        rows, head = [], _pair_runs(of)
+        for lo, end in zip(head, np.r_[head[1:], len(of)]):
+            mine = slice(lo, end)
+            used, place = np.unique(np.r_[word[mine], hi[mine]], return_inverse=True)
+            steps = np.diff(place[:end - lo] * len(used) + place[end - lo:], prepend=0)
+            rows.append((int(of[lo]), stream(words.take(pa.array(used))), int(end - lo), *(SH.squeezed(x.astype(np.uint64)) for x in (steps, n[mine], k[mine]))))
+        for lo in range(0, len(rows), 64):
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[lo:lo + 64]), (
+                pa.int32(), pa.binary(), pa.int64(), *[pa.binary()] * 3))], ["_b", "words", "size", "pairs", "n", "k"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
         for batch in batches:
@@ -462,16 +491,35 @@ def _partners(ws: int, unit: int, frequent: Sequence):
     return run
 
 
+def _added_pairs(records: pa.Table) -> pa.Table:
+    """The packed pairs of a bucket -> (a, b, n, k), one row for each two words."""
+    words = [pa.ipc.open_stream(x.as_buffer()).read_all()["w"].combine_chunks() for x in records["words"]]
+    words = [w.combine_chunks() if isinstance(w, pa.ChunkedArray) else w for w in words]
+    ends, coded = np.cumsum([0, *map(len, words)]), pa.concat_arrays(words).dictionary_encode(null_encoding="encode")
+    codes, many, keys = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary), []
+    sizes = records["size"].to_pylist()
+    for lo, hi, raw, size in zip(ends[:-1], ends[1:], records["pairs"], sizes):
+        a, b = np.divmod(np.cumsum(SH.swollen(raw.as_py(), size, np.uint64)).astype(np.int64), hi - lo)
+        keys.append(codes[lo:hi][a] * many + codes[lo:hi][b])
+    key = np.concatenate(keys)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    at = _pair_runs(key)
+    n, k = (np.add.reduceat(np.concatenate([SH.swollen(raw.as_py(), size, np.uint64) for raw, size in zip(records[c], sizes)]).astype(np.int64)[order], at)
+            for c in ("n", "k"))
+    a, b = np.divmod(key[at], many)
+    return pa.table([coded.dictionary.take(pa.array(a)), coded.dictionary.take(pa.array(b)), pa.array(n), pa.array(k)], ["a", "b", "n", "k"])
+
+
 def _summed_pairs(df: DataFrame, tokens: str, ws: int, unit: int) -> DataFrame:
     lists = df.select(F.col(tokens).alias("t"))
     kind = lists.schema["t"].dataType.elementType.simpleString()
     total = lists.agg(F.sum(F.size("t"))).first()[0] or 0
     words = lists.select(F.explode("t").alias("w")).filter("w is not null").groupBy("w").count()
     frequent = [r["w"] for r in words.filter(F.col("count") * FREQUENT > total).select("w").collect()]
-    made = lists.mapInArrow(_partners(ws, unit, frequent), f"a {kind}, b array<{kind}>, n array<bigint>, k array<bigint>")
-    # dealt by word, as rows of partners: the sums of each two words need no further exchange
-    two = made.repartition("a").select("a", F.inline(F.arrays_zip("b", "n", "k")))
-    two = two.groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    made = lists.mapInArrow(_partners(ws, unit, frequent, max(1, -(-total * ws // PAIR_BUCKET))),
+                            "_b int, words binary, size long, pairs binary, n binary, k binary")
+    two = made.groupBy("_b").applyInArrow(_added_pairs, f"a {kind}, b {kind}, n bigint, k bigint")
     own = F.col("a").eqNullSafe(F.col("b"))
     ways = F.when(own, F.array(F.struct(F.col("a").alias("center"), F.col("b").alias("context")))).otherwise(
         F.array(F.struct(F.col("a").alias("center"), F.col("b").alias("context")), F.struct(F.col("b").alias("center"), F.col("a").alias("context"))))
