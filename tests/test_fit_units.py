@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pytest
 
@@ -34,3 +36,18 @@ def test_rounds_equal_a_plain_loop_for_units_of_any_size(spark, unit):
         gx, gb = gx + (dx * dx).mean(1), gb + (db * db).mean(1)
         X, b = X + rate * dx / np.sqrt(gx + K.EPS)[:, None], b + rate * db / np.sqrt(gb + K.EPS)[:, None]
     assert np.allclose(B, b) and np.allclose([got[i] for i in range(13)], X)
+
+
+def test_a_round_stores_the_rows_once_for_all_units(spark, monkeypatch):
+    """Units read their rows from files, which go after the round: no exchange of (unit, row)."""
+    made, store = [], K.SH.stored
+
+    def stored(df, folder):
+        made.append((df.count(), folder, store(df, folder)))
+        return made[-1][2]
+    monkeypatch.setattr(K.SH, "stored", stored)
+    lines = spark.createDataFrame([(k, [0, 1, 2, 3 + k % 4], [k % 2]) for k in range(30)], "id long, features array<long>, labels array<long>")
+    start = spark.createDataFrame([(i, [0.1 * i] * DIM) for i in range(7)], "row_id long, vec array<double>")
+    rows, _ = K.fit_rows(lines, "id", start, 2, M.Args(dim=DIM, lr=0.5, epoch=2), unit=8)
+    assert rows.count() == 7 and [n for n, _, _ in made] == [7, 7]
+    assert not any(os.path.exists(f"{K.SH._at(folder)[1]}/{name}") for _, folder, names in made for name in names)
